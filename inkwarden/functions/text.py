@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .core import SPACE, clean_line, json_literal, let, one_of
 
-INVISIBLE = r"[​-‏‪-‮⁠-⁤⁦-⁩﻿]"
+INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
 MODEL_URL = r"(?i)(?:https?://|www\.)[^\s<>\"']{1,2048}"
 ADDRESS = r"(?U)[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}"
 NUMBER = r"(?U)\d+"
@@ -49,18 +49,25 @@ def unescape(text: Column) -> Column:
         digits = F.regexp_extract(reference, r"&#[xX]?([0-9a-fA-F]+);", 1)
         is_hex = F.regexp_like(reference, F.lit(r"^&#[xX]"))
         number = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
-        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        drawn = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
-        return F.when(F.startswith(reference, F.lit("&#")), F.coalesce(drawn, F.lit("�"))
+
+        def drawn(n: Column) -> Column:
+            valid = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(F.when(valid, n)), 8, "0")), "UTF-32"),
+                              F.lit("\ufffd"))
+
+        return F.when(F.startswith(reference, F.lit("&#")), let(number, drawn)
                       ).otherwise(F.coalesce(F.try_element_at(names, reference), reference))
 
-    # "&amp;" goes last so that "&amp;lt;" ends as "&lt;".
-    found = F.array_distinct(F.regexp_extract_all(
-        text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});"), F.lit(0)))
-    others = F.filter(found, lambda r: r != "&amp;")
-    replaced = F.aggregate(others, text, lambda acc, r: F.replace(acc, r, character(r)))
-    return F.when(F.contains(text, F.lit("&")),
-                  F.replace(replaced, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    def replaced(t: Column) -> Column:
+        # "&amp;" goes last so that "&amp;lt;" ends as "&lt;".
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(
+            r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,8});"), F.lit(0)))
+        others = F.filter(found, lambda r: r != "&amp;")
+        done = F.aggregate(others, t, lambda acc, r: F.replace(acc, r, character(r)))
+        return F.when(F.contains(t, F.lit("&")),
+                      F.replace(done, F.lit("&amp;"), F.lit("&"))).otherwise(t)
+
+    return let(text, replaced)
 
 
 def clean_fingerprints(text: Column) -> Column:
@@ -72,18 +79,17 @@ def clean_honeypot(text: Column) -> Column:
     return F.regexp_replace(text, "(?i)phishing@pot", " ")
 
 
-def english_hits(text: Column) -> Column:
-    return F.size(F.filter(words_of(text), lambda t: one_of(t, fixed.ENGLISH_WORDS)))
-
-
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda t: t != "")
 
 
 def is_english(text: Column) -> Column:
-    hits = english_hits(text)
-    share = hits / F.greatest(F.size(words_of(text)), F.lit(1))
-    return (hits >= fixed.ENGLISH_MIN_HITS) & (share >= fixed.ENGLISH_MIN_SHARE)
+    def judged(tokens: Column) -> Column:
+        hits = F.size(F.filter(tokens, lambda t: one_of(t, fixed.ENGLISH_WORDS)))
+        share = hits / F.greatest(F.size(tokens), F.lit(1))
+        return (hits >= fixed.ENGLISH_MIN_HITS) & (share >= fixed.ENGLISH_MIN_SHARE)
+
+    return let(words_of(text), judged)
 
 
 def _accent_table() -> tuple[str, str]:
