@@ -31,7 +31,7 @@ def guard(content: Column, max_bytes: int = fixed.MAX_MESSAGE_BYTES) -> Column:
                 .when(header_end > fixed.MAX_HEADER_SECTION, "limit_exceeded")
                 .when(boundaries > fixed.MAX_BOUNDARY_LINES, "limit_exceeded").otherwise("ok"))
 
-    return F.when(F.length(content) > max_bytes, "limit_exceeded").otherwise(let(text, judged))
+    return F.when(content.isNull() | (F.length(content) > max_bytes), "limit_exceeded").otherwise(let(text, judged))
 
 
 def as_characters(content: Column) -> Column:

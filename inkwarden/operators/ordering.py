@@ -54,16 +54,19 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     digits = [F.shiftrightunsigned(F.col("v").bitwiseXOR(F.lit(-2 ** 63)), shift)
               .bitwiseAND(F.lit(0xFFFF)) for shift in (48, 32, 16, 0)]
     values = values.select("v", "c", *[d.alias(f"d{i}") for i, d in enumerate(digits)])
-    position = values.agg(((F.sum("c") - 1) * F.lit(float(q))).alias("at"))
-    wanted = position.select("at", F.explode(F.array(
-        F.floor("at"), F.ceil("at"))).alias("k")).distinct()
-    state = wanted.withColumn("left", F.col("k"))
+    at = values.agg((F.sum("c") - 1) * F.lit(float(q))).scalar()
     known: list[str] = []
+    state = None
     for i in range(4):
         digit = f"d{i}"
-        candidates = values.join(F.broadcast(state.select("k", "left", "at", *known)), known) if known \
-            else values.join(F.broadcast(state.select("k", "left", "at")), F.lit(True))
-        counts = candidates.groupBy("k", "left", "at", *known, digit).agg(F.sum("c").alias("n"))
+        if state is None:
+            ends = F.array_distinct(F.array(F.floor("at"), F.ceil("at")))
+            counts = (values.groupBy(digit).agg(F.sum("c").alias("n")).withColumn("at", at)
+                      .withColumn("k", F.explode(ends)).withColumn("left", F.col("k")))
+        else:
+            # ``state`` has at most two rows: the two order statistics looked for.
+            counts = values.join(F.broadcast(state), known).groupBy(
+                "k", "left", "at", *known, digit).agg(F.sum("c").alias("n"))
         run = W.partitionBy("k").orderBy(digit).rowsBetween(W.unboundedPreceding, W.currentRow)
         state = (counts.withColumn("upto", F.sum("n").over(run))
                  .where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
