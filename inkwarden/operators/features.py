@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.findings import codes_of
 
 LAYER_WEIGHTS = {"header": fixed.HEADER_WEIGHTS, "link": fixed.LINK_WEIGHTS, "sms": fixed.SMS_WEIGHTS}
 
@@ -35,10 +36,12 @@ def feature_matrix(df: DataFrame, key: str = "msg_id") -> DataFrame:
     Works on message rows with ``header_findings``, ``link_findings`` and ``url_reports``:
     the pivot is a projection, no shuffle.
     """
-    header = [F.exists("header_findings", lambda f, c=c: f.code == c).cast("double").alias(f"hdr_{c}")
-              for c in fixed.HEADER_WEIGHTS]
-    link = [F.exists("link_findings", lambda f, c=c: f.code == c).cast("double").alias(f"lnk_{c}")
-            for c in fixed.LINK_WEIGHTS]
+    def flags(column: str, prefix: str, codes: dict[str, float]) -> list[Column]:
+        found = codes_of(F.col(column))
+        return [F.array_contains(found, c).cast("double").alias(prefix + c) for c in codes]
+
+    header = flags("header_findings", "hdr_", fixed.HEADER_WEIGHTS)
+    link = flags("link_findings", "lnk_", fixed.LINK_WEIGHTS)
     domains = F.array_distinct(F.filter(
         F.transform("url_reports", lambda r: r.domain), lambda d: d != ""))
     return df.select(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import fixed, mail, text
 from ..functions.core import clean_line, let, literals
 from ..functions.urls import extract_urls
+from .ordering import cumulative
 
 
 def parse_messages(messages: DataFrame, max_bytes: int = fixed.MAX_MESSAGE_BYTES) -> DataFrame:
@@ -94,15 +94,19 @@ def apply_text_budget(parts: DataFrame, budget: int = fixed.MAX_TEXT_CHARS,
                       key: str = "msg_id", order: str = "part") -> DataFrame:
     """Cut the texts of a message's parts so that together they fit the budget.
 
-    A message has at most 100 parts, so the window groups are bounded.
+    Lengths are summed per 1,000 parts first and then within them, so even a message of
+    very many parts is spread; only lengths take part in the running sum.
     """
-    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    left = F.greatest(F.lit(budget) - F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)),
-                      F.lit(0))
+    sized = parts.select(key, order, F.length("text").cast("bigint").alias("_n")).withColumn(
+        "_bucket", F.floor(F.col(order) / 1000))
+    run = cumulative(sized, "_bucket", order, ["_n"], [key])
+    used = run.select(key, order, (F.col("cum__n") - F.col("_n")).alias("_used"))
+    left = F.greatest(F.lit(budget) - F.col("_used"), F.lit(0))
+    parts = parts.join(used, [key, order])
     cut = parts.withColumn("left", left).withColumn(
         "kept", F.expr("substring(text, 1, cast(left as int))"))
     return (cut.withColumn("truncated", F.length("kept") < F.length("text"))
-            .drop("left", "text").withColumnRenamed("kept", "text"))
+            .drop("left", "text", "_used").withColumnRenamed("kept", "text"))
 
 
 def extract_url_rows(df: DataFrame, key: str, column: str) -> DataFrame:

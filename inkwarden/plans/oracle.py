@@ -84,8 +84,8 @@ def normalised(text: str, kind: str = "email") -> str:
     number = "' numtoken '" if kind == "email" else "' '"
     out = f"substr({text}, 1, {fixed.MODEL_INPUT_CHARS})"
     out = f"regexp_replace({out}, '(?i)(?:https?://|www\\.)[^\\s<>\"'']+', ' ', 'g')"
-    out = (f"regexp_replace({out}, '[\\p{{L}}\\p{{N}}_.+-]{{1,64}}@[\\p{{L}}\\p{{N}}_-]{{1,63}}"
-           f"(?:\\.[\\p{{L}}\\p{{N}}_-]{{1,63}}){{1,8}}', ' ', 'g')")
+    out = (f"regexp_replace({out}, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_-]+"
+           f"(?:\\.[\\p{{L}}\\p{{N}}_-]+)+', ' ', 'g')")
     out = f"regexp_replace({out}, '\\d+', {number}, 'g')"
     out = f"regexp_replace({out}, '\\s+', ' ', 'g')"
     return f"substr(lower(trim({out})), 1, {fixed.MODEL_TEXT_CHARS})"
@@ -216,3 +216,126 @@ uf AS (
     UNION ALL SELECT {key}, 0, 'url_dangerous_scheme', '', url FROM uj
       WHERE NOT malformed AND scheme IN ('javascript', 'data', 'vbscript', 'file'))
   GROUP BY {key}, code)"""
+
+
+def _claims(value: str, method: str) -> str:
+    plain = f"regexp_replace(regexp_replace({value}, '\\([^()]*\\)', ' ', 'g'), '\\([^()]*\\)', ' ', 'g')"
+    found = f"regexp_extract_all(lower({plain}), '(?:^|[^a-z0-9_.-]){method}\\s*=\\s*([a-z]+)', 1)"
+    return (f"CASE WHEN list_contains({found}, 'pass') THEN 'pass' "
+            f"WHEN list_contains({found}, 'fail') THEN 'fail' ELSE {found}[1] END")
+
+
+def header_ctes(source: str, trusted: str = "mx.google.com") -> str:
+    """CTEs ``ha`` (authentication, domains) and ``hf(msg_id, ord, code, detail)``.
+
+    ``source`` has one reply address and two authentication headers (top and lower).
+    """
+    claims = ", ".join(f"{_claims('auth_top', m)} AS t_{m}, {_claims('auth_lower', m)} AS l_{m}"
+                       for m in ("spf", "dkim", "dmarc"))
+    free = f"list_contains({sql_list(fixed.FREEMAIL_DOMAINS)}, {{}})"
+    shown = ", ".join(
+        f"CASE WHEN e_{m} = 'pass' AND NOT trusted THEN 'unverified' ELSE coalesce(e_{m}, 'none') END AS {m}"
+        for m in ("spf", "dkim", "dmarc"))
+    forged = " OR ".join(f"(coalesce(l_{m}, '') = 'pass' AND coalesce(e_{m}, '') <> 'pass')"
+                         for m in ("spf", "dkim", "dmarc"))
+    roles = " OR ".join(f"contains(display_words, {quote(f' {p} ')})" for p in fixed.ROLE_PHRASES)
+    present = "from_domain <> ''"
+    rules = [
+        ("auth_unverified", "auth_source = 'missing'", "'No Authentication-Results header (origin unverifiable)'"),
+        ("auth_unverified", "auth_source = 'untrusted'", f"'Top Authentication-Results not from {trusted}'"),
+        ("forged_auth_header", "forged", f"'A lower header falsely claims {trusted} passed this message'"),
+        ("dmarc_fail", "dmarc = 'fail'", "'DMARC failed: the From domain did not authorise this sender'"),
+        ("spf_fail", "spf IN ('fail', 'permerror')", "'SPF failed: sending server not allowed for this domain'"),
+        ("spf_softfail", "spf = 'softfail'", "'SPF soft-failed: sending server probably not authorised'"),
+        ("dkim_fail", "dkim IN ('fail', 'permerror')", "'DKIM signature invalid: message may have been altered'"),
+        ("missing_from", "from_domain = ''", "'No valid From address'"),
+        ("punycode_sender_domain", f"{present} AND regexp_matches(from_host, '(^|\\.)xn--')",
+         "'Sender domain uses punycode: ' || from_host"),
+        ("lookalike_sender_domain", "lookalike IS NOT NULL",
+         "'Sender domain ' || from_domain || ' imitates ' || lookalike || ' but is not an official domain'"),
+        ("display_name_brand_spoof", f"{present} AND spoofed IS NOT NULL",
+         "'Display name claims ''' || spoofed || ''' but the address is @' || from_domain"),
+        ("display_name_other_email", f"{present} AND other <> '' AND {domain_of('other')} <> from_domain",
+         "'Display name shows a different address (' || other || ') than the real sender'"),
+        ("freemail_impersonation", f"{present} AND {free.format('from_domain')} AND ({roles})",
+         "'Display name claims an official role but is sent from free mail (@' || from_domain || ')'"),
+        ("reply_to_mismatch", f"{present} AND reply_domain <> '' AND reply_domain <> from_domain",
+         "'Replies go to @' || reply_domain || ', not the sender''s domain @' || from_domain"),
+        ("reply_to_freemail", f"{present} AND reply_domain <> '' AND reply_domain <> from_domain AND "
+         f"{free.format('reply_domain')} AND NOT {free.format('from_domain')}",
+         "'Replies are redirected to free mail @' || reply_domain"),
+        ("return_path_mismatch", f"{present} AND return_domain <> '' AND return_domain <> from_domain AND NOT official",
+         "'Bounce address @' || return_domain || ' differs from sender @' || from_domain"),
+        ("bulk_recipients", f"recipient_count >= {fixed.BULK_RECIPIENTS}",
+         "'Sent to ' || recipient_count || ' visible recipients'"),
+        ("undisclosed_recipients", "recipient_count = 0", "'No visible recipients (hidden BCC mass mailing)'"),
+        ("missing_message_id", "message_id = ''", "'Message-ID header missing'"),
+    ]
+    union = " UNION ALL ".join(
+        f"SELECT msg_id, {i} AS ord, '{code}' AS code, {detail} AS detail FROM ha WHERE {cond}"
+        for i, (code, cond, detail) in enumerate(rules))
+    server = "lower(string_split(trim(string_split({}, ';')[1]), ' ')[1])"
+    return f"""h1 AS (
+  SELECT *, {claims}, {server.format('auth_top')} AS top_server, {server.format('auth_lower')} AS low_server,
+    CASE WHEN received_spf <> '' THEN lower(string_split(received_spf, ' ')[1]) END AS spf_word,
+    {domain_of('from_address')} AS from_domain, {domain_of('reply_to')} AS reply_domain,
+    {domain_of('return_path')} AS return_domain, string_split(from_address, '@')[-1] AS from_host,
+    {padded('from_display')} AS display_words,
+    regexp_extract(from_display, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+(?:\\.[a-zA-Z0-9_-]+)+', 0) AS other FROM {source}),
+h2 AS (
+  SELECT *, auth_top <> '' AND top_server = '{trusted}' AS trusted, t_dkim AS e_dkim, t_dmarc AS e_dmarc,
+    CASE WHEN auth_top <> '' THEN coalesce(t_spf, spf_word) END AS e_spf FROM h1),
+{lookalike_cte('(SELECT from_domain AS domain FROM h1)', 'hl')},
+hs AS (
+  SELECT msg_id, arg_min(p.brand, p.brand_rank) AS spoofed FROM h1 JOIN {BRAND_PHRASES} p
+    ON contains(h1.display_words, p.phrase)
+  WHERE {free.format('h1.from_domain')} OR NOT EXISTS (SELECT 1 FROM {BRAND_DOMAINS} x
+    WHERE x.brand = p.brand AND x.domain = h1.from_domain) GROUP BY msg_id),
+ha AS (
+  SELECT h2.*, {shown}, hl.brand AS lookalike, hs.spoofed,
+    CASE WHEN auth_top = '' THEN 'missing' WHEN trusted THEN 'trusted' ELSE 'untrusted' END AS auth_source,
+    auth_lower <> '' AND low_server = '{trusted}' AND ({forged}) AS forged,
+    (SELECT arg_min(x.brand, x.brand_rank) FROM {BRAND_DOMAINS} x WHERE x.domain = h2.from_domain) AS official_brand,
+    h2.from_domain IN (SELECT domain FROM {BRAND_DOMAINS}) AS official
+  FROM h2 LEFT JOIN hl ON hl.domain = h2.from_domain LEFT JOIN hs USING (msg_id)),
+hf AS ({union})"""
+
+
+def trust_ctes(links: str = "ud") -> str:
+    """CTE ``tr(msg_id, code, weight)``: credits of verified official senders.
+
+    Needs ``ha``, ``hf``, ``lf(msg_id, code)`` and link domains in ``links(msg_id, domain)``.
+    """
+    bad = ", ".join(quote(c) for c in fixed.DISQUALIFYING_CODES)
+    providers = sql_list(fixed.MAILING_PROVIDERS)
+    return f"""tv AS (
+  SELECT msg_id, official_brand AS brand FROM ha WHERE auth_source = 'trusted' AND dmarc = 'pass' AND official
+    AND NOT list_contains({sql_list(fixed.FREEMAIL_DOMAINS)}, from_domain)
+    AND msg_id NOT IN (SELECT msg_id FROM hf WHERE code IN ({bad}))),
+tr AS (
+  SELECT msg_id, 'verified_sender' AS code, -{fixed.VERIFIED_SENDER_CREDIT}::DOUBLE AS weight FROM tv
+  UNION ALL SELECT msg_id, 'aligned_links', -{fixed.ALIGNED_LINKS_CREDIT}::DOUBLE FROM tv
+  WHERE msg_id NOT IN (SELECT msg_id FROM lf) AND NOT EXISTS (
+    SELECT 1 FROM {links} k WHERE k.msg_id = tv.msg_id AND k.domain <> '' AND NOT list_contains({providers}, k.domain)
+      AND NOT EXISTS (SELECT 1 FROM {BRAND_DOMAINS} x WHERE x.brand = tv.brand AND x.domain = k.domain)))"""
+
+
+def fusion_ctes(probability: str, base: str) -> str:
+    """CTEs ``rs`` (all reasons) and ``fu(msg_id, …, score)`` from ``hf``, ``lf`` and ``tr``."""
+    return f"""hw AS (SELECT msg_id, 'header' AS source, 1000 + ord AS ord, code, weight FROM hf
+  JOIN {weights(fixed.HEADER_WEIGHTS)} USING (code)),
+lw AS (SELECT msg_id, 'link' AS source, 2000 + ord AS ord, code, weight FROM lf
+  JOIN {weights(fixed.LINK_WEIGHTS)} USING (code)),
+layer AS (SELECT msg_id, source, ord, code,
+    weight * {fixed.RULE_SCALE} / greatest(sum(weight) OVER (PARTITION BY msg_id, source), 1.0) AS weight
+  FROM (SELECT * FROM hw UNION ALL SELECT * FROM lw)),
+tx AS (SELECT msg_id, {probability} AS p FROM {base}),
+rs AS (
+  SELECT msg_id, 'text' AS source, 0 AS ord, 'text_model' AS code,
+    greatest(least({logit('p')}, {fixed.TEXT_CLIP}), -{fixed.TEXT_CLIP}) AS weight FROM tx
+  UNION ALL SELECT * FROM layer
+  UNION ALL SELECT msg_id, 'trust', CASE code WHEN 'verified_sender' THEN 3000 ELSE 3001 END, code, weight FROM tr),
+fu AS (SELECT msg_id, sum(weight) AS total, {sigmoid('sum(weight)')} AS score,
+    array_to_string(list(code ORDER BY round(-abs(weight), 9), ord), ',') AS codes,
+    -coalesce(sum(weight) FILTER (source = 'trust'), 0) AS credit,
+    min(weight) FILTER (source = 'text') AS text_weight FROM rs GROUP BY msg_id)"""
