@@ -71,12 +71,13 @@ def fused_scores(spark, sf_dir):
 
 
 @register("ordered_reasons", f"""{_FUSED}, r AS (SELECT msg_id, code, weight, row_number() OVER (
-    PARTITION BY msg_id ORDER BY round(-abs(weight), 9), ord) AS n FROM rs)
+    PARTITION BY msg_id ORDER BY -abs(weight), ord) AS n FROM rs)
   SELECT msg_id, (n - 1)::INT AS pos, code, round(weight, 6) AS weight,
-    CASE WHEN abs(weight) >= 2 THEN 'strong' WHEN abs(weight) >= 1 THEN 'medium' ELSE 'weak' END AS strength FROM r""")
+    CASE WHEN round(abs(weight), 9) >= 2 THEN 'strong' WHEN round(abs(weight), 9) >= 1 THEN 'medium' ELSE 'weak' END AS strength FROM r""")
 def ordered_reasons(spark, sf_dir):
     rows = fusion.fuse(_fused(spark, sf_dir)).select("msg_id", F.posexplode("reasons").alias("pos", "r"))
-    return rows.select("msg_id", "pos", "r.code", F.round("r.weight", 6).alias("weight"), "r.strength")
+    return rows.select("msg_id", "pos", "r.code", F.round("r.weight", 6).alias("weight"),
+                       fusion.strength(F.round("r.weight", 9)).alias("strength"))
 
 
 @register("verdict_components", f"""{_FUSED}, hk AS (SELECT msg_id, least(1.0, sum(weight)) AS r FROM hw GROUP BY msg_id),

@@ -326,9 +326,10 @@ def fusion_ctes(probability: str, base: str) -> str:
   JOIN {weights(fixed.HEADER_WEIGHTS)} USING (code)),
 lw AS (SELECT msg_id, 'link' AS source, 2000 + ord AS ord, code, weight FROM lf
   JOIN {weights(fixed.LINK_WEIGHTS)} USING (code)),
-layer AS (SELECT msg_id, source, ord, code,
-    weight * {fixed.RULE_SCALE} / greatest(sum(weight) OVER (PARTITION BY msg_id, source), 1.0) AS weight
-  FROM (SELECT * FROM hw UNION ALL SELECT * FROM lw)),
+lall AS (SELECT * FROM hw UNION ALL SELECT * FROM lw),
+lsum AS (SELECT msg_id, source, {fixed.RULE_SCALE}::DOUBLE / greatest(
+    list_reduce(list(weight ORDER BY ord), lambda a, b: a + b), 1.0::DOUBLE) AS k FROM lall GROUP BY ALL),
+layer AS (SELECT msg_id, source, ord, code, weight * k AS weight FROM lall JOIN lsum USING (msg_id, source)),
 tx AS (SELECT msg_id, {probability} AS p FROM {base}),
 rs AS (
   SELECT msg_id, 'text' AS source, 0 AS ord, 'text_model' AS code,
@@ -336,6 +337,6 @@ rs AS (
   UNION ALL SELECT * FROM layer
   UNION ALL SELECT msg_id, 'trust', CASE code WHEN 'verified_sender' THEN 3000 ELSE 3001 END, code, weight FROM tr),
 fu AS (SELECT msg_id, sum(weight) AS total, {sigmoid('sum(weight)')} AS score,
-    array_to_string(list(code ORDER BY round(-abs(weight), 9), ord), ',') AS codes,
+    array_to_string(list(code ORDER BY -abs(weight), ord), ',') AS codes,
     -coalesce(sum(weight) FILTER (source = 'trust'), 0) AS credit,
     min(weight) FILTER (source = 'text') AS text_weight FROM rs GROUP BY msg_id)"""
