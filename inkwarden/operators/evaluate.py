@@ -66,8 +66,8 @@ def scorer_summary(verdicts: DataFrame, by: list[str], threshold: float = fixed.
     ``verdicts``: ``action, analysed, text_probability`` and the grouping columns.  With
     ``totals`` the overall row comes from the same pass (grouping sets).
     """
-    grouped = verdicts.groupingSets([[verdicts[c] for c in by], []], *[verdicts[c] for c in by]) \
-        if totals else verdicts.groupBy(*by)
+    keys = [F.col(c) for c in by]
+    grouped = verdicts.groupingSets([keys, []], *keys) if totals else verdicts.groupBy(*by)
     wording = F.col("analysed") & (F.col("text_probability") >= 0.5)
     certain = F.col("analysed") & (F.col("text_probability") >= threshold)
     sums = grouped.agg(
