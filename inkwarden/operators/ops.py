@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..operators.fusion import strength
@@ -86,7 +87,7 @@ def quarantine_listing(records: DataFrame, reports: DataFrame,
 def percent(score: Column) -> Column:
     """A probability as a percentage that never claims certainty."""
     return (F.when(score.isNull(), "n/a").when(score >= 0.999, ">99.9%").when(score <= 0.001, "<0.1%")
-            .otherwise(F.concat(F.format_string("%.1f", score * 100), F.lit("%"))))
+            .otherwise(F.concat(F.format_number(score * 100, 1), F.lit("%"))))
 
 
 def humanise_code(code: Column) -> Column:
@@ -105,7 +106,7 @@ def humanise_code(code: Column) -> Column:
 
 def signed_weight(weight: Column) -> Column:
     sign = F.when(weight > 0, "+").when(weight < 0, "−").otherwise("±")
-    return F.concat(sign, F.format_string("%.1f", F.abs(weight)))
+    return F.concat(sign, F.format_number(F.abs(weight), 1))
 
 
 def direction(weight: Column) -> Column:
@@ -117,7 +118,7 @@ def relative_age(ts: Column, now: Column) -> Column:
     # Unit, how many make the next unit.
     steps = [("second", 60.0), ("minute", 60.0), ("hour", 24.0), ("day", 7.0), ("week", 4.35),
              ("month", 12.0)]
-    seconds = F.round(now.cast("double") - ts.cast("double"))
+    seconds = F.round(now.cast("timestamp").cast("double") - ts.cast("timestamp").cast("double"))
     value, out = seconds, F.when(seconds.isNull(), "Unknown time").when(seconds < 45, "just now")
     for unit, size in steps:
         number = F.round(value).cast("bigint")
@@ -265,7 +266,8 @@ def build_audit_chain(entries: DataFrame, chain: list[str], order: str,
     prepared = (numbered.withColumn("_chain", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
                 .withColumn("_head", head).withColumn("_tail", tail))
     placed = prepared.repartition(*keys).sortWithinPartitions("_chain", order)
-    schema = placed.schema.add("prev", "string").add("hash", "string")
+    added = [T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType())]
+    schema = T.StructType([*placed.schema.fields, *added])
     linked = placed.mapInPandas(link_batches, schema).drop("_chain", "_head", "_tail")
     line = F.row_number().over(W.partitionBy(*keys).orderBy(order))
     return linked.withColumn("line_no", line)
@@ -314,7 +316,7 @@ def bursts(hits: DataFrame, key: list[str], ts: str, limit: int,
     bucket as history, so a key with very many hits is spread over its buckets.
     """
     span = seconds * 1_000_000
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     home = F.floor(micros / span)
     copies = hits.withColumn("_us", micros).withColumn("_c", F.explode(F.array(
         F.struct(home.alias("b"), F.lit(True).alias("own")),

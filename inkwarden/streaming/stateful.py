@@ -50,7 +50,7 @@ def admission_stream(hits: DataFrame, key: str, ts: str, limit: int,
     """Exact sliding-window admission: a hit is admitted while fewer than ``limit`` admitted
     hits of its key lie in the last ``seconds``.  State holds at most ``limit`` times."""
     span = seconds * 1_000_000
-    rows = hits.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("us"),
+    rows = hits.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
                        F.col("hit_id").cast("bigint").alias("hit_id"))
 
     def admit(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
