@@ -84,7 +84,7 @@ def quarantine_listing(spark, sf_dir):
         "incident_id", "kind", "status", "score")
 
 
-_HUMAN = """CASE code WHEN 'dmarc_fail' THEN 'DMARC fail' WHEN 'url_ip_host' THEN 'URL IP host' WHEN 'att_html' THEN 'attachment HTML'
+_HUMAN = """CASE code WHEN 'dmarc_fail' THEN 'DMARC fail' WHEN 'url_ip_host' THEN 'URL IP host' WHEN 'att_html' THEN 'Attachment HTML'
     WHEN 'spf_softfail' THEN 'SPF softfail' ELSE 'Verified sender' END"""
 _AGE = """CASE WHEN s < 45 THEN 'just now' WHEN s < 60 THEN round(s)::BIGINT || ' second' || CASE WHEN round(s) = 1 THEN '' ELSE 's' END || ' ago'
     WHEN s / 60 < 60 THEN round(s / 60)::BIGINT || ' minute' || CASE WHEN round(s / 60) = 1 THEN '' ELSE 's' END || ' ago'

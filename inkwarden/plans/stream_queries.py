@@ -91,39 +91,37 @@ def streamed_message_files(spark, sf_dir):
     return continuous.scored_rows(spark, f"{folder}/out")
 
 
-def _audit_stream(spark, sf_dir, folder: str) -> DataFrame:
-    """Audit entries in files by sequence number, oldest first."""
-    inputs.audit(spark, sf_dir).repartitionByRange(3, "seq").write.parquet(folder)
-    return spark.readStream.schema(spark.read.parquet(folder).schema).option(
-        "maxFilesPerTrigger", 1).parquet(folder)
-
-
-def _collect_stream(stream: DataFrame, folder: str) -> None:
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option(
-        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+def _arriving(spark, table: DataFrame, order: str, folder: str, build, arrivals: int = 3) -> DataFrame:
+    """Run a stream once per arrival: each third of the table (by ``order``) is written, then
+    processed from the checkpoint of the run before."""
+    top = table.agg(F.max(order)).first()[0] + 1
+    for i in range(arrivals):
+        low, high = top * i // arrivals, top * (i + 1) // arrivals
+        part = table.where((F.col(order) >= low) & (F.col(order) < high))
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(table.schema).parquet(f"{folder}/in")
+        build(stream).writeStream.format("parquet").option("path", f"{folder}/out").option(
+            "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 @register("streamed_audit_chain", f"WITH RECURSIVE {CHAIN_SQL} SELECT mailbox, file_no, seq, prev, hash FROM chain")
 def streamed_audit_chain(spark, sf_dir):
     """The audit chain built over several batches with keyed state."""
-    folder = work_folder(spark)
-    stream = _audit_stream(spark, sf_dir, f"{folder}/in")
-    _collect_stream(stateful.chain_stream(stream, ["mailbox"], "seq", CHAIN_FIELDS, ROWS_PER_FILE), folder)
-    return spark.read.parquet(f"{folder}/out")
+    build = lambda stream: stateful.chain_stream(
+        stream, ["mailbox"], "seq", CHAIN_FIELDS, ROWS_PER_FILE)
+    return _arriving(spark, inputs.audit(spark, sf_dir), "seq", work_folder(spark), build)
 
 
 @register("admitted_hits")
 def admitted_hits(spark, sf_dir):
     """Exact admission counting per client; checked against brute force in the tests."""
-    folder = work_folder(spark)
-    inputs.table(spark, sf_dir, "events").withColumn(
-        "client", F.concat(F.lit("c"), (F.col("user_id") % 50).cast("string"))).select(
-        F.col("event_id").alias("hit_id"), "client", F.col("ts").cast("timestamp").alias("ts")).repartitionByRange(
-        2, "hit_id").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option(
-        "maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    _collect_stream(stateful.admission_stream(stream, "client", "ts", limit=2, seconds=3600), folder)
-    return spark.read.parquet(f"{folder}/out")
+    hits = inputs.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("hit_id"),
+        F.concat(F.lit("c"), (F.col("user_id") % 50).cast("string")).alias("client"),
+        F.col("ts").cast("timestamp").alias("ts"))
+    build = lambda stream: stateful.admission_stream(stream, "client", "ts", limit=2, seconds=3600)
+    return _arriving(spark, hits, "hit_id", work_folder(spark), build)
 
 
 @register("unreadable_messages_reviewed", f"""WITH {inputs.SMS_SQL} SELECT msg_id, CASE WHEN msg_id % 3 = 0 THEN 'unparseable' ELSE 'ok' END AS status,

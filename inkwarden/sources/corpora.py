@@ -36,15 +36,16 @@ def read_corpus(spark: SparkSession, folder: str, columns: list[str],
     rows = (spark.read.schema(schema).option("header", "true").option("mode", "DROPMALFORMED")
             .option("multiLine", "true").option("quote", '"').option("escape", '"')
             .option("emptyValue", "").option("nullValue", "\u0000").csv(paths))
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)$", 1)
     tagged = rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns],
-                         name.alias("source"))
+                         F.concat(F.col("_metadata.file_path"), F.lit("/")).alias("_path"))
+    source = F.lit(None).cast("string")
     rank, match, label = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("int")
     for place, (file, (text, number)) in enumerate(wanted.items(), 1):
-        here = F.col("source") == file
-        rank, match, label = (F.when(here, F.lit(v)).otherwise(c) for v, c in (
-            (place, rank), (text, match), (number, label)))
-    kept = tagged.withColumn("_match", match).withColumn("rank", rank).withColumn("_label", label)
+        here = F.contains("_path", F.lit(f"/{file}/"))
+        source, rank, match, label = (F.when(here, F.lit(v)).otherwise(c) for v, c in (
+            (file, source), (place, rank), (text, match), (number, label)))
+    kept = tagged.select("*", source.alias("source"), match.alias("_match"), rank.alias("rank"),
+                         label.alias("_label")).drop("_path")
     kept = kept.where(F.trim("label") == F.col("_match"))
     return kept.drop("label", "_match").withColumnRenamed("_label", "label")
 
