@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from functools import wraps
 
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space and word characters in the Unicode sense.
@@ -22,9 +24,58 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_expressions: dict[tuple, Column] = {}
+
+
+def reused(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Build an expression once per session and set of plain arguments.
+
+    Large rule expressions take noticeable time to assemble; a plan that is made again and
+    again (one per micro-batch) takes the finished expression.  Only calls whose arguments
+    are all plain values (column names, strings, reference data) are remembered.
+    """
+    @wraps(build)
+    def get(*args, **options) -> Column:
+        if any(isinstance(a, Column) for a in (*args, *options.values())):
+            return build(*args, **options)
+        key = (build.__module__, build.__name__, id(SparkContext._active_spark_context),
+               tuple(a if isinstance(a, (str, int, float)) else id(a) for a in args),
+               tuple(sorted((k, v if isinstance(v, (str, int, float)) else id(v))
+                            for k, v in options.items())))
+        if key not in _expressions:
+            columns = [F.col(a) if isinstance(a, str) and i == 0 else a for i, a in enumerate(args)]
+            _expressions[key] = build(*columns, **options)
+        return _expressions[key]
+
+    return get
+
+
+def exploded(df: DataFrame, keep: list, rows: Column, pos: str | None = None) -> DataFrame:
+    """One row per struct of an array, with the kept columns and optionally the position.
+
+    The outer form keeps Spark from deriving a filter on the array, which would be pushed
+    below the projections and evaluate the whole rule expression a second time.
+    """
+    kept = df.select(*keep, F.posexplode_outer(rows).alias("_pos", "_row")).where("_row is not null")
+    names = kept.columns[:-2]
+    place = [F.col("_pos").alias(pos)] if pos else []
+    return kept.select(*names, *place, "_row.*")
+
+
+def _remember(key: tuple, build: Callable[[], Column]) -> Column:
+    full = (*key, id(SparkContext._active_spark_context))
+    if full not in _expressions:
+        _expressions[full] = build()
+    return _expressions[full]
+
+
+def _split_literal(joined: str) -> Column:
+    return _remember(("list", joined), lambda: F.split(F.lit(joined), "\n"))
+
+
 def literals(values: Iterable[str]) -> Column:
     """Array literal of strings (folded to a constant by the optimizer)."""
-    return F.split(F.lit("\n".join(values)), "\n")
+    return _split_literal("\n".join(values))
 
 
 def one_of(value: Column, values: Iterable[str]) -> Column:
@@ -34,7 +85,15 @@ def one_of(value: Column, values: Iterable[str]) -> Column:
 
 def json_literal(data: object, schema: str) -> Column:
     """Nested literal of bounded reference data."""
-    return F.from_json(F.lit(json.dumps(data)), schema)
+    text = json.dumps(data)
+    return _remember(("json", text, schema), lambda: F.from_json(F.lit(text), schema))
+
+
+def in_text_list(value: Column, values: Iterable[str]) -> Column:
+    """Membership in a longer list by one substring search; values hold no line breaks."""
+    joined = "\n" + "\n".join(values) + "\n"
+    listed = _remember(("lines", joined), lambda: F.lit(joined))
+    return F.contains(listed, F.concat(F.lit("\n"), value, F.lit("\n")))
 
 
 def empty_strings() -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .core import json_literal, let, one_of, strip
+from .core import in_text_list, json_literal, let, one_of, reused, strip
 
 _IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = "[0-9a-fA-F]{1,4}"
@@ -123,10 +123,10 @@ def suffix_labels(labels: Column, dims: Dims) -> Column:
         below.setdefault(parent.count(".") + 2, []).append(parent)
     count = F.lit(0)
     for n in sorted(levels.keys() | below.keys()):
-        hit = tail(n).isin(levels[n]) if n in levels else F.lit(False)
+        hit = in_text_list(tail(n), levels[n]) if n in levels else F.lit(False)
         if n in below:
-            wild = tail(n - 1).isin(below[n])
-            hit = hit | (wild & ~tail(n).isin(list(dims.exceptions)) if dims.exceptions else wild)
+            wild = in_text_list(tail(n - 1), below[n])
+            hit = hit | (wild & ~in_text_list(tail(n), dims.exceptions) if dims.exceptions else wild)
         count = F.when((F.size(labels) >= n) & hit, F.lit(n)).otherwise(count)
     return count
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .core import codes_array, let, literals, one_of, strip, url_unquote
+from .core import codes_array, let, literals, one_of, reused, strip, url_unquote
 from .domains import (DEFAULT, Dims, claimed_brands, is_ip, is_ipv6, is_obfuscated_ip,
                       lookalike_brand, normalise_host, official_brand, registered_name)
 
@@ -15,6 +15,7 @@ _LEADING = "".join(map(chr, range(33)))
 URL_IN_TEXT = r"(?i)\b(?:https?://|www\.)[^\s<>\"'()\[\]{}]{1,2048}"
 
 
+@reused
 def split_url(url: Column) -> Column:
     """Parts of a URL: scheme, netloc, host, port, path, query and how it was written."""
 
@@ -81,6 +82,7 @@ def is_cloud_content(host: Column, path: Column) -> Column:
             & (F.regexp_like(host, F.lit(fixed.BUCKET_HOST)) | listed | forms))
 
 
+@reused
 def url_report(url: Column, dims: Dims = DEFAULT) -> Column:
     """``struct<url, host, domain, codes>`` for one URL."""
 
@@ -170,6 +172,7 @@ _BARE = (r"(?i)(?<![\w@./:-])((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.){1,4}[a-
          r"(/[^\s<>\"']{0,200})?(?![\w-])")
 
 
+@reused
 def extract_bare_domains(text: Column, dims: Dims = DEFAULT,
                          limit: int = fixed.MAX_BARE_DOMAINS) -> Column:
     """Domains written without a scheme, distinct, in order, checked against the suffixes."""
@@ -197,17 +200,23 @@ def extract_bare_domains(text: Column, dims: Dims = DEFAULT,
     return F.slice(F.array_distinct(written), 1, limit)
 
 
+@reused
 def text_link_reports(text: Column, dims: Dims = DEFAULT) -> Column:
     """Reports of the URLs and bare domains of a free text, in that order."""
-    full = url_reports(extract_urls(text), dims)
+    def target(written: Column, bare: bool) -> Column:
+        url = F.concat(F.lit("http://"), written) if bare else written
+        return F.struct(written.alias("written"), url.alias("url"), F.lit(bare).alias("bare"))
 
-    def bare(target: Column) -> Column:
-        report = url_report(F.concat(F.lit("http://"), target), dims)
-        return let(report, lambda r: F.struct(
-            target.alias("url"), r.host.alias("host"), r.domain.alias("domain"),
-            F.array_remove(r.codes, "url_http_only").alias("codes")))
+    targets = F.concat(F.transform(extract_urls(text), lambda u: target(u, False)),
+                       F.transform(extract_bare_domains(text, dims), lambda d: target(d, True)))
 
-    return F.concat(full, F.transform(extract_bare_domains(text, dims), bare))
+    def judged(t: Column) -> Column:
+        # No scheme was written with a bare domain, so it cannot be missing encryption.
+        return let(url_report(t.url, dims), lambda r: F.struct(
+            t.written.alias("url"), r.host.alias("host"), r.domain.alias("domain"),
+            F.when(t.bare, F.array_remove(r.codes, "url_http_only")).otherwise(r.codes).alias("codes")))
+
+    return F.transform(targets, judged)
 
 
 def link_findings(reports: Column) -> Column:

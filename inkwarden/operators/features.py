@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.core import exploded
 from ..functions.findings import codes_of
 
 LAYER_WEIGHTS = {"header": fixed.HEADER_WEIGHTS, "link": fixed.LINK_WEIGHTS, "sms": fixed.SMS_WEIGHTS}
@@ -13,8 +14,8 @@ LAYER_WEIGHTS = {"header": fixed.HEADER_WEIGHTS, "link": fixed.LINK_WEIGHTS, "sm
 
 def explode_findings(df: DataFrame, layer: str, column: str, key: str = "msg_id") -> DataFrame:
     """``(key, layer, pos, code, weight, detail)``."""
-    return df.select(key, F.lit(layer).alias("layer"), F.posexplode(column).alias("pos", "f")).select(
-        key, "layer", "pos", "f.code", "f.weight", "f.detail")
+    rows = exploded(df, [key, F.lit(layer).alias("layer")], F.col(column), "pos")
+    return rows.select(key, "layer", "pos", "code", "weight", "detail")
 
 
 def first_wins_rows(findings: DataFrame, key: str = "msg_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, mail, text
-from ..functions.core import clean_line, let, literals
+from ..functions.core import clean_line, exploded, let, literals
 from ..functions.urls import extract_urls
 from .ordering import cumulative
 
@@ -65,7 +65,7 @@ def explode_headers(messages: DataFrame) -> DataFrame:
             return F.size(earlier) <= fixed.MAX_HEADER_INSTANCES
         return F.filter(hs, instance)
 
-    return messages.select("msg_id", F.inline(let(headers, capped)))
+    return exploded(messages, ["msg_id"], let(headers, capped))
 
 
 def explode_parts(messages: DataFrame) -> DataFrame:
@@ -76,18 +76,15 @@ def explode_parts(messages: DataFrame) -> DataFrame:
         n.kind.alias("content_type"), n.filename.alias("filename"),
         n.disposition.alias("disposition"),
         F.when(~mail.is_attachment(n), mail.decoded_text(n)).alias("text")))
-    exploded = raw.select("msg_id", F.posexplode(rows).alias("part", "n"))
-    return exploded.select("msg_id", "part", "n.*")
+    return exploded(raw, ["msg_id"], rows, "part")
 
 
 def explode_links(parsed: DataFrame) -> DataFrame:
-    return parsed.select("msg_id", F.posexplode("links").alias("pos", "k")).select(
-        "msg_id", "pos", "k.*")
+    return exploded(parsed, ["msg_id"], F.col("links"), "pos")
 
 
 def explode_attachments(parsed: DataFrame) -> DataFrame:
-    return parsed.select("msg_id", F.posexplode("attachments").alias("pos", "a")).select(
-        "msg_id", "pos", "a.*")
+    return exploded(parsed, ["msg_id"], F.col("attachments"), "pos")
 
 
 def apply_text_budget(parts: DataFrame, budget: int = fixed.MAX_TEXT_CHARS,
@@ -110,7 +107,8 @@ def apply_text_budget(parts: DataFrame, budget: int = fixed.MAX_TEXT_CHARS,
 
 
 def extract_url_rows(df: DataFrame, key: str, column: str) -> DataFrame:
-    return df.select(key, F.posexplode(extract_urls(F.col(column))).alias("pos", "url"))
+    found = F.transform(extract_urls(F.col(column)), lambda u: F.struct(u.alias("url")))
+    return exploded(df, [key], found, "pos")
 
 
 def with_identity(messages: DataFrame) -> DataFrame:

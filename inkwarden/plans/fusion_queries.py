@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.core import literals
+from ..functions.core import exploded, literals
 from ..operators import fusion
 from . import inputs, scoring
 from . import oracle as o
@@ -48,7 +48,7 @@ def layer_weights(spark, sf_dir):
     rows = with_links(spark, sf_dir)
     both = F.concat(fusion.layer_reasons("header", F.col("header_findings")),
                     fusion.layer_reasons("link", F.col("link_findings")))
-    return rows.select("msg_id", F.inline(both)).select("msg_id", "source", "code", F.round("weight", 6).alias("weight"))
+    return exploded(rows, ["msg_id"], both).select("msg_id", "source", "code", F.round("weight", 6).alias("weight"))
 
 
 @register("text_reasons", f"""WITH {inputs.SMS_SQL}, t AS (SELECT msg_id, p_email AS p, msg_id % 7 AS tokens FROM sms)
@@ -75,9 +75,9 @@ def fused_scores(spark, sf_dir):
   SELECT msg_id, (n - 1)::INT AS pos, code, round(weight, 6) AS weight,
     CASE WHEN round(abs(weight), 9) >= 2 THEN 'strong' WHEN round(abs(weight), 9) >= 1 THEN 'medium' ELSE 'weak' END AS strength FROM r""")
 def ordered_reasons(spark, sf_dir):
-    rows = fusion.fuse(_fused(spark, sf_dir)).select("msg_id", F.posexplode("reasons").alias("pos", "r"))
-    return rows.select("msg_id", "pos", "r.code", F.round("r.weight", 6).alias("weight"),
-                       fusion.strength(F.round("r.weight", 9)).alias("strength"))
+    rows = exploded(fusion.fuse(_fused(spark, sf_dir)), ["msg_id"], F.col("reasons"), "pos")
+    return rows.select("msg_id", "pos", "code", F.round("weight", 6).alias("weight"),
+                       fusion.strength(F.round("weight", 9)).alias("strength"))
 
 
 @register("verdict_components", f"""{_FUSED}, hk AS (SELECT msg_id, least(1.0, sum(weight)) AS r FROM hw GROUP BY msg_id),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.core import one_of
+from ..functions.core import exploded, one_of
 from ..functions.domains import (brands_in_text, lookalike_brand, normalise_host, official_brand,
                                  registered_domain)
 from ..functions.html import html_links, html_text
@@ -36,7 +36,7 @@ _URLS = f"WITH {inputs.URLS_SQL}, {o.url_ctes('urls', 'page_id')}"
 @register("url_parts", f"""{_URLS} SELECT page_id, scheme, host, port, path, query, has_userinfo,
   added AS scheme_added, malformed, kind AS host_class FROM uk""")
 def url_parts(spark, sf_dir):
-    parts = inputs.urls(spark, sf_dir).withColumn("p", split_url(F.col("url")))
+    parts = inputs.urls(spark, sf_dir).withColumn("p", split_url("url"))
     return parts.select("page_id", "p.scheme", "p.host", "p.port", "p.path", "p.query",
                         "p.has_userinfo", "p.scheme_added", "p.malformed",
                         host_class(F.col("p.host")).alias("host_class"))
@@ -54,22 +54,27 @@ def registered_domains(spark, sf_dir):
         "domain", registered_domain(normalise_host(F.col("host"))))
 
 
+def named_hosts(spark, sf_dir):
+    """``page_id, host, path, domain`` of the URLs whose host is a name."""
+    rows = inputs.urls(spark, sf_dir).withColumn("p", split_url("url"))
+    host = F.when(host_class(F.col("p.host")) == "name", F.struct(
+        F.col("p.host").alias("host"), F.col("p.path").alias("path"),
+        registered_domain(F.col("p.host")).alias("domain")))
+    return exploded(rows, ["page_id"], F.array_compact(F.array(host)))
+
+
 @register("official_brands", f"""{_URLS} SELECT page_id, d.domain,
   (SELECT arg_min(b.brand, b.brand_rank) FROM {o.BRAND_DOMAINS} b WHERE b.domain = d.domain) AS brand
   FROM ud d WHERE kind = 'name'""")
 def official_brands(spark, sf_dir):
-    report = inputs.urls(spark, sf_dir).withColumn("p", split_url(F.col("url"))).where(
-        host_class(F.col("p.host")) == "name")
-    return report.select("page_id", registered_domain(F.col("p.host")).alias("domain")).withColumn(
+    return named_hosts(spark, sf_dir).select("page_id", "domain").withColumn(
         "brand", official_brand(F.col("domain")))
 
 
 @register("lookalike_brands", f"""{_URLS} SELECT page_id, ud.domain, ul.brand FROM ud
   LEFT JOIN ul USING (domain) WHERE kind = 'name'""")
 def lookalike_brands(spark, sf_dir):
-    report = inputs.urls(spark, sf_dir).withColumn("p", split_url(F.col("url"))).where(
-        host_class(F.col("p.host")) == "name")
-    return report.select("page_id", registered_domain(F.col("p.host")).alias("domain")).withColumn(
+    return named_hosts(spark, sf_dir).select("page_id", "domain").withColumn(
         "brand", lookalike_brand(F.col("domain")))
 
 
@@ -91,9 +96,7 @@ def _flag(name, values, column="domain"):
   {_flag('freemail', fixed.FREEMAIL_DOMAINS)},
   {_flag('risky_tld', fixed.RISKY_TLDS, "string_split(host, '.')[-1]")} FROM ud WHERE kind = 'name'""")
 def list_memberships(spark, sf_dir):
-    rows = inputs.urls(spark, sf_dir).withColumn("p", split_url(F.col("url"))).where(
-        host_class(F.col("p.host")) == "name").select(
-        "page_id", F.col("p.host").alias("host"), registered_domain(F.col("p.host")).alias("domain"))
+    rows = named_hosts(spark, sf_dir)
     d = F.col("domain")
     return rows.select(
         "page_id", "domain", one_of(d, fixed.SHORTENERS).alias("shortener"),
@@ -105,10 +108,8 @@ def list_memberships(spark, sf_dir):
 
 @register("cloud_content_hosts", f"{_URLS} SELECT page_id, host, cloud FROM ux WHERE kind = 'name'")
 def cloud_content_hosts(spark, sf_dir):
-    rows = inputs.urls(spark, sf_dir).withColumn("p", split_url(F.col("url"))).where(
-        host_class(F.col("p.host")) == "name")
-    return rows.select("page_id", F.col("p.host").alias("host"),
-                       is_cloud_content(F.col("p.host"), F.col("p.path")).alias("cloud"))
+    rows = named_hosts(spark, sf_dir)
+    return rows.select("page_id", "host", is_cloud_content(F.col("host"), F.col("path")).alias("cloud"))
 
 
 _DETAIL = (f"{o.code_words('uf.code')} || ': ' || CASE WHEN uf.host <> '' THEN uf.host "
@@ -117,14 +118,13 @@ _DETAIL = (f"{o.code_words('uf.code')} || ': ' || CASE WHEN uf.host <> '' THEN u
 
 def _url_rows(spark, sf_dir):
     rows = inputs.urls(spark, sf_dir)
-    return rows.withColumn("findings", link_findings(F.array(url_report(F.col("url")))))
+    return rows.withColumn("findings", link_findings(F.array(url_report("url"))))
 
 
 @register("url_findings", f"""{_URLS} SELECT page_id, uf.code, weight, {_DETAIL} AS detail FROM uf
   JOIN {o.weights(fixed.LINK_WEIGHTS)} USING (code)""")
 def url_findings(spark, sf_dir):
-    return _url_rows(spark, sf_dir).select("page_id", F.inline("findings")).select(
-        "page_id", "code", "weight", "detail")
+    return exploded(_url_rows(spark, sf_dir), ["page_id"], F.col("findings"))
 
 
 _SCORE = f"""{_URLS}, g AS (SELECT page_id, sum(weight) AS total,
@@ -159,11 +159,11 @@ def first_wins_findings(spark, sf_dir):
 
 
 def _site_findings(spark, sf_dir):
-    rows = inputs.urls(spark, sf_dir).withColumn("r", url_report(F.col("url")))
+    rows = inputs.urls(spark, sf_dir).withColumn("r", url_report("url"))
     rows = rows.withColumn("findings", link_findings(F.array("r")))
     keyed = rows.select("page_id", F.col("r.domain").alias("site"), "findings")
-    return keyed.select("site", F.lit("link").alias("layer"), F.col("page_id").alias("pos"),
-                        F.inline("findings"))
+    return exploded(keyed, ["site", F.lit("link").alias("layer"), F.col("page_id").alias("pos")],
+                    F.col("findings"))
 
 
 @register("layer_risks", f"""{_URLS}, f AS (
@@ -190,9 +190,10 @@ _LINK_TEXTS = ["https://www.paypal.com/security", "Sign in to PayPal", "www.exam
   UNION ALL SELECT page_id, 'link_text_brand_mismatch', 'Link text mentions ' || brand || ' but goes to ' || domain
   FROM n JOIN b USING (page_id) WHERE NOT (shown <> '' AND shown <> domain)""")
 def link_text_findings(spark, sf_dir):
-    rows = inputs.urls(spark, sf_dir).withColumn("r", url_report(F.col("url"))).where("r.domain <> ''")
-    detail = links.link_text_detail(inputs.pick(_LINK_TEXTS, F.col("page_id")), F.col("r.domain"), F.lit(""))
-    return rows.select("page_id", detail.alias("d")).where("d is not null").select("page_id", "d.code", "d.detail")
+    rows = inputs.urls(spark, sf_dir).withColumn("r", url_report("url"))
+    detail = F.when(F.col("r.domain") != "", links.link_text_detail(
+        inputs.pick(_LINK_TEXTS, F.col("page_id")), F.col("r.domain"), F.lit("")))
+    return exploded(rows, ["page_id"], F.array_compact(F.array(detail)))
 
 
 _FILES = ["invoice.pdf.exe", "statement.pdf.html", "lure.svg", "report.docm", "inv‮fdp.exe", "files.zip",
@@ -257,14 +258,14 @@ def text_link_findings(spark, sf_dir):
     """URLs of the texts only (bare domains have their own query and tests)."""
     from ..functions.urls import extract_urls, url_reports
     rows = inputs.sms(spark, sf_dir).withColumn("f", link_findings(url_reports(extract_urls(F.col("text")))))
-    return rows.select("msg_id", F.inline("f")).select("msg_id", "code", "detail")
+    return exploded(rows, ["msg_id"], F.col("f")).select("msg_id", "code", "detail")
 
 
 @register("text_link_reports")
 def text_link_report_rows(spark, sf_dir):
     """URLs and bare domains together, with their findings."""
-    rows = inputs.sms(spark, sf_dir).withColumn("r", text_link_reports(F.col("text")))
-    return rows.select("msg_id", F.size("r").alias("links"), F.inline(link_findings(F.col("r"))))
+    rows = inputs.sms(spark, sf_dir).withColumn("r", text_link_reports("text"))
+    return exploded(rows, ["msg_id", F.size("r").alias("links")], link_findings(F.col("r")))
 
 
 @register("page_texts", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html,
@@ -288,8 +289,7 @@ def page_texts(spark, sf_dir):
     'html' AS source FROM m WHERE p <= 300""")
 def page_links(spark, sf_dir):
     rows = inputs.table(spark, sf_dir, "pages")
-    return rows.select("page_id", F.posexplode(html_links(F.col("html"))).alias("pos", "k")).select(
-        "page_id", "pos", "k.href", "k.text", "k.source")
+    return exploded(rows, ["page_id"], html_links(F.col("html")), "pos")
 
 
 @register("merged_links", f"""WITH {inputs.SMS_SQL}, x AS (SELECT msg_id, unnest(list_transform(regexp_extract_all(text,
@@ -302,7 +302,7 @@ def merged_link_rows(spark, sf_dir):
     known = F.array(*[F.struct(F.lit(h).alias("href"), F.lit(t).alias("text"), F.lit("html").alias("source"))
                       for h, t in (("https://bit.ly/3rvChg9", "offer"),
                                    ("https://example.org/", "see www.example.org/help here"))])
-    rows = inputs.sms(spark, sf_dir).select("msg_id", F.explode(merged_links(known, F.col("text"))).alias("k"))
-    return rows.select("msg_id", "k.href", "k.source")
+    rows = exploded(inputs.sms(spark, sf_dir), ["msg_id"], merged_links(known, F.col("text")))
+    return rows.select("msg_id", "href", "source")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, mail
+from ..functions.core import exploded
 from ..functions.findings import first_wins
 from ..functions.sms import contact_channels, sender_kind, sms_report
 from ..functions.urls import text_link_reports
@@ -156,13 +157,13 @@ def forged_headers(spark, sf_dir):
 def sender_findings(spark, sf_dir):
     rows = headers.with_sender_domains(inputs.mail_columns(spark, sf_dir))
     found = F.array_compact(F.array(*headers.sender_details()))
-    return rows.select("msg_id", F.inline(found))
+    return exploded(rows, ["msg_id"], found)
 
 
 @register("recipient_findings", f"{_HEADERS} SELECT msg_id, code, detail FROM hf WHERE code IN ({_codes(_RECIPIENT_CODES)})")
 def recipient_findings(spark, sf_dir):
-    return inputs.mail_columns(spark, sf_dir).select(
-        "msg_id", F.inline(F.array_compact(F.array(*headers.recipient_details()))))
+    return exploded(inputs.mail_columns(spark, sf_dir), ["msg_id"],
+                    F.array_compact(F.array(*headers.recipient_details())))
 
 
 # ---------------------------------------------------------------- headers with one link each
@@ -183,7 +184,7 @@ def with_links(spark, sf_dir):
 
 @register("email_trust_credits", f"{WITH_LINKS} SELECT msg_id, code, weight FROM tr")
 def email_trust_credits(spark, sf_dir):
-    return with_links(spark, sf_dir).select("msg_id", F.inline(fusion.email_trust())).select(
+    return exploded(with_links(spark, sf_dir), ["msg_id"], fusion.email_trust()).select(
         "msg_id", "code", "weight")
 
 
@@ -229,12 +230,12 @@ _REPORTS = f"""WITH {inputs.SMS_SQL}, e AS (SELECT *, conv_id + turn * 5 AS n FR
   THEN '?' ELSE '' END AS channels FROM k JOIN sms USING (msg_id)""")
 def sms_contact_channels(spark, sf_dir):
     rows = inputs.sms(spark, sf_dir)
-    found = contact_channels(F.col("text"), F.size(text_link_reports(F.col("text"))))
+    found = contact_channels(F.col("text"), F.size(text_link_reports("text")))
     return rows.select("msg_id", F.array_join(found, ",").alias("channels"))
 
 
 def _reported(spark, sf_dir):
-    rows = inputs.sms(spark, sf_dir).withColumn("r", text_link_reports(F.col("text")))
+    rows = inputs.sms(spark, sf_dir).withColumn("r", text_link_reports("text"))
     return rows.withColumn("s", sms_report(F.col("text"), F.col("sender"), F.col("r")))
 
 
@@ -250,12 +251,12 @@ _OUTSIDE = ("CASE ending WHEN 1 THEN 'paypa1-verify.com' WHEN 2 THEN 'sbi-kyc-up
   UNION ALL SELECT msg_id, 'sender_email_address', 'Sent from an email address (iMessage/RCS), not a phone or business ID' FROM f WHERE kind = 'email'
   UNION ALL SELECT msg_id, 'sms_brand_link_mismatch', 'Message names ' || brand || ' but links to ' || outside FROM f WHERE outside <> ''""")
 def sms_findings(spark, sf_dir):
-    return _reported(spark, sf_dir).select("msg_id", F.inline("s.findings")).select("msg_id", "code", "detail")
+    return exploded(_reported(spark, sf_dir), ["msg_id"], F.col("s.findings")).select("msg_id", "code", "detail")
 
 
 @register("sms_trust_credits", f"""{_REPORTS}, f AS (SELECT msg_id, ending, {_KIND} AS kind, {_NAMES} AS brand FROM k JOIN sms USING (msg_id))
   SELECT msg_id, 'sms_aligned_links' AS code, -1.0::DOUBLE AS weight FROM f WHERE ending = 3
   UNION ALL SELECT msg_id, 'sms_no_contact_channel', -1.0 FROM f WHERE ending IN (0, 9) AND kind <> 'email' AND NOT (kind = 'phone' AND brand <> '')""")
 def sms_trust_credits(spark, sf_dir):
-    return _reported(spark, sf_dir).select("msg_id", F.inline(fusion.sms_trust(F.col("s")))).select(
+    return exploded(_reported(spark, sf_dir), ["msg_id"], fusion.sms_trust(F.col("s"))).select(
         "msg_id", "code", "weight")

@@ -110,7 +110,7 @@ def score_texts(messages: DataFrame, model: TextModel | float | Column,
                 kind: str = "text") -> DataFrame:
     """``msg_id, text`` to verdicts: the email model and the link rules."""
     staged = _with_probability(_cut_text(messages), "email", "text", model, fixed.TOP_TERMS)
-    staged = _ready(staged).withColumn("url_reports", text_link_reports(F.col("text"), dims))
+    staged = _ready(staged).withColumn("url_reports", text_link_reports("text", dims))
     staged = (staged.withColumn("link_findings", link_findings(F.col("url_reports")))
               .withColumn("link_risk", risk(F.col("link_findings")))
               .withColumn("probability", F.col("email_p"))
@@ -138,7 +138,7 @@ def score_sms(messages: DataFrame, sms_model: TextModel | float | Column,
     staged = _cut_text(messages)
     staged = _with_probability(staged, "sms", "text", sms_model, wide)
     staged = _with_probability(staged, "email", "text", email_model, wide)
-    staged = _ready(staged).withColumn("url_reports", text_link_reports(F.col("text"), dims))
+    staged = _ready(staged).withColumn("url_reports", text_link_reports("text", dims))
     staged = (staged.withColumn("sms", sms_report(F.col("text"), F.col("sender"), F.col("url_reports"), dims))
               .withColumn("url_findings", link_findings(F.col("url_reports")))
               .withColumn("probability", fusion.blend(F.col("sms_p"), F.col("email_p")))

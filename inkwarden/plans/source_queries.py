@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.domains import DEFAULT, normalise_host, registered_domain
+from ..functions.domains import DEFAULT
 from ..operators import evaluate
 from ..session import work_folder
 from ..sources import corpora, dims, messages, stores
@@ -95,17 +95,14 @@ def curated_rows(spark, sf_dir):
     UNION ALL SELECT 'examplecorp', {len(DEFAULT.brands)}, d FROM (VALUES ('example.com'), ('example.net')) x(d)) USING (domain) WHERE kind = 'name' GROUP BY ALL""")
 def brand_dimension_hits(spark, sf_dir):
     """Brands extended by a file; the small dimension joins the registered domains."""
-    from ..functions.urls import host_class, split_url
+    from .link_queries import named_hosts
 
     folder = work_folder(spark)
     spark.createDataFrame([('{"examplecorp": ["www.example.com", "example.net"]}',)], "value string").coalesce(
         1).write.text(folder)
     extended = dims.load_dims(spark, f"{folder}/part-*")
     domains, _phrases = dims.brand_tables(spark, extended)
-    rows = inputs.urls(spark, sf_dir).withColumn("p", split_url(F.col("url"))).where(
-        host_class(F.col("p.host")) == "name")
-    named = rows.select(registered_domain(normalise_host(F.col("p.host"))).alias("domain"))
-    counts = named.groupBy("domain").agg(F.count("*").alias("n"))
+    counts = named_hosts(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(domains), "domain").groupBy("brand", "brand_rank").agg(F.sum("n").alias("urls"))
 
 
