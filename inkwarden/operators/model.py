@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import cached_property
 
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..functions import fixed
-from ..functions.core import sigmoid
+from ..functions.core import let, sigmoid
 from ..functions.text import normalise, readable_tokens, terms
 
-
-@dataclass(frozen=True)
-class TextModel:
-    """``terms``: (term, idf, coef), at most 50,000 rows because vocabularies are cut there."""
-
-    terms: DataFrame
-    intercept: float
-    normaliser: str = "email"
-    stop_words: tuple[str, ...] = tuple(fixed.CORPUS_STOP_WORDS)
+_CELLS = "v struct<indices array<int>, values array<double>>"
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str]) -> DataFrame:
@@ -36,14 +30,28 @@ def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str]) ->
     return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, documents: DataFrame,
+def term_statistics(docs: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
+    """``(term, df, total)``: documents with the term, and all its occurrences.
+
+    Every document sends its terms and, marked, its distinct terms; both are summed before
+    the shuffle, so no text moves and a frequent term is one row per task.
+    """
+    cell = lambda df, total: lambda t: F.struct(
+        t.alias("term"), F.lit(df).alias("df"), F.lit(total).alias("total"))
+    rows = let(terms(F.col(text), stop_words), lambda found: F.concat(
+        F.transform(found, cell(0, 1)), F.transform(F.array_distinct(found), cell(1, 0))))
+    # Outer: the inner form makes Spark filter on the array first, computing it twice.
+    return docs.select(F.inline_outer(rows)).where("term is not null").groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+def vocabulary(statistics: DataFrame, documents: DataFrame,
                min_df: int = fixed.MIN_DOCUMENT_FREQUENCY,
                max_share: float = fixed.MAX_DOCUMENT_SHARE,
                size: int = fixed.MAX_VOCABULARY) -> DataFrame:
     """``(term, df, total, n)``: frequent enough, not too common, the most used ones."""
     n = documents.agg(F.count("*")).scalar()
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    kept = stats.withColumn("n", n).where(
+    kept = statistics.withColumn("n", n).where(
         (F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))
     return kept.orderBy(F.desc("total"), "term").limit(size)
 
@@ -52,15 +60,70 @@ def with_idf(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """``(key, term, weight)`` with sublinear counts and unit length per document.
+@dataclass(frozen=True)
+class Lookup:
+    """A bounded vocabulary on the executors: term counts by a Spark ML vectorizer, and the
+    numbers of each term as constant arrays in the vectorizer's order."""
+
+    vectorizer: CountVectorizerModel
+    numbers: dict[str, list]
+
+    @classmethod
+    def of(cls, table: DataFrame, columns: list[str]) -> Lookup:
+        """From ``term`` and number columns; more rows than a vocabulary may hold is an error."""
+        rows = table.select("term", *columns).limit(fixed.MAX_VOCABULARY + 1).toPandas()
+        if not 0 < len(rows) <= fixed.MAX_VOCABULARY:
+            raise ValueError(f"a model needs 1 to {fixed.MAX_VOCABULARY} terms")
+        known = table.sparkSession.createDataFrame(rows[["term"]]).select(F.array("term").alias("_terms"))
+        fitted = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=1.0,
+                                 vocabSize=fixed.MAX_VOCABULARY).fit(known)
+        ordered = rows.set_index("term").loc[fitted.vocabulary]
+        return cls(fitted, {"term": list(ordered.index),
+                            **{c: [float(v) for v in ordered[c]] for c in columns}})
+
+    def number(self, column: str, index: Column) -> Column:
+        kind = "array<string>" if column == "term" else "array<double>"
+        return F.get(F.from_json(F.lit(json.dumps(self.numbers[column])), kind), index)
+
+    def with_weights(self, docs: DataFrame, found: Column, name: str) -> DataFrame:
+        """Adds ``name``: ``struct<indices, weights>``, the TF-IDF of an array of terms with
+        sublinear counts and unit length.  A projection: nothing is shuffled."""
+        counted = self.vectorizer.transform(docs.withColumn("_terms", found)).drop("_terms")
+
+        def weighted(v: Column) -> Column:
+            raw = F.zip_with(v.indices, v["values"],
+                             lambda i, tf: (1 + F.log(tf)) * self.number("idf", i))
+            unit = lambda w: let(F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * x)),
+                                 lambda length: F.transform(w, lambda x: x / length))
+            return F.struct(v.indices.alias("indices"), let(raw, unit).alias("weights"))
+
+        cells = F.from_json(F.to_json(F.struct(F.col("_tf").alias("v"))), _CELLS).v
+        return counted.withColumn(name, let(cells, weighted)).drop("_tf")
 
-    ``vocab`` needs ``term, idf`` and is bounded by the vocabulary size.
-    """
-    weighted = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select(
-        key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return weighted.withColumn("weight", F.col("w") / length).drop("w")
+
+@dataclass(frozen=True)
+class TextModel:
+    """``terms``: (term, idf, coef), at most 50,000 rows because vocabularies are cut there."""
+
+    terms: DataFrame
+    intercept: float
+    normaliser: str = "email"
+    stop_words: tuple[str, ...] = tuple(fixed.CORPUS_STOP_WORDS)
+
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup.of(self.terms, ["idf", "coef"])
+
+
+def tfidf(docs: DataFrame, vocab: DataFrame, key: str, text: str,
+          stop_words: list[str]) -> DataFrame:
+    """``(key, term, weight)`` with sublinear counts and unit length per document."""
+    lookup = Lookup.of(vocab, ["idf"])
+    placed = lookup.with_weights(docs, terms(F.col(text), stop_words), "_w")
+    cells = F.arrays_zip(F.col("_w.indices"), F.col("_w.weights"))
+    rows = placed.select(key, F.inline_outer(cells).alias("ix", "weight")).where("ix is not null")
+    return rows.select(
+        key, lookup.number("term", F.col("ix")).alias("term"), "weight")
 
 
 def training_weights(frame: DataFrame, label: str = "label", row_weight: str = "row_weight") -> DataFrame:
@@ -72,19 +135,14 @@ def training_weights(frame: DataFrame, label: str = "label", row_weight: str = "
             .withColumn("weight", F.col("class_weight") * F.col(row_weight)))
 
 
-def term_vectors(weights: DataFrame, index: DataFrame, key: str, size: int) -> DataFrame:
-    """Sparse ML vectors from term rows, built by the JVM reader of the vector type."""
+def _as_vector(weights: Column, size: int) -> Column:
+    """Sparse ML vector, built by the JVM reader of the vector type."""
     from pyspark.ml.linalg import VectorUDT
 
-    placed = weights.join(F.broadcast(index), "term").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("ix", "weight"))).alias("cells"))
-    layout = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-        F.transform("cells", lambda c: c.ix).alias("indices"),
-        F.transform("cells", lambda c: c.weight).alias("values"))
+    layout = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+                      weights.indices.alias("indices"), weights.weights.alias("values"))
     schema = T.StructType([T.StructField("v", VectorUDT())])
-    return placed.select(key, F.from_json(F.to_json(F.struct(layout.alias("v"))), schema)
-                         .getField("v").alias("features"))
+    return F.from_json(F.to_json(F.struct(layout.alias("v"))), schema).getField("v")
 
 
 def train(frame: DataFrame, curated: DataFrame | None = None, kind: str = "email",
@@ -107,64 +165,76 @@ def train(frame: DataFrame, curated: DataFrame | None = None, kind: str = "email
             F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), "text",
             F.col("label").cast("double").alias("label"),
             F.lit(fixed.CURATED_WEIGHT[kind]).alias("row_weight")))
-    counts = term_counts(rows, "id", "text", stop)
-    chosen = with_idf(vocabulary(counts, rows, min_df=min_df)).select("term", "idf").collect()
-    if not chosen:
-        raise ValueError("no term occurs often enough to train on")
-    ordered = sorted((r.term, r.idf) for r in chosen)
-    size = len(ordered)
-    index = spark.createDataFrame([(t, i, ix) for ix, (t, i) in enumerate(ordered)],
-                                  "term string, idf double, ix int")
-    vectors = term_vectors(tfidf(counts, index, "id"), index.select("term", "ix"), "id", size)
+    statistics = term_statistics(rows, "text", stop)
+    lookup = Lookup.of(with_idf(vocabulary(statistics, rows, min_df=min_df)), ["idf"])
     weighted = training_weights(rows)
-    data = weighted.select("id", "label", "weight").join(vectors, "id")
     total = weighted.agg(F.sum("weight")).first()[0]
+    placed = lookup.with_weights(weighted, terms(F.col("text"), stop), "_w")
+    data = placed.select("label", "weight", _as_vector(
+        F.col("_w"), len(lookup.numbers["term"])).alias("features"))
     fitted = LogisticRegression(
         weightCol="weight", elasticNetParam=0.0, standardization=False, maxIter=max_iterations,
         regParam=1.0 / (fixed.INVERSE_REGULARISATION * total)).fit(data)
-    values = fitted.coefficients.toArray()
     table = spark.createDataFrame(
-        [(t, i, float(c)) for (t, i), c in zip(ordered, values, strict=True)],
+        [(t, i, float(c)) for t, i, c in zip(
+            lookup.numbers["term"], lookup.numbers["idf"], fitted.coefficients.toArray(), strict=True)],
         "term string, idf double, coef double")
     return TextModel(table, float(fitted.intercept), "email" if kind == "email" else "sms", tuple(stop))
 
 
-def contributions(docs: DataFrame, model: TextModel, key: str, text: str) -> DataFrame:
-    """``(key, term, contribution)``: what each known term adds to the log-odds."""
-    prepared = docs.select(key, normalise(F.col(text), model.normaliser).alias("_norm"))
-    placed = prepared.repartition(key)
-    exploded = placed.select(key, F.explode(terms(F.col("_norm"), list(model.stop_words))).alias("term"))
-    known = exploded.join(F.broadcast(model.terms), "term")
-    counted = known.groupBy(key, "term").agg(
-        F.count("*").alias("tf"), F.first("idf").alias("idf"), F.first("coef").alias("coef"))
-    weighted = counted.withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("w") / length * F.col("coef")).alias("contribution"))
+def with_contributions(docs: DataFrame, model: TextModel, text: str, name: str) -> DataFrame:
+    """Adds ``name``: ``array<struct<contribution, term>>``, what each known term of the row's
+    text adds to the log-odds.  A projection of the row: scoring never shuffles."""
+    lookup = model.lookup
+    found = terms(normalise(F.col(text), model.normaliser), list(model.stop_words))
+    placed = lookup.with_weights(docs, found, "_w")
+    cells = F.zip_with(F.col("_w.indices"), F.col("_w.weights"), lambda i, w: F.struct(
+        (w * lookup.number("coef", i)).alias("contribution"), lookup.number("term", i).alias("term")))
+    return placed.withColumn(name, cells).drop("_w")
 
 
-def top_terms(parts: DataFrame, key: str, k: int = fixed.TOP_TERMS) -> DataFrame:
-    """The ``k`` terms per document that pushed most towards phishing, with their rank."""
-    order = W.partitionBy(key).orderBy(F.desc("contribution"), "term")
-    return (parts.where(F.col("contribution") > 0)
-            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+def contributions(docs: DataFrame, model: TextModel, key: str, text: str) -> DataFrame:
+    """``(key, term, contribution)`` rows."""
+    placed = with_contributions(docs.select(key, text), model, text, "_parts")
+    return placed.select(key, F.inline_outer("_parts")).where("term is not null").select(
+        key, "term", "contribution")
+
+
+def best_terms(parts: Column, k: int, digits: int | None = None) -> Column:
+    """The ``k`` terms that pushed most towards phishing; equal ones (after rounding to
+    ``digits``, if given) in the order of the term."""
+    value = lambda p: F.round(p.contribution, digits) if digits else p.contribution
+    positive = F.filter(parts, lambda p: value(p) > 0)
+    ordered = F.array_sort(F.transform(positive, lambda p: F.struct(
+        (-value(p)).alias("k"), p.term.alias("term"))))
+    return F.transform(F.slice(ordered, 1, k), lambda p: F.struct(
+        (-p.k).alias("contribution"), p.term.alias("term")))
+
+
+def top_terms(docs: DataFrame, model: TextModel, key: str, text: str, k: int = fixed.TOP_TERMS,
+              digits: int | None = None) -> DataFrame:
+    """``(key, term, contribution, rank)`` of the best terms per document."""
+    placed = with_contributions(docs.select(key, text), model, text, "_parts")
+    best = placed.select(key, F.posexplode_outer(best_terms(F.col("_parts"), k, digits)).alias(
+        "_pos", "_t")).where("_t is not null")
+    return best.select(key, F.col("_t.term").alias("term"), F.col("_t.contribution").alias("contribution"),
+                       (F.col("_pos") + 1).alias("rank"))
+
+
+def with_prediction(docs: DataFrame, model: TextModel, text: str, name: str,
+                    k: int = fixed.TOP_TERMS) -> DataFrame:
+    """Adds ``<name>_p`` (probability) and ``<name>_top`` (best terms) to every row."""
+    placed = with_contributions(docs, model, text, "_parts")
+    total = F.aggregate("_parts", F.lit(0.0), lambda acc, p: acc + p.contribution)
+    return (placed.withColumn(f"{name}_p", sigmoid(total + F.lit(model.intercept)))
+            .withColumn(f"{name}_top", best_terms(F.col("_parts"), k)).drop("_parts"))
 
 
 def predict(docs: DataFrame, model: TextModel, key: str, text: str,
             k: int = fixed.TOP_TERMS) -> DataFrame:
     """``(key, probability, top array<struct<contribution, term>>)`` for every document."""
-    parts = contributions(docs, model, key, text)
-    positive = F.when(F.col("contribution") > 0,
-                      F.struct((-F.col("contribution")).alias("k"), F.col("term").alias("term")))
-    # A document has at most 20,000 characters, so the list per document is bounded.
-    sums = parts.groupBy(key).agg(
-        F.sum("contribution").alias("score"),
-        F.slice(F.array_sort(F.collect_list(positive)), 1, k).alias("sorted"))
-    placed = docs.select(key).repartition(key).join(sums, key, "left")
-    return placed.select(
-        key, sigmoid(F.coalesce(F.col("score"), F.lit(0.0)) + F.lit(model.intercept)).alias("probability"),
-        F.coalesce(F.transform("sorted", lambda s: F.struct(
-            (-s.k).alias("contribution"), s.term.alias("term"))),
-            F.array().cast("array<struct<contribution:double,term:string>>")).alias("top"))
+    return with_prediction(docs.select(key, text), model, text, "m", k).select(
+        key, F.col("m_p").alias("probability"), F.col("m_top").alias("top"))
 
 
 def token_counts(docs: DataFrame, key: str, text: str, kind: str = "email") -> DataFrame:

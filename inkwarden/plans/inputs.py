@@ -14,7 +14,13 @@ from .oracle import sql_list
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; one with texts, if it is so small that its splits leave cores idle, is
+    spread over them (a large one has more splits than cores and is read as it is)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "conversations", "customer") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def pick(values: list[str], number: Column) -> Column:

@@ -16,7 +16,7 @@ from ..operators import fusion
 from ..operators.headers import with_header_findings
 from ..operators.ingest import parse_messages
 from ..operators.links import with_link_findings
-from ..operators.model import TextModel, blended_top, predict
+from ..operators.model import TextModel, blended_top, with_prediction
 
 VERDICT = ["msg_id", "kind", "score", "label", "action", "analysed", "reasons", "components", "summary"]
 
@@ -25,9 +25,7 @@ def _with_probability(df: DataFrame, name: str, text: str, model: TextModel | fl
                       k: int) -> DataFrame:
     """Adds ``<name>_p`` and ``<name>_top`` from a model, or from a given probability."""
     if isinstance(model, TextModel):
-        scored = predict(df, model, "msg_id", text, k).select(
-            "msg_id", F.col("probability").alias(f"{name}_p"), F.col("top").alias(f"{name}_top"))
-        return df.join(scored, "msg_id")
+        return with_prediction(df, model, text, name, k)
     value = model if isinstance(model, Column) else F.lit(float(model))
     empty = F.array().cast("array<struct<contribution:double,term:string>>")
     return df.withColumn(f"{name}_p", value).withColumn(f"{name}_top", empty)
@@ -50,9 +48,7 @@ def score_parsed_emails(parsed: DataFrame, model: TextModel | float | Column,
                         dims: Dims = DEFAULT) -> DataFrame:
     """Verdicts of parsed messages.
 
-    The rule layers are projections of the message row; only the text model shuffles, once,
-    by message.  At scale, write the parsed table first: both branches then read columns
-    instead of parsing twice.
+    The rule layers and the text model are projections of the message row: no shuffle at all.
     """
     text = model_input(F.col("subject"), F.col("text_body"), F.col("html_text"))
     staged = parsed.withColumn("model_text", text)

@@ -122,7 +122,8 @@ def term_counts(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    return m.with_idf(m.vocabulary(_counts(spark, sf_dir), _documents(spark, sf_dir)))
+    return m.with_idf(m.vocabulary(
+        m.term_statistics(_normalised(spark, sf_dir), "text", fixed.CORPUS_STOP_WORDS), _documents(spark, sf_dir)))
 
 
 @register("vocabulary", f"{_VOCAB} SELECT term, df, total, round(idf, 6) AS idf FROM vocab")
@@ -133,7 +134,8 @@ def vocabulary(spark, sf_dir):
 @register("tfidf_weights", f"""{_VOCAB}, w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term))
   SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_weights(spark, sf_dir):
-    weights = m.tfidf(_counts(spark, sf_dir), _vocabulary(spark, sf_dir), "doc_id")
+    weights = m.tfidf(_normalised(spark, sf_dir), _vocabulary(spark, sf_dir), "doc_id", "text",
+                      fixed.CORPUS_STOP_WORDS)
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -186,10 +188,8 @@ def readable_tokens(spark, sf_dir):
   k AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY c DESC, term) AS rank FROM r WHERE c > 0)
   SELECT msg_id, term, round(c, 6) AS contribution, rank::INT AS rank FROM k WHERE rank <= 5""")
 def top_terms(spark, sf_dir):
-    parts = m.contributions(inputs.sms(spark, sf_dir), table_model(spark, sf_dir), "msg_id", "text")
-    rounded = parts.withColumn("contribution", F.round("contribution", 9))
-    return m.top_terms(rounded, "msg_id").select(
-        "msg_id", "term", F.round("contribution", 6).alias("contribution"), "rank")
+    best = m.top_terms(inputs.sms(spark, sf_dir), table_model(spark, sf_dir), "msg_id", "text", digits=9)
+    return best.select("msg_id", "term", F.round("contribution", 6).alias("contribution"), "rank")
 
 
 @register("blended_probabilities", f"""WITH {inputs.SMS_SQL} SELECT msg_id,
@@ -208,22 +208,15 @@ def blended_probabilities(spark, sf_dir):
   SELECT msg_id, string_agg(term, '|' ORDER BY k) AS top FROM f WHERE k <= 5 GROUP BY msg_id""")
 def blended_top_terms(spark, sf_dir):
     """Top terms of two models (15 each), halved, added per term, best five."""
-    parts = m.contributions(inputs.sms(spark, sf_dir), table_model(spark, sf_dir), "msg_id", "text")
-    first = parts.withColumn("contribution", F.round("contribution", 9))
-    factor = F.when(F.length("term") % 2 == 0, 2.0).otherwise(0.5)
-    second = first.withColumn("contribution", F.round(F.col("contribution") * factor, 9))
-
-    def listed(rows, name):
-        cell = F.struct((-F.col("contribution")).alias("k"), "term", "contribution")
-        best = m.top_terms(rows, "msg_id", 3 * fixed.TOP_TERMS)
-        return best.groupBy("msg_id").agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: F.struct(
-            c.contribution.alias("contribution"), c.term.alias("term"))).alias(name))
-
-    joined = listed(first, "a").join(listed(second, "b"), "msg_id")
-    merged = m.blended_top(F.col("a"), F.col("b"), 2 * 3 * fixed.TOP_TERMS)
-    rounded = F.array_sort(F.transform(merged, lambda t: F.struct(F.round(t.k, 9).alias("k"), t.term.alias("term"))))
-    return joined.select("msg_id", F.array_join(F.transform(
-        F.slice(rounded, 1, fixed.TOP_TERMS), lambda t: t.term), "|").alias("top"))
+    rows = m.with_contributions(inputs.sms(spark, sf_dir), table_model(spark, sf_dir), "text", "parts")
+    second = F.transform("parts", lambda p: F.struct((F.round(p.contribution, 9) * F.when(
+        F.length(p.term) % 2 == 0, 2.0).otherwise(0.5)).alias("contribution"), p.term.alias("term")))
+    wide = 3 * fixed.TOP_TERMS
+    merged = m.blended_top(m.best_terms(F.col("parts"), wide, 9), m.best_terms(second, wide, 9), 2 * wide)
+    summed = F.transform(merged, lambda t: F.struct((-t.k).alias("contribution"), t.term.alias("term")))
+    named = rows.select("msg_id", m.best_terms(summed, fixed.TOP_TERMS, 9).alias("best"))
+    return named.where(F.size("best") > 0).select(
+        "msg_id", F.array_join(F.transform("best", lambda t: t.term), "|").alias("top"))
 
 
 @register("model_fingerprint")
