@@ -67,15 +67,15 @@ def similar_pairs(training: DataFrame, frozen: DataFrame, key: str, frozen_key:
         return ordered.select(F.col("set_id").alias(name), F.col("n").alias(f"{name}_n"), F.explode(
             F.transform(F.slice("cells", F.lit(1), keep.cast("int")), lambda c: c.word)).alias("word"))
 
-    left, right = prefixes(mine_sets, "a"), prefixes(frozen_sets, "b")
-    sized = ((F.col("a_n") >= F.col("b_n") * F.lit(limit)) & (F.col("b_n") >= F.col("a_n") * F.lit(limit)))
-    candidates = left.join(right, "word").where(sized).select("a", "b").distinct()
-    with_a = candidates.join(mine_sets.select(F.col("set_id").alias("a"), F.col("w").alias("aw")), "a")
-    both = with_a.join(frozen_sets.select(F.col("set_id").alias("b"), F.col("w").alias("bw")), "b")
-    common = F.size(F.array_intersect("aw", "bw"))
-    pairs = both.select("a", "b", common.alias("common"),
-                        (common / (F.size("aw") + F.size("bw") - common)).alias("jaccard")).where(
+    left, right = prefixes(mine_sets, "_a"), prefixes(frozen_sets, "_b")
+    sized = ((F.col("_a_n") >= F.col("_b_n") * F.lit(limit)) & (F.col("_b_n") >= F.col("_a_n") * F.lit(limit)))
+    candidates = left.join(right, "word").where(sized).select("_a", "_b").distinct()
+    with_a = candidates.join(mine_sets.select(F.col("set_id").alias("_a"), F.col("w").alias("_aw")), "_a")
+    both = with_a.join(frozen_sets.select(F.col("set_id").alias("_b"), F.col("w").alias("_bw")), "_b")
+    common = F.size(F.array_intersect("_aw", "_bw"))
+    pairs = both.select("_a", "_b", common.alias("common"),
+                        (common / (F.size("_aw") + F.size("_bw") - common)).alias("jaccard")).where(
         F.col("jaccard") >= limit)
-    out = (pairs.join(mine.select(key, F.col("set_id").alias("a")), "a")
-           .join(theirs.select(frozen_key, F.col("set_id").alias("b")), "b"))
+    out = (pairs.join(mine.select(key, F.col("set_id").alias("_a")), "_a")
+           .join(theirs.select(frozen_key, F.col("set_id").alias("_b")), "_b"))
     return out.select(key, frozen_key, F.col("common").cast("bigint").alias("common"), "jaccard")
