@@ -24,7 +24,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_expressions: dict[tuple, Column] = {}
+_expressions: dict[tuple, object] = {}
 
 
 def reused(build: Callable[..., Column]) -> Callable[..., Column]:
@@ -44,8 +44,9 @@ def reused(build: Callable[..., Column]) -> Callable[..., Column]:
                             for k, v in options.items())))
         if key not in _expressions:
             columns = [F.col(a) if isinstance(a, str) and i == 0 else a for i, a in enumerate(args)]
-            _expressions[key] = build(*columns, **options)
-        return _expressions[key]
+            # The arguments stay referenced, so that their ids cannot be taken by others.
+            _expressions[key] = (build(*columns, **options), args, options)
+        return _expressions[key][0]
 
     return get
 

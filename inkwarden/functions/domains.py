@@ -153,6 +153,7 @@ def registered_domain(host: Column, dims: Dims = DEFAULT) -> Column:
     return let(host, lambda h: F.when((h == "") | is_ip(h), h).otherwise(registered_name(h, dims)))
 
 
+@reused
 def domain_of(address: Column, dims: Dims = DEFAULT) -> Column:
     """Registered domain of an address, ``''`` without an ``@``."""
     host = normalise_host(F.substring_index(address, "@", -1))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.core import let, literals, logit, one_of, sigmoid
+from ..functions.core import let, literals, logit, one_of, reused, sigmoid
 from ..functions.domains import DEFAULT, Dims, official_brand
 from ..functions.findings import total_weight
 from .headers import disqualified
@@ -47,6 +47,7 @@ def text_reason(probability: Column, tokens: Column, top_terms: Column) -> Colum
     return reason("text", F.lit("text_model"), detail, weight)
 
 
+@reused
 def email_trust(dims: Dims = DEFAULT) -> Column:
     """Credits of a verified official sender; needs the header and link columns."""
     domain = F.col("from_domain")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.core import let, literals, one_of
+from ..functions.core import let, literals, one_of, reused
 from ..functions.domains import (DEFAULT, Dims, claimed_brands, domain_of, lookalike_brand,
                                  official_brand, padded_words)
 from ..functions.findings import codes_of, detail_if, first_wins, risk, total_weight
@@ -89,10 +89,14 @@ def authentication_details(trusted_id: str = "mx.google.com") -> list[Column]:
 
 def with_sender_domains(parsed: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     """Domain columns the sender rules share."""
-    return (parsed.withColumn("from_domain", domain_of(F.col("from_address"), dims))
-            .withColumn("return_domain", domain_of(F.col("return_path"), dims))
-            .withColumn("reply_domains", F.filter(
-                F.transform("reply_to", lambda r: domain_of(r, dims)), lambda d: d != "")))
+    return (parsed.withColumn("from_domain", domain_of("from_address", dims))
+            .withColumn("return_domain", domain_of("return_path", dims))
+            .withColumn("reply_domains", _reply_domains(dims)))
+
+
+@reused
+def _reply_domains(dims: Dims) -> Column:
+    return F.filter(F.transform("reply_to", lambda r: domain_of(r, dims)), lambda d: d != "")
 
 
 def sender_details(dims: Dims = DEFAULT) -> list[Column]:
@@ -155,12 +159,17 @@ def with_header_findings(parsed: DataFrame, trusted_id: str = "mx.google.com",
                          dims: Dims = DEFAULT) -> DataFrame:
     """Adds authentication columns, ``from_domain``, ``header_findings`` and ``header_risk``."""
     staged = with_sender_domains(with_authentication(parsed, trusted_id), dims)
-    details = F.array_compact(F.array(
-        *authentication_details(trusted_id), *sender_details(dims), *recipient_details()))
-    return (staged.withColumn("header_findings", first_wins(details, fixed.HEADER_WEIGHTS))
+    return (staged.withColumn("header_findings", _header_findings(dims, trusted_id))
             .withColumn("header_risk", risk(F.col("header_findings"))))
 
 
+@reused
+def _header_findings(dims: Dims, trusted_id: str) -> Column:
+    return first_wins(F.array_compact(F.array(
+        *authentication_details(trusted_id), *sender_details(dims), *recipient_details())),
+        fixed.HEADER_WEIGHTS)
+
+
 def disqualified(findings: Column) -> Column:
     return F.arrays_overlap(codes_of(findings), literals(fixed.DISQUALIFYING_CODES))
 

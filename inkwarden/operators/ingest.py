@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, mail, text
-from ..functions.core import clean_line, exploded, let, literals
+from ..functions.core import clean_line, exploded, let, literals, reused
 from ..functions.urls import extract_urls
 from .ordering import cumulative
 
@@ -17,20 +17,33 @@ def parse_messages(messages: DataFrame, max_bytes: int = fixed.MAX_MESSAGE_BYTES
     Messages that fail the guard keep their row with ``status`` other than ``ok`` and
     empty fields; scoring sends them to review.
     """
+    staged = messages
+    for name, column in _structure(max_bytes):
+        staged = staged.withColumn(name, column)
+    parsed = staged.select(*[c for c in messages.columns if c != "content"], "status", *_fields())
+    body, links = _body_and_links()
+    return (parsed.withColumn("body", body).withColumn("links", links)
+            .withColumn("recipient_count", F.size("to") + F.size("cc"))
+            .drop("html_links"))
+
+
+@reused
+def _structure(max_bytes: int) -> list[tuple[str, Column]]:
     usable = F.when(F.col("status") == "ok", F.col("content")).otherwise(F.lit(b""))
-    staged = (
-        messages.withColumn("status", mail.guard(F.col("content"), max_bytes))
-        .withColumn("raw", mail.as_characters(usable))
-        .withColumn("block", mail.header_block(F.col("raw")))
-        .withColumn("headers", mail.parse_headers(F.col("block")))
-        .withColumn("tree", mail.part_tree(F.col("block"), mail.body_block(F.col("raw"))))
-        .withColumn("bodies", mail.bodies(F.col("tree")))
-        .withColumn("sender", mail.single_address(mail.first_header(F.col("headers"), "from")))
-    )
+    return [("status", mail.guard(F.col("content"), max_bytes)),
+            ("raw", mail.as_characters(usable)),
+            ("block", mail.header_block(F.col("raw"))),
+            ("headers", mail.parse_headers(F.col("block"))),
+            ("tree", mail.part_tree(F.col("block"), mail.body_block(F.col("raw")))),
+            ("bodies", mail.bodies(F.col("tree"))),
+            ("sender", mail.single_address(mail.first_header(F.col("headers"), "from")))]
+
+
+@reused
+def _fields() -> list[Column]:
     h = F.col("headers")
     limit = fixed.MAX_HEADER_CHARS
-    parsed = staged.select(
-        *[c for c in messages.columns if c != "content"], "status",
+    return [
         clean_line(mail.first_header(h, "subject"), limit).alias("subject"),
         F.col("sender.display").alias("from_display"), F.col("sender.address").alias("from_address"),
         mail.address_list(mail.header_values(h, "reply-to")).alias("reply_to"),
@@ -47,12 +60,13 @@ def parse_messages(messages: DataFrame, max_bytes: int = fixed.MAX_MESSAGE_BYTES
         mail.attachments(F.col("tree")).alias("attachments"),
         mail.part_defects(F.col("tree")).alias("defects"),
         (F.col("bodies.truncated") | F.arrays_overlap(
-            mail.part_defects(F.col("tree")), literals(fixed.PARTIAL_DEFECTS))).alias("truncated"))
+            mail.part_defects(F.col("tree")), literals(fixed.PARTIAL_DEFECTS))).alias("truncated")]
+
+
+@reused
+def _body_and_links() -> tuple[Column, Column]:
     body = F.array_join(F.filter(F.array("text_body", "html_text"), lambda p: p != ""), "\n")
-    return (parsed.withColumn("body", body)
-            .withColumn("links", mail.merged_links(F.col("html_links"), F.col("body")))
-            .withColumn("recipient_count", F.size("to") + F.size("cc"))
-            .drop("html_links"))
+    return body, mail.merged_links(F.col("html_links"), F.col("body"))
 
 
 def explode_headers(messages: DataFrame) -> DataFrame:

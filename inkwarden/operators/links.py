@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.core import let, one_of
+from ..functions.core import let, one_of, reused
 from ..functions.domains import (DEFAULT, Dims, claimed_brands, decode_punycode, normalise_host,
                                  registered_domain)
 from ..functions.findings import detail_if, first_wins, risk
@@ -72,11 +72,21 @@ def with_link_findings(parsed: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
     The first 100 links are checked; they are bounded arrays of the message row, so the
     layer needs neither an explode nor a shuffle.
     """
+    return (parsed.withColumn("url_reports", _checked_links(dims))
+            .withColumn("link_findings", _link_findings(dims))
+            .withColumn("link_risk", risk(F.col("link_findings"))))
+
+
+@reused
+def _checked_links(dims: Dims) -> Column:
     checked = F.slice("links", 1, fixed.MAX_URLS_CHECKED)
-    reports = F.transform(checked, lambda k: let(url_report(k.href, dims), lambda r: F.struct(
+    return F.transform(checked, lambda k: let(url_report(k.href, dims), lambda r: F.struct(
         r.url.alias("url"), r.host.alias("host"), r.domain.alias("domain"), r.codes.alias("codes"),
         k.text.alias("text"), k.source.alias("source"))))
 
+
+@reused
+def _link_findings(dims: Dims) -> Column:
     def per_link(r: Column) -> Column:
         where = F.when(r.host != "", r.host).otherwise(F.left(r.url, F.lit(80)))
         own = F.transform(r.codes, lambda c: F.struct(
@@ -92,8 +102,6 @@ def with_link_findings(parsed: DataFrame, dims: Dims = DEFAULT) -> DataFrame:
         return F.transform(attachment_codes(a.filename, a.content_type), lambda c: F.struct(
             c.alias("code"), F.concat(F.lit("Risky attachment: "), named).alias("detail")))
 
-    staged = parsed.withColumn("url_reports", reports)
     details = F.concat(F.flatten(F.transform("url_reports", per_link)),
                        F.flatten(F.transform("attachments", per_attachment)))
-    return (staged.withColumn("link_findings", first_wins(details, fixed.LINK_WEIGHTS))
-            .withColumn("link_risk", risk(F.col("link_findings"))))
+    return first_wins(details, fixed.LINK_WEIGHTS)
