@@ -24,13 +24,14 @@ def drop_near_duplicates(corpus: DataFrame, rank: str, row: str, text: str = "te
     """Keep the first copy per leading 2,000 characters, ordered by (rank, row).
 
     The minimum is combined before the shuffle, so a text copied over a third of the table
-    arrives as one row per task; nothing is collected per group.
+    arrives as one row per task; nothing is collected per group.  Short texts go last: they
+    only ever share a key with themselves, and a filter up front would be pushed below the
+    projection that normalises, which would then run twice.
     """
-    long_enough = corpus.where(F.length(text) >= min_chars)
     columns = [c for c in corpus.columns]
     first = F.min_by(F.struct(*columns), F.struct(rank, row))
-    return (long_enough.groupBy(F.sha2(dedup_key(F.col(text)), 256).alias("_key"))
-            .agg(first.alias("_row")).select("_row.*"))
+    return (corpus.groupBy(F.sha2(dedup_key(F.col(text)), 256).alias("_key"))
+            .agg(first.alias("_row")).select("_row.*").where(F.length(text) >= min_chars))
 
 
 def drop_excluded(deduplicated: DataFrame, label: str = "label") -> DataFrame:

@@ -26,8 +26,9 @@ def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str]) ->
     rows in place.
     """
     placed = docs.select(key, F.col(text).alias("_text")).repartition(key)
-    exploded = placed.select(key, F.explode(terms(F.col("_text"), stop_words)).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # Outer: the inner form makes Spark filter on the array first, computing it twice.
+    exploded = placed.select(key, F.explode_outer(terms(F.col("_text"), stop_words)).alias("term"))
+    return exploded.where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def term_statistics(docs: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
@@ -40,7 +41,6 @@ def term_statistics(docs: DataFrame, text: str, stop_words: list[str]) -> DataFr
         t.alias("term"), F.lit(df).alias("df"), F.lit(total).alias("total"))
     rows = let(terms(F.col(text), stop_words), lambda found: F.concat(
         F.transform(found, cell(0, 1)), F.transform(F.array_distinct(found), cell(1, 0))))
-    # Outer: the inner form makes Spark filter on the array first, computing it twice.
     return docs.select(F.inline_outer(rows)).where("term is not null").groupBy("term").agg(
         F.sum("df").alias("df"), F.sum("total").alias("total"))
 

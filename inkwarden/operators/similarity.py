@@ -20,7 +20,8 @@ def _runs(df: DataFrame, key: str, text: str) -> DataFrame:
     tokens = df.select(key, words(F.lower(F.col(text))).alias("w"))
     starts = F.when(F.size("w") >= RUN, F.sequence(F.lit(1), F.size("w") - (RUN - 1)))
     run = F.transform(starts, lambda i: F.array_join(F.slice("w", i, RUN), " "))
-    return tokens.select(key, F.explode(F.array_distinct(run)).alias("run"))
+    # Outer: the inner form makes Spark filter on the array first, computing it twice.
+    return tokens.select(key, F.explode_outer(F.array_distinct(run)).alias("run")).where("run is not null")
 
 
 def shared_runs(training: DataFrame, frozen: DataFrame, key: str, text: str = "text",
@@ -47,7 +48,7 @@ def similar_pairs(training: DataFrame, frozen: DataFrame, key: str, frozen_key:
     """
     def sets(df: DataFrame, k: str, t: str) -> DataFrame:
         unique = df.select(k, F.array_sort(F.array_distinct(words(F.lower(F.col(t))))).alias("w"))
-        return unique.where(F.size("w") > 0).withColumn("set_id", F.sha2(F.array_join("w", " "), 256))
+        return unique.withColumn("set_id", F.sha2(F.array_join("w", " "), 256))
 
     mine, theirs = sets(training, key, text), sets(frozen, frozen_key, frozen_text)
     mine_sets = mine.groupBy("set_id").agg(F.first("w").alias("w"))
