@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .language import op9_language
+from .packing import op1_packing
 
 QUERIES: dict[str, Callable] = {
     "op9_language": op9_language,
+    "op1_packing": op1_packing,
 }
 
 ORACLES: dict[str, str] = {}
