@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .fingerprints import op2_fingerprints
 from .language import op9_language
 from .packing import op1_packing
 
 QUERIES: dict[str, Callable] = {
     "op9_language": op9_language,
     "op1_packing": op1_packing,
+    "op2_fingerprints": op2_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
