@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from .fingerprints import op2_fingerprints
 from .language import op9_language
+from .neighbours import OP4_SQL, op4_neighbours
 from .packing import op1_packing
 
 QUERIES: dict[str, Callable] = {
     "op9_language": op9_language,
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
+    "op4_neighbours": op4_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_neighbours": OP4_SQL,
+}
