@@ -8,12 +8,14 @@ from .fingerprints import op2_fingerprints
 from .language import op9_language
 from .neighbours import OP4_SQL, op4_neighbours
 from .packing import op1_packing
+from .token_counts import op5_token_counts
 
 QUERIES: dict[str, Callable] = {
     "op9_language": op9_language,
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
     "op4_neighbours": op4_neighbours,
+    "op5_token_counts": op5_token_counts,
 }
 
 ORACLES: dict[str, str] = {
