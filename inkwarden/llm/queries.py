@@ -9,6 +9,7 @@ from .language import op9_language
 from .neighbours import OP4_SQL, op4_neighbours
 from .packing import op1_packing
 from .token_counts import op5_token_counts
+from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable] = {
     "op9_language": op9_language,
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op2_fingerprints": op2_fingerprints,
     "op4_neighbours": op4_neighbours,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLES: dict[str, str] = {
