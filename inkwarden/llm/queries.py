@@ -8,6 +8,7 @@ from .fingerprints import op2_fingerprints
 from .language import op9_language
 from .neighbours import OP4_SQL, op4_neighbours
 from .packing import op1_packing
+from .quality import op7_quality
 from .token_counts import op5_token_counts
 from .toxicity import op6_toxicity
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op4_neighbours": op4_neighbours,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
 }
 
 ORACLES: dict[str, str] = {
