@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .fingerprints import op2_fingerprints
+from .jaccard import OP3_SQL, op3_jaccard
 from .language import op9_language
 from .neighbours import OP4_SQL, op4_neighbours
 from .packing import op1_packing
@@ -20,8 +21,10 @@ QUERIES: dict[str, Callable] = {
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op3_jaccard": op3_jaccard,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard": OP3_SQL,
     "op4_neighbours": OP4_SQL,
 }
