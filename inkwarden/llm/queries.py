@@ -10,6 +10,7 @@ from .language import op9_language
 from .neighbours import OP4_SQL, op4_neighbours
 from .packing import op1_packing
 from .quality import op7_quality
+from .surrogates import op8_surrogates
 from .token_counts import op5_token_counts
 from .toxicity import op6_toxicity
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable] = {
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op3_jaccard": op3_jaccard,
+    "op8_surrogates": op8_surrogates,
 }
 
 ORACLES: dict[str, str] = {
