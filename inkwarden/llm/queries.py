@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .byte_pairs import op10_byte_pairs
 from .fingerprints import op2_fingerprints
 from .jaccard import OP3_SQL, op3_jaccard
 from .language import op9_language
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable] = {
     "op7_quality": op7_quality,
     "op3_jaccard": op3_jaccard,
     "op8_surrogates": op8_surrogates,
+    "op10_byte_pairs": op10_byte_pairs,
 }
 
 ORACLES: dict[str, str] = {
