@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwarden.llm.common import documents, scratch_table
 from inkwarden.llm.stages import STAGES
 
+#: No SQL expresses a learned stage; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
