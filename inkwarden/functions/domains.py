@@ -6,7 +6,6 @@ enters the plan as literals: looking a host up costs no join and no shuffle.
 
 from __future__ import annotations
 
-import importlib.resources
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -24,19 +23,16 @@ _IPV6 = (rf"(?:(?:{_HEX}:){{7}}{_HEX}"
          rf"(?:{_HEX}(?::{_HEX})*)?::(?:{_HEX}(?::{_HEX})*)?)")
 
 
-def _country_suffixes() -> list[str]:
-    """Country domains: the ISO country codes, with the four that differ from them."""
-    try:
-        table = importlib.resources.files("tzdata") / "zoneinfo" / "iso3166.tab"
-        codes = [ln[:2].lower() for ln in table.read_text("utf-8").splitlines() if ln[:1] != "#"]
-    except (ModuleNotFoundError, OSError):
-        codes = []
-    return [c for c in codes if len(c) == 2 and c != "gb"] + ["uk", "eu", "su", "ac"]
+def country_suffixes() -> list[str]:
+    return [a + b for a, letters in fixed.COUNTRY_SECOND_LETTERS.items() for b in letters] + ["uk"]
 
 
 def default_suffixes() -> list[str]:
-    second = [f"{s}.{tld}" for tld, labels in fixed.SECOND_LEVELS.items() for s in labels]
-    return list(dict.fromkeys(fixed.GENERIC_SUFFIXES + _country_suffixes() + second))
+    """Generic and country domains, and the second levels of each country that has them."""
+    countries = country_suffixes()
+    second = [f"{s}.{c}" for c in countries if c not in fixed.FLAT_COUNTRIES for s in fixed.USUAL_SECOND_LEVELS]
+    second += [f"{s}.{c}" for c, labels in fixed.SECOND_LEVELS.items() for s in labels]
+    return list(dict.fromkeys(fixed.GENERIC_SUFFIXES + countries + second))
 
 
 @dataclass(frozen=True)

@@ -261,7 +261,7 @@ def bodies(tree: Column) -> Column:
         return let(decoded_text(n), lambda t: F.struct(
             is_html.alias("is_html"),
             F.when(is_html, html_text(t)).otherwise(t).alias("text"),
-            F.when(is_html, html_links(t)).alias("links"),
+            F.when(is_html, html_links(t, fixed.MAX_LINKS + 1)).alias("links"),
             (is_html & (F.length(t) > fixed.MAX_HTML_SOURCE)).alias("cut")))
 
     no_strings = F.array().cast("array<string>")
@@ -289,20 +289,20 @@ def bodies(tree: Column) -> Column:
         s.links.alias("links"), s.truncated.alias("truncated")))
 
 
-def merged_links(html_link_rows: Column, body: Column) -> Column:
-    """HTML links, then body URLs that are neither a known target nor an anchor's text."""
+def merged_links(html_link_rows: Column, body: Column, limit: int = fixed.MAX_LINKS) -> Column:
+    """HTML links, then body URLs that are neither a known target nor an anchor's text; at most ``limit``."""
 
     def merge(known: Column) -> Column:
         shown = F.transform(F.filter(known, lambda k: (k.source == "html") & (k.text != "")),
                             lambda k: k.text)
         targets = F.transform(known, lambda k: k.href)
-        fresh = F.filter(F.array_distinct(extract_urls(body)),
+        fresh = F.filter(F.array_distinct(extract_urls(body, limit)),
                          lambda u: ~F.array_contains(targets, u)
                          & ~F.exists(shown, lambda t: F.contains(t, u)))
         added = F.transform(fresh, lambda u: F.struct(
             clean_line(u, fixed.MAX_URL_CHARS).alias("href"), F.lit("").alias("text"),
             F.lit("text").alias("source")))
-        return F.slice(F.concat(known, added), 1, fixed.MAX_LINKS)
+        return F.slice(F.concat(known, added), 1, limit)
 
     return let(html_link_rows, merge)
 

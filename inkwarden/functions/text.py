@@ -11,20 +11,19 @@ from pyspark.sql import functions as F
 from . import fixed
 from .core import SPACE, clean_line, json_literal, let, one_of
 
+# Characters and runs that normalisation removes or masks.
 INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
-MODEL_URL = r"(?i)(?:https?://|www\.)[^\s<>\"']{1,2048}"
-ADDRESS = r"(?U)[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}"
 NUMBER = r"(?U)\d+"
-MASKED_NUMBER = r"(?<![A-Za-z])(?=[Xx*-]*\d)[\dXx*][\dXx*-]*(?![A-Za-z])"
+MASKED_NUMBER = r"(?U)(?<![A-Za-z])(?=[Xx*-]*\d)[\dXx*][\dXx*-]*(?![A-Za-z])"
 # Runs of white space other than one plain blank, which would only be replaced by itself.
 SPACES = f" {SPACE}+|(?! ){SPACE}+"
 PLACEHOLDER = r"&lt;[#A-Z]{0,12}&gt;?"
 
 
 def _normalised(text: Column, steps: list[tuple[str, str]]) -> Column:
-    cut = F.regexp_replace(F.left(text, F.lit(fixed.MODEL_INPUT_CHARS)), MODEL_URL, " ")
+    cut = F.regexp_replace(F.left(text, F.lit(fixed.MODEL_INPUT_CHARS)), fixed.MODEL_URL, " ")
     # Few texts hold an address, and looking for one is the slowest search.
-    out = F.when(F.contains(cut, F.lit("@")), F.regexp_replace(cut, ADDRESS, " ")).otherwise(cut)
+    out = F.when(F.contains(cut, F.lit("@")), F.regexp_replace(cut, fixed.ADDRESS, " ")).otherwise(cut)
     for pattern, replacement in [*steps, (SPACES, " ")]:
         out = F.regexp_replace(out, pattern, replacement)
     return F.left(F.lower(F.trim(out)), F.lit(fixed.MODEL_TEXT_CHARS))

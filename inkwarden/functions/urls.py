@@ -12,7 +12,6 @@ from .domains import (DEFAULT, Dims, claimed_brands, is_ip, is_ipv6, is_obfuscat
 
 BIDI = r"[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]"
 _LEADING = "".join(map(chr, range(33)))
-URL_IN_TEXT = r"(?i)\b(?:https?://|www\.)[^\s<>\"'()\[\]{}]{1,2048}"
 
 
 @reused
@@ -159,19 +158,15 @@ def url_reports(urls: Column, dims: Dims = DEFAULT) -> Column:
 def code_words(code: Column) -> Column:
     """``url_ip_host`` to ``Ip host``."""
     plain = F.lower(F.replace(F.regexp_replace(code, "^url_", ""), F.lit("_"), F.lit(" ")))
-    return F.concat(F.upper(F.left(plain, F.lit(1))), F.substring(plain, 2, 200))
+    return F.concat(F.upper(F.left(plain, F.lit(1))), F.substr(plain, F.lit(2)))
 
 
 def extract_urls(text: Column, limit: int = fixed.MAX_LINKS) -> Column:
     """URLs written in a text, in order, without trailing punctuation."""
-    found = F.regexp_extract_all(text, F.lit(URL_IN_TEXT), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(fixed.URL_IN_TEXT), F.lit(0))
     return F.transform(F.slice(found, 1, limit), lambda u: F.rtrim(u, F.lit(".,;:!?")))
 
 
-_BARE = (r"(?i)(?<![\w@./:-])((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.){1,4}[a-z]{2,24})"
-         r"(/[^\s<>\"']{0,200})?(?![\w-])")
-
-
 @reused
 def extract_bare_domains(text: Column, dims: Dims = DEFAULT,
                          limit: int = fixed.MAX_BARE_DOMAINS) -> Column:
@@ -179,7 +174,7 @@ def extract_bare_domains(text: Column, dims: Dims = DEFAULT,
     from .domains import suffix_labels
 
     scanned = F.left(text, F.lit(2 * fixed.MAX_SMS_CHARS))
-    hits = F.regexp_extract_all(scanned, F.lit(_BARE), F.lit(0))
+    hits = F.regexp_extract_all(scanned, F.lit(fixed.BARE_DOMAIN), F.lit(0))
 
     def split_hit(hit: Column) -> Column:
         host = F.lower(F.regexp_extract(hit, r"^([^/]*)", 1))

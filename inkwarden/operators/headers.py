@@ -15,7 +15,6 @@ from ..functions.domains import (DEFAULT, Dims, claimed_brands, domain_of, looka
 from ..functions.findings import codes_of, detail_if, first_wins, risk, total_weight
 
 METHODS = ("spf", "dkim", "dmarc")
-_ADDRESS = r"(?U)[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}"
 
 
 def server_id(value: Column) -> Column:
@@ -109,7 +108,7 @@ def sender_details(dims: Dims = DEFAULT) -> list[Column]:
     imitated = lookalike_brand(domain, dims)
     claimed = F.get(F.filter(claimed_brands(display, dims), lambda b: (
         ~F.array_contains(b.domains, domain)) | free), F.lit(0)).brand
-    other = F.get(F.filter(F.regexp_extract_all(display, F.lit(_ADDRESS), F.lit(0)),
+    other = F.get(F.filter(F.regexp_extract_all(display, F.lit(fixed.ADDRESS), F.lit(0)),
                            lambda a: domain_of(F.lower(a), dims) != domain), F.lit(0))
     role = let(padded_words(display), lambda w: F.exists(
         literals(f" {p} " for p in fixed.ROLE_PHRASES), lambda p: F.contains(w, p)))

@@ -22,7 +22,10 @@ def parse_messages(messages: DataFrame, max_bytes: int = fixed.MAX_MESSAGE_BYTES
         staged = staged.withColumn(name, column)
     parsed = staged.select(*[c for c in messages.columns if c != "content"], "status", *_fields())
     body, links = _body_and_links()
+    # One link more than wanted shows that some are left out.
     return (parsed.withColumn("body", body).withColumn("links", links)
+            .withColumn("truncated", F.col("truncated") | (F.size("links") > fixed.MAX_LINKS))
+            .withColumn("links", F.slice("links", 1, fixed.MAX_LINKS))
             .withColumn("recipient_count", F.size("to") + F.size("cc"))
             .drop("html_links"))
 
@@ -66,20 +69,20 @@ def _fields() -> list[Column]:
 @reused
 def _body_and_links() -> tuple[Column, Column]:
     body = F.array_join(F.filter(F.array("text_body", "html_text"), lambda p: p != ""), "\n")
-    return body, mail.merged_links(F.col("html_links"), F.col("body"))
+    return body, mail.merged_links(F.col("html_links"), F.col("body"), fixed.MAX_LINKS + 1)
 
 
 def explode_headers(messages: DataFrame) -> DataFrame:
-    """``(msg_id, pos, name, value)``, at most 50 instances per name and message."""
+    """``(msg_id, pos, name, value)``, at most 50 instances per name and message; none of a message beyond the guard."""
     headers = mail.parse_headers(mail.header_block(mail.as_characters(F.col("content"))))
 
     def capped(hs: Column) -> Column:
-        def instance(h: Column) -> Column:
-            earlier = F.filter(hs, lambda g: (g["name"] == h["name"]) & (g.pos <= h.pos))
-            return F.size(earlier) <= fixed.MAX_HEADER_INSTANCES
-        return F.filter(hs, instance)
+        # One list per distinct name keeps its first instances; a name's headers are compared once.
+        names = F.array_distinct(F.transform(hs, lambda h: h["name"]))
+        kept = F.transform(names, lambda n: F.slice(F.filter(hs, lambda g: g["name"] == n), 1, fixed.MAX_HEADER_INSTANCES))
+        return F.array_sort(F.flatten(kept), lambda a, b: a.pos - b.pos)
 
-    return exploded(messages, ["msg_id"], let(headers, capped))
+    return exploded(messages.where(mail.guard(F.col("content")) == "ok"), ["msg_id"], let(headers, capped))
 
 
 def explode_parts(messages: DataFrame) -> DataFrame:

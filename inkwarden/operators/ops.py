@@ -67,11 +67,12 @@ def kpis(audit: DataFrame, records: DataFrame, limit: int = fixed.AUDIT_TAIL) ->
 
 
 def quarantine_rows(records: DataFrame, reports: DataFrame) -> DataFrame:
-    """Records with the reasons of their report; kind defaults to email."""
+    """Records with the reasons of their report; without one the kind is email and there are none."""
     joined = records.join(reports.select("incident_id", F.col("kind").alias("_kind"), "reasons"),
                           "incident_id", "left")
-    return joined.withColumn("kind", F.coalesce("_kind", F.lit("email"))).withColumn(
-        "status", record_status()).drop("_kind")
+    none = F.array().cast(joined.schema["reasons"].dataType)
+    return joined.withColumns({"kind": F.coalesce("_kind", F.lit("email")), "status": record_status(),
+                               "reasons": F.coalesce("reasons", none)}).drop("_kind")
 
 
 def quarantine_listing(records: DataFrame, reports: DataFrame,
@@ -98,7 +99,7 @@ def humanise_code(code: Column) -> Column:
 
     def shown(word: Column, i: Column) -> Column:
         full = F.when(word == "att", "attachment").otherwise(word)
-        first = F.concat(F.upper(F.left(full, F.lit(1))), F.substring(full, 2, 100))
+        first = F.concat(F.upper(F.left(full, F.lit(1))), F.substr(full, F.lit(2)))
         return (F.when(full.isin(acronyms), F.upper(full)).when(i == 0, first).otherwise(full))
 
     return F.array_join(F.transform(words, shown), " ")
@@ -251,26 +252,80 @@ def link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(prev=prevs, hash=hashes)
 
 
+def _linked(entries: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
+    """Adds ``prev, hash, line_no``: a hash chain per value of ``keys``.  Rows stream through each task in order
+    with one hash of state."""
+    head, tail = canonical_halves(fields)
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    prepared = entries.withColumn("_chain", name).withColumn("_head", head).withColumn("_tail", tail)
+    placed = prepared.repartition(*keys).sortWithinPartitions("_chain", order)
+    added = [T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType())]
+    schema = T.StructType([*placed.schema.fields, *added])
+    linked = placed.mapInPandas(link_batches, schema).drop("_chain", "_head", "_tail")
+    line = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    return linked.withColumn("line_no", line)
+
+
 def build_audit_chain(entries: DataFrame, chain: list[str], order: str,
                       fields: list[str], rows_per_file: int = 4096) -> DataFrame:
     """Adds ``file_no, line_no, prev, hash``: one hash chain per log file.
 
     A chain is sequential, so a log is rotated: file ``n`` of a mailbox holds its entries
     among the sequence numbers ``n * rows_per_file ...``; no file can exceed that size, even
-    if one mailbox writes everything.  Rows stream through each task in order with one hash
-    of state.
+    if one mailbox writes everything.  ``seal_audit_files`` binds the files of a mailbox, so the
+    size of a file changes nothing that verification finds.
     """
-    head, tail = canonical_halves(fields)
     numbered = entries.withColumn("file_no", F.floor(F.col(order) / rows_per_file).cast("bigint"))
+    return _linked(numbered, [*chain, "file_no"], order, fields)
+
+
+SEALED = ["file_no", "last", "rows"]
+
+
+def _file_ends(lines: DataFrame, chain: list[str]) -> DataFrame:
+    return lines.groupBy(*chain, "file_no").agg(F.count("*").alias("rows"), F.max_by("hash", "line_no").alias("last"))
+
+
+def seal_audit_files(lines: DataFrame, chain: list[str]) -> DataFrame:
+    """A second chain per mailbox over its files: ``file_no, rows, last`` (hash), ``prev, hash, seal_no``.
+
+    Its input is one row a file.  The last seal of each mailbox (``audit_heads``) is to be kept apart from the logs.
+    """
+    return _linked(_file_ends(lines, chain), chain, "file_no", SEALED).withColumnRenamed("line_no", "seal_no")
+
+
+def audit_heads(seals: DataFrame, chain: list[str]) -> DataFrame:
+    """Per mailbox the number of its seals and the hash of the last one."""
+    return seals.groupBy(*chain).agg(F.count("*").alias("seals"), F.max_by("hash", "seal_no").alias("head"))
+
+
+def verify_audit_log(lines: DataFrame, seals: DataFrame, heads: DataFrame, chain: list[str],
+                     fields: list[str]) -> DataFrame:
+    """Per mailbox: ``ok, files`` (sealed) and ``problem``, the first file or seal that is wrong.
+
+    Found are edited, missing and reordered lines, removed, shortened and added files, edited seals, and seals
+    removed anywhere, at the end too.
+    """
     keys = [*chain, "file_no"]
-    prepared = (numbered.withColumn("_chain", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-                .withColumn("_head", head).withColumn("_tail", tail))
-    placed = prepared.repartition(*keys).sortWithinPartitions("_chain", order)
-    added = [T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType())]
-    schema = T.StructType([*placed.schema.fields, *added])
-    linked = placed.mapInPandas(link_batches, schema).drop("_chain", "_head", "_tail")
-    line = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-    return linked.withColumn("line_no", line)
+    inside = verify_audit_chain(lines, keys, fields).select(*keys, F.col("problem").alias("_inside"))
+    found = _file_ends(lines, chain).withColumnsRenamed({"rows": "_rows", "last": "_last"}).join(inside, keys)
+    per_file = (seals.select(*keys, "rows", "last").join(found, keys, "full").withColumn(
+        "_problem", F.when(F.col("_rows").isNull(), "is missing").when(F.col("rows").isNull(), "is not sealed")
+        .when(F.col("_inside") != "", F.col("_inside"))
+        .when((F.col("rows") != F.col("_rows")) | (F.col("last") != F.col("_last")), "does not end as sealed")))
+    worst = F.min(F.when(F.col("_problem").isNotNull(), F.struct("file_no", "_problem")))
+    files = per_file.groupBy(*chain).agg(worst.alias("_worst"), F.count("rows").alias("files"))
+    order = verify_audit_chain(seals.withColumnRenamed("seal_no", "line_no"), chain, SEALED)
+    ends = audit_heads(seals, chain).withColumnsRenamed({"seals": "_seals", "head": "_head"})
+    out = (files.join(order.select(*chain, F.col("problem").alias("_order")), chain, "full")
+           .join(heads, chain, "full").join(ends, chain, "left"))
+    problem = (F.when(F.coalesce("_order", F.lit("")) != "", F.concat(F.lit("seal "), F.col("_order")))
+               .when(~(F.col("seals").eqNullSafe(F.col("_seals")) & F.col("head").eqNullSafe(F.col("_head"))),
+                     "the seals do not end as noted")
+               .when(F.col("_worst").isNotNull(),
+                     F.concat(F.lit("file "), F.col("_worst.file_no").cast("string"), F.lit(" "), F.col("_worst._problem")))
+               .otherwise(""))
+    return out.select(*chain, (problem == "").alias("ok"), F.coalesce("files", F.lit(0)).alias("files"), problem.alias("problem"))
 
 
 def verify_audit_chain(lines: DataFrame, chain: list[str], fields: list[str],

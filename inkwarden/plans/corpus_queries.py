@@ -131,7 +131,7 @@ def expanded_templates(spark, sf_dir):
 
 
 _EVALSET = """es AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'validation' ELSE 'test' END AS split, quality AS label,
-    lang || doc_id % 40 AS category, CASE WHEN doc_id % 50 = 0 THEN text || ' call 9845022371 now' WHEN doc_id % 51 = 0 THEN text || ' www.x.test' ELSE text END AS text
+    lang || doc_id % 40 AS category, CASE WHEN doc_id % 50 = 0 THEN text || ' call 9731260485 now' WHEN doc_id % 51 = 0 THEN text || ' www.x.test' ELSE text END AS text
   FROM labels JOIN documents USING (doc_id))"""
 
 
@@ -147,7 +147,7 @@ def eval_set_violations(spark, sf_dir):
     rows = inputs.table(spark, sf_dir, "labels").join(inputs.table(spark, sf_dir, "documents"), "doc_id").select(
         k.alias("id"), F.when(k % 3 == 0, "validation").otherwise("test").alias("split"),
         F.col("quality").alias("label"), F.concat("lang", (k % 40).cast("string")).alias("category"),
-        F.when(k % 50 == 0, F.concat("text", F.lit(" call 9845022371 now")))
+        F.when(k % 50 == 0, F.concat("text", F.lit(" call 9731260485 now")))
         .when(k % 51 == 0, F.concat("text", F.lit(" www.x.test"))).otherwise(F.col("text")).alias("text"))
     return c.quality_violations(rows, ["validation", "test"])
 

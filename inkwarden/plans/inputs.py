@@ -14,13 +14,8 @@ from .oracle import sql_list
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one with texts, if it is so small that its splits leave cores idle, is
-    spread over them (a large one has more splits than cores and is read as it is)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages", "conversations", "customer") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A given table, in the splits that the session's file settings give."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def pick(values: list[str], number: Column) -> Column:
@@ -35,28 +30,28 @@ def pick_sql(values: list[str], number: str) -> str:
 
 URL_FORMS = """
 {u}
-https://paypal.com@evil.test{p}
+https://paypal.com@harbor.test{p}
 http://192.0.2.55{p}
 http://3232235777{p}
 http://0x7f.1{p}
 https://xn--pypal-4ve.test{p}
-https://paypa1-verify.com{p}
-https://paypal.com.account-check.test{p}
+https://paypa1-checkin.com{p}
+https://paypal.com.profile-check.test{p}
 https://bit.ly{p}
 https://x.netlify.app{p}
-https://prize.xyz{p}
+https://lantern.xyz{p}
 https://a.b.c.d.e.example.com{p}
 https://example.com:8443{p}
 https://example.com:99999{p}
 https://www.amazon.in/signin{p}
 https://my-bucket.s3.amazonaws.com/login{p}
-https://sbi-kyc-update.in{p}
+https://sbi-kyc-renewal.in{p}
 https://rnicrosoft.com{p}
 www.example.com{p}
 https://docs.google.com/forms{p}
 https://mail.paypal.co.uk{p}
 http://[2001:db8::1]{p}
-https://evil.test/sbi/kyc/update{p}
+https://harbor.test/sbi/kyc/update{p}
 javascript:alert(1){p}
 http://[::1{p}
 https://applebees.com{p}
@@ -83,20 +78,20 @@ URLS_SQL = f"""urls AS (
 
 SMS_ENDINGS = [
     " Thank you.",
-    " PayPal: verify at https://paypa1-verify.com/login now.",
-    " SBI: update KYC at sbi-kyc-update.in/verify today",
-    " Amazon: delivered. Track: https://amzn.in/d/5hR2kPq",
-    " Call our officer 98450 22371 immediately",
+    " PayPal: verify at https://paypa1-checkin.com/login now.",
+    " SBI: update KYC at sbi-kyc-renewal.in/verify today",
+    " Amazon: delivered. Track: https://amzn.in/d/7wTz1Bc",
+    " Dial our officer 97312 60485 immediately",
     " Reply YES to confirm",
     " ICICI: redeem points at http://192.0.2.7/x?a=1, please.",
     " Write to refunds@example.org or visit www.example.org/help.",
-    " Join t.me/stockking_vip or a.co/d/abc.",
+    " Join t.me/dawn_signals or a.co/d/q7k.",
     " HDFC Bank: account blocked, our officer will ring you",
-    " See https://bit.ly/3rvChg9 and https://bit.ly/3rvChg9",
-    " Text WIN to 87121 for PhonePe rewards",
+    " See https://bit.ly/4qLmVx2 and https://bit.ly/4qLmVx2",
+    " Text GO to 70455 for PhonePe rewards",
 ]
-SMS_SENDERS = ["VM-HDFCBK-S", "+91 98450 22371", "57575", "scam.team@icloud.com", "", "AMAZON",
-               "<script>", "9845022371"]
+SMS_SENDERS = ["AX-HDFCBN-T", "+91 97312 60485", "61200", "parcel.desk@icloud.com", "", "AMAZON",
+               "<script>", "9731260485"]
 
 
 def sms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,11 +113,11 @@ SMS_SQL = f"""sms AS (
 
 # ---------------------------------------------------------------- parsed mail columns
 
-DISPLAYS = ["PayPal Security", "Rajesh Kumar ceo@company.example", "HR Department", "Example News",
+DISPLAYS = ["PayPal Security", "Lena Ortiz ceo@northgate.example", "HR Department", "Example News",
             "Google Team", "India Post Delivery", "Weekly Market Outlook", "IT Support", "Amazon",
             "Swiggy", "Bob"]
-ADDRESSES = ["service@paypal-secure.test", "md.office@gmail.com", "hr@company.test",
-             "news@example.com", "alert.team@gmail.com", "x@indiapost-delivery.top", "",
+ADDRESSES = ["desk@paypal-secure.test", "lena.desk@gmail.com", "people@northgate.test",
+             "news@example.com", "notice.crew@gmail.com", "slip@indiapost-parcels.top", "",
              "help@tenant.onmicrosoft.com", "order-update@amazon.in", "no-reply@mail.swiggy.in",
              "service@paypal.com", "info@xn--pypal-4ve.com", "a@b.example.co.uk"]
 REPLIES = ["", "refunds@gmail.com", "desk@example.org", "", "news@example.com", "", "x@freemail.test"]
@@ -130,11 +125,11 @@ RETURNS = ["", "bounce@mailer.test", "bounce@amazonses.com", "news@example.com",
 AUTH_TOP = [
     "mx.google.com; dkim=pass header.i=@a.example; spf=pass smtp.mailfrom=a; dmarc=pass header.from=a",
     "mx.google.com; dkim=fail header.i=@a.example; spf=softfail (domain of x) smtp.mailfrom=a; dmarc=fail (p=NONE)",
-    "relay.attacker.test; dkim=pass header.i=@a.example; spf=pass smtp.mailfrom=a; dmarc=pass header.from=a",
+    "relay.quarry.test; dkim=pass header.i=@a.example; spf=pass smtp.mailfrom=a; dmarc=pass header.from=a",
     "",
     "mx.google.com 1; spf=fail (sender claims dmarc=pass) smtp.mailfrom=x@y.test",
     "mx.google.com; dkim=none; dkim=pass header.i=@b.example; dmarc=pass",
-    "some.relay.test; dmarc=fail header.from=example.com; spf=permerror",
+    "edge.relay.test; dmarc=fail header.from=example.com; spf=permerror",
 ]
 AUTH_LOWER = ["", "mx.google.com; dkim=pass; spf=pass; dmarc=pass", "", "old.example; spf=pass", ""]
 SPF_HEADERS = ["", "pass (google.com: domain of a)", "softfail (x)", "fail", ""]
@@ -262,7 +257,7 @@ def record_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     base = rows.select(
         F.concat(F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"),
-                 F.left(F.md5(key.cast("string")), F.lit(8))).alias("incident_id"),
+                 F.md5(key.cast("string"))).alias("incident_id"),
         key.alias("n"), F.col("ts").alias("quarantined_at"),
         F.sha2(F.col("user_id").cast("string"), 256).alias("content_sha256"),
         F.round(F.lit(0.8) + F.col("value") / 1000.0 % 0.2, 4).alias("score"),
@@ -275,7 +270,7 @@ def record_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECORDS_SQL = """versions AS (
-  SELECT strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || left(md5(event_id::VARCHAR), 8) AS incident_id,
+  SELECT strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || left(md5(event_id::VARCHAR), 32) AS incident_id,
     unnest(CASE WHEN event_id % 7 = 0 THEN [1, 2, 3] WHEN event_id % 11 = 0 THEN [1, 2] ELSE [1] END) AS version,
     event_id AS n, ts AS quarantined_at, sha256(user_id::VARCHAR) AS content_sha256,
     round(0.8 + value / 1000.0 % 0.2, 4) AS score FROM events WHERE event_type = 'purchase'),
@@ -299,12 +294,12 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(weights, F.col("event_id") + i).cast("double").alias("weight")))
     return rows.select(
         F.concat(F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"),
-                 F.left(F.md5(F.col("event_id").cast("string")), F.lit(8))).alias("incident_id"),
+                 F.md5(F.col("event_id").cast("string"))).alias("incident_id"),
         F.when(F.col("event_id") % 3 == 0, "sms").otherwise("email").alias("kind"), reasons.alias("reasons"))
 
 
 REPORTS_SQL = """reports AS (
-  SELECT strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || left(md5(event_id::VARCHAR), 8) AS incident_id,
+  SELECT strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || left(md5(event_id::VARCHAR), 32) AS incident_id,
     CASE WHEN event_id % 3 = 0 THEN 'sms' ELSE 'email' END AS kind,
     list_transform(range(0, event_id % 5 + 1), lambda i: {
       'code': ['dmarc_fail', 'url_ip_host', 'att_html', 'spf_softfail', 'verified_sender'][((event_id + i) % 5)::INT + 1],

@@ -175,7 +175,7 @@ def layer_risks(spark, sf_dir):
 
 
 _LINK_TEXTS = ["https://www.paypal.com/security", "Sign in to PayPal", "www.example.com", "click here",
-               "Step 1.2 click here.", "accounts.google.com", "Your SBI statement"]
+               "Part 3.4 open it.", "accounts.google.com", "Your SBI passbook"]
 
 
 @register("link_text_findings", f"""{_URLS}, l AS (
@@ -196,7 +196,7 @@ def link_text_findings(spark, sf_dir):
     return exploded(rows, ["page_id"], F.array_compact(F.array(detail)))
 
 
-_FILES = ["invoice.pdf.exe", "statement.pdf.html", "lure.svg", "report.docm", "inv‮fdp.exe", "files.zip",
+_FILES = ["ledger.pdf.exe", "minutes.pdf.html", "poster.svg", "budget.docm", "led‮fdp.exe", "files.zip",
           "photo.jpg", "report.pdf", "", "a.tar.gz", "x.PDF.", "setup.MSI"]
 
 
@@ -294,13 +294,13 @@ def page_links(spark, sf_dir):
 
 @register("merged_links", f"""WITH {inputs.SMS_SQL}, x AS (SELECT msg_id, unnest(list_transform(regexp_extract_all(text,
     '(?i)\\b(?:https?://|www\\.)[^\\s<>"''()\\[\\]{{}}]+', 0), lambda u: rtrim(u, '.,;:!?'))) AS url FROM sms),
-  b AS (SELECT DISTINCT msg_id, url FROM x WHERE url <> 'https://bit.ly/3rvChg9' AND NOT contains('see www.example.org/help here', url))
-  SELECT msg_id, 'https://bit.ly/3rvChg9' AS href, 'html' AS source FROM sms
+  b AS (SELECT DISTINCT msg_id, url FROM x WHERE url <> 'https://bit.ly/4qLmVx2' AND NOT contains('see www.example.org/help here', url))
+  SELECT msg_id, 'https://bit.ly/4qLmVx2' AS href, 'html' AS source FROM sms
   UNION ALL SELECT msg_id, 'https://example.org/', 'html' FROM sms UNION ALL SELECT msg_id, url, 'text' FROM b""")
 def merged_link_rows(spark, sf_dir):
     """Two HTML links per message; body URLs join them unless known or shown as anchor text."""
     known = F.array(*[F.struct(F.lit(h).alias("href"), F.lit(t).alias("text"), F.lit("html").alias("source"))
-                      for h, t in (("https://bit.ly/3rvChg9", "offer"),
+                      for h, t in (("https://bit.ly/4qLmVx2", "offer"),
                                    ("https://example.org/", "see www.example.org/help here"))])
     rows = exploded(inputs.sms(spark, sf_dir), ["msg_id"], merged_links(known, F.col("text")))
     return rows.select("msg_id", "href", "source")

@@ -94,18 +94,19 @@ _AGE = """CASE WHEN s < 45 THEN 'just now' WHEN s < 60 THEN round(s)::BIGINT ||
     ELSE round(s / 604800 / 4.35)::BIGINT || ' month' || CASE WHEN round(s / 604800 / 4.35) = 1 THEN '' ELSE 's' END || ' ago' END"""
 
 
-@register("dashboard", f"""WITH {inputs.RECORDS_SQL}, {inputs.REPORTS_SQL}, n AS (SELECT r.*, p.kind, p.reasons, {_STATUS} AS status FROM records r JOIN reports p USING (incident_id)),
+@register("dashboard", f"""WITH {inputs.RECORDS_SQL}, {inputs.REPORTS_SQL}, n AS (SELECT r.*, coalesce(p.kind, 'email') AS kind, coalesce(p.reasons, []) AS reasons, {_STATUS} AS status FROM records r LEFT JOIN reports p USING (incident_id)),
   x AS (SELECT *, round(epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(quarantined_at)) AS s FROM n WHERE {_STATUS} <> 'restored'),
-  c AS (SELECT incident_id, string_agg({_HUMAN.replace('code', 'z.code')} || ' ' || (CASE WHEN z.weight > 0 THEN '+' WHEN z.weight < 0 THEN '−' ELSE '±' END)
+  c0 AS (SELECT incident_id, string_agg({_HUMAN.replace('code', 'z.code')} || ' ' || (CASE WHEN z.weight > 0 THEN '+' WHEN z.weight < 0 THEN '−' ELSE '±' END)
       || printf('%.1f', abs(z.weight)) || ' ' || (CASE WHEN z.weight > 0 THEN 'phishing' WHEN z.weight < 0 THEN 'safe' ELSE 'neutral' END) || ' '
       || (CASE WHEN abs(z.weight) >= 2 THEN 'strong' WHEN abs(z.weight) >= 1 THEN 'medium' ELSE 'weak' END), '; ' ORDER BY i) AS signals
-    FROM (SELECT incident_id, unnest(reasons[1:3]) AS z, generate_subscripts(reasons[1:3], 1) AS i FROM x) GROUP BY incident_id)
+    FROM (SELECT incident_id, unnest(reasons[1:3]) AS z, generate_subscripts(reasons[1:3], 1) AS i FROM x) GROUP BY incident_id),
+  c AS (SELECT x.incident_id, coalesce(signals, '') AS signals FROM x LEFT JOIN c0 USING (incident_id))
   SELECT incident_id, kind, status, CASE WHEN score >= 0.999 THEN '>99.9%' WHEN score <= 0.001 THEN '<0.1%' ELSE printf('%.1f', score * 100) || '%' END AS percent,
     strftime(quarantined_at, '%Y-%m-%d %H:%M') || ' UTC' AS time, {_AGE} AS age, signals,
     CASE WHEN len(reasons) > 3 THEN '+' || (len(reasons) - 3) || ' more' ELSE '' END AS more FROM x JOIN c USING (incident_id)""")
 def dashboard(spark, sf_dir):
     records = ops.latest_versions(inputs.record_versions(spark, sf_dir))
-    rows = ops.quarantine_rows(records, inputs.reports(spark, sf_dir)).where("reasons is not null")
+    rows = ops.quarantine_rows(records, inputs.reports(spark, sf_dir))
     return ops.dashboard(rows, "held", F.lit("2024-01-31 00:00:00").cast("timestamp"))
 
 
@@ -215,6 +216,48 @@ def verified_chains(spark, sf_dir):
     return ops.verify_audit_chain(lines, ["mailbox", "file_no"], CHAIN_FIELDS)
 
 
+SEALS_SQL = f"""{CHAIN_SQL},
+  ends AS (SELECT mailbox, file_no, count(*) AS n_rows, arg_max(hash, line_no) AS last, row_number() OVER (PARTITION BY mailbox ORDER BY file_no) AS seal_no
+    FROM chain GROUP BY mailbox, file_no),
+  seals AS (SELECT mailbox, file_no, n_rows, last, seal_no, '{fixed.GENESIS}' AS prev,
+      sha256('{{"file_no":' || file_no || ',"last":"' || last || '","prev":"{fixed.GENESIS}","rows":' || n_rows || '}}') AS hash FROM ends WHERE seal_no = 1
+    UNION ALL SELECT e.mailbox, e.file_no, e.n_rows, e.last, e.seal_no, s.hash,
+      sha256('{{"file_no":' || e.file_no || ',"last":"' || e.last || '","prev":"' || s.hash || '","rows":' || e.n_rows || '}}')
+    FROM seals s JOIN ends e ON e.mailbox = s.mailbox AND e.seal_no = s.seal_no + 1)"""
+
+
+@register("sealed_audit_files", f"""WITH RECURSIVE {SEALS_SQL}
+  SELECT mailbox, file_no, n_rows AS "rows", last, seal_no::INT AS seal_no, prev, hash FROM seals""")
+def sealed_audit_files(spark, sf_dir):
+    return ops.seal_audit_files(chained(spark, sf_dir), ["mailbox"])
+
+
+# Mailboxes lose the last line of their first file, their first file, the last file with its seal, or nothing.
+_LOSS = 4
+
+
+@register("verified_audit_logs", f"""WITH {inputs.AUDIT_SQL},
+  f AS (SELECT mailbox, seq // {ROWS_PER_FILE} AS file_no FROM audit GROUP BY ALL),
+  m AS (SELECT mailbox, min(file_no) AS a, count(*) AS n, mailbox % {_LOSS} AS loss FROM f GROUP BY mailbox)
+  SELECT mailbox, loss = 3 AS ok, CASE WHEN loss = 2 THEN n - 1 ELSE n END AS files,
+    CASE loss WHEN 0 THEN 'file ' || a || ' does not end as sealed' WHEN 1 THEN 'file ' || a || ' is missing'
+      WHEN 2 THEN 'the seals do not end as noted' ELSE '' END AS problem FROM m""")
+def verified_audit_logs(spark, sf_dir):
+    """Lines, files and seals removed after sealing; the heads were kept apart."""
+    from pyspark.sql import Window as W
+
+    lines = chained(spark, sf_dir)
+    seals = ops.seal_audit_files(lines, ["mailbox"])
+    heads = ops.audit_heads(seals, ["mailbox"])
+    loss = F.col("mailbox") % _LOSS
+    ends = lines.groupBy("mailbox").agg(F.min("file_no").alias("_first"), F.max("file_no").alias("_end"))
+    known = lines.join(ends, "mailbox").withColumn("_last_line", F.max("line_no").over(W.partitionBy("mailbox", "file_no")))
+    gone = (((loss == 0) & (F.col("file_no") == F.col("_first")) & (F.col("line_no") == F.col("_last_line")))
+            | ((loss == 1) & (F.col("file_no") == F.col("_first"))) | ((loss == 2) & (F.col("file_no") == F.col("_end"))))
+    left = seals.join(ends, "mailbox").where(~((loss == 2) & (F.col("file_no") == F.col("_end"))))
+    return ops.verify_audit_log(known.where(~gone), left.drop("_first", "_end"), heads, ["mailbox"], CHAIN_FIELDS)
+
+
 @register("bursts", """WITH w AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id % 5 ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events)
   SELECT event_id, user_id, in_window, in_window > 3 AS burst FROM w""")
 def bursts(spark, sf_dir):

@@ -107,7 +107,7 @@ def brand_dimension_hits(spark, sf_dir):
 
 
 @register("incident_reports", f"""WITH {inputs.SMS_SQL}, f AS (SELECT msg_id, p_sms AS score, CASE WHEN p_sms >= 0.8 THEN 'quarantine' WHEN p_sms >= 0.5 THEN 'review' ELSE 'deliver' END AS action,
-    '20240101T000000Z-' || left(sha256(msg_id::VARCHAR), 8) AS incident_id FROM sms)
+    '20240101T000000Z-' || left(sha256(msg_id::VARCHAR), 32) AS incident_id FROM sms)
   SELECT incident_id, msg_id, score, action FROM f WHERE action <> 'deliver' ORDER BY incident_id DESC LIMIT 100""")
 def incident_reports(spark, sf_dir):
     """Verdicts written as reports (delivered ones are not), read back newest first."""

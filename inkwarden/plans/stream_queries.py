@@ -62,12 +62,12 @@ def restarted_stream(spark, sf_dir):
 
 
 @register("stream_without_released", f"""WITH {inputs.SMS_SQL} SELECT msg_id, sha256(text) AS content_sha256 FROM sms
-  WHERE sha256(text) NOT IN (SELECT sha256(text) FROM sms WHERE sender = '57575')""")
+  WHERE sha256(text) NOT IN (SELECT sha256(text) FROM sms WHERE sender = '61200')""")
 def stream_without_released(spark, sf_dir):
     """The released set is read inside each batch."""
     folder = work_folder(spark)
     stream = continuous.with_content_hash(_message_files(spark, sf_dir, f"{folder}/in"), "text")
-    released = lambda: inputs.sms(spark, sf_dir).where("sender = '57575'").select(
+    released = lambda: inputs.sms(spark, sf_dir).where("sender = '61200'").select(
         F.sha2("text", 256).alias("content_sha256")).distinct()
     keep = lambda batch: batch.select("msg_id", "content_sha256")
     continuous.run_scoring(stream, keep, f"{folder}/out", f"{folder}/checkpoint", released).awaitTermination()

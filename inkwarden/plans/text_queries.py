@@ -42,16 +42,16 @@ def normalised_texts(spark, sf_dir):
 def masked_number_texts(spark, sf_dir):
     """Look-around pattern the second engine cannot run; golden rows are in the tests."""
     rows = inputs.sms(spark, sf_dir).withColumn("text", F.concat(
-        F.lit("A/c XX4410 and **7781 debited. Call 1800-XXX-XXXX "), "text"))
+        F.lit("Card XX5523 and **9046 used. Ring 1860-XXX-XXXX "), "text"))
     return rows.select("msg_id", text.normalise(F.col("text"), "sms_masked").alias("text"))
 
 
 @register("cleaned_fingerprints", """SELECT doc_id, replace(replace(replace(replace(replace(regexp_replace(
-    'I left &lt;#&gt; mins ago &lt;TIME&gt ' || text || ' caf&eacute; &#8364; &pound;5 &amp;lt;',
+    'Back &lt;#&gt; hours since &lt;DATE&gt ' || text || ' caf&eacute; &#8364; &pound;5 &amp;lt;',
     '&lt;[#A-Z]{0,12}&gt;?', ' ', 'g'), '&eacute;', 'é'), '&#8364;', '€'), '&pound;', '£'), '&lt;', '<'), '&amp;', '&') AS text
   FROM documents WHERE NOT contains(text, '&')""")
 def cleaned_fingerprints(spark, sf_dir):
-    noisy = F.concat(F.lit("I left &lt;#&gt; mins ago &lt;TIME&gt "), "text",
+    noisy = F.concat(F.lit("Back &lt;#&gt; hours since &lt;DATE&gt "), "text",
                      F.lit(" caf&eacute; &#8364; &pound;5 &amp;lt;"))
     rows = _documents(spark, sf_dir).where(~F.contains("text", F.lit("&")))
     return rows.select("doc_id", text.clean_fingerprints(noisy).alias("text"))

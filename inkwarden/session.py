@@ -22,7 +22,8 @@ def local_session(cpus: str = "8", app: str = "inkwarden", **extra: str) -> Spar
     """A session for tests and the benchmark; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     local = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": str(cpus),
-             "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"}
+             "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false",
+             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp")}
     for key, value in (SETTINGS | local | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -31,10 +32,12 @@ def local_session(cpus: str = "8", app: str = "inkwarden", **extra: str) -> Spar
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared folder the cluster names for checkpoints.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    On a cluster that setting must be there, for executors do not share local folders; a session on one machine
+    gets a temporary folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/inkwarden-{uuid.uuid4().hex[:12]}"

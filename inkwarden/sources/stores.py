@@ -10,13 +10,16 @@ from ..operators.ops import audit_tail, latest_versions
 
 
 def incident_id(created: Column, key: Column) -> Column:
-    """``YYYYMMDDTHHMMSSZ-xxxxxxxx``: sortable by time, derived from the message key."""
+    """``YYYYMMDDTHHMMSSZ-`` and 32 hexadecimal digits: sortable by time, derived from the message key.
+
+    128 bits keep the ids of any number of messages of one second apart.
+    """
     return F.concat(F.date_format(created, "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"),
-                    F.left(F.sha2(key.cast("string"), 256), F.lit(8)))
+                    F.left(F.sha2(key.cast("string"), 256), F.lit(32)))
 
 
 def valid_incident_id(value: Column) -> Column:
-    return F.regexp_like(value, F.lit(r"^[0-9]{8}T[0-9]{6}Z-[0-9a-f]{8}$"))
+    return F.regexp_like(value, F.lit(r"^[0-9]{8}T[0-9]{6}Z-[0-9a-f]{32}$"))
 
 
 def write_incidents(verdicts: DataFrame, path: str, created: Column, mode: str = "append") -> None:
@@ -73,20 +76,23 @@ def signature(files: DataFrame, version: int = 2) -> str:
 
 def prepared_corpus(spark: SparkSession, files: DataFrame, build, cache: str,
                     version: int = 2) -> DataFrame:
-    """``build()`` stored once per folder signature; an empty cache is never trusted.
+    """``build()`` stored once per folder signature; neither an empty cache nor half of one is trusted.
 
-    The write goes through Spark's commit protocol, so a crash leaves no readable half.
+    After the rows a second table gets their number; the cache counts only if that table is there and agrees.
     """
     path = f"{cache.rstrip('/')}/{signature(files, version)}"
     try:
-        stored = spark.read.parquet(path)
-        if not stored.isEmpty():
+        stored = spark.read.parquet(f"{path}/rows")
+        written = spark.read.parquet(f"{path}/written").first()
+        if written and written["n"] and stored.count() == written["n"]:
             return stored
     except Exception as error:  # noqa: BLE001 - no cache yet, or an unreadable one
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    build().write.mode("overwrite").parquet(f"{path}/rows")
+    stored = spark.read.parquet(f"{path}/rows")
+    stored.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/written")
+    return stored
 
 
 def write_metrics(metrics: DataFrame, path: str, model: str, normaliser: str, test_set: str) -> None:

@@ -93,6 +93,46 @@ def test_missing_entry_is_found(chain):
     assert list(bad) == [("m1", 0)] and "chain broken" in bad[("m1", 0)][1]
 
 
+@pytest.mark.parametrize("loss,problem", [
+    (None, ""), ("line", "file 0 does not end as sealed"), ("file", "file 1 is missing"), ("all", "the seals do not end as noted"),
+    ("seal", "the seals do not end as noted"), ("edit", "file 1 line 1: contents were modified"), ("swap", "seal line 1: contents were modified")])
+def test_sealed_logs(spark, chain, loss, problem):
+    fields = ["seq", "event", "mailbox"]
+    seals = ops.seal_audit_files(chain, ["mailbox"])
+    seals = spark.createDataFrame(seals.collect(), seals.schema)
+    heads = ops.audit_heads(seals, ["mailbox"])
+    lines, own = chain, F.col("mailbox") == "m1"
+    if loss == "line":
+        lines = chain.where(~(own & (F.col("seq") == 14)))
+    if loss == "file":
+        lines = chain.where(~(own & (F.col("file_no") == 1)))
+    if loss in ("all", "seal"):
+        seals = seals.where(~(own & (F.col("file_no") == 2)))
+        lines = lines.where(~(own & (F.col("file_no") == 2))) if loss == "all" else lines
+    if loss == "edit":
+        lines = chain.withColumn("event", F.when(own & (F.col("seq") == 16), "x").otherwise(F.col("event")))
+    if loss == "swap":
+        seals = seals.withColumn("rows", F.when(own & (F.col("file_no") == 0), 9).otherwise(F.col("rows")))
+    found = {r.mailbox: (r.ok, r.problem) for r in ops.verify_audit_log(lines, seals, heads, ["mailbox"], fields).collect()}
+    assert found == {"m1": (problem == "", problem), "\u00e9": (True, "")}
+
+
+def test_the_size_of_a_file_changes_nothing_that_is_found(spark):
+    for size in (1, 7, 1000):
+        built = ops.build_audit_chain(_entries(spark), ["mailbox"], "seq", ["seq", "event", "mailbox"], size)
+        seals = ops.seal_audit_files(built, ["mailbox"])
+        heads = ops.audit_heads(seals, ["mailbox"])
+        bad = ops.verify_audit_log(built.where("seq <> 20"), seals, heads, ["mailbox"], ["seq", "event", "mailbox"])
+        assert {r.mailbox for r in bad.where("NOT ok").collect()} == {"m1"}
+
+
+def test_ids_of_one_second_stay_apart(spark):
+    from inkwarden.sources.stores import incident_id
+
+    ids = spark.range(1_000_000).select(incident_id(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.col("id")).alias("i"))
+    assert ids.distinct().count() == 1_000_000
+
+
 def test_bursts_equal_brute_force(spark):
     rng = random.Random(9)
     # One key holds most hits.

@@ -161,3 +161,35 @@ def test_reasons_are_ordered_by_weight(verdicts):
 def test_comments_cannot_inject_results(spark):
     found = evaluate(spark, ["mx.test; spf=fail (dmarc=pass (really)) smtp.mailfrom=a"], headers.parse_auth_results)
     assert "pass" not in str(found)
+
+
+def test_texts_beyond_ascii(spark):
+    """White space, letters and digits have their Unicode meaning."""
+    found = evaluate(spark, ["see https://shop.test\u00a0now, www.abc.test\u3000end", "caf\u00e9example.com", "so example.com."],
+                     lambda v: F.struct(urls.extract_urls(v).alias("u"), urls.extract_bare_domains(v).alias("b"),
+                                        text.normalise(v, "email").alias("n")))
+    assert [r.u for r in found] == [["https://shop.test", "www.abc.test"], [], []]
+    assert [r.b for r in found] == [[], [], ["example.com"]]
+    assert found[0].n == "see now, end"
+    digits = "\u0967\u0968\u0969\u096a"
+    kinds = evaluate(spark, [digits, "1234", "+" + digits * 2], sms.sender_kind)
+    assert kinds == ["short_code", "short_code", "phone"]
+    channels = evaluate(spark, ["call " + digits * 3, "text YES to " + digits, "ref " + digits * 3, "call the officer on +1 23"],
+                        lambda v: sms.contact_channels(v, F.lit(0)))
+    assert channels == [["phone_number"], ["reply"], [], []]
+
+
+def test_second_levels_of_all_countries(spark):
+    hosts = {"a.garanti.com.tr": "garanti.com.tr", "x.co.il": "x.co.il", "b.x.com.ar": "x.com.ar", "x.com.pk": "x.com.pk",
+             "www.x.co.id": "x.co.id", "a.b.de": "b.de", "a.b.co.uk": "b.co.uk", "a.b.solutions": "b.solutions"}
+    assert evaluate(spark, list(hosts), domains.registered_domain) == list(hosts.values())
+
+
+@pytest.mark.parametrize("anchors,written,cut", [(350, 0, True), (280, 50, True), (280, 20, False)])
+def test_links_beyond_the_limit_are_flagged(spark, anchors, written, cut):
+    from inkwarden.operators.ingest import parse_messages
+
+    body = "".join(f'<a href="https://h{i}.test/">x</a>' for i in range(anchors)) + " " + " ".join(f"https://b{i}.test/" for i in range(written))
+    mail = f"From: a@b.test\nContent-Type: text/html\n\n{body}".encode()
+    row = parse_messages(spark.createDataFrame([(1, mail)], "msg_id int, content binary")).select("links", "truncated").first()
+    assert (len(row.links), row.truncated) == (min(300, anchors + written), cut)
