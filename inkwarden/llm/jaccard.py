@@ -8,9 +8,10 @@ of the first ``n - ceil(0.85 n) + l``.  Sets up to a boundary size (light) enume
 list of each single shingle (``l`` = 1).  The boundary is the size at which enumeration begins to cost more than
 scanning.  The order puts frequent shingles, found by counting inside tasks, last.
 
-No group's pairs are enumerated.  In every signature's group all members are compared with one pivot; groups that
-still hold more than one component are merged by their largest component, and their other members are compared with
-all members in blocks of bounded size.  So each pair that shares a signature is compared or already connected.
+Signatures tie classes to clusters.  A cluster that fits a task is compared there, each set shipped once.  In a larger
+one no group's pairs are enumerated: all members of a signature's group are compared with one pivot, and of groups
+that still hold several components the members outside the largest one meet the others in blocks of bounded size.
+So each pair that shares a signature is compared or already connected.
 Identities of shingles and sets are 64-bit hashes.
 """
 
@@ -32,6 +33,8 @@ RUN, FREQUENT = 1 << 21, 3
 LISTED = 1 << 18
 #: Members of a group of a very frequent shingle that share a pivot; tokens and sets of a block of comparisons.
 SHARED, BLOCK_TOKENS, BLOCK_SETS = 8192, 1 << 16, 256
+#: Shingles of a cluster that one task compares; number of nodes up to which they are broadcast to find their texts.
+CLUSTER_TOKENS, FEW = 1 << 18, 1 << 20
 
 
 def need(n: np.ndarray | int) -> np.ndarray | int:
@@ -161,12 +164,13 @@ def _signed(shared, boundary: int):
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts (text, cluster, wanted) and their nodes."""
     table = WordHashes()
     for batch in chunks(batches, 1000, size=4_000_000):
         sets = shingle_sets(column_texts(batch), table)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([class_of(s) for s in sets], pa.int64()),
-             pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "members"])
+            [batch.column(1), batch.column(2), pa.array([class_of(s) for s in sets], pa.int64()),
+             pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cluster", "wanted", "node", "members"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,13 +196,59 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _reached(common: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """Whether overlaps of one set with others make links."""
+    return WHOLE * common >= PART * (size + sizes - common)
+
+
+def linked_groups(nodes: list[int], sets: list[np.ndarray]) -> dict[int, int]:
+    """Smallest node that links reach, for the nodes of a few sets that have links."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    known, place = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label = np.zeros(len(known), np.int32), np.array(nodes, np.int64)
+    linked = np.zeros(len(nodes), bool)
+    for k in range(len(sets)):
+        own = place[starts[k]:starts[k] + sizes[k]]
+        mark[own] = 1
+        near = _reached(np.add.reduceat(mark[place], starts), sizes[k], sizes)
+        mark[own] = 0
+        if near.sum() > 1:
+            linked |= near
+            joined = np.isin(label, label[near])
+            label[joined] = label[joined].min()
+    return {n: int(x) for n, x, some in zip(nodes, label, linked, strict=True) if some}
+
+
+def _in_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of the linked nodes of clusters that arrive one after the other; memory holds one small cluster."""
+    cluster, held = None, {}
+
+    def labelled() -> pa.RecordBatch:
+        found = linked_groups(list(held), list(held.values())) if len(held) > 1 else {}
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())],
+                                          ["node", "label"])
+
+    for batch in batches:
+        members = batch.column(2)
+        values, ends = members.values.to_numpy(), members.offsets.to_numpy()
+        for i, (key, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if key != cluster:
+                if held:
+                    yield labelled()
+                cluster, held = key, {}
+            held[node] = values[ends[i]:ends[i + 1]].copy()
+    if held:
+        yield labelled()
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between the sets of two blocks; of each set's links into one component the first is enough."""
     for batch in batches:
         for i in range(batch.num_rows):
             left, right = (batch.column(c)[i].as_py() for c in (0, 1))
             sets = [np.array(x["members"], np.int64) for x in left]
-            known = np.unique(np.concatenate(sets))
+            known, sizes = np.unique(np.concatenate(sets)), np.array([len(x) for x in sets])
             own = np.zeros((len(sets), len(known)), np.float32)
             for k, s in enumerate(sets):
                 own[k, np.searchsorted(known, s)] = 1
@@ -207,7 +257,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = np.array(y["members"], np.int64)
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 common = own[:, at[known[at] == s]].sum(axis=1, dtype=np.float64)
-                for k in np.flatnonzero(WHOLE * common >= PART * (np.array([len(x) for x in sets]) + len(s) - common)):
+                for k in np.flatnonzero(_reached(common, len(s), sizes)):
                     if left[k]["label"] != y["label"]:
                         found.setdefault((left[k]["node"], y["label"]), y["node"])
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
@@ -216,13 +266,57 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocked(members: DataFrame, sets: DataFrame, role: str) -> DataFrame:
     """Members (group, node, label) with their sets, gathered in blocks of bounded size: group, block, <role>."""
-    full = members.join(sets, "node")
-    sizes = full.groupBy("group").agg(F.greatest(F.ceil(F.sum(F.size("members")) / BLOCK_TOKENS),
+    full = members.join(sets.select("node", "n", "members"), "node")
+    sizes = members.join(sets.select("node", "n"), "node").groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS),
                                                  F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     return (full.join(sizes, "group").groupBy("group", F.pmod(F.xxhash64("node"), F.col("blocks")).alias(f"{role}_block"))
             .agg(F.collect_list(F.struct("node", "label", "members")).alias(role)))
 
 
+def _in_large_clusters(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label) of the linked nodes of clusters too large for one task, without comparing all their pairs.
+
+    In every signature's group all members are compared with one pivot.  Groups that still hold several components
+    are merged by their largest component, and their other members meet all members, in blocks of bounded size.
+    """
+    near = lambda a, b: F.lit(WHOLE) * F.least(a, b) >= F.lit(PART) * F.greatest(a, b)
+    pairs = grouped.where(F.col("node") != F.col("pivot")).select("node", "pivot").distinct()
+    common = F.size(F.array_intersect("members", "pivot_members"))
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("members").alias("pivot_members"))
+    links = (pairs.join(sets, "node").join(pivots, "pivot").where(near(F.col("n"), F.col("pivot_n")))
+             .where(F.lit(WHOLE) * common >= F.lit(PART) * (F.col("n") + F.col("pivot_n") - common))
+             .select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    links = scratch_table(links, "links")
+    labels = components(links)
+    open_groups = (grouped.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    kinds = open_groups.groupBy("sig", "label").count()
+    largest = (kinds.groupBy("sig").agg(F.count("*").alias("kinds"), F.max_by("label", F.struct("count", "label")).alias("group"))
+               .where("kinds > 1").select("sig", "group"))
+    members = scratch_table(open_groups.join(largest, "sig").select("group", "node", "label").distinct(), "open")
+    minors = _blocked(members.where(F.col("group") != F.col("label")), sets, "minors")
+    others = _blocked(members, sets, "others")
+    more = minors.join(others, "group").select("minors", "others").mapInArrow(_compared, "a bigint, b bigint")
+    more = scratch_table(more, "more")
+    return labels if more.isEmpty() else components(links.unionAll(more))
+
+
+def _same_sets(clusters: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cluster, node, members) of the nodes (cluster, node): the text of each node's smallest doc_id is read again.
+
+    Few nodes are broadcast, many are joined by a shuffle.  Rows without a doc_id are matched by their node.
+    """
+    named = scratch_table(clusters.join(reps, "node").select("doc_id", "cluster", "node"), "named")
+    few = named.count() <= FEW
+    hint = F.broadcast if few else (lambda x: x)
+    rows = (docs.join(hint(named.where(F.col("doc_id").isNotNull()).withColumnRenamed("node", "wanted")), "doc_id")
+            .select("text", "cluster", "wanted").mapInArrow(_members, "cluster bigint, wanted bigint, node bigint, members array<bigint>")
+            .where("node = wanted").select("cluster", "node", "members"))
+    keyless = docs.where(F.col("doc_id").isNull()).select("text", F.lit(0).cast("bigint").alias("cluster"), F.lit(0).cast("bigint").alias("wanted"))
+    keyless = (keyless.mapInArrow(_members, "cluster bigint, wanted bigint, node bigint, members array<bigint>").select("node", "members")
+               .join(hint(named.where(F.col("doc_id").isNull()).select("node", "cluster")), "node"))
+    return rows.unionByName(keyless)
+
+
 def linked_components(docs: DataFrame, boundary: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -238,52 +332,38 @@ def linked_components(docs: DataFrame, boundary: int | None = None) -> DataFrame
     shared = spark.sparkContext.broadcast((listed, counts))
     signed = scratch_table(docs.mapInArrow(_signed(shared, boundary), "doc_id bigint, node bigint, n bigint, sigs array<bigint>"),
                            "signed")
-    classes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"),
-                                                        F.first("sigs").alias("sigs"))
+    full = signed.where("n > 0")
+    classes = full.groupBy("node").agg(F.first("sigs").alias("sigs"))
     hot = counts > SHARED
     hot = spark.createDataFrame(list(zip(single(listed[hot]).tolist(), (counts[hot] // SHARED + 1).tolist(), strict=True)),
                                 "sig bigint, split bigint")
-    entries = (classes.select(F.explode("sigs").alias("sig"), "node", "n").join(F.broadcast(hot), "sig", "left")
-               .withColumn("split", F.coalesce("split", F.lit(1))))
-    group = Window.partitionBy("sig", F.pmod(F.xxhash64("node"), F.col("split")))
-    grouped = (entries.withColumn("size", F.count("*").over(group))
-               .withColumn("pivot", F.min(F.struct(F.xxhash64("node").alias("rank"), "node", "n")).over(group))
-               .where("size > 1 OR split > 1"))
-    grouped = scratch_table(grouped.select("sig", "node", "n", "split", "size", F.col("pivot.node").alias("pivot"),
-                                           F.col("pivot.n").alias("pivot_n")), "grouped")
-    # Sets of all nodes that share a signature, from the smallest doc_id of each; rows without one are few.
-    wanted = grouped.select("node").distinct()
-    reps = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    texts = docs.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    texts = texts.unionAll(docs.where(F.col("doc_id").isNull()).select("text"))
-    sets = texts.mapInArrow(_members, "node bigint, members array<bigint>").groupBy("node").agg(F.first("members").alias("members"))
-    sets = scratch_table(sets.join(wanted, "node", "left_semi"), "sets")
-    near = lambda a, b: F.lit(WHOLE) * F.least(a, b) >= F.lit(PART) * F.greatest(a, b)
-    pairs = (grouped.where((F.col("node") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n")))
-             .select("node", "pivot").distinct())
-    common = F.size(F.array_intersect("members", "pivot_members"))
-    links = (pairs.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("members").alias("pivot_members")), "pivot")
-             .where(F.lit(WHOLE) * common >= F.lit(PART) * (F.size("members") + F.size("pivot_members") - common))
-             .select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    links = scratch_table(links, "links")
-    labels = components(links)
-    # Groups with several components: their members outside the largest one meet all members.
-    open_groups = (grouped.where("size > 2 OR split > 1").select("sig", "node").join(labels, "node", "left")
-                   .withColumn("label", F.coalesce("label", "node")))
-    kinds = open_groups.groupBy("sig", "label").count()
-    largest = (kinds.groupBy("sig").agg(F.count("*").alias("kinds"), F.max_by("label", F.struct("count", "label")).alias("group"))
-               .where("kinds > 1").select("sig", "group"))
-    members = scratch_table(open_groups.join(largest, "sig").select("group", "node", "label").distinct(), "open")
-    minors = _blocked(members.where(F.col("group") != F.col("label")), sets, "minors")
-    others = _blocked(members, sets, "others")
-    more = minors.join(others, "group").select("minors", "others").mapInArrow(_compared, "a bigint, b bigint")
-    more = scratch_table(more, "more")
-    if not more.isEmpty():
-        labels = components(links.unionAll(more))
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).join(labels, "node", "left")
-    nodes = scratch_table(nodes.withColumn("label", F.coalesce("label", "node")), "nodes")
-    linked = nodes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = scratch_table(nodes.join(linked, "label").select("node", "component_id"), "named")
+    entries = classes.select(F.explode("sigs").alias("sig"), "node").join(F.broadcast(hot), "sig", "left")
+    group = Window.partitionBy("sig", F.pmod(F.xxhash64("node"), F.coalesce("split", F.lit(1))))
+    rank = F.struct(F.xxhash64("node").alias("rank"), "node")
+    grouped = (entries.withColumn("size", F.count("*").over(group)).withColumn("pivot", F.min(rank).over(group))
+               .where("size > 1 OR split IS NOT NULL"))
+    grouped = scratch_table(grouped.select("sig", "node", "split", F.col("pivot.node").alias("pivot")), "grouped")
+    # Clusters: nodes that signatures tie together, whether similar or not.
+    ties = grouped.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    split = grouped.where(F.col("split").isNotNull()).groupBy("sig", "pivot").count().select("sig", "pivot")
+    ties = ties.unionAll(split.join(split.groupBy("sig").agg(F.min("pivot").alias("b")), "sig").select(F.col("pivot").alias("a"), "b"))
+    clusters = components(ties.distinct()).withColumnRenamed("label", "cluster")
+    reps = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    sizes = (clusters.join(reps, "node").groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
+             .withColumn("large", (F.col("nodes") > BLOCK_SETS) | (F.col("tokens") > CLUSTER_TOKENS)))
+    clusters = scratch_table(clusters.join(sizes.select("cluster", "large"), "cluster"), "clusters")
+    small = _same_sets(clusters.where(~F.col("large")), reps, docs)
+    labels = scratch_table(small.repartition("cluster").sortWithinPartitions("cluster", "node")
+                           .mapInArrow(_in_clusters, "node bigint, label bigint"), "small")
+    large = clusters.where("large")
+    if not large.isEmpty():
+        sets = _same_sets(large, reps, docs).groupBy("node").agg(F.first("members").alias("members"))
+        sets = scratch_table(sets.withColumn("n", F.size("members")), "sets")
+        labels = labels.unionByName(_in_large_clusters(grouped.join(large.select("node"), "node", "left_semi"), sets))
+    nodes = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = scratch_table(nodes.select("node", "label", "doc_id"), "nodes")
+    linked = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = scratch_table(nodes.join(linked, "label").select("node", "component_id"), "components")
     return (signed.select("doc_id", "node", "n").join(named, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
