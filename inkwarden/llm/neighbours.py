@@ -84,14 +84,17 @@ def search(tree: dict, own: np.ndarray, queries: np.ndarray, k: int, factor: flo
     room = k + 1  # one may be the query itself
     best = np.full((len(queries), room), -np.inf)
 
-    def open_to(leaf: int) -> np.ndarray:
+    seen = np.zeros(low.shape, bool)
+
+    def open_to(leaf: int, factor: float) -> np.ndarray:
         worst = best[:, 0]
         reach = np.sqrt(np.maximum(0, square + tree["limit"] ** 2 - 2 * np.maximum(worst, -1e300))) + 1e-7 * (1 + tree["limit"])
         return np.flatnonzero((low[:, leaf] * factor <= reach) | (worst == -np.inf))
 
     visited = 0
     for leaf in np.argsort(low.mean(axis=0), kind="stable"):
-        at = open_to(leaf)
+        at = open_to(leaf, factor)
+        seen[at, leaf] = True
         if len(at):
             part = points[leaves[leaf]:leaves[leaf + 1]]
             visited += len(at) * len(part)
@@ -103,7 +106,8 @@ def search(tree: dict, own: np.ndarray, queries: np.ndarray, k: int, factor: flo
     whose, which = [], []
     floor = best.min(axis=1) - scale
     for leaf in range(len(tree["paths"])):
-        at = open_to(leaf)
+        at = open_to(leaf, 1.0)
+        at = at[seen[at, leaf]]
         a, b = np.nonzero(queries[at] @ points[leaves[leaf]:leaves[leaf + 1]].T >= floor[at, None])
         whose.append(at[a])
         which.append(b + leaves[leaf])
