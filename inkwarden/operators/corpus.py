@@ -48,24 +48,29 @@ def stratified_split(corpus: DataFrame, key: str, label: str = "label",
                      test_share: float = fixed.TEST_SHARE, seed: str = "42") -> DataFrame:
     """Adds ``split``: exactly ``floor(share * rows)`` test rows per label, chosen by hash.
 
-    Selecting the smallest hashes per label needs a rank per label.  Instead of sorting one
-    label's rows in one task, hashes are counted in 65,536 ranges; only the range holding the
-    boundary is ranked row by row.
+    Selecting the smallest hashes per label needs a rank per label.  Hashes are counted in 65,536 ranges; only the
+    keys in the range that holds the boundary are ranked.  That gives the last test key of each label, and every
+    row is decided by comparing with it: one row per label is joined, and no text is shuffled.
     """
     from pyspark.sql import Window as W
 
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)))
-    hashed = corpus.withColumn("_h", digest).withColumn("_b", F.left("_h", F.lit(4)))
+    hashed = corpus.select(label, F.col(key).alias("_k"), digest.alias("_h")).withColumn("_b", F.left("_h", F.lit(4)))
     ranges = hashed.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     run = W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(label)
     bounds = ranges.select(
         label, "_b", (F.sum("_n").over(run) - F.col("_n")).alias("_before"),
         F.floor(F.sum("_n").over(whole) * F.lit(test_share)).alias("_wanted"))
-    placed = hashed.join(bounds, [label, "_b"])
-    local = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key))
-    split = F.when(F.col("_before") + local <= F.col("_wanted"), "test").otherwise("train")
-    return placed.withColumn("split", split).drop("_h", "_b", "_before", "_wanted")
+    edge = bounds.where((F.col("_before") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_before") + F.col("_n")))
+    near = hashed.join(edge.select(label, "_b", (F.col("_wanted") - F.col("_before")).alias("_rest")), [label, "_b"])
+    local = F.row_number().over(W.partitionBy(label).orderBy("_h", "_k"))
+    last = (near.withColumn("_i", local).where("_i <= _rest").groupBy(F.col(label).alias("_label"))
+            .agg(F.max(F.struct("_h", "_k")).alias("_last")))
+    own = F.struct(digest.alias("_h"), F.col(key).alias("_k"))
+    placed = corpus.join(last, F.col(label) == F.col("_label"), "left")
+    return (placed.withColumn("split", F.when(F.coalesce(own <= F.col("_last"), F.lit(False)), "test").otherwise("train"))
+            .drop("_label", "_last"))
 
 
 def time_split(corpus: DataFrame, order: str, share: float = fixed.TRAIN_QUANTILE) -> DataFrame:

@@ -119,26 +119,28 @@ def choose_variant(results: DataFrame, simplicity: list[str], guards: Column) ->
 
 
 def leave_one_source_out(corpus: DataFrame, sources: list[str],
-                         fit_and_score: Callable[[DataFrame, DataFrame], DataFrame],
+                         fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
                          positives: DataFrame) -> DataFrame:
-    """Per held-out source: false positives on it and recall on the shared positive test.
+    """Per held-out source: false positives on it and recall on the shared positive test rows.
 
-    ``fit_and_score(train, rows)`` returns ``rows`` with a ``score`` column.  The loop runs
-    one distributed fit per source; a source is skipped when one class would remain.
+    ``corpus`` carries ``split``; training rows are those of the other sources in its train part, and ``positives``
+    are positive rows of its test part.  ``fit(train)`` returns a function that adds ``score`` to rows.  The loop
+    runs one distributed fit per source; a source is skipped when one class would remain.
     """
     from functools import reduce
 
     parts = []
     for held in sources:
-        train = corpus.where(F.col("source") != held)
+        train = corpus.where((F.col("source") != held) & (F.col("split") == "train"))
         unseen = corpus.where((F.col("source") == held) & (F.col("label") == 0))
         if train.select("label").distinct().count() < 2 or unseen.isEmpty():
             continue
-        false_alarms = fit_and_score(train, unseen).agg(
+        score = fit(train)
+        false_alarms = score(unseen).agg(
             F.count("*").alias("n_unseen_legit"),
             F.round(F.avg((F.col("score") >= 0.5).cast("double")), 4).alias("fpr_05"),
             F.round(F.avg((F.col("score") >= fixed.QUARANTINE_THRESHOLD).cast("double")), 4).alias("fpr_q"))
-        caught = fit_and_score(train, positives).agg(
+        caught = score(positives).agg(
             F.round(F.avg((F.col("score") >= 0.5).cast("double")), 4).alias("recall_05"))
         parts.append(false_alarms.select(F.lit(held).alias("held_out"), "*", caught.scalar().alias("recall_05")))
     if not parts:

@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,20 +15,20 @@ from ..functions import fixed
 from ..functions.core import let, sigmoid
 from ..functions.text import normalise, readable_tokens, terms
 
-_CELLS = "v struct<indices array<int>, values array<double>>"
-
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str]) -> DataFrame:
-    """``(key, term, tf)``.
-
-    The documents are shuffled once by key, before their terms are exploded: a text is far
-    smaller than its exploded words and bigrams, and every later grouping by key finds its
-    rows in place.
-    """
-    placed = docs.select(key, F.col(text).alias("_text")).repartition(key)
+    """``(key, term, tf)``, one document a row: terms are counted inside the row, so nothing is shuffled."""
+    def counted(found: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), first)
+        return let(starts, lambda at: F.zip_with(
+            at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(found))),
+            lambda a, b: F.struct(F.get(found, a).alias("term"), (b - a).cast("bigint").alias("tf"))))
+
+    found = F.array_compact(terms(F.col(text), stop_words))
+    rows = let(F.sort_array(found), lambda f: F.when(F.size(f) > 0, counted(f)))
     # Outer: the inner form makes Spark filter on the array first, computing it twice.
-    exploded = placed.select(key, F.explode_outer(terms(F.col("_text"), stop_words)).alias("term"))
-    return exploded.where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return docs.select(key, F.inline_outer(rows)).where("term is not null")
 
 
 def term_statistics(docs: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
@@ -74,12 +74,8 @@ class Lookup:
         rows = table.select("term", *columns).limit(fixed.MAX_VOCABULARY + 1).toPandas()
         if not 0 < len(rows) <= fixed.MAX_VOCABULARY:
             raise ValueError(f"a model needs 1 to {fixed.MAX_VOCABULARY} terms")
-        known = table.sparkSession.createDataFrame(rows[["term"]]).select(F.array("term").alias("_terms"))
-        fitted = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=1.0,
-                                 vocabSize=fixed.MAX_VOCABULARY).fit(known)
-        ordered = rows.set_index("term").loc[fitted.vocabulary]
-        return cls(fitted, {"term": list(ordered.index),
-                            **{c: [float(v) for v in ordered[c]] for c in columns}})
+        fitted = CountVectorizerModel.from_vocabulary(rows["term"].tolist(), inputCol="_terms", outputCol="_tf")
+        return cls(fitted, {"term": rows["term"].tolist(), **{c: [float(v) for v in rows[c]] for c in columns}})
 
     def number(self, column: str, index: Column) -> Column:
         kind = "array<string>" if column == "term" else "array<double>"
@@ -97,8 +93,7 @@ class Lookup:
                                  lambda length: F.transform(w, lambda x: x / length))
             return F.struct(v.indices.alias("indices"), let(raw, unit).alias("weights"))
 
-        cells = F.from_json(F.to_json(F.struct(F.col("_tf").alias("v"))), _CELLS).v
-        return counted.withColumn(name, let(cells, weighted)).drop("_tf")
+        return counted.withColumn(name, let(F.unwrap_udt("_tf"), weighted)).drop("_tf")
 
 
 @dataclass(frozen=True)

@@ -129,24 +129,25 @@ def stored_quarantine(spark, sf_dir):
         "incident_id", "version", F.col("restored_at").isNotNull().alias("restored"))
 
 
-@register("prepared_corpus", """SELECT lang, count(*) AS rows FROM documents GROUP BY lang""")
+@register("prepared_corpus", """SELECT lang, count(*) AS rows, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang""")
 def prepared_corpus(spark, sf_dir):
     """A corpus built once per signature of its files, then read from the cache."""
     files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "length")
     cache = work_folder(spark)
-    build = lambda: inputs.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    build = lambda: inputs.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     stores.prepared_corpus(spark, files, build, cache)
     again = stores.prepared_corpus(spark, files, build, cache)
-    return again.groupBy("lang").agg(F.count("*").alias("rows"))
+    return again.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
 
 
 @register("stored_metrics", f"""WITH {inputs.SCORED_SQL}, s AS (SELECT label, coalesce(score, 1.0) AS sc FROM scored)
-  SELECT 'email' AS model, 'test' AS test_set, 'n' AS metric, count(*)::DOUBLE AS value FROM s
-  UNION ALL SELECT 'email', 'test', 'tp', count(*) FILTER (sc >= 0.5 AND label = 1)::DOUBLE FROM s
-  UNION ALL SELECT 'email', 'test', 'fp', count(*) FILTER (sc >= 0.5 AND label <> 1)::DOUBLE FROM s""")
+  , c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (sc >= 0.5 AND label = 1)::DOUBLE AS tp, count(*) FILTER (sc >= 0.5 AND label <> 1)::DOUBLE AS fp,
+    count(*) FILTER (sc < 0.5 AND label <> 1)::DOUBLE AS tn, count(*) FILTER (sc < 0.5 AND label = 1)::DOUBLE AS fn FROM s),
+  r AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS q, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f, fp / nullif(fp + tn, 0) AS a FROM c)
+  SELECT 'email' AS model, 'test' AS test_set, unnest(['n', 'tp', 'fp', 'tn', 'fn', 'precision', 'recall', 'f1', 'false_positive_rate']) AS metric,
+    unnest([n, tp, fp, tn, fn, round(coalesce(p, 0), 4), round(coalesce(q, 0), 4), round(coalesce(f, 0), 4), round(coalesce(a, 0), 4)]) AS value FROM r""")
 def stored_metrics(spark, sf_dir):
     folder = work_folder(spark)
     scored = inputs.scored(spark, sf_dir).withColumn("score", F.coalesce("score", F.lit(1.0)))
     stores.write_metrics(evaluate.threshold_metrics(scored), folder, "email", "email", "test")
-    rows = spark.read.parquet(folder).where(F.col("metric").isin("n", "tp", "fp"))
-    return rows.select("model", "test_set", "metric", "value")
+    return spark.read.parquet(folder).select("model", "test_set", "metric", "value")

@@ -49,12 +49,11 @@ def masked_number_texts(spark, sf_dir):
 @register("cleaned_fingerprints", """SELECT doc_id, replace(replace(replace(replace(replace(regexp_replace(
     'Back &lt;#&gt; hours since &lt;DATE&gt ' || text || ' caf&eacute; &#8364; &pound;5 &amp;lt;',
     '&lt;[#A-Z]{0,12}&gt;?', ' ', 'g'), '&eacute;', 'é'), '&#8364;', '€'), '&pound;', '£'), '&lt;', '<'), '&amp;', '&') AS text
-  FROM documents WHERE NOT contains(text, '&')""")
+  FROM documents""")
 def cleaned_fingerprints(spark, sf_dir):
     noisy = F.concat(F.lit("Back &lt;#&gt; hours since &lt;DATE&gt "), "text",
                      F.lit(" caf&eacute; &#8364; &pound;5 &amp;lt;"))
-    rows = _documents(spark, sf_dir).where(~F.contains("text", F.lit("&")))
-    return rows.select("doc_id", text.clean_fingerprints(noisy).alias("text"))
+    return _documents(spark, sf_dir).select("doc_id", text.clean_fingerprints(noisy).alias("text"))
 
 
 _ENGLISH = (f"len(list_filter(w, lambda t: list_contains({o.sql_list(fixed.ENGLISH_WORDS)}, t)))")

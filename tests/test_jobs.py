@@ -221,3 +221,35 @@ def test_changed_model_is_refused(spark):
     assert model.verify_fingerprint(terms.orderBy(F.desc("term")), known).count() == 2
     with pytest.raises(ValueError):
         model.verify_fingerprint(terms.withColumn("coef", F.col("coef") * 1.0001), known)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    from inkwarden.operators import model
+
+    docs = spark.createDataFrame([(1, "red red blue"), (2, ""), (3, None), (4, "green")], "id int, text string")
+    found = model.term_counts(docs, "id", "text", [])
+    assert {(r.id, r.term): r.tf for r in found.collect() if " " not in r.term} == {(1, "red"): 2, (1, "blue"): 1, (4, "green"): 1}
+    assert "Exchange" not in _plan(found)
+
+
+def test_model_scoring_reads_vectors_without_json(spark):
+    from inkwarden.operators import model
+
+    rows = spark.createDataFrame([(i, f"alpha beta word{i % 5} gamma" if i % 2 else "delta epsilon zeta", i % 2) for i in range(40)],
+                                 "id int, text string, label int")
+    fitted = model.train(rows, max_iterations=5)
+    scored = model.predict(rows, fitted, "id", "text")
+    assert "to_json" not in _plan(scored).lower() and scored.count() == 40
+
+
+def test_splits_shuffle_no_text(spark):
+    rows = [(i, f"text {i}", i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, text string, label int")
+    parts = corpus.stratified_split(df, "id")
+    counts = {(r["label"], r["split"]): r["count"] for r in parts.groupBy("label", "split").count().collect()}
+    assert counts == {(label, split): n for label in range(3) for split, n in (("test", 20), ("train", 80))}
+    assert not [line for line in _plan(parts).splitlines() if "Exchange hashpartitioning" in line and "text" in line]
