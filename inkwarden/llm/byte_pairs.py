@@ -6,17 +6,26 @@ none has a rank.  Ranks stand in a literal map, split into buckets by crc32, sin
 The most frequent distinct words of a bounded sample are folded beforehand and looked up in a second literal map;
 all other words are folded where they stand, so the sample never changes a result.  Decoding joins the binary
 pieces of the ids.
+
+``encode_in_tasks`` is the same fold in Python: each task keeps the ids of the distinct words it has met.  The
+higher-order form is right but too slow for the limits of the check (see README), so the query takes this one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, sample_share
+from .common import chunks, column_texts, documents, sample_share
 from .encoders import ranks_of, tokenizer_file
 
 BUCKETS = 1 << 14
@@ -29,6 +38,14 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 
 
+def ascii_pattern(pattern: str) -> str:
+    r"""The pattern for texts in ASCII and an engine without ``\p``: letters, digits and white space are written out."""
+    for a, b in ((r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]"), (r"\p{L}", "[A-Za-z]"), (r"\p{N}", "[0-9]"), (r"\S", r"[^\t-\r ]"),
+                 (r"\s", r"[\t-\r ]")):
+        pattern = pattern.replace(a, b)
+    return pattern
+
+
 def bucketed(entries: dict[str, object], value: str) -> Column:
     """A literal array of maps; an entry stands in the map of its key's crc32."""
     maps: list[dict] = [{} for _ in range(BUCKETS)]
@@ -117,10 +134,130 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
 
 
-def op10_byte_pairs(spark, sf_dir: str) -> DataFrame:
-    """Every document encoded, digested and decoded again."""
-    encoded = encode(documents(spark, sf_dir).select("doc_id", "text"))
+def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: of all neighbouring pieces the pair with the lowest rank is joined, the leftmost of equals."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    pieces = [word[i:i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i:i + 2], NONE) for i in range(len(word) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == NONE:
+            break
+        at = pairs.index(least)
+        joined = pieces[at] + pieces[at + 1]
+        pieces[at:at + 2] = [joined]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = ranks.get(pieces[at - 1] + joined, NONE)
+        if at < len(pairs):
+            pairs[at] = ranks.get(joined + pieces[at + 1], NONE)
+    return [ranks[p] for p in pieces]
+
+
+class Words(dict):
+    """Of distinct words the number of ids, the ids as text, and the bytes that the ids decode to.
+
+    It forgets all of them at a bound, so a task's memory stays bounded.
+
+    A run of one character can make a word of any length; its fold takes quadratic time in the length, so such
+    words, over ``LONG`` bytes, are folded with a heap of pairs instead.
+    """
+
+    LONG = 256
+
+    def __init__(self, ranks: dict[bytes, int], pieces: list[bytes], bound: int = 200_000):
+        super().__init__()
+        self.ranks, self.pieces, self.bound = ranks, pieces, bound
+
+    def __missing__(self, word: str) -> tuple[int, str, bytes]:
+        if len(self) >= self.bound:
+            self.clear()
+        raw = word.encode()
+        ids = fold(raw, self.ranks) if len(raw) <= self.LONG else fold_long(raw, self.ranks)
+        entry = len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids])
+        if len(raw) <= self.LONG:
+            self[word] = entry
+        return entry
+
+
+def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same as ``fold`` with a heap: pairs leave it by rank, then place; stale ones are passed over."""
+    import heapq
+
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    piece = [word[i:i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i] if piece[i] else n
+        if j >= n or len(piece[i]) + len(piece[j]) != size:
+            continue
+        piece[i] += piece[j]
+        piece[j] = b""
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (r := ranks.get(piece[a] + piece[b])) is not None:
+                heapq.heappush(heap, (r, a, len(piece[a]) + len(piece[b])))
+    return [ranks[p] for p in piece if p]
+
+
+@lru_cache(maxsize=2)
+def _table(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+    ranks = ranks_of(path)
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return ranks, pieces
+
+
+def _digested(path: str, pattern: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        ranks, pieces = _table(path)
+        split, plain, words = regex.compile(pattern).findall, re.compile(ascii_pattern(pattern)).findall, Words(ranks, pieces)
+        for batch in chunks(batches, 500, size=2_000_000):
+            out = []
+            for text in column_texts(batch):
+                found = list(map(words.__getitem__, (plain if text.isascii() else split)(text)))
+                told = hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest()
+                out.append((sum([x[0] for x in found]), told, hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()),
+                 pa.array([r[2] for r in out], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows
+
+
+def encode_in_tasks(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs`` (doc_id, text); null texts are empty."""
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    path = path or tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    return docs.select("doc_id", "text").mapInArrow(
+        _digested(path, pattern), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """The same columns by higher-order functions."""
+    encoded = encode(docs.select("doc_id", "text"))
     return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+def op10_byte_pairs(spark, sf_dir: str) -> DataFrame:
+    """Every document encoded, digested and decoded again."""
+    return encode_in_tasks(documents(spark, sf_dir))

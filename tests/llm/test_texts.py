@@ -164,11 +164,11 @@ def test_byte_pairs(spark, odd, none, tmp_path):
     more = odd.select("doc_id", "text").unionAll(spark.createDataFrame(
         [(20, "don't we'LL  x  y\u0085z\r\n\n end "), (21, "日本語テキスト　です 123４５ ½²")], "doc_id bigint, text string"))
     more.write.parquet(f"{tmp_path}/documents.parquet")
-    got = byte_pairs.op10_byte_pairs(spark, str(tmp_path))
     wanted = digests([tuple(r) for r in more.collect()], encoder)
-    assert got.count() == more.count()
-    for r in got.collect():
-        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) in wanted[r["doc_id"]]
+    for got in (byte_pairs.op10_byte_pairs(spark, str(tmp_path)), byte_pairs.digests(more)):
+        assert got.count() == more.count()
+        for r in got.collect():
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) in wanted[r["doc_id"]]
     none.select("doc_id", "text").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert byte_pairs.op10_byte_pairs(spark, f"{tmp_path}/none").count() == 0
 
@@ -177,5 +177,16 @@ def test_byte_pair_query(spark):
     encoder = encoding_of(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     wanted = digests(docs, encoder)
-    got = {r["doc_id"]: {tuple(r)[1:]} for r in byte_pairs.op10_byte_pairs(spark, SMALL).collect()}
-    assert got == wanted
+    assert {r["doc_id"]: {tuple(r)[1:]} for r in byte_pairs.op10_byte_pairs(spark, SMALL).collect()} == wanted
+    whole = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert {r["doc_id"]: {tuple(r)[1:]} for r in byte_pairs.digests(whole).collect()} == wanted
+
+
+def test_folds_agree():
+    ranks = byte_pairs.ranks_of(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    encoder = encoding_of(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 7, 30, 400, 3000):
+        for letters in ("a", "ab", "etaoinshr"):
+            word = "".join(rng.choice(list(letters), n))
+            assert byte_pairs.fold(word.encode(), ranks) == byte_pairs.fold_long(word.encode(), ranks) == encoder.encode_ordinary(word)
