@@ -25,6 +25,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 _expressions: dict[tuple, object] = {}
+_owner: list[str] = [""]
+
+
+def _session_expressions() -> dict[tuple, object]:
+    """The finished expressions of the running application; those of an earlier one are dropped."""
+    context = SparkContext._active_spark_context
+    now = context.applicationId if context else ""
+    if _owner[0] != now:
+        _expressions.clear()
+        _owner[0] = now
+    return _expressions
 
 
 def reused(build: Callable[..., Column]) -> Callable[..., Column]:
@@ -38,15 +49,16 @@ def reused(build: Callable[..., Column]) -> Callable[..., Column]:
     def get(*args, **options) -> Column:
         if any(isinstance(a, Column) for a in (*args, *options.values())):
             return build(*args, **options)
-        key = (build.__module__, build.__name__, id(SparkContext._active_spark_context),
+        known = _session_expressions()
+        key = (build.__module__, build.__name__,
                tuple(a if isinstance(a, (str, int, float)) else id(a) for a in args),
                tuple(sorted((k, v if isinstance(v, (str, int, float)) else id(v))
                             for k, v in options.items())))
-        if key not in _expressions:
+        if key not in known:
             columns = [F.col(a) if isinstance(a, str) and i == 0 else a for i, a in enumerate(args)]
             # The arguments stay referenced, so that their ids cannot be taken by others.
-            _expressions[key] = (build(*columns, **options), args, options)
-        return _expressions[key][0]
+            known[key] = (build(*columns, **options), args, options)
+        return known[key][0]
 
     return get
 
@@ -64,10 +76,10 @@ def exploded(df: DataFrame, keep: list, rows: Column, pos: str | None = None) ->
 
 
 def _remember(key: tuple, build: Callable[[], Column]) -> Column:
-    full = (*key, id(SparkContext._active_spark_context))
-    if full not in _expressions:
-        _expressions[full] = build()
-    return _expressions[full]
+    known = _session_expressions()
+    if key not in known:
+        known[key] = build()
+    return known[key]
 
 
 def _split_literal(joined: str) -> Column:

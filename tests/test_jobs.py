@@ -253,3 +253,25 @@ def test_splits_shuffle_no_text(spark):
     counts = {(r["label"], r["split"]): r["count"] for r in parts.groupBy("label", "split").count().collect()}
     assert counts == {(label, split): n for label in range(3) for split, n in (("test", 20), ("train", 80))}
     assert not [line for line in _plan(parts).splitlines() if "Exchange hashpartitioning" in line and "text" in line]
+
+
+def test_workers_get_the_package(tmp_path):
+    """A session started outside the repository, whose workers cannot import the package by themselves."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from inkwarden.session import local_session, ship_package
+from inkwarden.operators import ops
+spark = local_session("2", **{{"spark.driver.memory": "1g"}})
+ship_package(spark)
+rows = spark.createDataFrame([(i, "e", "m") for i in range(9)], "seq bigint, event string, mailbox string")
+print("LINES", ops.build_audit_chain(rows, ["mailbox"], "seq", ["seq", "event", "mailbox"], 4).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "LINES 9" in done.stdout, done.stderr[-2000:]
