@@ -6,7 +6,8 @@ an overlap of at least ``ceil(0.85 n)`` with any partner, so in one order of all
 of the first ``n - ceil(0.85 n) + l``.  Sets up to a boundary size (light) enumerate all pairs of such shingles
 (``l`` = 2) as signatures; larger sets (heavy), and light ones that can be partners of heavy ones, enter the inverted
 list of each single shingle (``l`` = 1).  The boundary is the size at which enumeration begins to cost more than
-scanning.  The order puts frequent shingles, found by counting inside tasks, last.
+scanning.  The order puts frequent
+shingles last; a signature's members that differ too much in size are separate groups.
 
 Signatures tie classes to clusters.  A cluster that fits a task is compared there, each set shipped once.  In a larger
 one no group's pairs are enumerated: all members of a signature's group are compared with one pivot, and of groups
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 from .common import MIX, WordHashes, chunks, column_texts, documents, mix, scratch_table
 
 WORDS, PART, WHOLE = 4, 85, 100
-#: Tasks count shingles in runs of this many; at least FREQUENT in a run makes one a candidate for the end of the order.
-RUN, FREQUENT = 1 << 21, 3
-#: Bound of the broadcast list of frequent shingles.
-LISTED = 1 << 18
-#: Members of a group of a very frequent shingle that share a pivot; tokens and sets of a block of comparisons.
-SHARED, BLOCK_TOKENS, BLOCK_SETS = 8192, 1 << 16, 256
+#: Tasks count shingles in runs of this many; a shingle in FREQUENT sets or more goes to the end of the order.
+RUN, FREQUENT = 1 << 21, 4
+#: Counted are shingles whose forty bits lie below LOW (three tenths), in so many buckets; bound of the broadcast list.
+LOW, BUCKETS, LISTED = np.uint64((1 << 40) * 3 // 10), 1024, 1 << 20
+#: Tokens and sets of a block of comparisons.
+BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 256
 #: Shingles of a cluster that one task compares; number of nodes up to which they are broadcast to find their texts.
 CLUSTER_TOKENS, FEW = 1 << 18, 1 << 20
 
@@ -73,12 +74,18 @@ def single(shingles: np.ndarray) -> np.ndarray:
     return mix(shingles + MIX).view(np.int64)
 
 
+def keys_of(shingles: np.ndarray) -> np.ndarray:
+    """Forty bits of each shingle, by which frequencies are kept."""
+    return shingles >> np.uint64(24)
+
+
 def signatures(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray, boundary: int) -> np.ndarray:
     """Signatures of one set: pairs of its first shingles if light, single ones for the inverted lists."""
     n = len(shingles)
     if len(listed):
-        at = np.minimum(np.searchsorted(listed, shingles), len(listed) - 1)
-        weight = np.where(listed[at] == shingles, counts[at], 0)
+        keys = keys_of(shingles)
+        at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
+        weight = np.where(listed[at] == keys, counts[at], 0)
         if weight.any():
             shingles = shingles[np.lexsort((shingles, weight))]
     spare, out = n - int(need(n)), []
@@ -92,34 +99,67 @@ def signatures(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray, bou
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that come up several times in a run of texts, with their counts there; under null the number of all."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequencies of low shingles in runs of texts, in buckets: those that came once, and others with their counts."""
     table, held, size = WordHashes(), [], 0
 
-    def counted() -> pa.RecordBatch:
-        values, count = np.unique(np.concatenate(held), return_counts=True)
-        keep = count >= FREQUENT
-        return pa.RecordBatch.from_arrays([pa.array([*values[keep].view(np.int64).tolist(), None], pa.int64()),
-                                           pa.array([*count[keep].tolist(), int(count.sum())], pa.int64())], ["shingle", "n"])
+    def rows() -> pa.RecordBatch:
+        keys = keys_of(np.concatenate(held))
+        values, count = np.unique(keys[keys < LOW], return_counts=True)
+        bucket = (values % np.uint64(BUCKETS)).astype(np.int64)
+        order = np.lexsort((count > 1, bucket))
+        values, count, bucket = (values[order] // np.uint64(BUCKETS)).astype("<u4"), count[order].astype("<u4"), bucket[order]
+        ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        out = []
+        for b in np.flatnonzero(np.diff(ends)):
+            part = slice(ends[b], ends[b + 1])
+            out.append((int(b), values[part].tobytes(), count[part][count[part] > 1].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()),
+                                           pa.array([r[2] for r in out], pa.binary())], ["bucket", "shingles", "counts"])
 
     for batch in chunks(batches, 1000, size=4_000_000):
         for s in shingle_sets(column_texts(batch), table):
             held.append(s)
             size += len(s)
         if size >= RUN:
-            yield counted()
+            yield rows()
             held, size = [], 0
     if held:
-        yield counted()
+        yield rows()
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequent shingles of buckets that arrive one after the other; under null the number of all."""
+    bucket, held = None, []
+
+    def found() -> pa.RecordBatch:
+        values, place = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+        count = np.bincount(place, np.concatenate([c for _, c in held]), len(values)).astype(np.int64)
+        keep = count >= FREQUENT
+        keys = values[keep].astype(np.int64) * BUCKETS + bucket
+        return pa.RecordBatch.from_arrays([pa.array([*keys.tolist(), None], pa.int64()),
+                                           pa.array([*count[keep].tolist(), int(count.sum())], pa.int64())], ["shingle", "n"])
+
+    for batch in batches:
+        for b, raw, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != bucket and held:
+                yield found()
+                held = []
+            bucket, values, more = b, np.frombuffer(raw, "<u4"), np.frombuffer(counts, "<u4")
+            held.append((values, np.concatenate([np.ones(len(values) - len(more)), more])))
+    if held:
+        yield found()
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """At most LISTED frequent shingles, ascending, and their counts; the share of all shingles that were frequent.
+    """Keys of at most LISTED frequent shingles, ascending, their counts, and the share of shingles that are frequent.
 
-    Which ones are found only sets the order of shingles, never the result.
+    Counted are the low shingles, which stand first in an order by hash.  Which ones are listed only sets the order
+    of shingles, never the result.
     """
-    found = docs.select("text").mapInArrow(_frequent, "shingle bigint, n bigint")
-    found = scratch_table(found.groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
+    parts = docs.select("text").mapInArrow(_counted, "bucket int, shingles binary, counts binary")
+    found = (parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent, "shingle bigint, n bigint"))
+    found = scratch_table(found, "frequent")
     sums = found.agg(F.sum(F.when(F.col("shingle").isNotNull(), F.col("n"))), F.sum(F.when(F.col("shingle").isNull(), F.col("n")))).first()
     found, level = found.where(F.col("shingle").isNotNull()), F.floor(F.log2("n")).cast("int")
     least, room = 0, LISTED
@@ -129,7 +169,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
             least = row["level"] + 1
             break
     rows = found.where(level >= least).toPandas()
-    listed = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    listed = rows["shingle"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(listed)
     return listed[order], rows["n"].to_numpy(np.int64)[order], (sums[0] or 0) / (sums[1] or 1)
 
@@ -288,11 +328,11 @@ def _in_large_clusters(grouped: DataFrame, sets: DataFrame) -> DataFrame:
              .select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     links = scratch_table(links, "links")
     labels = components(links)
-    open_groups = (grouped.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    kinds = open_groups.groupBy("sig", "label").count()
-    largest = (kinds.groupBy("sig").agg(F.count("*").alias("kinds"), F.max_by("label", F.struct("count", "label")).alias("group"))
-               .where("kinds > 1").select("sig", "group"))
-    members = scratch_table(open_groups.join(largest, "sig").select("group", "node", "label").distinct(), "open")
+    open_groups = (grouped.select("sig", "run", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    kinds = open_groups.groupBy("sig", "run", "label").count()
+    largest = (kinds.groupBy("sig", "run").agg(F.count("*").alias("kinds"), F.max_by("label", F.struct("count", "label")).alias("group"))
+               .where("kinds > 1").select("sig", "run", "group"))
+    members = scratch_table(open_groups.join(largest, ["sig", "run"]).select("group", "node", "label").distinct(), "open")
     minors = _blocked(members.where(F.col("group") != F.col("label")), sets, "minors")
     others = _blocked(members, sets, "others")
     more = minors.join(others, "group").select("minors", "others").mapInArrow(_compared, "a bigint, b bigint")
@@ -333,21 +373,18 @@ def linked_components(docs: DataFrame, boundary: int | None = None) -> DataFrame
     signed = scratch_table(docs.mapInArrow(_signed(shared, boundary), "doc_id bigint, node bigint, n bigint, sigs array<bigint>"),
                            "signed")
     full = signed.where("n > 0")
-    classes = full.groupBy("node").agg(F.first("sigs").alias("sigs"))
-    hot = counts > SHARED
-    hot = spark.createDataFrame(list(zip(single(listed[hot]).tolist(), (counts[hot] // SHARED + 1).tolist(), strict=True)),
-                                "sig bigint, split bigint")
-    entries = classes.select(F.explode("sigs").alias("sig"), "node").join(F.broadcast(hot), "sig", "left")
-    group = Window.partitionBy("sig", F.pmod(F.xxhash64("node"), F.coalesce("split", F.lit(1))))
-    rank = F.struct(F.xxhash64("node").alias("rank"), "node")
-    grouped = (entries.withColumn("size", F.count("*").over(group)).withColumn("pivot", F.min(rank).over(group))
-               .where("size > 1 OR split IS NOT NULL"))
-    grouped = scratch_table(grouped.select("sig", "node", "split", F.col("pivot.node").alias("pivot")), "grouped")
-    # Clusters: nodes that signatures tie together, whether similar or not.
-    ties = grouped.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    split = grouped.where(F.col("split").isNotNull()).groupBy("sig", "pivot").count().select("sig", "pivot")
-    ties = ties.unionAll(split.join(split.groupBy("sig").agg(F.min("pivot").alias("b")), "sig").select(F.col("pivot").alias("a"), "b"))
-    clusters = components(ties.distinct()).withColumnRenamed("label", "cluster")
+    classes = full.groupBy("node").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+    entries = classes.select(F.explode("sigs").alias("sig"), "node", F.col("n").cast("int").alias("n"))
+    # Members of a signature in the order of their size; where the next is too large for the one before, a group ends.
+    by_size = Window.partitionBy("sig").orderBy("n", "node")
+    entries = entries.withColumn("before", F.lag("n").over(by_size))
+    entries = entries.withColumn("run", F.sum(F.when(WHOLE * F.col("before") < PART * F.col("n"), 1).otherwise(0)).over(by_size))
+    group = Window.partitionBy("sig", "run")
+    grouped = (entries.withColumn("size", F.count("*").over(group))
+               .withColumn("pivot", F.min(F.struct(F.xxhash64("node").alias("rank"), "node")).over(group)).where("size > 1"))
+    grouped = scratch_table(grouped.select("sig", "run", "node", F.col("pivot.node").alias("pivot")), "grouped")
+    # Clusters: nodes that groups tie together, whether similar or not.
+    clusters = components(grouped.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()).withColumnRenamed("label", "cluster")
     reps = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     sizes = (clusters.join(reps, "node").groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
              .withColumn("large", (F.col("nodes") > BLOCK_SETS) | (F.col("tokens") > CLUSTER_TOKENS)))
