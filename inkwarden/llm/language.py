@@ -9,7 +9,6 @@ Training is back-propagation through time in numpy over a bounded sample of labe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from .common import chunks, column_texts, crc_mod, documents, ends_of, sums
 
 SEGMENT = 64
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that say nothing about a language: ASCII other than letters, and the padding.
 WORDY = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
@@ -207,7 +205,7 @@ def _label(net: Network, block: int = 2048):
         pooled, count = sums(mass, ends), sums(wordy, ends)
         pooled /= np.maximum(count, 1)[:, None]
         best = pooled.argmax(axis=1)
-        said = [bool(LETTER.search(x)) for x in texts]
+        said = [any(map(str.isalpha, x)) for x in texts]
         return [pa.array([net.langs[k] if ok else "und" for k, ok in zip(best, said, strict=True)], pa.string()),
                 pa.array(np.where(said, np.clip(pooled[np.arange(len(best)), best], 0, 1), 0.0)),
                 pa.array(count.astype(np.int64))]
