@@ -32,10 +32,12 @@ WORDS, PART, WHOLE = 4, 85, 100
 RUN, FREQUENT = 1 << 21, 4
 #: Counted are shingles whose forty bits lie below LOW (three tenths), in so many buckets; bound of the broadcast list.
 LOW, BUCKETS, LISTED = np.uint64((1 << 40) * 3 // 10), 1024, 1 << 20
+#: Frequency that the other shingles are taken to have: they come after low shingles of smaller groups of copies.
+UNCOUNTED = 64
 #: Tokens and sets of a block of comparisons.
 BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 256
-#: Shingles of a cluster that one task compares; number of nodes up to which they are broadcast to find their texts.
-CLUSTER_TOKENS, FEW = 1 << 18, 1 << 20
+#: Sets and shingles of a cluster that one task compares; number of nodes up to which they are broadcast to find their texts.
+CLUSTER_SETS, CLUSTER_TOKENS, FEW = 1024, 1 << 20, 1 << 20
 
 
 def need(n: np.ndarray | int) -> np.ndarray | int:
@@ -85,9 +87,8 @@ def signatures(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray, bou
     if len(listed):
         keys = keys_of(shingles)
         at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
-        weight = np.where(listed[at] == keys, counts[at], 0)
-        if weight.any():
-            shingles = shingles[np.lexsort((shingles, weight))]
+        weight = np.where(listed[at] == keys, counts[at], np.where(keys < LOW, 0, UNCOUNTED))
+        shingles = shingles[np.lexsort((shingles, weight))]
     spare, out = n - int(need(n)), []
     if n <= boundary and need(n) >= 2:
         first = shingles[:spare + 2]
@@ -387,7 +388,7 @@ def linked_components(docs: DataFrame, boundary: int | None = None) -> DataFrame
     clusters = components(grouped.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()).withColumnRenamed("label", "cluster")
     reps = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     sizes = (clusters.join(reps, "node").groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
-             .withColumn("large", (F.col("nodes") > BLOCK_SETS) | (F.col("tokens") > CLUSTER_TOKENS)))
+             .withColumn("large", (F.col("nodes") > CLUSTER_SETS) | (F.col("tokens") > CLUSTER_TOKENS)))
     clusters = scratch_table(clusters.join(sizes.select("cluster", "large"), "cluster"), "clusters")
     small = _same_sets(clusters.where(~F.col("large")), reps, docs)
     labels = scratch_table(small.repartition("cluster").sortWithinPartitions("cluster", "node")

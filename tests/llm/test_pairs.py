@@ -72,6 +72,7 @@ def test_components(spark, odd, none, boundary):
 def test_hot_groups(spark, monkeypatch):
     """Frequent shingles listed, a cluster of several blocks: the result stays."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    monkeypatch.setattr(jaccard, "CLUSTER_SETS", 40)
     texts = near_copies(9, 1, 150, 40) + [(1000 + i, t) for i, t in near_copies(9, 1, 3, 40)]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     assert sorted(map(tuple, jaccard.linked_components(docs).collect()), key=str) == slow_components(texts)
