@@ -1,9 +1,9 @@
 """Near duplicates by Jaccard similarity of word shingles: a size-aware heavy-light join.
 
 Words are runs of characters other than ASCII white space, A-Z in lower case; a document's set holds its distinct
-runs of ``WORDS`` words, or its whole sequence if shorter.  Equal sets are one class.  A set of ``n`` shingles needs
-an overlap of at least ``ceil(0.85 n)`` with any partner, so in one order of all shingles two partners share ``l``
-of the first ``n - ceil(0.85 n) + l``.  Sets up to a boundary size (light) enumerate all pairs of such shingles
+runs of ``words`` words, or its whole sequence if shorter.  Equal sets are one class.  With the least similarity
+``t = part / whole`` a set of ``n`` shingles needs an overlap of at least ``ceil(t n)`` with any partner, so in one
+order of all shingles two partners share ``l`` of the first ``n - ceil(t n) + l``.  Sets up to a boundary size (light) enumerate all pairs of such shingles
 (``l`` = 2) as signatures; larger sets (heavy), and light ones that can be partners of heavy ones, enter the inverted
 list of each single shingle (``l`` = 1).  The boundary is the size at which enumeration begins to cost more than
 scanning.  The order puts frequent
@@ -19,6 +19,7 @@ Identities of shingles and sets are 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import MIX, WordHashes, chunks, column_texts, documents, mix, scratch_table
 
-WORDS, PART, WHOLE = 4, 85, 100
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the least similarity of a link as ``part / whole``."""
+
+    words: int = 4
+    part: int = 85
+    whole: int = 100
+
+
+#: The values of op3.
+OP3 = Rule()
 #: Tasks count shingles in runs of this many; a shingle in FREQUENT sets or more goes to the end of the order.
 RUN, FREQUENT = 1 << 21, 4
 #: Counted are shingles whose forty bits lie below LOW (three tenths), in so many buckets; bound of the broadcast list.
@@ -40,23 +51,23 @@ BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 256
 CLUSTER_SETS, CLUSTER_TOKENS, FEW = 1024, 1 << 20, 1 << 20
 
 
-def need(n: np.ndarray | int) -> np.ndarray | int:
+def need(n: np.ndarray | int, rule: Rule = OP3) -> np.ndarray | int:
     """Least overlap of a set of ``n`` shingles with a partner."""
-    return -(-PART * n // WHOLE)
+    return -(-rule.part * n // rule.whole)
 
 
-def shingle_sets(texts: list[str], table: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], table: WordHashes, size: int = OP3.words) -> list[np.ndarray]:
     """Distinct shingle hashes of each text, ascending; none for a text without words."""
     words = [x.encode().lower().split() for x in texts]
     hashes = table.of([w for part in words for w in part])
-    factors = [np.uint64(pow(int(MIX), i, 1 << 64)) for i in range(1, WORDS + 1)]
-    n = max(0, len(hashes) - WORDS + 1)
+    factors = [np.uint64(pow(int(MIX), i, 1 << 64)) for i in range(1, size + 1)]
+    n = max(0, len(hashes) - size + 1)
     joined = mix(sum((hashes[i:i + n] * f for i, f in enumerate(factors)), np.zeros(n, np.uint64)))
     out, at = [], 0
     for part in words:
         end = at + len(part)
-        if len(part) >= WORDS:
-            out.append(np.unique(joined[at:end - WORDS + 1]))
+        if len(part) >= size:
+            out.append(np.unique(joined[at:end - size + 1]))
         elif part:
             own = hashes[at:end]
             out.append(mix(np.array([np.sum(own * np.array(factors[:len(own)])) + np.uint64(len(own))], np.uint64)))
@@ -81,7 +92,8 @@ def keys_of(shingles: np.ndarray) -> np.ndarray:
     return shingles >> np.uint64(24)
 
 
-def signatures(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray, boundary: int) -> np.ndarray:
+def signatures(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray, boundary: int,
+               rule: Rule = OP3) -> np.ndarray:
     """Signatures of one set: pairs of its first shingles if light, single ones for the inverted lists."""
     n = len(shingles)
     if len(listed):
@@ -89,18 +101,18 @@ def signatures(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray, bou
         at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
         weight = np.where(listed[at] == keys, counts[at], np.where(keys < LOW, 0, UNCOUNTED))
         shingles = shingles[np.lexsort((shingles, weight))]
-    spare, out = n - int(need(n)), []
-    if n <= boundary and need(n) >= 2:
+    spare, out = n - int(need(n, rule)), []
+    if n <= boundary and need(n, rule) >= 2:
         first = shingles[:spare + 2]
         a, b = np.triu_indices(len(first), 1)
         low, high = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
         out.append(mix(low * MIX + high).view(np.int64))
-    if n > boundary or n >= need(boundary + 1):
+    if n > boundary or n >= need(boundary + 1, rule):
         out.append(single(shingles[:spare + 1]))
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Frequencies of low shingles in runs of texts, in buckets: those that came once, and others with their counts."""
     table, held, size = WordHashes(), [], 0
 
@@ -119,7 +131,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                            pa.array([r[2] for r in out], pa.binary())], ["bucket", "shingles", "counts"])
 
     for batch in chunks(batches, 1000, size=4_000_000):
-        for s in shingle_sets(column_texts(batch), table):
+        for s in shingle_sets(column_texts(batch), table, rule.words):
             held.append(s)
             size += len(s)
         if size >= RUN:
@@ -152,13 +164,13 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found()
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+def frequent_shingles(docs: DataFrame, rule: Rule = OP3) -> tuple[np.ndarray, np.ndarray, float]:
     """Keys of at most LISTED frequent shingles, ascending, their counts, and the share of shingles that are frequent.
 
     Counted are the low shingles, which stand first in an order by hash.  Which ones are listed only sets the order
     of shingles, never the result.
     """
-    parts = docs.select("text").mapInArrow(_counted, "bucket int, shingles binary, counts binary")
+    parts = docs.select("text").mapInArrow(lambda batches: _counted(batches, rule), "bucket int, shingles binary, counts binary")
     found = (parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent, "shingle bigint, n bigint"))
     found = scratch_table(found, "frequent")
     sums = found.agg(F.sum(F.when(F.col("shingle").isNotNull(), F.col("n"))), F.sum(F.when(F.col("shingle").isNull(), F.col("n")))).first()
@@ -175,7 +187,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return listed[order], rows["n"].to_numpy(np.int64)[order], (sums[0] or 0) / (sums[1] or 1)
 
 
-def boundary_size(met: float, scan: float = 8.0) -> int:
+def boundary_size(met: float, scan: float = 8.0, rule: Rule = OP3) -> int:
     """Largest set size up to which enumerating pairs costs no more than scanning inverted lists.
 
     A light set emits one row for each pair of its ``spare + 2`` first shingles.  A heavy one emits ``spare + 1``
@@ -184,31 +196,31 @@ def boundary_size(met: float, scan: float = 8.0) -> int:
     best, n = 2, 2
     while True:
         n += 1
-        spare = n - int(need(n))
+        spare = n - int(need(n, rule))
         if (spare + 2) * (spare + 1) / 2 > (spare + 1) * (1 + met * scan):
             return best
         best = n
 
 
-def _signed(shared, boundary: int):
+def _signed(shared, boundary: int, rule: Rule):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (listed, counts) = WordHashes(), shared.value
         for batch in chunks(batches, 1000, size=4_000_000):
-            sets = shingle_sets(column_texts(batch), table)
+            sets = shingle_sets(column_texts(batch), table, rule.words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([signatures(s, listed, counts, boundary) for s in sets], pa.list_(pa.int64()))],
+                 pa.array([signatures(s, listed, counts, boundary, rule) for s in sets], pa.list_(pa.int64()))],
                 ["doc_id", "node", "n", "sigs"])
 
     return rows
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """The sets of texts (text, cluster, wanted) and their nodes."""
     table = WordHashes()
     for batch in chunks(batches, 1000, size=4_000_000):
-        sets = shingle_sets(column_texts(batch), table)
+        sets = shingle_sets(column_texts(batch), table, rule.words)
         yield pa.RecordBatch.from_arrays(
             [batch.column(1), batch.column(2), pa.array([class_of(s) for s in sets], pa.int64()),
              pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cluster", "wanted", "node", "members"])
@@ -237,12 +249,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _reached(common: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+def _reached(common: np.ndarray, size: int, sizes: np.ndarray, rule: Rule) -> np.ndarray:
     """Whether overlaps of one set with others make links."""
-    return WHOLE * common >= PART * (size + sizes - common)
+    return rule.whole * common >= rule.part * (size + sizes - common)
 
 
-def linked_groups(nodes: list[int], sets: list[np.ndarray]) -> dict[int, int]:
+def linked_groups(nodes: list[int], sets: list[np.ndarray], rule: Rule = OP3) -> dict[int, int]:
     """Smallest node that links reach, for the nodes of a few sets that have links."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -252,7 +264,7 @@ def linked_groups(nodes: list[int], sets: list[np.ndarray]) -> dict[int, int]:
     for k in range(len(sets)):
         own = place[starts[k]:starts[k] + sizes[k]]
         mark[own] = 1
-        near = _reached(np.add.reduceat(mark[place], starts), sizes[k], sizes)
+        near = _reached(np.add.reduceat(mark[place], starts), sizes[k], sizes, rule)
         mark[own] = 0
         if near.sum() > 1:
             linked |= near
@@ -261,12 +273,12 @@ def linked_groups(nodes: list[int], sets: list[np.ndarray]) -> dict[int, int]:
     return {n: int(x) for n, x, some in zip(nodes, label, linked, strict=True) if some}
 
 
-def _in_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_clusters(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Labels of the linked nodes of clusters that arrive one after the other; memory holds one small cluster."""
     cluster, held = None, {}
 
     def labelled() -> pa.RecordBatch:
-        found = linked_groups(list(held), list(held.values())) if len(held) > 1 else {}
+        found = linked_groups(list(held), list(held.values()), rule) if len(held) > 1 else {}
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())],
                                           ["node", "label"])
 
@@ -283,7 +295,7 @@ def _in_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield labelled()
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Links between the sets of two blocks; of each set's links into one component the first is enough."""
     for batch in batches:
         for i in range(batch.num_rows):
@@ -298,7 +310,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = np.array(y["members"], np.int64)
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 common = own[:, at[known[at] == s]].sum(axis=1, dtype=np.float64)
-                for k in np.flatnonzero(_reached(common, len(s), sizes)):
+                for k in np.flatnonzero(_reached(common, len(s), sizes, rule)):
                     if left[k]["label"] != y["label"]:
                         found.setdefault((left[k]["node"], y["label"]), y["node"])
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
@@ -314,18 +326,18 @@ def _blocked(members: DataFrame, sets: DataFrame, role: str) -> DataFrame:
             .agg(F.collect_list(F.struct("node", "label", "members")).alias(role)))
 
 
-def _in_large_clusters(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+def _in_large_clusters(grouped: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(node, label) of the linked nodes of clusters too large for one task, without comparing all their pairs.
 
     In every signature's group all members are compared with one pivot.  Groups that still hold several components
     are merged by their largest component, and their other members meet all members, in blocks of bounded size.
     """
-    near = lambda a, b: F.lit(WHOLE) * F.least(a, b) >= F.lit(PART) * F.greatest(a, b)
+    near = lambda a, b: F.lit(rule.whole) * F.least(a, b) >= F.lit(rule.part) * F.greatest(a, b)
     pairs = grouped.where(F.col("node") != F.col("pivot")).select("node", "pivot").distinct()
     common = F.size(F.array_intersect("members", "pivot_members"))
     pivots = sets.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("members").alias("pivot_members"))
     links = (pairs.join(sets, "node").join(pivots, "pivot").where(near(F.col("n"), F.col("pivot_n")))
-             .where(F.lit(WHOLE) * common >= F.lit(PART) * (F.col("n") + F.col("pivot_n") - common))
+             .where(F.lit(rule.whole) * common >= F.lit(rule.part) * (F.col("n") + F.col("pivot_n") - common))
              .select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     links = scratch_table(links, "links")
     labels = components(links)
@@ -336,29 +348,30 @@ def _in_large_clusters(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     members = scratch_table(open_groups.join(largest, ["sig", "run"]).select("group", "node", "label").distinct(), "open")
     minors = _blocked(members.where(F.col("group") != F.col("label")), sets, "minors")
     others = _blocked(members, sets, "others")
-    more = minors.join(others, "group").select("minors", "others").mapInArrow(_compared, "a bigint, b bigint")
+    more = minors.join(others, "group").select("minors", "others").mapInArrow(lambda batches: _compared(batches, rule), "a bigint, b bigint")
     more = scratch_table(more, "more")
     return labels if more.isEmpty() else components(links.unionAll(more))
 
 
-def _same_sets(clusters: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _same_sets(clusters: DataFrame, reps: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(cluster, node, members) of the nodes (cluster, node): the text of each node's smallest doc_id is read again.
 
     Few nodes are broadcast, many are joined by a shuffle.  Rows without a doc_id are matched by their node.
     """
+    members = lambda batches: _members(batches, rule)
     named = scratch_table(clusters.join(reps, "node").select("doc_id", "cluster", "node"), "named")
     few = named.count() <= FEW
     hint = F.broadcast if few else (lambda x: x)
     rows = (docs.join(hint(named.where(F.col("doc_id").isNotNull()).withColumnRenamed("node", "wanted")), "doc_id")
-            .select("text", "cluster", "wanted").mapInArrow(_members, "cluster bigint, wanted bigint, node bigint, members array<bigint>")
+            .select("text", "cluster", "wanted").mapInArrow(members, "cluster bigint, wanted bigint, node bigint, members array<bigint>")
             .where("node = wanted").select("cluster", "node", "members"))
     keyless = docs.where(F.col("doc_id").isNull()).select("text", F.lit(0).cast("bigint").alias("cluster"), F.lit(0).cast("bigint").alias("wanted"))
-    keyless = (keyless.mapInArrow(_members, "cluster bigint, wanted bigint, node bigint, members array<bigint>").select("node", "members")
+    keyless = (keyless.mapInArrow(members, "cluster bigint, wanted bigint, node bigint, members array<bigint>").select("node", "members")
                .join(hint(named.where(F.col("doc_id").isNull()).select("node", "cluster")), "node"))
     return rows.unionByName(keyless)
 
 
-def linked_components(docs: DataFrame, boundary: int | None = None) -> DataFrame:
+def linked_components(docs: DataFrame, boundary: int | None = None, rule: Rule = OP3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest non-null doc_id that links reach.  A text without words (null, empty, only white
@@ -367,11 +380,11 @@ def linked_components(docs: DataFrame, boundary: int | None = None) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    listed, counts, met = frequent_shingles(docs)
+    listed, counts, met = frequent_shingles(docs, rule)
     if boundary is None:
-        boundary = boundary_size(met)
+        boundary = boundary_size(met, rule=rule)
     shared = spark.sparkContext.broadcast((listed, counts))
-    signed = scratch_table(docs.mapInArrow(_signed(shared, boundary), "doc_id bigint, node bigint, n bigint, sigs array<bigint>"),
+    signed = scratch_table(docs.mapInArrow(_signed(shared, boundary, rule), "doc_id bigint, node bigint, n bigint, sigs array<bigint>"),
                            "signed")
     full = signed.where("n > 0")
     classes = full.groupBy("node").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"))
@@ -379,7 +392,7 @@ def linked_components(docs: DataFrame, boundary: int | None = None) -> DataFrame
     # Members of a signature in the order of their size; where the next is too large for the one before, a group ends.
     by_size = Window.partitionBy("sig").orderBy("n", "node")
     entries = entries.withColumn("before", F.lag("n").over(by_size))
-    entries = entries.withColumn("run", F.sum(F.when(WHOLE * F.col("before") < PART * F.col("n"), 1).otherwise(0)).over(by_size))
+    entries = entries.withColumn("run", F.sum(F.when(rule.whole * F.col("before") < rule.part * F.col("n"), 1).otherwise(0)).over(by_size))
     group = Window.partitionBy("sig", "run")
     grouped = (entries.withColumn("size", F.count("*").over(group))
                .withColumn("pivot", F.min(F.struct(F.xxhash64("node").alias("rank"), "node")).over(group)).where("size > 1"))
@@ -390,14 +403,14 @@ def linked_components(docs: DataFrame, boundary: int | None = None) -> DataFrame
     sizes = (clusters.join(reps, "node").groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
              .withColumn("large", (F.col("nodes") > CLUSTER_SETS) | (F.col("tokens") > CLUSTER_TOKENS)))
     clusters = scratch_table(clusters.join(sizes.select("cluster", "large"), "cluster"), "clusters")
-    small = _same_sets(clusters.where(~F.col("large")), reps, docs)
+    small = _same_sets(clusters.where(~F.col("large")), reps, docs, rule)
     labels = scratch_table(small.repartition("cluster").sortWithinPartitions("cluster", "node")
-                           .mapInArrow(_in_clusters, "node bigint, label bigint"), "small")
+                           .mapInArrow(lambda batches: _in_clusters(batches, rule), "node bigint, label bigint"), "small")
     large = clusters.where("large")
     if not large.isEmpty():
-        sets = _same_sets(large, reps, docs).groupBy("node").agg(F.first("members").alias("members"))
+        sets = _same_sets(large, reps, docs, rule).groupBy("node").agg(F.first("members").alias("members"))
         sets = scratch_table(sets.withColumn("n", F.size("members")), "sets")
-        labels = labels.unionByName(_in_large_clusters(grouped.join(large.select("node"), "node", "left_semi"), sets))
+        labels = labels.unionByName(_in_large_clusters(grouped.join(large.select("node"), "node", "left_semi"), sets, rule))
     nodes = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = scratch_table(nodes.select("node", "label", "doc_id"), "nodes")
     linked = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))

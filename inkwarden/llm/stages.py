@@ -15,6 +15,8 @@ from .common import crc_mod, scratch_table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language has a lower mean probability is rejected.
 LEAST_CERTAIN = 0.4
+#: Near duplicates share four fifths of their runs of five words; op3 has other values of its own.
+ALIKE = jaccard.Rule(words=5, part=80)
 
 
 def keep_known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def keep_first_of_alike(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     then as its smallest row only.
     """
     docs = docs.select(*COLUMNS)
-    parts = jaccard.linked_components(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
+    parts = jaccard.linked_components(docs.select("doc_id", "text"), rule=ALIKE).where(F.col("doc_id").isNotNull())
     later = (parts.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
              .where(~F.col("first")).select("doc_id"))
     kept = docs.join(scratch_table(later, "later"), "doc_id", "left_anti").select(*COLUMNS)
