@@ -5,13 +5,15 @@ numbers, and names behind a title.  A value is brought to a normal form, so spel
 surrogate everywhere; the surrogate is drawn from SHA-256 of a key, the kind, the normal form and an attempt number,
 then dressed in the spelling found: separators, case, country code, private address ranges, a valid check digit, the
 title's gender and the script stay.  All distinct entities are checked: if two would share a surrogate, or one would
-get a value that occurs as an entity itself, all but one go on to the next attempt.  Only those exceptions are
-joined back to the texts; every other surrogate is computed where it stands.
+get a value that occurs as an entity itself, all but one go on to the next attempt.  Later attempts draw from wider
+spaces: longer names, local parts and numbers, whole private ranges, then an unused public one.  What is left after
+``ROUNDS`` attempts is numbered, so every count of entities ends.  Only those exceptions are joined back to the texts;
+every other surrogate is computed where it stands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, scratch_table
@@ -49,6 +51,12 @@ SYLLABLES = {"latin": "bar den fol gor hal kem lin mar nes por ral sen tor vel w
              "greek": "βαρ γορ δελ ζιμ καλ λεν μαρ νικ παρ ραλ σεν ταρ φωτ χαλ ψαρ ρεν".split()}
 
 
+#: Attempts drawn from the stream; later ones stand for numbers.  Numbers of digits grow from attempt LONGER on by one in STEP.
+ROUNDS, LONGER, STEP = 50, 21, 3
+#: Attempts from which an address has its whole private range, another private range, and the unused public range.
+RANGE, OTHER, UNUSED = 5, 10, 20
+
+
 def any_of(words: list[str], at: Column) -> Column:
     return F.get(F.array(*[F.lit(w) for w in words]), (at % len(words)).cast("int"))
 
@@ -102,12 +110,19 @@ def replaced_characters(text: Column, bits: Column, hexadecimal: Column) -> Colu
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), "")).otherwise("")
 
 
-def address(normal: Column, bits: Column) -> Column:
-    """An IPv4 address; private, loopback and link-local ranges keep the parts that make them such."""
+def address(normal: Column, bits: Column, attempt: Column) -> Column:
+    """An IPv4 address; private, loopback and link-local ranges keep the parts that make them such.
+
+    Later attempts take all of 172.16-31, then 10 for the private and link-local ranges, then 240-255 for all.
+    """
     keep = (F.when(normal.rlike(r"^(?:10|127)\."), 1).when(normal.rlike(r"^(?:192\.168|169\.254|172\.(?:1[6-9]|2\d|3[01]))\."), 2)
             .otherwise(0))
-    octet = lambda c, i: F.when(i < keep, c).otherwise(
-        F.when(i == 0, byte_at(bits, i) % 99 + 11).otherwise(byte_at(bits, i) % 254 + 1).cast("string"))
+    free = F.when(attempt >= UNUSED, 0).when((attempt >= OTHER) & (keep == 2), 1).otherwise(keep)
+    wide = (attempt >= RANGE) & (free == 2) & normal.startswith("172.")
+    fresh = lambda i: (F.when((i == 0) & (attempt >= UNUSED), byte_at(bits, i) % 16 + 240)
+                       .when(i == 0, byte_at(bits, i) % 99 + 11).otherwise(byte_at(bits, i) % 254 + 1))
+    octet = lambda c, i: (F.when((i == 0) & (free == 1) & (keep == 2), F.lit("10")).when((i == 1) & wide, (byte_at(bits, i) % 16 + 16).cast("string"))
+                          .when(i < free, c).otherwise(fresh(i).cast("string")))
     return F.array_join(F.transform(F.split(normal, r"\."), octet), ".")
 
 
@@ -117,31 +132,52 @@ def name(normal: Column, bits: Column, attempt: Column) -> Column:
     out = F.lit(None).cast("string")
     for script, test in (("latin", r"."), ("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}")):
         given = F.when(gender == "f", any_of(GIVEN[script]["f"], byte_at(bits, F.lit(0)))).otherwise(any_of(GIVEN[script]["m"], byte_at(bits, F.lit(0))))
-        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: any_of(SYLLABLES[script], byte_at(bits, i))), ""))  # noqa: B023
+        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt, F.lit(ROUNDS)) + 3), lambda i: any_of(SYLLABLES[script], byte_at(bits, i))), ""))  # noqa: B023
         both = F.when(F.instr(own, " ") > 0, F.concat_ws(" ", given, family)).otherwise(family)
         out = F.when(own.rlike(test), both).otherwise(out)
     return out
 
 
+def numbered(kind: Column, normal: Column, number: Column) -> Column:
+    """A surrogate for each number, different ones for different numbers of a kind."""
+    digits = F.lpad(number.cast("string"), F.greatest(F.length(normal), F.lit(20)), "0")
+    check = F.when(F.call_function("luhn_check", normal), F.lit(0)).otherwise(1)
+    valid = F.get(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(digits, d.cast("string")))), F.lit(0))
+    part = lambda n: (F.floor(number / (1 << n)) % 256).cast("string")
+    four = F.concat_ws(".", (F.floor(number / (1 << 24)) % 16 + 240).cast("string"), part(16), part(8), part(0))
+    out = F.lit(None).cast("string")
+    for script, test in (("latin", r"."), ("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}")):
+        spelled = F.transform(F.split(F.lpad(F.hex(number), 16, "0"), ""), lambda c: any_of(SYLLABLES[script], F.conv(c, 16, 10)))  # noqa: B023
+        out = F.when(normal.rlike(test), F.initcap(F.array_join(spelled, ""))).otherwise(out)
+    return (F.when(kind == "email", F.concat(F.lit("n"), number.cast("string"), F.lit("@numbered.example")))
+            .when(kind == "ip", F.when(number < 1 << 28, four).otherwise(F.concat_ws(".", four, F.floor(number / (1 << 28)).cast("string"))))
+            .when(kind == "secret", F.lpad(F.lower(F.hex(number)), F.length(normal), "0"))
+            .when(kind == "card", F.concat(digits, ((valid + check) % 10).cast("string")))
+            .when(kind == "name", out).otherwise(digits))
+
+
 def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normal form."""
     bits = stream(kind, normal, attempt, key)
-    plain = replaced_characters(normal, bits, kind == "secret")
-    before_top = F.regexp_replace(normal, r"[^.]+$", "")
+    drawn = F.least(attempt, F.lit(ROUNDS))
+    more = F.when(kind == "email", drawn).when(kind.isin("phone", "ssn", "card") & (drawn >= LONGER), F.floor((drawn - LONGER) / STEP) + 1).otherwise(0).cast("int")
+    plain = replaced_characters(F.concat(normal, F.repeat(F.lit("0"), more)), bits, kind == "secret")
+    before_top = F.regexp_replace(F.regexp_replace(normal, r"[^.]+$", ""), F.lit("@"), F.concat(F.repeat(F.lit("a"), more), F.lit("@")))
     body = F.substr(plain, F.lit(1), F.length(plain) - 1)
     checked = F.concat(body, F.get(F.filter(F.sequence(F.lit(0), F.lit(9)).cast("array<string>"),
                                             lambda d: F.call_function("luhn_check", F.concat(body, d))), F.lit(0)))
-    return (F.when(kind == "email", F.concat(replaced_characters(before_top, bits, F.lit(False)), F.lit("example")))
-            .when(kind == "ip", address(normal, bits))
+    return (F.when(attempt >= ROUNDS, numbered(kind, normal, attempt - ROUNDS))
+            .when(kind == "email", F.concat(replaced_characters(before_top, bits, F.lit(False)), F.lit("example")))
+            .when(kind == "ip", address(normal, bits, attempt))
             .when(kind == "card", F.when(F.call_function("luhn_check", normal), checked).otherwise(plain))
             .when(kind == "name", name(normal, bits, attempt))
             .otherwise(plain))
 
 
 def dressed(kind: Column, value: Column, made: Column) -> Column:
-    """A surrogate in the spelling of the value that it replaces."""
-    signs = F.regexp_replace(value, "[^0-9A-Za-z]", "")
-    shift = F.length(signs) - F.length(made)
+    """A surrogate in the spelling of the value that it replaces; digits it has more follow at the end."""
+    signs = F.length(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+    shift = F.when(kind == "phone", F.greatest(signs - 10, F.lit(0))).otherwise(0)
 
     def one(i: Column) -> Column:
         c = F.substr(value, i, F.lit(1))
@@ -150,6 +186,7 @@ def dressed(kind: Column, value: Column, made: Column) -> Column:
         return F.when(~c.rlike("[0-9A-Za-z]") | (at < 1), c).otherwise(new)
 
     spelled = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    spelled = F.concat(spelled, F.substr(made, signs - shift + 1))
     loud = (value == F.upper(value)) & (value != F.lower(value))
     title = F.regexp_extract(value, r"^\p{L}+\.?\p{IsWhite_Space}+", 0)
     return (F.when(kind.isin("phone", "card", "ssn"), spelled)
@@ -166,16 +203,29 @@ def entities(found: Column) -> Column:
     return F.transform(found, one)
 
 
-def exceptions(known: DataFrame, key: str, rounds: int = 50) -> DataFrame:
+def ranked(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (kind, normal) with ``place`` 0, 1, 2, ...: ranges of a hash are counted, and ranked one by one."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "normal").cast("binary"), 256)
+    rows = rows.withColumn("_h", digest).withColumn("_b", F.left("_h", F.lit(4)))
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "kind", "normal"))
+    return (rows.join(sizes.select("_b", before.alias("_before")), "_b").withColumn("place", (F.col("_before") + own - 1).cast("int"))
+            .drop("_h", "_b", "_before"))
+
+
+def exceptions(known: DataFrame, key: str) -> DataFrame:
     """(kind, normal, attempt) of the entities (kind, normal) whose first attempt is not free.
 
     Of the entities that would share a surrogate the one with the smallest hash keeps it.  Later attempts also
-    yield to every surrogate given before.
+    yield to every surrogate given before.  From attempt ``ROUNDS`` on, each round gives numbers not used yet; a taken
+    value can refuse one number only, so the rounds end.
     """
     known = scratch_table(known.withColumn("attempt", F.lit(0))
                           .withColumn("made", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)), "entities")
     settled = waiting = known
-    for _ in range(rounds):
+    done, used = 0, ROUNDS
+    while True:
         # One row for each surrogate in question: who takes it, and whether it is a real value or was given before.
         claims = waiting.select("kind", "made", F.struct(F.xxhash64("normal").alias("rank"), "normal").alias("who"), F.lit(0).alias("taken"))
         nobody = F.lit(None).cast(claims.schema["who"].dataType)
@@ -187,12 +237,16 @@ def exceptions(known: DataFrame, key: str, rounds: int = 50) -> DataFrame:
                   .where("n > 0 AND (n > 1 OR taken = 1)"))
         lost = (waiting.join(owners, ["kind", "made"]).where((F.col("taken") == 1) | (F.col("normal") != F.col("who.normal")))
                 .select("kind", "normal", (F.col("attempt") + 1).alias("attempt")))
+        done += 1
+        if done >= ROUNDS:
+            lost = ranked(scratch_table(lost, "left"), key).select("kind", "normal", (F.col("place") + used).alias("attempt"))
         lost = scratch_table(lost.withColumn("made", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)), "lost")
         if lost.isEmpty():
             return settled.where("attempt > 0").select("kind", "normal", "attempt")
+        if done >= ROUNDS:
+            used += lost.count()
         kept = settled.join(lost.select("kind", "normal"), ["kind", "normal"], "left_anti")
         settled, waiting = kept.select(*lost.columns).unionAll(lost), lost
-    raise ValueError(f"{rounds} attempts found no distinct surrogates: a kind of value has too few of them")
 
 
 def replace(docs: DataFrame, key: str = "public example key") -> DataFrame:
