@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same kind, with Spark SQL functions only.
 
 Found are e-mail addresses, secrets (long hexadecimal strings), IPv4 addresses, telephone, social security and card
-numbers, and names behind a title.  A value is brought to a normal form, so spellings of one entity get one
+numbers, and names behind a title, with the bare repeats of such a name (whole, or its family name) in the same text.
+Given and family names are entities of their own, so long and short forms of a name agree.  A value is brought to a normal form, so spellings of one entity get one
 surrogate everywhere; the surrogate is drawn from SHA-256 of a key, the kind, the normal form and an attempt number,
 then dressed in the spelling found: separators, case, country code, private address ranges, a valid check digit, the
 title's gender and the script stay.  All distinct entities are checked: if two would share a surrogate, or one would
@@ -35,6 +36,8 @@ PATTERNS = {
             r"(?:\p{IsWhite_Space}\p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(PATTERNS.values())
+#: A titled name.
+NAME = PATTERNS["name"]
 #: What every value has somewhere: a quick look passes over most texts.
 HINT = r"[0-9@]|[a-f]{32}|[A-F]{32}|(?<!\p{L})(?:" + "|".join(TITLES["m"] + TITLES["f"]) + ")"
 #: Given names by script and gender, and syllables of family names by script.
@@ -126,15 +129,15 @@ def address(normal: Column, bits: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.split(normal, r"\."), octet), ".")
 
 
-def name(normal: Column, bits: Column, attempt: Column) -> Column:
-    """A name of the same gender, script and number of words; every attempt adds a syllable to choose from."""
-    gender, own = F.substr(normal, F.lit(1), F.lit(1)), F.substr(normal, F.lit(3))
-    out = F.lit(None).cast("string")
+def name(kind: Column, normal: Column, bits: Column, attempt: Column) -> Column:
+    """A given name of the same gender, or a family name, of the same script; every attempt adds a syllable."""
+    gender, out = F.substr(normal, F.lit(1), F.lit(1)), F.lit(None).cast("string")
+    drawn = F.least(attempt, F.lit(ROUNDS))
     for script, test in (("latin", r"."), ("greek", r"\p{IsGreek}"), ("cyrillic", r"\p{IsCyrillic}")):
         given = F.when(gender == "f", any_of(GIVEN[script]["f"], byte_at(bits, F.lit(0)))).otherwise(any_of(GIVEN[script]["m"], byte_at(bits, F.lit(0))))
-        family = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt, F.lit(ROUNDS)) + 3), lambda i: any_of(SYLLABLES[script], byte_at(bits, i))), ""))  # noqa: B023
-        both = F.when(F.instr(own, " ") > 0, F.concat_ws(" ", given, family)).otherwise(family)
-        out = F.when(own.rlike(test), both).otherwise(out)
+        added = F.array_join(F.transform(F.sequence(F.lit(1), drawn + 3), lambda i: any_of(SYLLABLES[script], byte_at(bits, i))), "")  # noqa: B023
+        made = F.when(kind == "family", F.initcap(added)).otherwise(F.concat(given, F.substr(added, F.lit(1), drawn * 3)))
+        out = F.when(normal.rlike(test), made).otherwise(out)
     return out
 
 
@@ -153,7 +156,7 @@ def numbered(kind: Column, normal: Column, number: Column) -> Column:
             .when(kind == "ip", F.when(number < 1 << 28, four).otherwise(F.concat_ws(".", four, F.floor(number / (1 << 28)).cast("string"))))
             .when(kind == "secret", F.lpad(F.lower(F.hex(number)), F.length(normal), "0"))
             .when(kind == "card", F.concat(digits, ((valid + check) % 10).cast("string")))
-            .when(kind == "name", out).otherwise(digits))
+            .when(kind.isin("given", "family"), out).otherwise(digits))
 
 
 def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
@@ -170,7 +173,7 @@ def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column
             .when(kind == "email", F.concat(replaced_characters(before_top, bits, F.lit(False)), F.lit("example")))
             .when(kind == "ip", address(normal, bits, attempt))
             .when(kind == "card", F.when(F.call_function("luhn_check", normal), checked).otherwise(plain))
-            .when(kind == "name", name(normal, bits, attempt))
+            .when(kind.isin("given", "family"), name(kind, normal, bits, attempt))
             .otherwise(plain))
 
 
@@ -190,19 +193,51 @@ def dressed(kind: Column, value: Column, made: Column) -> Column:
     loud = (value == F.upper(value)) & (value != F.lower(value))
     title = F.regexp_extract(value, r"^\p{L}+\.?\p{IsWhite_Space}+", 0)
     return (F.when(kind.isin("phone", "card", "ssn"), spelled)
-            .when(kind == "name", F.concat(title, made))
+            .when(kind == "name", F.concat(F.when(value.rlike(f"^(?:{NAME})$"), title).otherwise(""), made))
             .when(loud, F.upper(made)).otherwise(made))
 
 
 def entities(found: Column) -> Column:
-    """array<struct<value, kind, normal>> of an array of values."""
+    """array<struct<value, kind, normal>> of an array of values; a bare repeat has the normal form of the titled name."""
+    titled = lambda found: F.filter(found, lambda v: v.rlike(f"^(?:{NAME})$"))
+
     def one(value: Column) -> Column:
+        def bare() -> Column:
+            low = F.lower(F.regexp_replace(value, r"\p{IsWhite_Space}+", " "))
+            forms = F.transform(titled(found), lambda v: normal_form(F.lit("name"), v))
+            whole = F.get(F.filter(forms, lambda n: F.substr(n, F.lit(3)) == low), F.lit(0))
+            return F.coalesce(whole, F.concat(F.lit("m:"), low))
+
         return F.get(F.transform(F.array(kind_of(value)), lambda kind: F.struct(
-            value.alias("value"), kind.alias("kind"), normal_form(kind, value).alias("normal"))), F.lit(0))
+            value.alias("value"), F.coalesce(kind, F.lit("name")).alias("kind"),
+            F.when(kind.isNull(), bare()).otherwise(normal_form(kind, value)).alias("normal"))), F.lit(0))
 
     return F.transform(found, one)
 
 
+def parts(e: Column) -> Column:
+    """array<struct<kind, normal>>: what gets surrogates of its own; of a name its given name with the gender, and its family name."""
+    own = F.substr(e["normal"], F.lit(3))
+    family = F.struct(F.lit("family").alias("kind"), F.substring_index(own, " ", -1).alias("normal"))
+    given = F.struct(F.lit("given").alias("kind"), F.concat(F.left(e["normal"], F.lit(2)), F.substring_index(own, " ", 1)).alias("normal"))
+    return (F.when(e["kind"] != "name", F.array(F.struct(e["kind"].alias("kind"), e["normal"].alias("normal"))))
+            .when(F.instr(own, " ") > 0, F.array(given, family)).otherwise(F.array(family)))
+
+
+def repeats(found: Column) -> Column:
+    """A pattern of all values and of the bare repeats of the titled names among the found; null if there are none."""
+    names = F.array_distinct(F.transform(F.filter(found, lambda v: v.rlike(f"^(?:{NAME})$")), bare_name))
+    whole = F.transform(names, lambda n: F.regexp_replace(n, r"\p{IsWhite_Space}", r"\\p{IsWhite_Space}+"))
+    family = F.transform(names, lambda n: F.regexp_extract(n, r"\p{L}+$", 0))
+    words = F.array_sort(F.array_distinct(F.concat(whole, family)), lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(names) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})")))
+
+
+def common_form(kind: Column, normal: Column) -> Column:
+    """The form in which surrogates and real values are compared: lower case, a given name without the gender."""
+    return F.lower(F.when(kind == "given", F.regexp_replace(normal, "^[mf]:", "")).otherwise(normal))
+
+
 def ranked(rows: DataFrame, key: str) -> DataFrame:
     """The rows (kind, normal) with ``place`` 0, 1, 2, ...: ranges of a hash are counted, and ranked one by one."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), "kind", "normal").cast("binary"), 256)
@@ -227,15 +262,15 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
     done, used = 0, ROUNDS
     while True:
         # One row for each surrogate in question: who takes it, and whether it is a real value or was given before.
-        claims = waiting.select("kind", "made", F.struct(F.xxhash64("normal").alias("rank"), "normal").alias("who"), F.lit(0).alias("taken"))
+        claims = waiting.select("kind", F.lower("made").alias("made"), F.struct(F.xxhash64("normal").alias("rank"), "normal").alias("who"), F.lit(0).alias("taken"))
         nobody = F.lit(None).cast(claims.schema["who"].dataType)
-        real = known.select("kind", F.col("normal").alias("made"), nobody.alias("who"), F.lit(1).alias("taken"))
+        real = known.select("kind", common_form(F.col("kind"), F.col("normal")).alias("made"), nobody.alias("who"), F.lit(1).alias("taken"))
         given = settled.join(waiting.select("kind", "normal"), ["kind", "normal"], "left_anti")
-        given = given.select("kind", "made", nobody.alias("who"), F.lit(1).alias("taken"))
+        given = given.select("kind", F.lower("made").alias("made"), nobody.alias("who"), F.lit(1).alias("taken"))
         asked = claims.unionAll(real.unionAll(given) if settled is not known else real)
         owners = (asked.groupBy("kind", "made").agg(F.count("who").alias("n"), F.min("who").alias("who"), F.max("taken").alias("taken"))
                   .where("n > 0 AND (n > 1 OR taken = 1)"))
-        lost = (waiting.join(owners, ["kind", "made"]).where((F.col("taken") == 1) | (F.col("normal") != F.col("who.normal")))
+        lost = (waiting.withColumn("made", F.lower("made")).join(owners, ["kind", "made"]).where((F.col("taken") == 1) | (F.col("normal") != F.col("who.normal")))
                 .select("kind", "normal", (F.col("attempt") + 1).alias("attempt")))
         done += 1
         if done >= ROUNDS:
@@ -257,30 +292,37 @@ def replace(docs: DataFrame, key: str = "public example key") -> DataFrame:
     nothing = F.array().cast("array<string>")
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(nothing)
     docs = docs.drop("n_replaced", "kinds")
+    # Bare repeats are spellings of titled names, so the titled ones hold all entities.
     each = docs.select(F.explode(F.array_distinct(found)).alias("value"))
-    each = each.select(F.explode(entities(F.array("value"))).alias("e")).select("e.kind", "e.normal", "e.value")
-    changed = exceptions(each.select("kind", "normal").distinct(), key)
+    each = each.select(F.explode(entities(F.array("value"))).alias("e")).select(F.explode(parts(F.col("e"))).alias("e")).select("e.kind", "e.normal")
+    changed = exceptions(each.distinct(), key)
     place = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
-    plain = docs.withColumn("_found", entities(found))
+    plain = docs.withColumn("_found", found).withColumn("_any", repeats(F.col("_found")))
+    plain = plain.withColumn("_found", F.when(F.col("_any").isNotNull(), F.regexp_extract_all("text", F.col("_any"), F.lit(0))).otherwise(F.col("_found")))
+    plain = plain.withColumn("_found", entities(F.col("_found")))
     if changed.isEmpty():
         plain = plain.withColumn("_moved", F.lit(None).cast("map<string,int>"))
     else:
         # Texts that hold an exception, by two hashes of the text.
         held = (docs.select(*[h.alias(f"_h{i}") for i, h in enumerate(place)], F.explode(entities(F.array_distinct(found))).alias("e"))
+                .select("_h0", "_h1", F.explode(parts(F.col("e"))).alias("e"))
                 .select("_h0", "_h1", "e.kind", "e.normal").distinct().join(changed, ["kind", "normal"])
                 .groupBy("_h0", "_h1").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias("_moved")))
         plain = (plain.withColumn("_h0", place[0]).withColumn("_h1", place[1]).join(held, ["_h0", "_h1"], "left").drop("_h0", "_h1"))
 
     def fresh(e: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at("_moved", F.concat_ws("|", e["kind"], e["normal"])), F.lit(0))
-        return dressed(e["kind"], e["value"], surrogate(e["kind"], e["normal"], attempt, key))
+        def one(p: Column) -> Column:
+            attempt = F.coalesce(F.try_element_at("_moved", F.concat_ws("|", p["kind"], p["normal"])), F.lit(0))
+            return surrogate(p["kind"], p["normal"], attempt, key)
+
+        return dressed(e["kind"], e["value"], F.array_join(F.transform(parts(e), one), " "))
 
-    def woven(parts: Column) -> Column:
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(
-            F.col("_found"), lambda e, i: F.concat(fresh(e), F.get(parts, i + 1))), ""))
+    def woven(between: Column) -> Column:
+        return F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(
+            F.col("_found"), lambda e, i: F.concat(fresh(e), F.get(between, i + 1))), ""))
 
     # The text between the values is split off once, not for each of them.
-    text = F.get(F.transform(F.array(F.split("text", ANY, -1)), woven), F.lit(0))
+    text = F.get(F.transform(F.array(F.when(F.col("_any").isNull(), F.split("text", ANY, -1)).otherwise(F.split("text", F.col("_any"), -1))), woven), F.lit(0))
     return (plain.withColumn("n_replaced", F.size("_found"))
             .withColumn("kinds", F.array_distinct(F.transform("_found", lambda e: e["kind"])))
             .withColumn("text", F.when(F.col("n_replaced") > 0, text).otherwise(F.col("text")))
