@@ -155,6 +155,20 @@ def leave_one_source_out(spark, sf_dir):
         (rate("fpr_05") & rate("recall_05") & (F.col("fpr_q") <= F.col("fpr_05"))).alias("in_range"))
 
 
+@register("source_holdout_rates")
+def source_holdout_rates(spark, sf_dir):
+    """Training without each source of the table in turn: its rows, rates and the checks of ``leave_one_source_out``."""
+    from ..operators.corpus import stratified_split
+
+    rows = stratified_split(labelled_documents(spark, sf_dir), "id")
+    found = e.leave_one_source_out(rows, None, _fit, rows.where("label = 1 AND split = 'test'"))
+    counts = rows.where("label = 0").groupBy(F.col("source").alias("held_out")).agg(F.count("*").alias("_n"))
+    rate = lambda c: F.col(c).between(0, 1)
+    return found.join(counts, "held_out").select(
+        "held_out", "n_unseen_legit", "fpr_05", "fpr_q", "recall_05", (F.col("n_unseen_legit") == F.col("_n")).alias("counted"),
+        (rate("fpr_05") & rate("recall_05") & (F.col("fpr_q") <= F.col("fpr_05"))).alias("in_range"))
+
+
 @register("training_variants")
 def training_variants(spark, sf_dir):
     """Same test rows, different training rows and stop words."""
