@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .byte_pairs import op10_byte_pairs
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .fingerprints import op2_fingerprints
 from .jaccard import OP3_SQL, op3_jaccard
 from .language import op9_language
@@ -26,9 +27,11 @@ QUERIES: dict[str, Callable] = {
     "op3_jaccard": op3_jaccard,
     "op8_surrogates": op8_surrogates,
     "op10_byte_pairs": op10_byte_pairs,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op3_jaccard": OP3_SQL,
     "op4_neighbours": OP4_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
