@@ -15,6 +15,7 @@ from .quality import op7_quality
 from .surrogates import op8_surrogates
 from .token_counts import op5_token_counts
 from .toxicity import op6_toxicity
+from .whitening import op13_whitening
 
 QUERIES: dict[str, Callable] = {
     "op9_language": op9_language,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable] = {
     "op8_surrogates": op8_surrogates,
     "op10_byte_pairs": op10_byte_pairs,
     "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
