@@ -7,6 +7,7 @@ from collections.abc import Callable
 from .byte_pairs import op10_byte_pairs
 from .filter_audit import OP12_SQL, op12_filter_audit
 from .fingerprints import op2_fingerprints
+from .hidden_markov import op11_hidden_markov
 from .jaccard import OP3_SQL, op3_jaccard
 from .language import op9_language
 from .neighbours import OP4_SQL, op4_neighbours
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable] = {
     "op3_jaccard": op3_jaccard,
     "op8_surrogates": op8_surrogates,
     "op10_byte_pairs": op10_byte_pairs,
+    "op11_hidden_markov": op11_hidden_markov,
     "op12_filter_audit": op12_filter_audit,
     "op13_whitening": op13_whitening,
 }
