@@ -133,14 +133,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def added(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of the arrays of each block over all tasks (rows of :func:`array_parts`), flat, in two rounds.
+    """Sums of the arrays of each block over all tasks (rows of :func:`array_parts`), flat.
 
-    The driver gets one array for each block; whoever calls this states why all blocks together are bounded.
+    Tasks add up what falls to each (block, salt); the driver adds at most 16 arrays for each block.  Whoever calls
+    this states why all blocks together are bounded.
     """
-    shape = "block int, salt int, part binary"
-    once = parts.repartition("block", "salt").mapInArrow(_summed, shape)
     found: dict[int, np.ndarray] = {}
-    for row in once.repartition("block").mapInArrow(_summed, shape).toLocalIterator():
+    for row in parts.repartition("block", "salt").mapInArrow(_summed, "block int, salt int, part binary").toArrow().to_pylist():
         values = np.frombuffer(zlib.decompress(row["part"]))
         found[row["block"]] = found[row["block"]] + values if row["block"] in found else values
     return found
