@@ -10,6 +10,9 @@ get a value that occurs as an entity itself, all but one go on to the next attem
 spaces: longer names, local parts and numbers, whole private ranges, then an unused public one.  What is left after
 ``ROUNDS`` attempts is numbered, so every count of entities ends.  Only those exceptions are joined back to the texts;
 every other surrogate is computed where it stands.
+
+Null and empty texts stay as they are; texts, local parts and hosts of any length take time in proportion to it (a text
+full of different titled names takes more: each of them is looked for again).  Repeated rows, null ids and extra columns stay.
 """
 
 from __future__ import annotations
@@ -23,9 +26,13 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Titles by the gender they show; the same lists find names.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Господин", "Κύριος"],
           "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora", "Госпожа", "Κυρία"]}
+#: Labels of a host that do not begin with two letters, so the address can't end in them.  Repeated groups are possessive:
+#: Java repeats those in a loop, others by recursion, which a text of some thousand labels would carry beyond the stack.
+PLAIN_LABELS = r"(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+"
 #: In this order: at one place the first that fits is taken.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
+             rf"(?:{PLAIN_LABELS}\.(?=[A-Za-z]{{2}})[A-Za-z0-9-]++(?={PLAIN_LABELS}\.[A-Za-z]{{2}}))*+{PLAIN_LABELS}\.[A-Za-z]{{2,}}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
@@ -102,15 +109,20 @@ def byte_at(bits: Column, i: Column) -> Column:
     return F.conv(F.substr(bits, i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def replaced_characters(text: Column, bits: Column, hexadecimal: Column) -> Column:
     """Digits become digits and letters letters (in a secret any of 0-9a-f); all else stays."""
-    def one(i: Column) -> Column:
-        c, n = F.substr(text, i + 1, F.lit(1)), byte_at(bits, i)
+    def one(c: Column, i: Column) -> Column:
+        n = byte_at(bits, i)
         return (F.when(hexadecimal, F.lower(F.hex(n % 16)))
                 .when(c.rlike("[0-9]"), (n % 10).cast("string"))
                 .when(c.rlike("[a-z]"), F.char(n % 26 + 97)).otherwise(c))
 
-    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), "")).otherwise("")
+    return F.when(F.length(text) > 0, F.array_join(F.transform(F.split(text, ""), one), "")).otherwise("")
 
 
 def address(normal: Column, bits: Column, attempt: Column) -> Column:
@@ -161,11 +173,16 @@ def numbered(kind: Column, normal: Column, number: Column) -> Column:
 
 def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normal form."""
-    bits = stream(kind, normal, attempt, key)
+    return bound(stream(kind, normal, attempt, key), lambda bits: drawn_from(bits, kind, normal, attempt))
+
+
+def drawn_from(bits: Column, kind: Column, normal: Column, attempt: Column) -> Column:
+    """The surrogate that a stream gives."""
     drawn = F.least(attempt, F.lit(ROUNDS))
     more = F.when(kind == "email", drawn).when(kind.isin("phone", "ssn", "card") & (drawn >= LONGER), F.floor((drawn - LONGER) / STEP) + 1).otherwise(0).cast("int")
     plain = replaced_characters(F.concat(normal, F.repeat(F.lit("0"), more)), bits, kind == "secret")
-    before_top = F.regexp_replace(F.regexp_replace(normal, r"[^.]+$", ""), F.lit("@"), F.concat(F.repeat(F.lit("a"), more), F.lit("@")))
+    before_top = F.left(normal, F.length(normal) - F.length(F.substring_index(normal, ".", -1)))
+    before_top = F.replace(before_top, F.lit("@"), F.concat(F.repeat(F.lit("a"), more), F.lit("@")))
     body = F.substr(plain, F.lit(1), F.length(plain) - 1)
     checked = F.concat(body, F.get(F.filter(F.sequence(F.lit(0), F.lit(9)).cast("array<string>"),
                                             lambda d: F.call_function("luhn_check", F.concat(body, d))), F.lit(0)))
