@@ -10,6 +10,7 @@ the tasks.  A score depends on the text alone, so equal texts get equal scores.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -87,17 +88,43 @@ def _featurise(bits: int):
     return rows
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10000, bits: int = 20, **options) -> Weights:
+def bounded_choice(sizes: list[tuple], budget: int) -> list[tuple]:
+    """Of rows (id, label, bytes), in the order of a hash of the id, those that fit in ``budget`` bytes together.
+
+    A row that does not fit is passed over, so one very long text does not end the choice.
+    """
+    out, used = [], 0
+    for row in sorted(sizes, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])):
+        if used + row[2] <= budget:
+            out.append(row)
+            used += row[2]
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10000, sample_bytes: int = 1 << 26, bits: int = 20,
+          **options) -> Weights:
     """Weights from texts of ``docs`` (doc_id, text) whose ``doc_id`` has a ``label`` 0 or 1 in ``labels``.
 
-    The fit takes about ``sample_rows`` labelled rows (all, if fewer), chosen by a hash of doc_id; that bound
-    also bounds the broadcast of their labels.  Of several labels of a document the largest counts.
+    The fit takes about ``sample_rows`` labelled rows (all, if fewer), chosen by a hash of doc_id, and of these as many
+    as have ``sample_bytes`` of text together; that bounds what reaches the driver, about two bytes of coordinates for
+    each byte of text.  All rows of a chosen doc_id are taken.  Of several labels of a document the largest counts.
     """
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "label")
-    picked = sample_share(known, sample_rows, "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"))
-    got = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("label").cast("int"))
-           .mapInArrow(_featurise(bits), "label int, places binary").toPandas().sort_values(["label", "places"]))
-    return ftrl([np.frombuffer(x, np.uint32) for x in got["places"]], got["label"].to_numpy(), bits=bits, **options)
+    picked = sample_share(known, sample_rows, "doc_id").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    sizes = (docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
+             .join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.sum(F.col("size") + 64).alias("size")))
+    chosen = bounded_choice([tuple(r) for r in sizes.select("doc_id", "label", "size").collect()], sample_bytes)
+    chosen = docs.sparkSession.createDataFrame([r[:2] for r in chosen], "doc_id bigint, label int")
+    got = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+           .mapInArrow(_featurise(bits), "label int, places binary").toArrow())
+    # The rows stay where Arrow put them; their order depends on their content alone.
+    rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in got.column("places")]
+    label = got.column("label").to_numpy()
+    order = sorted(range(len(rows)), key=lambda i: (label[i], rows[i][:16].tobytes(), zlib.crc32(rows[i]), len(rows[i])))
+    out = ftrl([rows[i] for i in order], label[order], bits=bits, **options)
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def _score(model):

@@ -72,6 +72,17 @@ def test_toxicity_query(spark):
     assert (rows["predicted"] == (rows["score"] >= 0.5)).all()
 
 
+def test_fit_takes_no_more_text_than_its_budget(spark, odd):
+    rows = [(i, i % 2, 10 + i) for i in range(100)] + [(500, 1, 10**9)]
+    some = toxicity.bounded_choice(rows, 1000)
+    assert 700 < sum(r[2] for r in some) <= 1000 and (500, 1, 10**9) not in some
+    assert toxicity.bounded_choice(rows[::-1], 1000) == some and len(toxicity.bounded_choice(rows, 2 * 10**9)) == 101
+    labels = odd.select("doc_id", (odd.doc_id % 2).cast("int").alias("label"))
+    whole = toxicity.train(odd, labels)
+    small = toxicity.train(odd, labels, sample_bytes=2000)
+    assert whole.bias is not None and small.bias is not None and toxicity.train(odd, labels, sample_bytes=0).bias is None
+
+
 def test_ftrl_finds_the_words_that_matter():
     rng = np.random.default_rng(4)
     rows = [np.unique(rng.integers(10, 5000, 60)).astype(np.uint32) for _ in range(600)]
