@@ -19,15 +19,30 @@ LEAST_CERTAIN = 0.4
 ALIKE = jaccard.Rule(words=5, part=80)
 
 
+def bounded_batches(spark) -> None:
+    """Arrow batches of 1,000 rows, where the session has the default of 10,000.
+
+    Stages pass whole texts to Python workers; batches ten times as large stand in the memory of both sides.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def keep_known_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no learned language: null, empty or letterless texts, and uncertain ones."""
+    bounded_batches(spark)
     net = language.train(docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     judged = language.identify(docs.select(*COLUMNS), net)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAIN)).select(*COLUMNS)
 
 
 def keep_civil(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose toxicity is 0.5 or more."""
+    """Rejects documents whose toxicity is 0.5 or more; null and empty texts have that of a text without words.
+
+    Equal texts are kept or rejected together.
+    """
+    bounded_batches(spark)
     model = toxicity.train_on_labels(spark, docs, sf_dir)
     return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
@@ -38,6 +53,7 @@ def keep_first_of_alike(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without a doc_id stay.  If rows share a doc_id, it stays if any of them is the first of its component, and
     then as its smallest row only.
     """
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     parts = jaccard.linked_components(docs.select("doc_id", "text"), rule=ALIKE).where(F.col("doc_id").isNotNull())
     later = (parts.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
@@ -52,13 +68,14 @@ def keep_first_of_alike(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def replace_private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates; ``n_chars`` follows the new text."""
+    """Personal data replaced by surrogates; ``n_chars`` follows the new text and is null for a null text."""
     out = surrogates.replace(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences along the Hilbert curve."""
+    """Token sequences along the Hilbert curve; null and empty texts are their end alone, repeated rows have pieces each."""
+    bounded_batches(spark)
     return packing.pack(docs.select("doc_id", "text"))
 
 

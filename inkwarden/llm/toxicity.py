@@ -79,8 +79,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = 20, alpha: f
 def _featurise(bits: int):
     """Distinct coordinates of each sampled text, little-endian unsigned 32-bit."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
-        for batch in chunks(batches, 500):
+        table = WordHashes(200_000)
+        for batch in chunks(batches, 500, size=2_000_000):
             data = [np.unique(np.concatenate([p for _, p in features(WORD.findall(x.lower().encode()), table, bits)]))
                     .tobytes() for x in column_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(data, pa.binary())], ["label", "places"])
@@ -130,9 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10000, sampl
 def _score(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Weights = model.value
-        table, used = WordHashes(), np.zeros(1 << m.bits, bool)
+        table, used = WordHashes(200_000), np.zeros(1 << m.bits, bool)
         used[m.places] = True
-        for batch in chunks(batches, 1000, size=4_000_000):
+        for batch in chunks(batches, 1000, size=2_000_000):
             words = [WORD.findall(x.lower().encode()) for x in column_texts(batch)]
             lengths = np.array([len(w) for w in words], np.int64)
             owner = np.repeat(np.arange(len(words)), lengths)
