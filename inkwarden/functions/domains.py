@@ -24,7 +24,7 @@ _IPV6 = (rf"(?:(?:{_HEX}:){{7}}{_HEX}"
 
 
 def country_suffixes() -> list[str]:
-    return [a + b for a, letters in fixed.COUNTRY_SECOND_LETTERS.items() for b in letters] + ["uk"]
+    return [*fixed.COUNTRY_CODES, "uk"]
 
 
 def default_suffixes() -> list[str]:

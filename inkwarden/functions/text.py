@@ -118,8 +118,7 @@ def strip_accents(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whole words of two or more Latin letters."""
-    runs = F.split(text, r"[^\p{L}\p{N}_]+")
-    return F.filter(runs, lambda t: F.regexp_like(t, F.lit("^[a-z]{2,}$")))
+    return F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])[a-z]{2,}+(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def terms(text: Column, stop_words: list[str]) -> Column:

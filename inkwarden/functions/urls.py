@@ -11,6 +11,8 @@ from .domains import (DEFAULT, Dims, claimed_brands, is_ip, is_ipv6, is_obfuscat
                       lookalike_brand, normalise_host, official_brand, registered_name)
 
 BIDI = r"[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]"
+#: ``fixed.BUCKET_HOST`` without a repetition that recurses over the labels of a long host.
+_BUCKET_HOST = r"(?:^|\.)s3[.-](?:(?!amazonaws\.com$)[a-z0-9-]++\.)*+amazonaws\.com$"
 _LEADING = "".join(map(chr, range(33)))
 
 
@@ -78,7 +80,7 @@ def is_cloud_content(host: Column, path: Column) -> Column:
                       lambda c: (host == c) | F.endswith(host, F.concat(F.lit("."), c)))
     forms = (host == "docs.google.com") & F.startswith(path, F.lit("/forms"))
     return (one_of(F.substring_index(host, ".", -2), sorted(owners))
-            & (F.regexp_like(host, F.lit(fixed.BUCKET_HOST)) | listed | forms))
+            & (F.regexp_like(host, F.lit(_BUCKET_HOST)) | listed | forms))
 
 
 @reused

@@ -44,13 +44,18 @@ def source_rank(source: Column, priority: list[str]) -> Column:
     return F.array_position(literals(priority), source).cast("int")
 
 
+#: Labels whose boundaries are broadcast, a row each.
+MOST_LABELS = 10_000
+
+
 def stratified_split(corpus: DataFrame, key: str, label: str = "label",
                      test_share: float = fixed.TEST_SHARE, seed: str = "42") -> DataFrame:
     """Adds ``split``: exactly ``floor(share * rows)`` test rows per label, chosen by hash.
 
     Selecting the smallest hashes per label needs a rank per label.  Hashes are counted in 65,536 ranges; only the
     keys in the range that holds the boundary are ranked.  That gives the last test key of each label, and every
-    row is decided by comparing with it: one row per label is joined, and no text is shuffled.
+    row is decided by comparing with it: one row per label, at most ``MOST_LABELS``, is broadcast, and no text is
+    shuffled.  More labels are refused.
     """
     from pyspark.sql import Window as W
 
@@ -67,8 +72,12 @@ def stratified_split(corpus: DataFrame, key: str, label: str = "label",
     local = F.row_number().over(W.partitionBy(label).orderBy("_h", "_k"))
     last = (near.withColumn("_i", local).where("_i <= _rest").groupBy(F.col(label).alias("_label"))
             .agg(F.max(F.struct("_h", "_k")).alias("_last")))
+    rows = last.limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: a stratified split is for classes, not for keys")
+    last = corpus.sparkSession.createDataFrame(rows, last.schema)
     own = F.struct(digest.alias("_h"), F.col(key).alias("_k"))
-    placed = corpus.join(last, F.col(label) == F.col("_label"), "left")
+    placed = corpus.join(F.broadcast(last), F.col(label) == F.col("_label"), "left")
     return (placed.withColumn("split", F.when(F.coalesce(own <= F.col("_last"), F.lit(False)), "test").otherwise("train"))
             .drop("_label", "_last"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,38 +116,6 @@ def choose_variant(results: DataFrame, simplicity: list[str], guards: Column) ->
     return ranked.orderBy(F.desc("f1_05"), "fp_q", "fp_05", "simplicity").limit(1)
 
 
-def leave_one_source_out(corpus: DataFrame, sources: list[str] | None,
-                         fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
-                         positives: DataFrame) -> DataFrame:
-    """Per held-out source: false positives on it and recall on the shared positive test rows.
-
-    ``corpus`` carries ``split``; training rows are those of the other sources in its train part, and ``positives``
-    are positive rows of its test part.  Without ``sources`` every source of the corpus is held out.  ``fit(train)`` returns a function that adds ``score`` to rows.  The loop
-    runs one distributed fit per source; a source is skipped when one class would remain.
-    """
-    from functools import reduce
-
-    if sources is None:
-        sources = [r[0] for r in corpus.where(F.col("source").isNotNull()).select("source").distinct().orderBy("source").collect()]
-    parts = []
-    for held in sources:
-        train = corpus.where(~F.col("source").eqNullSafe(F.lit(held)) & (F.col("split") == "train"))
-        unseen = corpus.where((F.col("source") == held) & (F.col("label") == 0))
-        if train.select("label").distinct().count() < 2 or unseen.isEmpty():
-            continue
-        score = fit(train)
-        false_alarms = score(unseen).agg(
-            F.count("*").alias("n_unseen_legit"),
-            F.round(F.avg((F.col("score") >= 0.5).cast("double")), 4).alias("fpr_05"),
-            F.round(F.avg((F.col("score") >= fixed.QUARANTINE_THRESHOLD).cast("double")), 4).alias("fpr_q"))
-        caught = score(positives).agg(
-            F.round(F.avg((F.col("score") >= 0.5).cast("double")), 4).alias("recall_05"))
-        parts.append(false_alarms.select(F.lit(held).alias("held_out"), "*", caught.scalar().alias("recall_05")))
-    if not parts:
-        raise ValueError("no source can be held out")
-    return reduce(DataFrame.unionByName, parts)
-
-
 def rule_variants(reasons: DataFrame, hidden: dict[str, list[str]], key: str = "msg_id") -> DataFrame:
     """Scores per rule variant: the same reasons with some codes switched off.
 

@@ -185,6 +185,9 @@ def assemble_messages(rows: DataFrame) -> DataFrame:
 
 
 def route_kind(kind: Column, text_column: Column) -> Column:
-    """``sms``, ``raw_email`` (two or more leading header lines) or ``text``."""
-    headed = F.regexp_like(text_column, F.lit(r"^(?:[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]*\r?\n){2,}"))
+    """``sms``, ``raw_email`` (two or more leading header lines) or ``text``.
+
+    Two lines decide it: an open repetition would recurse over every header line of the text.
+    """
+    headed = F.regexp_like(text_column, F.lit(r"^(?:[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]*+\n){2}"))
     return F.when(kind == "sms", "sms").when(headed, "raw_email").otherwise("text")

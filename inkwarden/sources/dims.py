@@ -16,9 +16,9 @@ def extra_brand_violations(brands: DataFrame) -> DataFrame:
     """``(brand, problem)`` rows of an extension ``(brand, domains, clean)``; empty when valid."""
     size = F.coalesce(F.size("domains"), F.lit(0))
     bad_host = F.exists("clean", lambda d: d.isNull() | ~F.regexp_like(d, F.lit(_HOST)))
-    problem = (F.when(~F.regexp_like("brand", F.lit(r"^[a-z0-9]{2,40}$")), "invalid brand name")
-               .when((size < 1) | (size > fixed.MAX_EXTRA_DOMAINS), "needs a list of 1-50 domains")
-               .when(bad_host | (F.size(F.array_distinct("clean")) != size), "invalid domains"))
+    problem = (F.when(~F.regexp_like("brand", F.lit(r"^[a-z0-9]{2,40}$")), "its name is not 2 to 40 lower-case letters and digits")
+               .when((size < 1) | (size > fixed.MAX_EXTRA_DOMAINS), "it has no domain, or more than fifty")
+               .when(bad_host | (F.size(F.array_distinct("clean")) != size), "a domain is no registered name, or is there twice"))
     return brands.select("brand", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
@@ -28,23 +28,23 @@ def load_dims(spark: SparkSession, extra_brands: str | None = None, base: Dims =
         return base
     files = spark.read.format("binaryFile").load(extra_brands)
     if files.where(F.col("length") > _MAX_BYTES).count():
-        raise ValueError("extra brands file too large")
+        raise ValueError(f"{extra_brands}: more than {_MAX_BYTES} bytes of brand data")
     text = files.select(F.decode("content", "UTF-8").alias("json"))
     parsed = text.select(F.from_json("json", "map<string,string>").alias("m"),
                          F.regexp_like("json", F.lit(r"^\s*\{")).alias("is_object"))
     if parsed.where(F.col("m").isNull() | ~F.col("is_object")).count():
-        raise ValueError("extra brands file must be an object of brand -> domain list")
+        raise ValueError(f"{extra_brands}: no JSON object that maps brands to lists")
     rows = parsed.select(F.explode("m").alias("brand", "value"))
     strings = rows.select("brand", F.when(F.regexp_like("value", F.lit(
-        r"^\s*\[(?:\s*\"[^\"]*\"\s*,?)*\s*\]\s*$")), F.from_json("value", "array<string>")).alias("domains"))
+        r"^\s*+\[(?:\s*+\"[^\"]*+\"\s*+,?)*+\s*+\]\s*+$")), F.from_json("value", "array<string>")).alias("domains"))
     cleaned = strings.withColumn("clean", F.transform(
         "domains", lambda d: registered_domain(normalise_host(d), base)))
     found = cleaned.limit(fixed.MAX_EXTRA_BRANDS + 1).collect()
     if len(found) > fixed.MAX_EXTRA_BRANDS:
-        raise ValueError("extra brands file has too many brands")
+        raise ValueError(f"{extra_brands}: more than {fixed.MAX_EXTRA_BRANDS} brands")
     problem = extra_brand_violations(cleaned).first()
     if problem is not None:
-        raise ValueError(f"brand {problem['brand']!r}: {problem['problem']}")
+        raise ValueError(f"{extra_brands}, entry {problem['brand']!r}: {problem['problem']}")
     return base.with_brands({r["brand"]: list(dict.fromkeys(r["clean"])) for r in found})
 
 
