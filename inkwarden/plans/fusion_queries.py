@@ -146,7 +146,7 @@ def email_verdicts_with_model(spark, sf_dir):
 
 _TEXTS = f"""WITH {inputs.SMS_SQL}, x AS (SELECT DISTINCT msg_id, url FROM (SELECT msg_id, unnest(list_transform(
     regexp_extract_all(text, '{_URL_PATTERN}', 0), lambda u: rtrim(u, '.,;:!?'))) AS url FROM sms)),
-  b AS (SELECT msg_id, unnest(CASE ending WHEN 2 THEN ['sbi-kyc-renewal.in/verify'] WHEN 8 THEN ['t.me/dawn_signals', 'a.co/d/q7k'] ELSE [] END) AS url
+  b AS (SELECT msg_id, unnest(CASE ending WHEN 2 THEN ['sbi-card-forms.in/start'] WHEN 8 THEN ['t.me/tide_tables', 'a.co/d/m4x'] ELSE [] END) AS url
     FROM (SELECT conv_id * 1000 + turn AS msg_id, (conv_id + turn * 5) % {len(inputs.SMS_ENDINGS)} AS ending FROM conversations)),
   xlinks AS (SELECT msg_id * 1000 + 2 * row_number() OVER (PARTITION BY msg_id) AS k, url FROM x
     UNION ALL SELECT msg_id * 1000 + 501 + 2 * row_number() OVER (PARTITION BY msg_id), 'http://' || url FROM b),

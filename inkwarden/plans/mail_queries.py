@@ -243,7 +243,7 @@ _KIND = ("CASE WHEN contains(sender, '@') THEN 'email' WHEN regexp_matches(regex
          "'^\\+?\\d{8,15}$') THEN 'phone' ELSE '' END")
 _NAMES = ("CASE ending WHEN 1 THEN 'paypal' WHEN 2 THEN 'sbi' WHEN 3 THEN 'amazon' WHEN 6 THEN 'icici' "
           "WHEN 9 THEN 'hdfc' WHEN 11 THEN 'phonepe' ELSE '' END")
-_OUTSIDE = ("CASE ending WHEN 1 THEN 'paypa1-checkin.com' WHEN 2 THEN 'sbi-kyc-renewal.in' WHEN 6 THEN '192.0.2.7' ELSE '' END")
+_OUTSIDE = ("CASE ending WHEN 1 THEN 'paypa1-desk.com' WHEN 2 THEN 'sbi-card-forms.in' WHEN 6 THEN '192.0.2.7' ELSE '' END")
 
 
 @register("sms_findings", f"""{_REPORTS}, f AS (SELECT msg_id, {_KIND} AS kind, {_NAMES} AS brand, {_OUTSIDE} AS outside FROM k JOIN sms USING (msg_id))
