@@ -261,7 +261,22 @@ def text_link_findings(spark, sf_dir):
     return exploded(rows, ["msg_id"], F.col("f")).select("msg_id", "code", "detail")
 
 
-@register("text_link_reports")
+#: URLs first, then bare domains in their order; the first link with a code gives its detail.
+_REPORTED = f"""{_EXTRACT}, y AS (SELECT msg_id, url FROM x WHERE url <> ''),
+  b AS (SELECT conv_id * 1000 + turn AS msg_id, unnest(bare) AS url, unnest(range(len(bare))) AS place
+    FROM (SELECT conv_id, turn, CASE (conv_id + turn * 5) % {len(inputs.SMS_ENDINGS)} WHEN 2 THEN ['sbi-card-forms.in/start']
+      WHEN 8 THEN ['t.me/tide_tables', 'a.co/d/m4x'] ELSE [] END AS bare FROM conversations)),
+  xlinks AS (SELECT msg_id * 1000 + 2 * row_number() OVER (PARTITION BY msg_id) AS k, url FROM y
+    UNION ALL SELECT msg_id * 1000 + 501 + 2 * place, 'http://' || url FROM b),
+  {o.url_ctes('xlinks', 'k')},
+  found AS (SELECT k // 1000 AS msg_id, code, arg_min({_DETAIL}, k) AS detail FROM uf
+    WHERE NOT (code = 'url_http_only' AND k % 1000 >= 501 AND k % 2 = 1) GROUP BY k // 1000, code),
+  n AS (SELECT k // 1000 AS msg_id, count(*)::INT AS links FROM xlinks GROUP BY k // 1000)
+  SELECT f.msg_id::BIGINT AS msg_id, links, code, weight, detail FROM found f JOIN n USING (msg_id)
+  JOIN {o.weights(fixed.LINK_WEIGHTS)} USING (code)"""
+
+
+@register("text_link_reports", _REPORTED)
 def text_link_report_rows(spark, sf_dir):
     """URLs and bare domains together, with their findings."""
     rows = inputs.sms(spark, sf_dir).withColumn("r", text_link_reports("text"))
