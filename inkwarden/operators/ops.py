@@ -239,31 +239,40 @@ def canonical_halves(fields: list[str]) -> tuple[Column, Column]:
 
 
 def link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash chain over rows that arrive sorted by (chain, seq); keeps one hash in memory."""
-    chain, last = None, fixed.GENESIS
+    """Hash chain over rows that arrive sorted by (chain, seq); keeps one hash and one count in memory."""
+    chain, last, line = None, fixed.GENESIS, 0
     for frame in batches:
-        prevs, hashes = [], []
-        for key, head, tail in zip(frame["_chain"], frame["_head"], frame["_tail"], strict=True):
+        prevs, hashes, lines = [], [], []
+        for key, head, tail, start, before in zip(frame["_chain"], frame["_head"], frame["_tail"], frame["_start"],
+                                                  frame["_before"], strict=True):
             if key != chain:
-                chain, last = key, fixed.GENESIS
+                chain, last, line = key, start, before
             prevs.append(last)
             last = hashlib.sha256(f"{head}{last}{tail}".encode()).hexdigest()
+            line += 1
             hashes.append(last)
-        yield frame.assign(prev=prevs, hash=hashes)
+            lines.append(line)
+        yield frame.assign(prev=prevs, hash=hashes, line_no=lines)
 
 
-def _linked(entries: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
+def _linked(entries: DataFrame, keys: list[str], order: str, fields: list[str],
+            heads: DataFrame | None = None) -> DataFrame:
     """Adds ``prev, hash, line_no``: a hash chain per value of ``keys``.  Rows stream through each task in order
-    with one hash of state."""
+    with one hash of state.  ``heads`` (``keys, head, lines``) are the ends of chains that go on."""
     head, tail = canonical_halves(fields)
     name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    prepared = entries.withColumn("_chain", name).withColumn("_head", head).withColumn("_tail", tail)
+    start, before = F.lit(fixed.GENESIS), F.lit(0)
+    if heads is not None:
+        known = heads.select(*keys, F.col("head").alias("_known"), F.col("lines").alias("_lines"))
+        entries = entries.join(known, keys, "left")
+        start, before = F.coalesce("_known", start), F.coalesce("_lines", before)
+    prepared = entries.withColumns({"_chain": name, "_head": head, "_tail": tail, "_start": start,
+                                    "_before": before.cast("int")}).drop("_known", "_lines")
     placed = prepared.repartition(*keys).sortWithinPartitions("_chain", order)
-    added = [T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType())]
+    added = [T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType()),
+             T.StructField("line_no", T.IntegerType())]
     schema = T.StructType([*placed.schema.fields, *added])
-    linked = placed.mapInPandas(link_batches, schema).drop("_chain", "_head", "_tail")
-    line = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-    return linked.withColumn("line_no", line)
+    return placed.mapInPandas(link_batches, schema).drop("_chain", "_head", "_tail", "_start", "_before")
 
 
 def build_audit_chain(entries: DataFrame, chain: list[str], order: str,
@@ -276,7 +285,12 @@ def build_audit_chain(entries: DataFrame, chain: list[str], order: str,
     size of a file changes nothing that verification finds.
     """
     numbered = entries.withColumn("file_no", F.floor(F.col(order) / rows_per_file).cast("bigint"))
-    return _linked(numbered, [*chain, "file_no"], order, fields)
+    return link_files(numbered, chain, order, fields)
+
+
+def link_files(entries: DataFrame, chain: list[str], order: str, fields: list[str]) -> DataFrame:
+    """Adds ``line_no, prev, hash`` to entries that have their ``file_no`` already."""
+    return _linked(entries, [*chain, "file_no"], order, fields)
 
 
 SEALED = ["file_no", "last", "rows"]
@@ -286,17 +300,20 @@ def _file_ends(lines: DataFrame, chain: list[str]) -> DataFrame:
     return lines.groupBy(*chain, "file_no").agg(F.count("*").alias("rows"), F.max_by("hash", "line_no").alias("last"))
 
 
-def seal_audit_files(lines: DataFrame, chain: list[str]) -> DataFrame:
+def seal_audit_files(lines: DataFrame, chain: list[str], heads: DataFrame | None = None) -> DataFrame:
     """A second chain per mailbox over its files: ``file_no, rows, last`` (hash), ``prev, hash, seal_no``.
 
     Its input is one row a file.  The last seal of each mailbox (``audit_heads``) is to be kept apart from the logs.
+    With the ``heads`` of earlier seals, new files continue their chain.
     """
-    return _linked(_file_ends(lines, chain), chain, "file_no", SEALED).withColumnRenamed("line_no", "seal_no")
+    ends = None if heads is None else heads.withColumnRenamed("seals", "lines")
+    return _linked(_file_ends(lines, chain), chain, "file_no", SEALED, ends).withColumnRenamed("line_no", "seal_no")
 
 
 def audit_heads(seals: DataFrame, chain: list[str]) -> DataFrame:
-    """Per mailbox the number of its seals and the hash of the last one."""
-    return seals.groupBy(*chain).agg(F.count("*").alias("seals"), F.max_by("hash", "seal_no").alias("head"))
+    """Per mailbox the number of the last seal and its hash."""
+    return seals.groupBy(*chain).agg(F.max("seal_no").cast("bigint").alias("seals"),
+                                     F.max_by("hash", "seal_no").alias("head"))
 
 
 def verify_audit_log(lines: DataFrame, seals: DataFrame, heads: DataFrame, chain: list[str],

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.fusion import decide
 from ..session import work_folder
 from ..sources import messages
 from ..streaming import scoring as continuous
-from ..streaming import stateful
+from ..streaming import poll, stateful
 from . import inputs, scoring
 from .fusion_queries import ORACLES as FUSION_SQL
 from .operations_queries import CHAIN_FIELDS, CHAIN_SQL, ROWS_PER_FILE
@@ -35,7 +36,6 @@ def _message_files(spark, sf_dir, folder: str, files: int = 4) -> DataFrame:
 
 def _verdicts(batch: DataFrame) -> DataFrame:
     scored = scoring.score_sms(batch, F.col("p_sms"), F.col("p_email"))
-    from ..operators.fusion import decide
     label, action = decide(F.round("score", 9))
     return scored.select("msg_id", F.round("score", 6).alias("score"), label.alias("label"), action.alias("action"))
 
@@ -137,3 +137,75 @@ def unreadable_messages_reviewed(spark, sf_dir):
         F.when(~F.col("analysed"), F.col("action")).alias("forced"))
 
 
+
+
+# ---------------------------------------------------------------- the poll job
+
+# A third of all messages lies in mailbox 0; every 41st message has vanished, every tenth cannot be moved.
+_POLLS, _FILE_ROWS, _POLLED_AT = 3, 2000, "2024-02-0{} 08:00:00"
+POLLED_SQL = f"""v AS ({FUSION_SQL["sms_verdicts"]}),
+  {inputs.SMS_SQL},
+  box AS (SELECT msg_id AS uid, CASE WHEN msg_id % 3 = 0 THEN 0 ELSE msg_id % 7 END AS mailbox, sender,
+    least(msg_id * {_POLLS} // (SELECT max(msg_id) + 1 FROM sms), {_POLLS - 1}) AS poll FROM sms WHERE msg_id > 0),
+  ev AS (SELECT box.*, CASE WHEN uid % 41 = 0 THEN 'vanished' WHEN sender = '61200' THEN 'skipped_released' ELSE 'scanned' END AS event,
+    v.score, v.action FROM box JOIN v ON v.msg_id = uid),
+  polled AS (SELECT mailbox, uid, poll, event, CASE WHEN event = 'scanned' THEN round(score, 4) END AS score,
+    CASE WHEN event <> 'scanned' THEN NULL WHEN action = 'quarantine' AND uid % 10 = 0 THEN 'quarantine_failed' WHEN action = 'quarantine' THEN 'quarantined'
+      WHEN action = 'review' THEN 'flagged_for_review' ELSE 'delivered' END AS action_taken FROM ev)"""
+
+
+def _polled(spark, sf_dir) -> poll.Ledger:
+    """Three polls while mail arrives.  The second dies after all its tables were written, with other verdicts than
+    the one that follows: nothing of it may be seen."""
+    uid = F.col("msg_id")
+    rows = inputs.sms(spark, sf_dir).where("msg_id > 0")
+    top = inputs.sms(spark, sf_dir).agg(F.max("msg_id")).first()[0] + 1
+    listing = rows.select(
+        F.when(uid % 3 == 0, F.lit(0)).otherwise(uid % 7).cast("bigint").alias("mailbox"), F.lit(7).cast("bigint").alias("uidvalidity"),
+        uid.cast("bigint").alias("uid"), F.concat(F.lit("<"), uid.cast("string"), F.lit("@m.example>")).alias("message_id"),
+        F.sha2("text", 256).alias("content_sha256"), F.when(uid % 41 != 0, F.col("text")).alias("content"),
+        "text", "sender", "p_sms", "p_email",
+        F.least(F.floor(uid * _POLLS / F.lit(top)), F.lit(_POLLS - 1)).alias("_poll"))
+    # Released are the messages of one sender, known by their hashes.
+    released = lambda: rows.where("sender = '61200'").select(F.sha2("text", 256).alias("content_sha256"))
+
+    def score(batch: DataFrame) -> DataFrame:
+        return _verdicts(batch).select("msg_id", "score", "action")
+
+    ledger = poll.Ledger(spark, f"{work_folder(spark)}/ledger")
+    for number in range(_POLLS):
+        arrived = listing.where(F.col("_poll") <= number).drop("_poll")
+        options = {"released": released, "moved": lambda: F.col("uid") % 10 != 0, "backfill": None, "limit": None,
+                   "rows_per_file": _FILE_ROWS}
+        if number == 1:
+            alarm = lambda batch: batch.select("msg_id", F.lit(1.0).alias("score"), F.lit("quarantine").alias("action"))
+            poll.stage_poll(ledger, arrived, alarm, _POLLED_AT.format(9), **options)
+        poll.poll_once(ledger, arrived, score, _POLLED_AT.format(number + 1), **options)
+    return ledger
+
+
+@register("polled_messages", f"""WITH {POLLED_SQL}
+  SELECT mailbox, uid, poll::INT AS batch, event, score, action_taken, CASE WHEN action_taken <> 'delivered'
+    THEN '2024020' || (poll + 1) || 'T080000Z-' || left(sha256(mailbox || '/7/' || uid), 32) END AS incident_id FROM polled""")
+def polled_messages(spark, sf_dir):
+    """Every message of three polls, one of them aborted and run again: what was done with it, and its incident."""
+    return _polled(spark, sf_dir).table("outcomes").select(
+        "mailbox", "uid", F.col("batch").cast("int").alias("batch"), "event", "score", "action_taken", "incident_id")
+
+
+@register("polled_mailboxes", f"""WITH {POLLED_SQL},
+  fl AS (SELECT mailbox, poll, uid // {_FILE_ROWS} AS part FROM polled UNION SELECT mailbox, min(poll), 0 FROM polled GROUP BY mailbox),
+  fs AS (SELECT mailbox, count(*) AS files FROM fl GROUP BY mailbox)
+  SELECT mailbox, max(uid) AS last_uid, count(*) FILTER (event = 'scanned') AS scanned, count(*) FILTER (event <> 'scanned') AS skipped,
+    count(*) FILTER (action_taken <> 'delivered') AS incidents, count(*) FILTER (action_taken = 'quarantined') AS records,
+    count(*) + 1 AS audit_lines, any_value(files) AS files, TRUE AS ok FROM polled JOIN fs USING (mailbox) GROUP BY mailbox""")
+def polled_mailboxes(spark, sf_dir):
+    """Cursor, counts of all tables and the verified audit log per mailbox after the polls."""
+    ledger = _polled(spark, sf_dir)
+    count = lambda name, rows: rows.groupBy("mailbox").agg(F.count("*").alias(name))
+    seen = poll.poll_counts(ledger).groupBy("mailbox").agg(F.sum("scanned").alias("scanned"), F.sum("skipped").alias("skipped"))
+    out = ledger.snapshot("cursors", poll.CURSORS).select("mailbox", "last_uid").join(seen, "mailbox", "left")
+    for name, table in (("incidents", "incidents"), ("records", "records"), ("audit_lines", "audit")):
+        out = out.join(count(name, ledger.table(table)), "mailbox", "left")
+    checked = poll.verify_polls(ledger).select("mailbox", "files", "ok")
+    return out.na.fill(0).join(checked, "mailbox", "left")
