@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import admission
 from ..operators.fusion import decide
 from ..session import work_folder
 from ..sources import messages
@@ -113,15 +114,46 @@ def streamed_audit_chain(spark, sf_dir):
     return _arriving(spark, inputs.audit(spark, sf_dir), "seq", work_folder(spark), build)
 
 
-@register("admitted_hits")
-def admitted_hits(spark, sf_dir):
-    """Exact admission counting per client; checked against brute force in the tests."""
-    hits = inputs.table(spark, sf_dir, "events").select(
+_CLIENT_HITS = """h AS (SELECT event_id AS hit_id, 'c' || (user_id % 50) AS key, epoch_us(ts) AS us FROM events)"""
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    return inputs.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("hit_id"),
         F.concat(F.lit("c"), (F.col("user_id") % 50).cast("string")).alias("client"),
         F.col("ts").cast("timestamp").alias("ts"))
-    build = lambda stream: stateful.admission_stream(stream, "client", "ts", limit=2, seconds=3600)
-    return _arriving(spark, hits, "hit_id", work_folder(spark), build)
+
+
+def _admitted_sql(arrivals: int) -> str:
+    """One hit a step and key, in order of arrival, with the list of admitted times that still count."""
+    return f"""WITH RECURSIVE {_CLIENT_HITS},
+  n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY arrival, us, hit_id) AS i FROM (SELECT h.*,
+    (SELECT count(*) FROM range(1, {arrivals}) r(j) WHERE hit_id >= top * j // {arrivals}) AS arrival
+    FROM h, (SELECT max(hit_id) + 1 AS top FROM h))),
+  w AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS hit_id, NULL::BOOLEAN AS admitted, []::BIGINT[] AS recent FROM n GROUP BY key
+    UNION ALL SELECT key, i, hit_id, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, us) ELSE kept END
+    FROM (SELECT n.key, n.i, n.hit_id, n.us, list_filter(w.recent, lambda t: n.us - t <= 3600000000) AS kept
+      FROM w JOIN n ON n.key = w.key AND n.i = w.i + 1))
+  SELECT key, hit_id, admitted FROM w WHERE i > 0"""
+
+
+@register("admitted_hits", _admitted_sql(3))
+def admitted_hits(spark, sf_dir):
+    """Exact admission counting per client over a stream that is stopped and started twice."""
+    hits, folder = _hits(spark, sf_dir), work_folder(spark)
+    top = hits.agg(F.max("hit_id")).first()[0] + 1
+    for i in range(3):
+        low, high = top * i // 3, top * (i + 1) // 3
+        hits.where((F.col("hit_id") >= low) & (F.col("hit_id") < high)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(hits.schema).parquet(f"{folder}/in")
+        stateful.admission_stream(stream, "client", "ts", 2, f"{folder}/ledger", f"{folder}/checkpoint", 3600).awaitTermination()
+    return poll.Ledger(spark, f"{folder}/ledger").table("decisions").drop("batch")
+
+
+@register("admitted_table", _admitted_sql(1))
+def admitted_table(spark, sf_dir):
+    """The same over the whole table at once, by time."""
+    return admission.admit(_hits(spark, sf_dir), "client", "ts", limit=2, seconds=3600)
 
 
 @register("unreadable_messages_reviewed", f"""WITH {inputs.SMS_SQL} SELECT msg_id, CASE WHEN msg_id % 3 = 0 THEN 'unparseable' ELSE 'ok' END AS status,

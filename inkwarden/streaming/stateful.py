@@ -1,4 +1,4 @@
-"""Stateful streams: the audit chain and the admission counter, keyed and bounded."""
+"""Stateful streams: the audit chain by keyed state, the admission counter by a ledger of batches."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
+from ..operators import admission
 from ..operators.ops import canonical_halves
+from .poll import Ledger
 
 
 def chain_stream(entries: DataFrame, chain: list[str], order: str, fields: list[str],
@@ -45,28 +48,24 @@ def chain_stream(entries: DataFrame, chain: list[str], order: str, fields: list[
         extend, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def admission_stream(hits: DataFrame, key: str, ts: str, limit: int,
-                     seconds: int = fixed.BURST_SECONDS) -> DataFrame:
-    """Exact sliding-window admission: a hit is admitted while fewer than ``limit`` admitted
-    hits of its key lie in the last ``seconds``.  State holds at most ``limit`` times."""
-    span = seconds * 1_000_000
-    rows = hits.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
-                       F.col("hit_id").cast("bigint").alias("hit_id"))
+def admission_stream(hits: DataFrame, key: str, ts: str, limit: int, folder: str, checkpoint: str,
+                     seconds: int = fixed.BURST_SECONDS) -> StreamingQuery:
+    """Admission of a stream of hits (see the batch operator): decisions and the times that still count are published
+    together per micro-batch in the ledger at ``folder``, so a batch that runs again continues from the same state.
 
-    def admit(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["us", "hit_id"])
-        decisions = []
-        for now in rows["us"]:
-            recent = [t for t in recent if now - t <= span]
-            admitted = len(recent) < limit
-            if admitted:
-                recent.append(int(now))
-            decisions.append(admitted)
-        state.update((recent,))
-        yield pd.DataFrame({"key": [name[0]] * len(rows), "hit_id": rows["hit_id"].to_numpy(),
-                            "admitted": decisions})
+    Hits are handled in their order of arrival: by micro-batch, then by time and id.
+    """
+    ledger = Ledger(hits.sparkSession, folder)
+
+    def process(batch: DataFrame, number: int) -> None:
+        if number <= ledger.last():  # published before the stream noted it
+            return
+        rows = admission.timed_hits(batch, key, ts)
+        before = ledger.snapshot("recent", admission.STATE)
+        found = ledger.stage("admissions", admission.admissions(rows, limit, seconds, before), number)
+        ledger.stage("recent", found.where("recent is not null").select("key", "recent"), number)
+        ledger.stage("decisions", admission.decisions(rows, found, limit), number)
+        ledger.publish(number, str(number))
 
-    return rows.groupBy("key").applyInPandasWithState(
-        admit, "key string, hit_id bigint, admitted boolean", "recent array<bigint>", "append",
-        GroupStateTimeout.NoTimeout)
+    return hits.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
