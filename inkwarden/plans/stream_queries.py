@@ -241,3 +241,44 @@ def polled_mailboxes(spark, sf_dir):
         out = out.join(count(name, ledger.table(table)), "mailbox", "left")
     checked = poll.verify_polls(ledger).select("mailbox", "files", "ok")
     return out.na.fill(0).join(checked, "mailbox", "left")
+
+
+# Requests on every quarantined message: started by two people at once; then restored, failed or neither; a second
+# batch starts the failed again and restores it, and tries what is over or stale.
+_REQUESTS = [  # name, batch, remainders of uid by 4, base version, event, by, minute
+    ("a", 0, [0, 1, 2], 1, "started", "ann", 2), ("b", 0, [0, 1, 2, 3], 1, "started", "bob", 1),
+    ("c", 0, [0], 2, "restored", "bob", 3), ("d", 0, [1], 2, "failed", "bob", 3), ("e", 0, [2], 1, "restored", "eve", 0),
+    ("f", 1, [0], 3, "started", "ann", 5), ("g", 1, [1], 3, "started", "ann", 5), ("h", 1, [1], 4, "restored", "ann", 6),
+    ("i", 1, [0, 1, 2, 3], 1, "started", "eve", 4)]
+
+
+@register("restored_records", f"""WITH {inputs.SMS_SQL}, q AS (SELECT msg_id AS uid FROM sms WHERE p_sms >= 0.8 AND msg_id > 0)
+  SELECT '20240201T080000Z-' || left(sha256(uid % 5 || '/7/' || uid), 32) AS incident_id,
+    CASE uid % 4 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 2 END AS version, CASE WHEN uid % 4 < 2 THEN 'restored' ELSE 'restoring' END AS status,
+    CASE uid % 4 WHEN 0 THEN 'bob' WHEN 1 THEN 'ann' END AS restored_by,
+    CASE uid % 4 WHEN 0 THEN '03' WHEN 1 THEN '06' END AS restored_minute,
+    CASE uid % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END::BIGINT AS conflicts, TRUE AS log_ok FROM q""")
+def restored_records(spark, sf_dir):
+    """Every quarantined message after two batches of restore requests: version, state, who and when, lost requests."""
+    rows = inputs.sms(spark, sf_dir).where("msg_id > 0").select(
+        (F.col("msg_id") % 5).cast("bigint").alias("mailbox"), F.lit(7).cast("bigint").alias("uidvalidity"),
+        F.col("msg_id").cast("bigint").alias("uid"), F.lit("").alias("message_id"),
+        F.sha2("text", 256).alias("content_sha256"), F.col("text").alias("content"), "p_sms")
+    score = lambda batch: batch.select("msg_id", F.col("p_sms").alias("score"), F.when(
+        F.col("p_sms") >= 0.8, "quarantine").otherwise("deliver").alias("action"))
+    ledger = poll.Ledger(spark, f"{work_folder(spark)}/ledger")
+    poll.poll_once(ledger, rows, score, _POLLED_AT.format(1), backfill=None, limit=None)
+    held = ledger.table("records")
+    for batch in (0, 1):
+        kinds = F.array(*[F.struct(
+            F.lit(name).alias("name"), F.array(*map(F.lit, rest)).alias("rest"), F.lit(base).alias("base_version"),
+            F.lit(event).alias("event"), F.lit(by).alias("by"), F.lit(f"2024-02-02 08:{minute:02d}:00").alias("at"))
+            for name, when, rest, base, event, by, minute in _REQUESTS if when == batch])
+        asked = held.withColumn("k", F.explode(kinds)).where(
+            F.array_contains("k.rest", (F.col("source_uid") % 4).cast("int"))).select(
+            F.concat("k.name", F.lit("-"), "incident_id").alias("request_id"), "incident_id", "k.base_version", "k.event", "k.by", "k.at")
+        poll.restore(ledger, asked, _POLLED_AT.format(2 + batch))
+    lost = ledger.table("restores").groupBy("incident_id").agg(F.count_if(F.col("outcome") == "conflict").alias("conflicts"))
+    checked = poll.verify_polls(ledger).select("mailbox", F.col("ok").alias("log_ok"))
+    return poll.current_records(ledger).join(lost, "incident_id").join(checked, "mailbox").select(
+        "incident_id", "version", "status", "restored_by", F.date_format("restored_at", "mm").alias("restored_minute"), "conflicts", "log_ok")

@@ -8,19 +8,26 @@ the same messages, and overwrites what was left.  One poll job runs per ledger a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import fixed
 from ..operators import ops
 from ..sources.stores import incident_id
 
 IDENTITY = ["mailbox", "uidvalidity", "uid", "message_id", "content_sha256"]
-AUDIT_FIELDS = ["action", "action_taken", "backfill", "content_sha256", "event", "incident_id",
-                "previous_uidvalidity", "score", "seq", "start_after_uid", "ts", "uid", "uidvalidity"]
+#: Fields of an audit entry; those an event has no value for are null.
+AUDIT_KINDS = {"action": "string", "action_taken": "string", "backfill": "int", "by": "string", "content_sha256": "string",
+               "event": "string", "incident_id": "string", "previous_uidvalidity": "bigint", "score": "double",
+               "seq": "bigint", "start_after_uid": "bigint", "ts": "string", "uid": "bigint", "uidvalidity": "bigint"}
+AUDIT_FIELDS = list(AUDIT_KINDS)
+RECORD = ["incident_id", "version", "quarantined_at", "mailbox", "source_uid", "source_uidvalidity", "message_id",
+          "content_sha256", "score", "restore_started_at", "restored_at", "restored_by"]
 CURSORS = "mailbox bigint, uidvalidity bigint, last_uid bigint, seals bigint, head string"
 
 
@@ -81,6 +88,25 @@ def _starts(messages: DataFrame, saved: DataFrame, backfill: int | None) -> Data
     return starts.withColumn("last_uid", F.when(F.col("reset"), F.lit(0)).otherwise(F.col("last_uid")).cast("bigint"))
 
 
+def _log(ledger: Ledger, batch: int, entries: DataFrame, saved: DataFrame, moment: Column, rows_per_file: int) -> DataFrame:
+    """Stages the audit lines of a batch and their seals; ``mailbox, _seals, _head`` of the mailboxes that got any."""
+    fields = [F.lit(None).cast(kind).alias(name) for name, kind in AUDIT_KINDS.items() if name not in entries.columns]
+    stamp = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # A uid has 32 bits, so a number made of batch and range of uids grows with both.
+    file_no = F.lit(batch).cast("bigint") * 2 ** 32 + F.floor(F.col("seq") / rows_per_file)
+    whole = entries.select("*", *fields).withColumn("ts", stamp).withColumn("file_no", file_no)
+    lines = ledger.stage("audit", ops.link_files(whole, ["mailbox"], "seq", AUDIT_FIELDS), batch)
+    ends = saved.select("mailbox", "head", "seals").where("head is not null")
+    seals = ledger.stage("seals", ops.seal_audit_files(lines, ["mailbox"], ends), batch)
+    return ops.audit_heads(seals, ["mailbox"]).withColumnsRenamed({"seals": "_seals", "head": "_head"})
+
+
+def released_here(ledger: Ledger) -> DataFrame | None:
+    """Hashes of the ledger's records that someone released or is releasing."""
+    versions = ledger.table("records")
+    return None if versions is None else ops.released_hashes(ops.latest_versions(versions.select(*RECORD)))
+
+
 def stage_poll(ledger: Ledger, messages: DataFrame, score: Callable[[DataFrame], DataFrame], at: str,
                released: Callable[[], DataFrame] | None = None, quarantine_mode: bool = True,
                moved: Callable[[], Column] | None = None, backfill: int | None = 0,
@@ -90,7 +116,8 @@ def stage_poll(ledger: Ledger, messages: DataFrame, score: Callable[[DataFrame],
     ``messages``: ``mailbox, uidvalidity, uid, message_id, content_sha256``, ``content`` (null: vanished) and what
     ``score`` needs; one validity per mailbox.  ``score`` gets them with the identity as the struct ``msg_id`` and
     returns ``msg_id, score, action``.  ``moved`` is the outcome of the mailbox's move, an expression on the identity.
-    ``released`` is called after the messages are known and gives hashes that are never quarantined again.
+    Content that was released in this ledger is never quarantined again, nor what ``released`` gives, which is called
+    after the messages are known.
     At most ``limit`` messages per mailbox are taken, oldest first (``None``: all).
 
     Tables: ``outcomes`` (each message taken), ``incidents``, ``records`` (version 1), ``audit`` (hash chains, one
@@ -111,8 +138,9 @@ def stage_poll(ledger: Ledger, messages: DataFrame, score: Callable[[DataFrame],
 
     keys = {name: F.col(name).cast("bigint") for name in IDENTITY[:3]}
     taken = taken.withColumns(keys).withColumn("_event", F.when(F.col("content").isNull(), "vanished"))
-    if released is not None:
-        known = released().select("content_sha256", F.lit(True).alias("_released")).distinct()
+    sets = [found.select("content_sha256") for found in (released_here(ledger), released and released()) if found is not None]
+    if sets:
+        known = functools.reduce(DataFrame.unionByName, sets).distinct().withColumn("_released", F.lit(True))
         taken = taken.join(known, "content_sha256", "left").withColumn(
             "_event", F.coalesce("_event", F.when(F.col("_released"), "skipped_released"))).drop("_released")
     identity = taken.withColumn("msg_id", F.struct(*IDENTITY))
@@ -133,27 +161,19 @@ def stage_poll(ledger: Ledger, messages: DataFrame, score: Callable[[DataFrame],
     ledger.stage("records", outcomes.where("action_taken = 'quarantined'").select(
         "incident_id", F.lit(1).alias("version"), F.col("at").alias("quarantined_at"), "mailbox",
         F.col("uid").alias("source_uid"), F.col("uidvalidity").alias("source_uidvalidity"), "message_id",
-        "content_sha256", "score"), batch)
+        "content_sha256", "score", none.cast("timestamp").alias("restore_started_at"),
+        none.cast("timestamp").alias("restored_at"), none.cast("string").alias("restored_by")), batch)
 
-    stamp = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     entries = outcomes.select("mailbox", F.col("uid").alias("seq"), *[
         F.col(c) for c in ("uid", "uidvalidity", "event", "score", "action", "action_taken", "incident_id", "content_sha256")])
     before = saved.select("mailbox", F.col("uidvalidity").alias("previous_uidvalidity"))
     resets = starts.where("reset").join(before, "mailbox", "left").select(
         "mailbox", F.lit(0).cast("bigint").alias("seq"), "uidvalidity", F.lit("cursor_reset").alias("event"),
         F.col("last_uid").alias("start_after_uid"), "previous_uidvalidity", F.lit(backfill).cast("int").alias("backfill"))
-    # A uid has 32 bits, so a number made of batch and range of uids grows with both.
-    file_no = F.lit(batch).cast("bigint") * 2 ** 32 + F.floor(F.col("seq") / rows_per_file)
-    lines = ledger.stage("audit", ops.link_files(
-        entries.unionByName(resets, allowMissingColumns=True).withColumn("ts", stamp).withColumn("file_no", file_no),
-        ["mailbox"], "seq", AUDIT_FIELDS), batch)
-    ends = saved.select("mailbox", "head", "seals").where("head is not null")
-    seals = ledger.stage("seals", ops.seal_audit_files(lines, ["mailbox"], ends), batch)
-
+    heads = _log(ledger, batch, entries.unionByName(resets, allowMissingColumns=True), saved, moment, rows_per_file)
     newest = outcomes.groupBy("mailbox").agg(F.max("uid").alias("_newest"))
     here = starts.join(newest, "mailbox", "left").select(
         "mailbox", F.col("uidvalidity").alias("_validity"), F.coalesce("_newest", "last_uid").alias("_uid"))
-    heads = ops.audit_heads(seals, ["mailbox"]).withColumnsRenamed({"seals": "_seals", "head": "_head"})
     ledger.stage("cursors", saved.join(here, "mailbox", "full").join(heads, "mailbox", "left").select(
         "mailbox", F.coalesce("_validity", "uidvalidity").alias("uidvalidity"),
         F.coalesce("_uid", "last_uid").alias("last_uid"), F.coalesce("_seals", "seals").alias("seals"),
@@ -180,3 +200,77 @@ def verify_polls(ledger: Ledger) -> DataFrame:
     heads = ledger.snapshot("cursors", CURSORS).where("head is not null").select("mailbox", "seals", "head")
     return ops.verify_audit_log(ledger.table("audit").drop("batch"), ledger.table("seals").drop("batch"), heads,
                                 ["mailbox"], AUDIT_FIELDS)
+
+
+# ---------------------------------------------------------------- restores
+
+
+def stage_restores(ledger: Ledger, requests: DataFrame, at: str, rows_per_file: int = 4096) -> int:
+    """Applies restore requests to the ledger's records as its next, unpublished batch; returns its number.
+
+    ``requests``: ``request_id`` (unique), ``incident_id, base_version, event`` (started, restored, failed), ``by``,
+    ``at``.  A request is a compare-and-set: it makes version ``base_version + 1`` and holds only against the newest
+    version.  A held record can be started; one being restored can be restored, which ends it, or fail, which holds it
+    again.  Of several valid requests on one version the earliest wins (then the smaller id), the others conflict.  One
+    batch may hold a whole chain of requests.
+
+    Tables: ``restores`` (each request with ``outcome``: applied, conflict or unknown), the new versions in ``records``,
+    and audit lines of restores and failures on the mailbox's chain.
+    """
+    batch = ledger.last() + 1
+    versions, saved = ledger.table("records"), ledger.snapshot("cursors", CURSORS)
+    if versions is None:
+        raise ValueError("this ledger has no records yet")
+    asked = requests.select("request_id", "incident_id", F.col("base_version").cast("int").alias("base_version"), "event",
+                            "by", F.col("at").cast("timestamp").alias("at"))
+    wanted = versions.join(asked.select("incident_id").distinct(), "incident_id", "left_semi")
+    current = ops.latest_versions(wanted.select(*RECORD))
+    state = current.select("incident_id", "version", ops.record_status().alias("_status"))
+    known = asked.join(state, "incident_id", "left")
+    # Held and restoring alternate from version to version, so a version's number tells which events are valid on it.
+    step = F.col("base_version") - F.col("version")
+    held = (step % 2 == 0) == (F.col("_status") == "held")
+    fits = F.when(held, F.col("event") == "started").otherwise(F.col("event").isin("restored", "failed"))
+    valid = known.where((step >= 0) & (F.col("_status") != "restored") & fits)
+    first = valid.groupBy("incident_id", "base_version").agg(
+        F.min_by(F.struct("request_id", "event", "by", "at", "version"), F.struct("at", "request_id")).alias("_w"))
+    in_order = W.partitionBy("incident_id").orderBy("base_version")
+    ended = F.max(F.col("_w.event") == "restored").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    place = F.row_number().over(in_order) - 1
+    chain = first.withColumns({"_place": place, "_ended": F.coalesce(ended, F.lit(False))}).where(
+        (F.col("base_version") == F.col("_w.version") + F.col("_place")) & ~F.col("_ended"))
+    won = chain.select(F.col("_w.request_id").alias("request_id"), F.lit(True).alias("_won"))
+    outcome = F.when(F.col("_status").isNull(), "unknown").when(F.col("_won"), "applied").otherwise("conflict")
+    outcomes = ledger.stage("restores", known.join(won, "request_id", "left").select(*asked.columns, outcome.alias("outcome")), batch)
+
+    applied = outcomes.where("outcome = 'applied'")
+    changed = applied.join(current.drop("version", "restore_started_at", "restored_at", "restored_by"), "incident_id")
+    done = F.col("event") == "restored"
+    ledger.stage("records", changed.withColumns({
+        "version": F.col("base_version") + 1, "restore_started_at": F.when(F.col("event") == "started", F.col("at")),
+        "restored_at": F.when(done, F.col("at")), "restored_by": F.when(done, F.col("by"))}).select(
+        *RECORD), batch)
+
+    moment = F.lit(at).cast("timestamp")
+    seq = F.row_number().over(W.partitionBy("mailbox").orderBy("at", "incident_id", "base_version")).cast("bigint")
+    entries = changed.where("event <> 'started'").select(
+        "mailbox", seq.alias("seq"), F.when(F.col("event") == "failed", "restore_failed").otherwise("restored").alias("event"),
+        "incident_id", "content_sha256", "by")
+    heads = _log(ledger, batch, entries, saved, moment, rows_per_file)
+    ledger.stage("cursors", saved.join(heads, "mailbox", "left").select(
+        "mailbox", "uidvalidity", "last_uid", F.coalesce("_seals", "seals").alias("seals"),
+        F.coalesce("_head", "head").alias("head")), batch)
+    return batch
+
+
+def restore(ledger: Ledger, requests: DataFrame, at: str, **options) -> int:
+    """Applies restore requests and publishes their outcome as one batch (see ``stage_restores``)."""
+    batch = stage_restores(ledger, requests, at, **options)
+    ledger.publish(batch, at)
+    return batch
+
+
+def current_records(ledger: Ledger) -> DataFrame:
+    """The newest version of each record, with ``status``: held, restoring or restored."""
+    newest = ops.latest_versions(ledger.table("records").select(*RECORD))
+    return newest.withColumn("status", ops.record_status())

@@ -105,3 +105,30 @@ def test_an_empty_listing_is_a_poll_without_rows(spark, ledger):
     poll.poll_once(ledger, listing(spark, []), score, "2024-01-01 00:00:00")
     poll.poll_once(ledger, listing(spark, [1, 2, 3]), score, "2024-01-01 00:01:00", backfill=None)
     assert len(taken(ledger)) == 3 and [r.ok for r in poll.verify_polls(ledger).collect()] == [True]
+
+
+def test_restores_are_compare_and_set(spark, ledger):
+    poll.poll_once(ledger, listing(spark, [1, 3, 5]), score, "2024-01-01 00:00:00", backfill=None)
+    ids = {r.source_uid: r.incident_id for r in ledger.table("records").collect()}
+
+    def ask(*rows):
+        schema = "request_id string, incident_id string, base_version int, event string, by string, at string"
+        return spark.createDataFrame([(n, ids.get(u, "x"), v, e, "me", f"2024-01-01 01:00:{s:02d}") for n, u, v, e, s in rows], schema)
+
+    poll.restore(ledger, ask(("late", 1, 1, "started", 5), ("early", 1, 1, "started", 4), ("tie2", 3, 1, "started", 4),
+                             ("tie1", 3, 1, "started", 4), ("done", 3, 2, "restored", 6), ("over", 3, 3, "started", 7),
+                             ("gap", 5, 2, "restored", 1), ("none", 9, 1, "started", 1)), "2024-01-01 01:01:00")
+    first = {r.request_id: r.outcome for r in ledger.table("restores").collect()}
+    assert first == {"late": "conflict", "early": "applied", "tie1": "applied", "tie2": "conflict", "done": "applied",
+                     "over": "conflict", "gap": "conflict", "none": "unknown"}
+    # A failure clears the mark; a batch that dies before it is published changes nothing.
+    poll.stage_restores(ledger, ask(("dead", 1, 2, "restored", 8)), "2024-01-01 01:02:00")
+    poll.restore(ledger, ask(("fail", 1, 2, "failed", 9)), "2024-01-01 01:03:00")
+    now = {r.source_uid: (r.version, r.status, r.restored_by) for r in poll.current_records(ledger).collect()}
+    assert now == {1: (3, "held", None), 3: (3, "restored", "me"), 5: (1, "held", None)}
+    # The poll goes on from its cursor, and what was released is not quarantined again in a renumbered folder.
+    poll.poll_once(ledger, listing(spark, [1, 3, 5], validity=2), score, "2024-01-01 02:00:00", backfill=None)
+    assert taken(ledger, 3) == {1: "quarantined", 3: "skipped_released", 5: "quarantined"}
+    events = [(r.event, r.by) for r in ledger.table("audit").where("by is not null").orderBy("batch").collect()]
+    assert events == [("restored", "me"), ("restore_failed", "me")]
+    assert [r.ok for r in poll.verify_polls(ledger).collect()] == [True]
