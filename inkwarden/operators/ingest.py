@@ -191,3 +191,11 @@ def route_kind(kind: Column, text_column: Column) -> Column:
     """
     headed = F.regexp_like(text_column, F.lit(r"^(?:[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]*+\n){2}"))
     return F.when(kind == "sms", "sms").when(headed, "raw_email").otherwise("text")
+
+
+def refusal(kind: Column, text: Column) -> Column:
+    """Why a submitted text is not scored: ``unknown_kind``, ``too_long``, ``empty``, ``sms_too_long``, else null."""
+    return (F.when(~kind.isin("email", "sms"), "unknown_kind")
+            .when(F.length(text) > fixed.MAX_PASTE_CHARS, "too_long")
+            .when(~F.regexp_like(text, F.lit(rf"[^{fixed.WHITE}]")), "empty")
+            .when((kind == "sms") & (F.length(text) > fixed.MAX_SMS_CHARS), "sms_too_long"))

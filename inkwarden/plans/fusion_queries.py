@@ -117,16 +117,18 @@ _URL_PATTERN = "(?i)\\b(?:https?://|www\\.)[^\\s<>\"''()\\[\\]{}]+"
 _EMAIL_LINKS = f"""elinks AS (SELECT DISTINCT msg_id, url FROM (SELECT id AS msg_id, unnest(list_transform(
     regexp_extract_all(body, '{_URL_PATTERN}', 0), lambda u: rtrim(u, '.,;:!?'))) AS url FROM evals)),
   xlinks AS (SELECT msg_id * 1000 + row_number() OVER (PARTITION BY msg_id) AS k, url FROM elinks)"""
-_EMAILS = f"""WITH {inputs.EVAL_SQL}, mail AS (SELECT id AS msg_id, from_display, from_address, reply_to, '' AS return_path,
+def _emails(p: str) -> str:
+    """Tables of mail verdicts, with the wording probability ``p``."""
+    return f"""WITH {inputs.EVAL_SQL}, mail AS (SELECT id AS msg_id, from_display, from_address, reply_to, '' AS return_path,
     1 AS recipient_count, '<x>' AS message_id, '' AS auth_lower, '' AS received_spf,
     'mx.google.com; dkim=' || dmarc || '; spf=' || dmarc || '; dmarc=' || dmarc AS auth_top FROM evals),
   {o.header_ctes('mail')}, {_EMAIL_LINKS}, {o.url_ctes('xlinks', 'k')},
   lf AS (SELECT (k // 1000)::BIGINT AS msg_id, min(ord) AS ord, code FROM uf GROUP BY ALL),
   ldom AS (SELECT (k // 1000)::BIGINT AS msg_id, domain FROM ud),
-  {o.trust_ctes('ldom')}, {o.fusion_ctes(_P_SQL, 'mail')}"""
+  {o.trust_ctes('ldom')}, {o.fusion_ctes(p, 'mail')}"""
 
 
-@register("email_verdicts", f"""{_EMAILS} SELECT msg_id, round(score, 6) AS score, {o.label_of('round(score, 9)')} AS label,
+@register("email_verdicts", f"""{_emails(_P_SQL)} SELECT msg_id, round(score, 6) AS score, {o.label_of('round(score, 9)')} AS label,
   {o.action_of('round(score, 9)')} AS action, len(string_split(codes, ','))::INT AS reasons FROM fu""")
 def email_verdicts(spark, sf_dir):
     """Raw messages to verdicts with a given wording probability."""
@@ -192,3 +194,32 @@ def sms_verdicts_with_models(spark, sf_dir):
     return scored.select("msg_id", F.round("score", 6).alias("score"), "label", "action", "summary")
 
 
+_ROUTED_P = "((msg_id * 17) % 89 + 5) / 100.0::DOUBLE"
+_ROUTED_COLUMNS = f"msg_id, round(score, 6) AS score, {o.label_of('round(score, 9)')} AS label, {o.action_of('round(score, 9)')} AS action"
+#: Each route as its own query gives it, on the rows that take it.
+_ROUTED_SQL = f"""SELECT msg_id, 'raw_email' AS route, NULL::VARCHAR AS refusal, score, label, action
+    FROM ({_emails(_ROUTED_P)} SELECT {_ROUTED_COLUMNS} FROM fu) WHERE msg_id % 7 IN (1, 3)
+  UNION ALL SELECT msg_id, 'text', NULL, score, label, action FROM ({ORACLES["text_verdicts"]}) WHERE msg_id % 7 IN (2, 6)
+  UNION ALL SELECT msg_id, 'sms', NULL, score, label, action FROM ({ORACLES["sms_verdicts"]}) WHERE msg_id % 7 = 0
+  UNION ALL SELECT msg_id, 'refused', CASE WHEN msg_id % 7 = 4 THEN 'empty' ELSE 'sms_too_long' END, NULL, NULL, NULL
+    FROM (SELECT conv_id * 1000 + turn AS msg_id FROM conversations) WHERE msg_id % 7 IN (4, 5)"""
+
+
+@register("routed_verdicts", _ROUTED_SQL)
+def routed_verdicts(spark, sf_dir):
+    """Message files, pasted mails, plain texts, text messages and what is refused, in one table."""
+    way, none = F.col("msg_id") % 7, F.lit(None)
+    texts = inputs.sms(spark, sf_dir).where(~way.isin(1, 3)).select(
+        "msg_id", F.when(way.isin(0, 5), "sms").when(way == 2, "email").alias("kind"),
+        F.when(way == 4, " \u00a0\n").when(way == 5, F.rpad("text", fixed.MAX_SMS_CHARS + 1, ".")).otherwise(F.col("text")).alias("text"),
+        "sender", none.cast("binary").alias("content"))
+    mails = inputs.raw_mail(spark, sf_dir).where(way.isin(1, 3)).select(
+        "msg_id", F.when(way == 3, "sms").otherwise("email").alias("kind"),
+        F.when(way == 1, F.decode("content", "UTF-8")).alias("text"), none.cast("string").alias("sender"),
+        F.when(way == 3, F.col("content")).alias("content"))
+    p_email, p_sms = (F.col("msg_id") * 17) % 89 + 5, (F.col("msg_id") * 31) % 97 + 1
+    scored = scoring.score_routed(texts.unionByName(mails), p_email / F.lit(100.0), p_sms / F.lit(100.0))
+    label, action = fusion.decide(F.round("score", 9))
+    known = F.col("score").isNotNull()
+    return scored.select("msg_id", "route", "refusal", F.round("score", 6).alias("score"),
+                         F.when(known, label).alias("label"), F.when(known, action).alias("action"))

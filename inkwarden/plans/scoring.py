@@ -14,7 +14,7 @@ from ..functions.text import model_input, normalise, readable_tokens
 from ..functions.urls import link_findings, text_link_reports
 from ..operators import fusion
 from ..operators.headers import with_header_findings
-from ..operators.ingest import parse_messages
+from ..operators.ingest import parse_messages, refusal, route_kind
 from ..operators.links import with_link_findings
 from ..operators.model import TextModel, blended_top, with_prediction
 
@@ -161,3 +161,36 @@ def score_sms(messages: DataFrame, sms_model: TextModel | float | Column,
                             F.col("sms.contact_channels"))
     return (scored.withColumn("kind", F.lit("sms")).withColumn("components", components)
             .withColumn("summary", summary).select(*VERDICT))
+
+
+def score_routed(messages: DataFrame, email_model: TextModel | float | Column, sms_model: TextModel | float | Column,
+                 threshold: float = fixed.QUARANTINE_THRESHOLD, dims: Dims = DEFAULT, trusted_id: str = "mx.google.com",
+                 max_bytes: int = fixed.MAX_MESSAGE_BYTES) -> DataFrame:
+    """One table of mixed submissions to verdicts in one schema, with ``route`` and ``refusal``.
+
+    ``messages``: ``msg_id, kind`` (email or sms; null: email), ``text, sender, content`` (the bytes of a message
+    file, or null).  A file is scored as mail whatever its kind; of the rest, text messages go to their own models and
+    rules, texts with a mail's header lines are scored as mail, others as plain text.  What cannot be scored (see
+    ``refusal``) has the route ``refused`` and no verdict, so every row of the table comes back once.
+
+    The routes are filtered projections, put side by side: a row is parsed by its own route only and nothing is
+    shuffled; the table is scanned once a route.  Extra columns are dropped.
+    """
+    kind, text = F.coalesce("kind", F.lit("email")), F.coalesce("text", F.lit(""))
+    filed = F.coalesce(F.length("content") > 0, F.lit(False))
+    reason = F.when(~filed, refusal(kind, text))
+    rows = messages.select("msg_id", text.alias("text"), F.coalesce("sender", F.lit("")).alias("sender"), "content",
+                           reason.alias("refusal"), F.when(reason.isNotNull(), "refused").when(filed, "raw_email")
+                           .otherwise(route_kind(kind, text)).alias("route"))
+    of = lambda route: rows.where(F.col("route") == route)
+    mail = of("raw_email").select("msg_id", F.when(F.length("content") > 0, F.col("content"))
+                                  .otherwise(F.encode("text", "UTF-8")).alias("content"))
+    scored = {
+        "raw_email": score_emails(mail, email_model, max_bytes, trusted_id=trusted_id, threshold=threshold, dims=dims),
+        "sms": score_sms(of("sms").select("msg_id", "text", "sender"), sms_model, email_model, threshold, dims),
+        "text": score_texts(of("text").select("msg_id", "text"), email_model, threshold, dims, kind="email")}
+    none = F.lit(None).cast("string")
+    out = of("refused").select("msg_id", "route", "refusal")
+    for route, verdicts in scored.items():
+        out = out.unionByName(verdicts.withColumns({"route": F.lit(route), "refusal": none}), allowMissingColumns=True)
+    return out.select(*VERDICT, "route", "refusal")
