@@ -380,22 +380,47 @@ def verify_audit_chain(lines: DataFrame, chain: list[str], fields: list[str],
 # ---------------------------------------------------------------- rates and cursors
 
 
+#: Parts of a burst's span.  They divide a million microseconds, so a span always has whole parts.
+BURST_PARTS = 64
+
+
 def bursts(hits: DataFrame, key: list[str], ts: str, limit: int,
            seconds: int = fixed.BURST_SECONDS) -> DataFrame:
     """Adds ``in_window`` (hits of the key in the last seconds, inclusive) and ``burst``.
 
-    The window is computed per key and time bucket; each hit is copied once into the next
-    bucket as history, so a key with very many hits is spread over its buckets.
+    Hits of one moment are counted before the shuffle.  A moment adds its count and takes it back one span later;
+    the running total of both is the window's count.  It runs inside parts of the span, each of which starts with the
+    sum of the parts before it.  A part has at most ``seconds * 15,625`` moments, and that sum is taken over at most
+    two spans of parts, so no window grows with the data, whatever a key's share.  Moments meet their hits again in a join
+    whose hit side adaptive execution may split, so many hits of one moment spread over tasks.
+    A hit without a time is in no window and has 0; a null key is a key of its own.
     """
     span = seconds * 1_000_000
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    home = F.floor(micros / span)
-    copies = hits.withColumn("_us", micros).withColumn("_c", F.explode(F.array(
-        F.struct(home.alias("b"), F.lit(True).alias("own")),
-        F.struct((home + 1).alias("b"), F.lit(False).alias("own")))))
-    window = W.partitionBy(*key, "_c.b").orderBy("_us").rangeBetween(-span, 0)
-    counted = copies.withColumn("in_window", F.count("*").over(window)).where("_c.own")
-    return counted.withColumn("burst", F.col("in_window") > limit).drop("_us", "_c")
+    part = span // BURST_PARTS
+    floor = lambda c, width: F.col(c) - F.pmod(F.col(c), F.lit(width))
+    keys = [f"key_{i}" for i in range(len(key))]
+    rows = hits.select(F.struct("*").alias("hit"), *[F.col(k).alias(name) for k, name in zip(key, keys, strict=True)],
+                       F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    moments = rows.where("at is not null").groupBy(*keys, "at").agg(F.count("*").alias("n"))
+    marks = moments.select(*keys, F.inline(F.array(
+        F.struct("at", F.lit(1).alias("kind"), F.col("n").alias("change")),
+        F.struct((F.col("at") + span).alias("at"), F.lit(2).alias("kind"), (-F.col("n")).alias("change")))))
+    totals = moments.withColumn("at", floor("at", part)).groupBy(*keys, "at").agg(F.sum("n").alias("n"))
+    home = floor("at", span)
+    copies = totals.select("*", F.inline(F.array(F.struct(home.alias("span"), F.lit(True).alias("own")),
+                                                 F.struct((home + span).alias("span"), F.lit(False).alias("own")))))
+    parts_before = W.partitionBy(*keys, "span").orderBy("at").rangeBetween(-span, -part)
+    starts = copies.withColumn("change", F.sum("n").over(parts_before)).where("own and change is not null").select(
+        *keys, "at", F.lit(0).alias("kind"), "change")
+    running = W.partitionBy(*keys, "part").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = (marks.unionByName(starts).withColumn("part", floor("at", part))
+               .withColumn("in_window", F.sum("change").over(running)).where("kind = 1")
+               .select(*[F.col(k).alias(f"its_{k}") for k in keys], F.col("at").alias("its_at"), "in_window"))
+    same = F.col("at") == F.col("its_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"its_{k}"))
+    found = rows.join(counted, same, "left").select("hit.*", F.coalesce("in_window", F.lit(0).cast("bigint")).alias("in_window"))
+    return found.withColumn("burst", F.col("in_window") > limit)
 
 
 def backfill_selection(messages: DataFrame, backfill: int, mailbox: str = "mailbox",

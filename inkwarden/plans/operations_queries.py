@@ -244,18 +244,22 @@ _LOSS = 4
       WHEN 2 THEN 'the seals do not end as noted' ELSE '' END AS problem FROM m""")
 def verified_audit_logs(spark, sf_dir):
     """Lines, files and seals removed after sealing; the heads were kept apart."""
-    from pyspark.sql import Window as W
-
     lines = chained(spark, sf_dir)
     seals = ops.seal_audit_files(lines, ["mailbox"])
-    heads = ops.audit_heads(seals, ["mailbox"])
+    return ops.verify_audit_log(*with_losses(lines, seals), ops.audit_heads(seals, ["mailbox"]), ["mailbox"], CHAIN_FIELDS)
+
+
+def with_losses(lines, seals):
+    """Lines and seals of a log after each mailbox lost what its remainder says."""
+    from pyspark.sql import Window as W
+
     loss = F.col("mailbox") % _LOSS
     ends = lines.groupBy("mailbox").agg(F.min("file_no").alias("_first"), F.max("file_no").alias("_end"))
     known = lines.join(ends, "mailbox").withColumn("_last_line", F.max("line_no").over(W.partitionBy("mailbox", "file_no")))
     gone = (((loss == 0) & (F.col("file_no") == F.col("_first")) & (F.col("line_no") == F.col("_last_line")))
             | ((loss == 1) & (F.col("file_no") == F.col("_first"))) | ((loss == 2) & (F.col("file_no") == F.col("_end"))))
     left = seals.join(ends, "mailbox").where(~((loss == 2) & (F.col("file_no") == F.col("_end"))))
-    return ops.verify_audit_log(known.where(~gone), left.drop("_first", "_end"), heads, ["mailbox"], CHAIN_FIELDS)
+    return known.where(~gone), left.drop("_first", "_end")
 
 
 @register("bursts", """WITH w AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id % 5 ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events)

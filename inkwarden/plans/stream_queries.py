@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import admission
+from ..operators import admission, ops
 from ..operators.fusion import decide
 from ..session import work_folder
 from ..sources import messages
@@ -114,6 +114,42 @@ def streamed_audit_chain(spark, sf_dir):
     return _arriving(spark, inputs.audit(spark, sf_dir), "seq", work_folder(spark), build)
 
 
+# Three arrivals; each one's files are numbered by its batch and the range of seq.
+_STREAMED_FILES = f"""WITH {inputs.AUDIT_SQL}, top AS (SELECT max(seq) + 1 AS top FROM audit),
+  a AS (SELECT mailbox, seq, (SELECT count(*) FROM range(1, 3) r(j) WHERE seq >= top * j // 3) * {2 ** 32} + seq // {ROWS_PER_FILE} AS file_no
+    FROM audit, top),
+  m AS (SELECT mailbox, count(*) AS lines, min(file_no) AS first, count(DISTINCT file_no) AS n, mailbox % 4 AS loss FROM a GROUP BY mailbox)"""
+
+
+def _sealed_stream(spark, sf_dir) -> poll.Ledger:
+    """The audit log as a stream that is stopped and started twice."""
+    rows, folder = inputs.audit(spark, sf_dir), work_folder(spark)
+    top = rows.agg(F.max("seq")).first()[0] + 1
+    for i in range(3):
+        low, high = top * i // 3, top * (i + 1) // 3
+        rows.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        stateful.sealed_log_stream(stream, ["mailbox"], "seq", CHAIN_FIELDS, f"{folder}/ledger", f"{folder}/checkpoint",
+                                   ROWS_PER_FILE).awaitTermination()
+    return poll.Ledger(spark, f"{folder}/ledger")
+
+
+@register("sealed_stream", f"""{_STREAMED_FILES}
+  SELECT mailbox, lines, n AS files, n AS seals, true AS ok, loss = 3 AS ok_after_loss,
+    CASE loss WHEN 0 THEN 'file ' || first || ' does not end as sealed' WHEN 1 THEN 'file ' || first || ' is missing'
+      WHEN 2 THEN 'the seals do not end as noted' ELSE '' END AS problem FROM m""")
+def sealed_stream(spark, sf_dir):
+    """The streamed log of each mailbox verified as it is, and after losses of lines, files and seals."""
+    from .operations_queries import with_losses
+
+    lines, seals, heads = stateful.sealed_log(_sealed_stream(spark, sf_dir))
+    verify = lambda a, b: ops.verify_audit_log(a, b, heads, ["mailbox"], CHAIN_FIELDS)
+    counted = lines.groupBy("mailbox").agg(F.count("*").alias("lines"))
+    lost = verify(*with_losses(lines, seals)).select("mailbox", F.col("ok").alias("ok_after_loss"), "problem")
+    return (verify(lines, seals).select("mailbox", "files", "ok").join(counted, "mailbox")
+            .join(heads.select("mailbox", "seals"), "mailbox").join(lost, "mailbox"))
+
+
 _CLIENT_HITS = """h AS (SELECT event_id AS hit_id, 'c' || (user_id % 50) AS key, epoch_us(ts) AS us FROM events)"""
 
 

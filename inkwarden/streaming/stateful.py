@@ -1,4 +1,4 @@
-"""Stateful streams: the audit chain by keyed state, the admission counter by a ledger of batches."""
+"""Stateful streams: the audit chain by keyed state; the sealed audit log and the admission counter by a ledger of batches."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
-from ..operators import admission
+from ..operators import admission, ops
 from ..operators.ops import canonical_halves
 from .poll import Ledger
 
@@ -48,6 +48,43 @@ def chain_stream(entries: DataFrame, chain: list[str], order: str, fields: list[
         extend, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def sealed_log_stream(entries: DataFrame, chain: list[str], order: str, fields: list[str], folder: str, checkpoint: str,
+                      rows_per_file: int = 4096) -> StreamingQuery:
+    """A sealed audit log as a stream (see the batch operators): lines, seals and the last seal of every chain are
+    published together per micro-batch in the ledger at ``folder``.
+
+    A micro-batch writes files of its own, one per chain and range of ``order``; chains are not null, and ``order`` is
+    unique within a chain and micro-batch.  Files are closed with their batch, so the only state is the last seal of each chain, and a
+    batch that runs again overwrites what it had staged.  A chain with most rows is as many files as it has ranges.
+    ``folder`` and ``checkpoint`` belong together: neither is used with another.
+    """
+    ledger = Ledger(entries.sparkSession, folder)
+    types = dict(entries.dtypes)
+    ends = ", ".join([*[f"`{c}` {types[c]}" for c in chain], "seals bigint", "head string"])
+
+    def process(batch: DataFrame, number: int) -> None:
+        if number <= ledger.last():  # published before the stream noted it
+            return
+        file_no = F.lit(number).cast("bigint") * 2 ** 32 + F.floor(F.col(order) / rows_per_file)
+        lines = ledger.stage("audit", ops.link_files(batch.withColumn("file_no", file_no), chain, order, fields), number)
+        before = ledger.snapshot("heads", ends)
+        seals = ledger.stage("seals", ops.seal_audit_files(lines, chain, before), number)
+        newer = ops.audit_heads(seals, chain).withColumnsRenamed({"seals": "_seals", "head": "_head"})
+        ledger.stage("heads", before.join(newer, chain, "full").select(
+            *chain, F.coalesce("_seals", "seals").alias("seals"), F.coalesce("_head", "head").alias("head")), number)
+        ledger.publish(number, str(number))
+
+    return entries.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
+
+
+def sealed_log(ledger: Ledger) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Published lines, seals and last seals of a ``sealed_log_stream``, as ``verify_audit_log`` takes them."""
+    heads = ledger.table("heads")
+    return ledger.table("audit").drop("batch"), ledger.table("seals").drop("batch"), heads.where(
+        F.col("batch") == ledger.last()).drop("batch")
+
+
 def admission_stream(hits: DataFrame, key: str, ts: str, limit: int, folder: str, checkpoint: str,
                      seconds: int = fixed.BURST_SECONDS) -> StreamingQuery:
     """Admission of a stream of hits (see the batch operator): decisions and the times that still count are published
