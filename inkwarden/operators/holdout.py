@@ -69,13 +69,17 @@ class Fits:
     intercepts: np.ndarray
 
 
-def features(rows: DataFrame, words: list[str], stop_words: list[str], folder: str) -> DataFrame:
-    """The columns of ``rows`` but its text, with ``ids`` and ``tf``, written below ``folder`` and read again."""
+def with_features(rows: DataFrame, words: list[str], stop_words: list[str]) -> DataFrame:
+    """The columns of ``rows`` but its text, with ``ids`` and ``tf``, the numbers of known terms and their counts."""
     model = CountVectorizerModel.from_vocabulary(words, inputCol="_terms", outputCol="_tf")
     found = model.transform(rows.withColumn("_terms", F.coalesce(terms(F.col("text"), stop_words), F.array().cast("array<string>"))))
     vector = found.withColumn("_v", F.unwrap_udt("_tf"))
-    out = vector.select(*[c for c in rows.columns if c != "text"], F.col("_v.indices").alias("ids"), F.col("_v.values").alias("tf"))
-    out.write.parquet(folder)
+    return vector.select(*[c for c in rows.columns if c != "text"], F.col("_v.indices").alias("ids"), F.col("_v.values").alias("tf"))
+
+
+def features(rows: DataFrame, words: list[str], stop_words: list[str], folder: str) -> DataFrame:
+    """:func:`with_features`, written below ``folder`` and read again."""
+    with_features(rows, words, stop_words).write.parquet(folder)
     return rows.sparkSession.read.parquet(folder)
 
 
@@ -212,7 +216,8 @@ def fit_many(table: DataFrame, words: list[str], idf: np.ndarray, totals: np.nda
     return fits
 
 
-def _scores(sent):
+def scores_of(sent, kept: list[str]):
+    """Adds ``scores``, the probability of each row by each fit, to the columns ``kept``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits: Fits = sent.value
         for batch in batches:
@@ -220,8 +225,7 @@ def _scores(sent):
             margins = np.array([_margins(fits, k, *cells, n)[0] for k in range(len(fits.idf))]).reshape(len(fits.idf), n)
             scores = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(fits.idf)),
                                               pa.array((1 / (1 + np.exp(-margins.T))).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source", "label", "split")), scores],
-                                             ["source", "label", "split", "scores"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], [*kept, "scores"])
 
     return rows
 
@@ -252,7 +256,7 @@ def _block(spark, corpus: DataFrame, statistics: DataFrame, counts: pd.DataFrame
                      work_folder(spark))
     fits = fit_many(table, words or ["-"], idf if words else np.zeros((len(held), 1)), totals, rounds)
     scored = table.select("source", "label", "split", "ids", "tf").mapInArrow(
-        _scores(spark.sparkContext.broadcast(fits)), "source string, label int, split string, scores array<double>")
+        scores_of(spark.sparkContext.broadcast(fits), ["source", "label", "split"]), "source string, label int, split string, scores array<double>")
     own, caught = (F.col("source") == F.col("held_out")) & (F.col("label") == 0), (F.col("label") == 1) & (F.col("split") == "test")
     names = F.array(*[F.lit(h) for h in held])
     each = scored.where(caught | (F.col("source").isin(held) & (F.col("label") == 0))).select(

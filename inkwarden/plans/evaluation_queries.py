@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import evaluate as e
-from ..operators import model as m
 from . import inputs
 from . import oracle as o
 from .text_queries import labelled_documents
@@ -172,24 +171,75 @@ def source_holdout_rates(spark, sf_dir):
     return _holdout_rates(spark, sf_dir)
 
 
-@register("training_variants")
-def training_variants(spark, sf_dir):
-    """Same test rows, different training rows and stop words."""
-    from ..operators.corpus import stratified_split
+# Every row has a role by its source: the positive rows of some are a trap's, split by time; others are templates.
+_ROLE_SQL = "CASE WHEN source IS NULL THEN 'rest' WHEN left(md5(source), 1) < '3' AND quality = 1 THEN 'trap' WHEN left(md5(source), 1) BETWEEN '3' AND '4' THEN 'template' ELSE 'rest' END"
+_MORE_STOP = {"E1": fixed.PRONOUN_STOP_WORDS, "E2": [*fixed.PRONOUN_STOP_WORDS, *fixed.ACCOUNT_STOP_WORDS]}
+_VARIANT_ROWS = {"A": "role = 'rest' AND split = 'train' AND old", "B": "role = 'rest' AND split = 'train'",
+                 **{v: "role IN ('rest', 'trap') AND split = 'train'" for v in ("C", "E1", "E2")},
+                 "V0": "role = 'rest' AND split = 'train'", "V1": "(role = 'rest' AND split = 'train') OR role = 'template'"}
+_TEST_ROWS = {"validation": "role = 'rest' AND split = 'test' AND NOT late", "test": "role = 'rest' AND split = 'test' AND late",
+              "future": "role = 'trap' AND split = 'test'"}
+_BLENDS = {"V2": ("V1", "C"), "V3": ("V0", "C")}
+
+
+def _variant_corpus(spark, sf_dir):
+    """All labelled documents with their roles and splits, and the three texts that models read."""
+    from ..functions.text import normalise
+    from ..operators.corpus import stratified_split, time_split
 
-    parts = stratified_split(labelled_documents(spark, sf_dir), "id")
-    train, test = parts.where("split = 'train'"), parts.where("split = 'test'")
-    variants = {
-        # Variant A trains on some of the sources only.
-        "A": (train.where(F.crc32("source") % 3 != 0), fixed.CORPUS_STOP_WORDS),
-        "B": (train, fixed.CORPUS_STOP_WORDS),
-        "E1": (train, fixed.CORPUS_STOP_WORDS + fixed.PRONOUN_STOP_WORDS)}
-    results = []
-    for name, (rows, stop) in variants.items():
-        fitted = m.train(rows, kind="email", stop_words=stop, max_iterations=20)
-        scored = test.join(m.predict(test, fitted, "id", "text").select(
-            "id", F.col("probability").alias("score")), "id")
-        results.append(e.threshold_metrics(scored).withColumn("variant", F.lit(name)))
-    return reduce(DataFrame.unionByName, results)
+    first, s = F.left(F.md5("source"), F.lit(1)), F.col("source")
+    role = (F.when(s.isNull(), "rest").when((first < "3") & (F.col("quality") == 1), "trap")
+            .when(first.between("3", "4"), "template").otherwise("rest"))
+    rows = inputs.table(spark, sf_dir, "documents").join(inputs.table(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("raw"), F.col("quality").alias("label"), role.alias("role"),
+        F.coalesce(first < "b", F.lit(False)).alias("old"))
+    parts = [stratified_split(rows.where("role = 'rest'"), "id"), time_split(rows.where("role = 'trap'"), "id").drop("cutoff"),
+             rows.where("role = 'template'").withColumn("split", F.lit("none"))]
+    late = F.substring(F.md5(F.col("id").cast("string")), 1, 1) >= "8"
+    texts = {kind: normalise(F.col("raw"), kind) for kind in ("email", "sms", "sms_masked")}
+    return reduce(DataFrame.unionByName, parts).withColumns({"late": late, **texts}).drop("raw")
 
 
+def _trained_variants(spark, sf_dir):
+    from ..operators.variants import Variant, variant_rates
+
+    kinds = {"V0": "sms", "V1": "sms_masked"}
+    weight = F.when(F.col("role") == "template", fixed.TEMPLATE_WEIGHT).otherwise(1.0)
+    stop = lambda name: fixed.SMS_STOP_WORDS if name in kinds else [*fixed.CORPUS_STOP_WORDS, *_MORE_STOP.get(name, [])]
+    fits = [Variant(name, kinds.get(name, "email"), F.expr(rows), tuple(stop(name)),
+                    weight if name == "V1" else None) for name, rows in _VARIANT_ROWS.items()]
+    return variant_rates(_variant_corpus(spark, sf_dir), fits, {name: F.expr(rows) for name, rows in _TEST_ROWS.items()}, _BLENDS)
+
+
+@register("training_variants")
+def training_variants(spark, sf_dir):
+    """Nine models on the same tests: training rows A to C, stop words E1 and E2, texts and templates V0 and V1, blends V2 and
+    V3; with their guards, which are eligible, and the one chosen."""
+    from ..operators.variants import guarded
+
+    # Documents are no messages, so the guards are looser than a mailbox would need.
+    return guarded(_trained_variants(spark, sf_dir), "validation", {"test": ("test", 0.6, None), "future": ("future", None, 0.3)},
+                   ["A", "B", "C", "E1", "E2", "V0", "V3", "V1", "V2"])
+
+
+def _variant_terms_sql(name: str) -> str:
+    return f"""SELECT '{name}' AS variant, (SELECT count(*) FROM parts WHERE {_VARIANT_ROWS[name]}) AS n_train, (SELECT count(*) FROM (
+      WITH rows_of AS (SELECT doc_id, text FROM parts WHERE {_VARIANT_ROWS[name]}), {o.terms_cte('rows_of', 'doc_id', 'text', [*fixed.CORPUS_STOP_WORDS, *_MORE_STOP.get(name, [])])}
+      SELECT term FROM tf GROUP BY term HAVING count(*) >= {fixed.MIN_DOCUMENT_FREQUENCY}
+        AND count(*) <= {fixed.MAX_DOCUMENT_SHARE} * (SELECT count(*) FROM rows_of) LIMIT {fixed.MAX_VOCABULARY})) AS n_terms"""
+
+
+@register("variant_facts", f"""WITH docs AS (SELECT doc_id, {o.normalised('text')} AS text, quality AS label, {_ROLE_SQL} AS role,
+    coalesce(left(md5(source), 1) < 'b', false) AS old, left(md5(doc_id::VARCHAR), 1) >= '8' AS late FROM documents JOIN labels USING (doc_id)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY role, label ORDER BY md5(doc_id || ':42'), doc_id) AS k,
+    count(*) OVER (PARTITION BY role, label) AS n, (SELECT quantile_cont(doc_id, {fixed.TRAIN_QUANTILE}) FROM docs WHERE role = 'trap') AS cut FROM docs),
+  parts AS (SELECT *, CASE role WHEN 'rest' THEN CASE WHEN k <= floor(n * {fixed.TEST_SHARE}) THEN 'test' ELSE 'train' END
+    WHEN 'trap' THEN CASE WHEN doc_id <= cut THEN 'train' ELSE 'test' END ELSE 'none' END AS split FROM ranked),
+  facts AS ({" UNION ALL ".join(map(_variant_terms_sql, ("A", "B", "C", "E1", "E2")))}),
+  tested AS ({" UNION ALL ".join(f"SELECT '{t}' AS test_set, count(*) FILTER (label = 0) AS n_legit, count(*) FILTER (label = 1) AS n_phish FROM parts WHERE {r}" for t, r in _TEST_ROWS.items())})
+  SELECT variant, test_set, n_train, n_terms, n_legit, n_phish, true AS in_order FROM facts, tested WHERE n_legit + n_phish > 0""")
+def variant_facts(spark, sf_dir):
+    """What the variants over mail texts are trained and tested on, and whether their rates hold together."""
+    order = (F.coalesce(F.col("fpr_q") <= F.col("fpr_05"), F.lit(True)) & F.coalesce(F.col("recall_q") <= F.col("recall_05"), F.lit(True)))
+    return _trained_variants(spark, sf_dir).where(~F.col("variant").startswith("V")).select(
+        "variant", "test_set", "n_train", "n_terms", "n_legit", "n_phish", order.alias("in_order"))
