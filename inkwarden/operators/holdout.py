@@ -14,26 +14,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.core import let
-from ..functions.text import terms
-from ..session import work_folder
+from ..functions.text import term_words
+from ..session import work_folder, written
+from . import cells
 
 #: Sources held out together: bounds the coefficients on the driver and in the tasks.
 BLOCK = 32
 
 
 def source_statistics(rows: DataFrame, stop_words: list[str]) -> DataFrame:
-    """``(source, term, df, total)`` of ``rows`` (text, source), summed per task before the shuffle; one scan."""
-    cell = lambda df, total: lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(total).alias("total"))
-    cells = let(terms(F.col("text"), stop_words), lambda found: F.concat(
-        F.transform(found, cell(0, 1)), F.transform(F.array_distinct(found), cell(1, 0))))
-    return (rows.select("source", F.inline_outer(cells)).where("term is not null").groupBy("source", "term")
-            .agg(F.sum("df").alias("df"), F.sum("total").alias("total")))
+    """``(source, term, df, total)`` of ``rows`` (words, source), summed per task before the shuffle; one scan."""
+    return cells.statistics(rows, F.col("words"), stop_words, "source")
 
 
 def holdout_vocabularies(statistics: DataFrame, sizes: dict[str, int], n: int, min_df: int = fixed.MIN_DOCUMENT_FREQUENCY,
@@ -68,13 +63,17 @@ class Fits:
     coefs: np.ndarray
     intercepts: np.ndarray
 
+    def spans(self) -> list[tuple[int, int]]:
+        """The range of term numbers that holds a fit's vocabulary."""
+        found = [np.flatnonzero(own) for own in self.idf]
+        return [(int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0) for at in found]
+
 
 def with_features(rows: DataFrame, words: list[str], stop_words: list[str]) -> DataFrame:
-    """The columns of ``rows`` but its text, with ``ids`` and ``tf``, the numbers of known terms and their counts."""
-    model = CountVectorizerModel.from_vocabulary(words, inputCol="_terms", outputCol="_tf")
-    found = model.transform(rows.withColumn("_terms", F.coalesce(terms(F.col("text"), stop_words), F.array().cast("array<string>"))))
-    vector = found.withColumn("_v", F.unwrap_udt("_tf"))
-    return vector.select(*[c for c in rows.columns if c != "text"], F.col("_v.indices").alias("ids"), F.col("_v.values").alias("tf"))
+    """The columns of ``rows`` but its words, with ``ids`` and ``tf``, the numbers of known terms and their counts."""
+    sent = rows.sparkSession.sparkContext.broadcast(cells.Index(words))
+    found = rows.withColumn("_v", cells.known_counts(sent, F.col("words"), stop_words))
+    return found.select(*[c for c in rows.columns if c != "words"], F.col("_v.ids").alias("ids"), F.col("_v.tf").alias("tf"))
 
 
 def features(rows: DataFrame, words: list[str], stop_words: list[str], folder: str) -> DataFrame:
@@ -99,21 +98,43 @@ def _margins(fits: Fits, k: int, owner: np.ndarray, ids: np.ndarray, base: np.nd
     return np.bincount(owner, x * fits.coefs[k][ids], n) + fits.intercepts[k], x
 
 
+#: Rows whose cells a task holds at once.
+ROWS = 2000
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
+def _by_span(batch: pa.RecordBatch, spans: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The cells of a batch that fall into each range of term numbers."""
+    owner, ids, base = _matrix(batch)
+    out = {}
+    for span in set(spans):
+        held = slice(None) if span[0] == 0 and (not len(ids) or ids.max() < span[1]) else (ids >= span[0]) & (ids < span[1])
+        out[span] = owner[held], ids[held], base[held]
+    return out
+
+
 def _gradients(sent, active: list[int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits: Fits = sent.value
-        size = len(fits.terms)
+        size, spans = len(fits.terms), fits.spans()
         out = np.zeros((len(active), size + 2))
-        for batch in batches:
+        for batch in _cut(batches):
             n = batch.num_rows
-            owner, ids, base = _matrix(batch)
+            found = _by_span(batch, [spans[k] for k in active])
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
             weights = np.array(batch.column("weights").flatten().to_numpy(), float).reshape(n, -1) if n else np.zeros((0, len(fits.idf)))
             for row, k in enumerate(active):
+                owner, ids, base = found[spans[k]]
+                low, high = spans[k]
                 margin, x = _margins(fits, k, owner, ids, base, n)
                 w = weights[:, k]
                 rest = w * (1 / (1 + np.exp(-margin)) - label)
-                out[row, :size] += np.bincount(ids, x * rest[owner], size)
+                out[row, low:high] += np.bincount(ids - low, x * rest[owner], high - low)
                 out[row, size] += rest.sum()
                 out[row, size + 1] += (w * (np.logaddexp(0, margin) - label * margin)).sum()
         data = [zlib.compress(v.tobytes(), 1) for v in out]
@@ -137,14 +158,14 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gradients(table: DataFrame, fits: Fits, active: list[int]) -> dict[int, np.ndarray]:
     """For each active fit its gradient by term, by the intercept, and its loss, over all rows of ``table``; one job.
 
-    Tasks add up what falls to a (fit, salt); the driver gets at most 16 arrays for each fit.
+    Tasks add up what falls to a (fit, salt), then to a fit; the driver gets one array for each fit.
     """
     shape, out = "fit int, salt int, sums binary", {}
     sent = table.sparkSession.sparkContext.broadcast(fits)
     parts = table.select("label", "weights", "ids", "tf").mapInArrow(_gradients(sent, active), shape)
-    for row in parts.repartition("fit", "salt").mapInArrow(_added, shape).toArrow().to_pylist():
-        values = np.frombuffer(zlib.decompress(row["sums"]))
-        out[row["fit"]] = out[row["fit"]] + values if row["fit"] in out else values
+    whole = parts.repartition("fit", "salt").mapInArrow(_added, shape).repartition("fit").mapInArrow(_added, shape)
+    for row in whole.toArrow().to_pylist():
+        out[row["fit"]] = np.frombuffer(zlib.decompress(row["sums"]))
     sent.destroy()
     return out
 
@@ -220,9 +241,10 @@ def scores_of(sent, kept: list[str]):
     """Adds ``scores``, the probability of each row by each fit, to the columns ``kept``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits: Fits = sent.value
-        for batch in batches:
-            n, cells = batch.num_rows, _matrix(batch)
-            margins = np.array([_margins(fits, k, *cells, n)[0] for k in range(len(fits.idf))]).reshape(len(fits.idf), n)
+        spans = fits.spans()
+        for batch in _cut(batches):
+            n, found = batch.num_rows, _by_span(batch, spans)
+            margins = np.array([_margins(fits, k, *found[spans[k]], n)[0] for k in range(len(fits.idf))]).reshape(len(fits.idf), n)
             scores = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(fits.idf)),
                                               pa.array((1 / (1 + np.exp(-margins.T))).reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], [*kept, "scores"])
@@ -252,7 +274,7 @@ def _block(spark, corpus: DataFrame, statistics: DataFrame, counts: pd.DataFrame
         totals[k] = classes.sum()
         outside = (F.col("split") == "train") & ~F.col("source").eqNullSafe(F.lit(h))
         weights.append(F.when(outside & (F.col("label") == 1), each[1]).when(outside & (F.col("label") == 0), each[0]).otherwise(0.0))
-    table = features(corpus.select("source", "split", "label", "text", F.array(*weights).alias("weights")), words or ["-"], stop_words,
+    table = features(corpus.select("source", "split", "label", "words", F.array(*weights).alias("weights")), words or ["-"], stop_words,
                      work_folder(spark))
     fits = fit_many(table, words or ["-"], idf if words else np.zeros((len(held), 1)), totals, rounds)
     scored = table.select("source", "label", "split", "ids", "tf").mapInArrow(
@@ -276,19 +298,18 @@ def holdout_rates(corpus: DataFrame, stop_words: list[str] | None = None, rounds
     at 0.5 and at the quarantine threshold, and the recall on the positive rows of the test part.
 
     Trained are the train rows of the other sources (and those without one).  A source is left out if it has no
-    negative row or one class would remain.  The texts are read for the counts, the statistics, and once for each
-    block of ``BLOCK`` sources for the features; nothing else reads them.
+    negative row or one class would remain.  The texts are read once and their words written; those are read for the
+    statistics, and once for each block of ``BLOCK`` sources for the features.
     """
     spark = corpus.sparkSession
     stop = fixed.CORPUS_STOP_WORDS if stop_words is None else stop_words
-    corpus = corpus.select("source", "text", F.col("label").cast("int").alias("label"), "split").where(F.col("label").isin(0, 1))
+    corpus = written(corpus.select("source", term_words(F.col("text")).alias("words"), F.col("label").cast("int").alias("label"), "split")
+                     .where(F.col("label").isin(0, 1)))
     counts = corpus.groupBy("source", "split", "label").agg(F.count("*").alias("n")).toPandas()
     held = sorted(counts[(counts["label"] == 0) & counts["source"].notna()]["source"].unique())
     if not held:
         raise ValueError("no source can be held out")
-    folder = work_folder(spark)
-    source_statistics(corpus.where("split = 'train'"), stop).write.parquet(folder)
-    statistics = spark.read.parquet(folder)
+    statistics = written(source_statistics(corpus.where("split = 'train'"), stop))
     blocks = [_block(spark, corpus, statistics, counts, held[i:i + BLOCK], stop, rounds) for i in range(0, len(held), BLOCK)]
     out = blocks[0]
     for part in blocks[1:]:

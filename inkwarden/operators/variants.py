@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import work_folder
+from ..functions.text import term_words
+from ..session import written
 from . import evaluate, fusion, holdout
 
 #: Variants and test sets are bits of a number, and of sets of variants there are at most as many as such numbers.
@@ -62,9 +63,11 @@ def variant_rates(corpus: DataFrame, variants: list[Variant], tests: dict[str, C
     views = list(dict.fromkeys((v.text, v.stop_words) for v in variants))
     texts = list(dict.fromkeys(text for text, _ in views))
     weights = [F.lit(1.0) if v.weight is None else F.coalesce(v.weight.cast("double"), F.lit(1.0)) for v in variants]
-    rows = corpus.select(F.col("label").cast("int").alias("label"), *[F.col(t).alias(f"text_{i}") for i, t in enumerate(texts)],
+    rows = corpus.select(F.col("label").cast("int").alias("label"), *[term_words(F.col(t)).alias(f"words_{i}") for i, t in enumerate(texts)],
                          _bits([v.rows for v in variants]).alias("trains"), _bits(list(tests.values())).alias("tests"),
                          F.array(*weights).alias("own")).where("label IN (0, 1) AND (trains > 0 OR tests > 0)")
+    # The views read the same words, so texts, roles and splits are worked out once.
+    rows = written(rows)
     sums = [F.sum(F.get("own", F.lit(k))).alias(f"w_{k}") for k in range(len(variants))]
     counts = rows.where("trains > 0").groupBy("trains", "label").agg(F.count("*").alias("n"), *sums).toPandas()
 
@@ -78,11 +81,9 @@ def variant_rates(corpus: DataFrame, variants: list[Variant], tests: dict[str, C
             totals[k] = sum(by_class[k][label] * w for label, w in own[f"w_{k}"].items())
 
     words, idf, known = [], [], np.zeros(len(variants), np.int64)
-    folder = work_folder(spark)
-    for i, (text, stop) in enumerate(views):
-        trained = rows.where("trains > 0").select(F.col("trains").alias("source"), F.col(f"text_{texts.index(text)}").alias("text"))
-        holdout.source_statistics(trained, list(stop)).write.parquet(f"{folder}/terms-{i}")
-        statistics = spark.read.parquet(f"{folder}/terms-{i}")
+    for text, stop in views:
+        trained = rows.where("trains > 0").select(F.col("trains").alias("source"), F.col(f"words_{texts.index(text)}").alias("words"))
+        statistics = written(holdout.source_statistics(trained, list(stop)))
         own = [k for k, v in enumerate(variants) if (v.text, v.stop_words) == (text, stop)]
         found = reduce(DataFrame.unionAll, [_vocabulary(statistics, k, int(sizes[k])) for k in own]).toPandas()
         terms = sorted(found["term"].unique()) or ["-"]
@@ -97,14 +98,13 @@ def variant_rates(corpus: DataFrame, variants: list[Variant], tests: dict[str, C
                    .otherwise(0.0) if k in by_class else F.lit(0.0) for k in range(len(variants))]
     table = rows.withColumn("weights", F.array(*fit_weights)).drop("own", "trains")
     for i, ((text, stop), terms) in enumerate(zip(views, words, strict=True)):
-        table = holdout.with_features(table.withColumn("text", F.col(f"text_{texts.index(text)}")), terms, list(stop)).withColumnsRenamed(
+        table = holdout.with_features(table.withColumn("words", F.col(f"words_{texts.index(text)}")), terms, list(stop)).withColumnsRenamed(
             {"ids": f"ids_{i}", "tf": f"tf_{i}"})
     starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     moved = lambda start: lambda number: number + F.lit(start)
     shifted = [F.transform(f"ids_{i}", moved(int(start))) for i, start in enumerate(starts[:-1])]
-    table.select("label", "tests", "weights", F.concat(*shifted).alias("ids"),
-                 F.concat(*[f"tf_{i}" for i in range(len(views))]).alias("tf")).write.parquet(f"{folder}/features")
-    table = spark.read.parquet(f"{folder}/features")
+    table = written(table.select("label", "tests", "weights", F.concat(*shifted).alias("ids"),
+                                 F.concat(*[f"tf_{i}" for i in range(len(views))]).alias("tf")))
     fits = holdout.fit_many(table, [w for part in words for w in part], np.concatenate(idf, axis=1), totals, rounds)
 
     fitted = [names[k] for k in sorted(by_class)]
