@@ -8,8 +8,7 @@ and with one state it is the unigram model ``(c + 1) / (N + V + 1)``.
 
 Training is Baum-Welch: a task adds up the expected starts, transitions and emissions of its texts, cut into pieces of
 ``PIECE`` tokens that start from a distribution of their own; the tasks' counts are added in rounds, and only the
-(emissions x states) sums reach the driver.  The first rounds read a bounded slice to leave the start values, the
-last ones read all training texts.  Scores are exact: a piece of a text becomes the product of its transition and
+(emissions x states) sums reach the driver.  Every round reads all training texts.  Scores are exact: a piece of a text becomes the product of its transition and
 emission matrices, all pieces of a batch at once, and the scaled forward vector passes through a text's pieces in
 turn, so no length needs a cut.
 
@@ -38,12 +37,12 @@ END = b" "
 STATES, LISTED, PIECE = 8, (1 << 15) - 1, 64
 #: Words whose counts travel to the tasks, and the longest of them in bytes: together at most 16 MB.
 KNOWN, LONGEST = 1 << 18, 64
-#: Tokens of the slice that the first rounds read, and the numbers of rounds.
-SLICE, FIRST_ROUNDS, ROUNDS = 3_000_000, 10, 2
+#: Rounds that leave the start values, and those after them; all read all training texts.
+FIRST_ROUNDS, ROUNDS = 10, 2
 #: Pseudo-counts of the unigram shares in each state's emissions.
 PRIOR = 300.0
 #: Pieces handled at once, distinct words a task counts before it passes them on.
-GROUP, DISTINCT = 1 << 14, 400_000
+GROUP, DISTINCT = 1 << 12, 400_000
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -298,20 +297,13 @@ def next_chain(chain: Chain, shares: np.ndarray, found: dict[int, np.ndarray], p
 
 def train(encoded: DataFrame, vocabulary: Vocabulary, *, states: int = STATES, prior: float = PRIOR,
           first_rounds: int = FIRST_ROUNDS, rounds: int = ROUNDS) -> Chain:
-    """Baum-Welch over all rows of ``encoded`` (ids, written).
-
-    Before it, ``first_rounds`` over rows of about SLICE tokens, chosen by a hash of the row's tokens.
-    """
+    """Baum-Welch: ``first_rounds`` and ``rounds``, each over all rows of ``encoded`` (ids, written)."""
     shares = vocabulary.shares()
     chain = first_chain(shares, states)
     own = encoded.select("ids")
-    share = min(1.0, SLICE / max(1, vocabulary.tokens))
-    part = own.where(F.pmod(F.xxhash64(F.lit(3), "ids"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # The slice is a few megabytes, whatever the table's size, so a few tasks read it in each round.
-    part = scratch_table(part, "slice").coalesce(8) if share < 1 and first_rounds else own
-    for rows in [part] * first_rounds + [own] * rounds:
+    for _ in range(first_rounds + rounds):
         sent = own.sparkSession.sparkContext.broadcast(chain)
-        found = added(rows.mapInArrow(_expected(sent), "block int, salt int, part binary"))
+        found = added(own.mapInArrow(_expected(sent), "block int, salt int, part binary"))
         if found:
             chain = next_chain(chain, shares, found, prior)
     return chain

@@ -161,3 +161,22 @@ def test_no_training_rows(spark, odd, none):
         assert (r["base_score"], r["n_known"], r["train_tokens"]) == (0.0, 0, 0) and abs(r["score"]) < 1e-9
     model, encoded = fitted(none.withColumn("held_out", F.lit(True)), hm.LISTED, hm.KNOWN)
     assert hm.score(encoded, model).count() == 0
+
+
+def test_first_rounds_read_all_rows(spark, odd):
+    """With very many tokens in the vocabulary, too: each round's counts come from every row, not from a part of them."""
+    docs = odd.withColumn("held_out", F.lit(False))
+    words = hm.count_words(docs)
+    v = hm.vocabulary(words, 5, 8)
+    v.tokens += 10 ** 10
+    encoded = hm.encode(docs, hm.Model(v, words))
+    got = hm.train(encoded, v, states=2, first_rounds=2, rounds=0)
+    texts = [np.frombuffer(r["ids"], np.uint16) for r in encoded.collect()]
+    chain = hm.first_chain(v.shares(), 2)
+    for _ in range(2):
+        start, move, emit = np.zeros_like(chain.start), np.zeros_like(chain.move), np.zeros_like(chain.emit)
+        hm.add_expected(chain, texts, start, move, emit)
+        found = {-1: np.concatenate([[0.0], start.reshape(-1), move.reshape(-1)]), 0: emit}
+        chain = hm.next_chain(chain, v.shares(), found, hm.PRIOR)
+    assert np.allclose(got.move, chain.move, rtol=1e-4) and np.allclose(got.start, chain.start, rtol=1e-4)
+    assert np.allclose(got.emit, chain.emit, rtol=1e-4)
