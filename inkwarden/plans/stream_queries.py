@@ -36,7 +36,7 @@ def _message_files(spark, sf_dir, folder: str, files: int = 4) -> DataFrame:
 
 
 def _verdicts(batch: DataFrame) -> DataFrame:
-    scored = scoring.score_sms(batch, F.col("p_sms"), F.col("p_email"))
+    scored = scoring.score_sms(inputs.spread(batch), F.col("p_sms"), F.col("p_email"))
     label, action = decide(F.round("score", 9))
     return scored.select("msg_id", F.round("score", 6).alias("score"), label.alias("label"), action.alias("action"))
 

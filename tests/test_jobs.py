@@ -283,3 +283,34 @@ print("LINES", ops.build_audit_chain(rows, ["mailbox"], "seq", ["seq", "event",
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "LINES 9" in done.stdout, done.stderr[-2000:]
+
+
+def test_mails_of_one_file_are_many_tasks(spark):
+    """A table of few bytes is one split; the rules on it run in as many tasks as the session shuffles into, on the same rows."""
+    from inkwarden.plans import inputs
+
+    rows = inputs.mail_columns(spark, "/root/testdata/sf0.01")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert inputs.table(spark, "/root/testdata/sf0.01", "customer").rdd.getNumPartitions() < n == rows.rdd.getNumPartitions()
+    assert rows.count() == inputs.table(spark, "/root/testdata/sf0.01", "customer").count()
+
+
+def test_models_travel_outside_the_plan(spark):
+    """A vocabulary of many terms is no part of the plan, however often its numbers are used; null texts have no terms."""
+    words = [a + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    fitted = model.TextModel(spark.createDataFrame([(w, 1.0, 0.5) for w in words], "term string, idf double, coef double"), 0.0)
+    docs = spark.createDataFrame([(1, "aku bku aku"), (2, None), (3, "")], "id int, text string")
+    scored = model.predict(docs, fitted, "id", "text")
+    assert "bku" not in scored._jdf.queryExecution().toString()
+    got = {r.id: [t.term for t in r.top] for r in scored.collect()}
+    assert got == {1: ["aku", "bku"], 2: [], 3: []}
+
+
+def test_blended_lists_are_bound_once(spark):
+    """Sorting both lists again for each of their terms takes a plan that names them several times."""
+    parts = spark.createDataFrame([([(0.4, "a"), (0.2, "b")], [(0.3, "b"), (0.1, "c")])],
+                                  "x array<struct<contribution:double,term:string>>, y array<struct<contribution:double,term:string>>")
+    best = lambda name: model.best_terms(F.col(name), 15)
+    out = parts.select(model.blended_top(best("x"), best("y")).alias("top"))
+    assert [t.term for t in out.first().top] == ["b", "a", "c"]
+    assert out._jdf.queryExecution().analyzed().toString().count("array_sort") <= 3
