@@ -99,7 +99,7 @@ def _arriving(spark, table: DataFrame, order: str, folder: str, build, arrivals:
     for i in range(arrivals):
         low, high = top * i // arrivals, top * (i + 1) // arrivals
         part = table.where((F.col(order) >= low) & (F.col(order) < high))
-        part.write.mode("append").parquet(f"{folder}/in")
+        inputs.spread(part).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(table.schema).parquet(f"{folder}/in")
         build(stream).writeStream.format("parquet").option("path", f"{folder}/out").option(
             "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

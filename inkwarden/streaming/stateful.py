@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,34 +19,40 @@ from .poll import Ledger
 
 
 def chain_stream(entries: DataFrame, chain: list[str], order: str, fields: list[str],
-                 rows_per_file: int = 4096) -> DataFrame:
+                 rows_per_file: int = 4096, parts: int = 16) -> DataFrame:
     """The audit chain as a stream: state is the last hash of each log file.
 
-    Log files are rotated by sequence number (see the batch operator), so a key receives at
-    most ``rows_per_file`` rows over its life and a batch of one key fits in memory.
+    Log files are rotated by sequence number (see the batch operator), so a file receives at
+    most ``rows_per_file`` rows over its life.  A state row holds the files of one number in one of
+    ``parts`` parts of the chains: files of a few lines each are gathered, and a call of the function
+    is for many of them.  Where every chain has sequence numbers of its own, ``parts`` is to grow with
+    the chains, for all of them have a file of each number.
     """
     head, tail = canonical_halves(fields)
     numbered = entries.withColumn("file_no", F.floor(F.col(order) / rows_per_file).cast("bigint"))
-    rows = numbered.select(*chain, "file_no", F.col(order).alias("seq"),
-                           head.alias("head"), tail.alias("tail"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    keys = [*chain, "file_no"]
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["seq bigint", "prev string", "hash string"])
+    # Chains pass as text: a long column with nulls would be floats in pandas.
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    rows = numbered.select(
+        F.to_json(F.struct(*chain), exact).alias("name"), "file_no", F.pmod(F.xxhash64(*chain), F.lit(parts)).alias("part"),
+        F.col(order).alias("seq"), head.alias("head"), tail.alias("tail"))
+    schema = "name string, file_no bigint, seq bigint, prev string, hash string"
 
     def extend(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
-        last = state.get[0] if state.exists else fixed.GENESIS
+        rows = pd.concat(list(frames)).sort_values(["name", "seq"])
+        ends = dict(zip(*state.get, strict=True)) if state.exists else {}
         prevs, hashes = [], []
-        for h, t in zip(rows["head"], rows["tail"], strict=True):
-            prevs.append(last)
-            last = hashlib.sha256(f"{h}{last}{t}".encode()).hexdigest()
-            hashes.append(last)
-        state.update((last,))
-        out = {k: [v] * len(rows) for k, v in zip(keys, key, strict=True)}
-        yield pd.DataFrame({**out, "seq": rows["seq"].to_numpy(), "prev": prevs, "hash": hashes})
-
-    return rows.groupBy(*keys).applyInPandasWithState(
-        extend, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+        for name, h, t in zip(rows["name"], rows["head"], rows["tail"], strict=True):
+            prevs.append(ends.get(name, fixed.GENESIS))
+            ends[name] = hashlib.sha256(f"{h}{prevs[-1]}{t}".encode()).hexdigest()
+            hashes.append(ends[name])
+        state.update((list(ends), list(ends.values())))
+        yield pd.DataFrame({"name": rows["name"].to_numpy(), "file_no": [key[0]] * len(rows), "seq": rows["seq"].to_numpy(),
+                            "prev": prevs, "hash": hashes})
+
+    linked = rows.groupBy("file_no", "part").applyInPandasWithState(
+        extend, schema, "names array<string>, ends array<string>", "append", GroupStateTimeout.NoTimeout)
+    own = F.from_json("name", T.StructType([entries.schema[c] for c in chain]), exact)
+    return linked.withColumn("own", own).select(*[F.col(f"own.`{c}`") for c in chain], "file_no", "seq", "prev", "hash")
 
 
 def sealed_log_stream(entries: DataFrame, chain: list[str], order: str, fields: list[str], folder: str, checkpoint: str,
