@@ -42,7 +42,7 @@ FIRST_ROUNDS, ROUNDS = 10, 2
 #: Pseudo-counts of the unigram shares in each state's emissions.
 PRIOR = 300.0
 #: Pieces handled at once, distinct words a task counts before it passes them on.
-GROUP, DISTINCT = 1 << 14, 400_000
+GROUP, DISTINCT = 1 << 12, 400_000
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -230,42 +230,44 @@ def likelihoods(chain: Chain, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def add_expected(chain: Chain, texts: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Adds the expected counts of all pieces by the forward and backward recursions; returns their log-likelihood."""
+    """Adds the expected counts of all pieces by the forward and backward recursions; returns their log-likelihood.
+
+    The rows of a group stand by place in the piece, those of a place next to each other, so every step works in place.
+    """
     h, total = len(chain.move), 0.0
     into, matrix, back = chain.emit.astype(np.float32), chain.move.astype(np.float32), chain.move.T.astype(np.float32).copy()
+    ones = np.ones(h, np.float32)
     for _, number, length, ids in grouped(texts):
         order = np.argsort(-length, kind="stable")
         active = np.searchsorted(-length[order], -np.arange(PIECE), "left")
-        cols, later = ids[:, order], (number[order] > 0).astype(int)
-        forward, kept = np.zeros((PIECE, len(order), h), np.float32), []
+        active = active[active > 0]
+        cols, later, ends = ids[:, order], (number[order] > 0).astype(int), ends_of(active)
+        at = [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
+        place = np.concatenate([cols[t, :k] for t, k in enumerate(active)]).astype(np.intp)
+        e, forward, sizes = into[place], np.empty((len(place), h), np.float32), np.empty((len(place), 1), np.float32)
         now = chain.start[later].astype(np.float32)
-        for t in range(PIECE):
-            k = active[t]
-            if not k:
-                break
-            e = into[cols[t, :k]]
-            now = (now[:k] @ matrix if t else now) * e
-            size = now.sum(axis=1, keepdims=True)
-            now /= size
-            forward[t, :k] = now
-            kept.append((k, e / size))
-            total += float(np.log(size).sum())
-        behind = np.ones((len(order), h), np.float32)
-        for t in range(len(kept) - 1, -1, -1):
-            k, e = kept[t]
+        for t, k in enumerate(active):
+            own, size = forward[at[t]], sizes[at[t]]
+            np.multiply(now[:k] @ matrix if t else now, e[at[t]], out=own)
+            np.matmul(own, ones, out=size[:, 0])
+            own /= size
+            now = own
+        total += float(np.log(sizes).sum(dtype=float))
+        e /= sizes
+        behind, moved = np.ones((len(order), h), np.float32), np.zeros((h, h))
+        for t in range(len(active) - 1, -1, -1):
             # A piece that ends here has nothing behind it: its row is still 1.
-            own = forward[t, :k] * behind[:k]
-            seen = e * behind[:k]
+            own, seen, rest = forward[at[t]], e[at[t]], behind[:active[t]]
+            seen *= rest
+            own *= rest
             if t:
-                move += chain.move * (forward[t - 1, :k].T @ seen)
-                behind[:k] = seen @ back
+                moved += forward[at[t - 1]][:active[t]].T @ seen
+                np.matmul(seen, back, out=rest)
             else:
-                np.add.at(start, later[:k], own)
-            forward[t, :k] = own
-        held = np.arange(PIECE)[:, None] < length[order]
-        seen, place = forward[held], cols[held]
+                np.add.at(start, later, own)
+        move += chain.move * moved
         for j in range(h):
-            emit[:, j] += np.bincount(place, seen[:, j], len(emit))
+            emit[:, j] += np.bincount(place, forward[:, j], len(emit))
     return total
 
 

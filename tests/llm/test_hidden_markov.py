@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -180,3 +181,15 @@ def test_first_rounds_read_all_rows(spark, odd):
         chain = hm.next_chain(chain, v.shares(), found, hm.PRIOR)
     assert np.allclose(got.move, chain.move, rtol=1e-4) and np.allclose(got.start, chain.start, rtol=1e-4)
     assert np.allclose(got.emit, chain.emit, rtol=1e-4)
+
+
+def test_expected_counts_take_memory_by_tokens():
+    """Short texts are not held at the length of a whole piece."""
+    chain, texts = some_chain(8, 50), some_texts(50, [2] * hm.GROUP)
+    start, move, emit = np.zeros((2, 8)), np.zeros((8, 8)), np.zeros((50, 8))
+    tracemalloc.start()
+    hm.add_expected(chain, texts, start, move, emit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert emit.sum() == pytest.approx(2 * hm.GROUP, rel=1e-5)
+    assert peak < hm.GROUP * hm.PIECE * 8 * 4
