@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -51,6 +52,15 @@ def sample_share(rows: DataFrame, wanted: int, *on: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(7), *on), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def release_memory() -> None:
+    """Gives freed memory of this process back to the system: that of Arrow's pool, and of the C heap, which else keeps
+    what thousands of small arrays of a fit in the driver took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer over an array of uint64."""
     x = values.astype(np.uint64, copy=True)

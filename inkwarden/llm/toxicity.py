@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, column_texts, crc_mod, documents, mix, sample_share
+from .common import WordHashes, chunks, column_texts, crc_mod, documents, mix, release_memory, sample_share
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Multipliers that tell words, neighbours and skip-grams apart.
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10000, sampl
     order = sorted(range(len(rows)), key=lambda i: (label[i], rows[i][:16].tobytes(), zlib.crc32(rows[i]), len(rows[i])))
     out = ftrl([rows[i] for i in order], label[order], bits=bits, **options)
     del got, rows
-    pa.default_memory_pool().release_unused()
+    release_memory()
     return out
 
 
