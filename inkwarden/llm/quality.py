@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, column_texts, crc_mod, documents, ends_of, mix, sample_share, sums
+from .common import WordHashes, chunks, column_texts, crc_mod, documents, ends_of, mix, sample_share
 
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 24, 2, 2
 BLOCK = 256
+#: Tokens whose vectors are added at once, so that they stay in a core's cache.
+POOLED = 512
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -87,18 +89,28 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (total / np.maximum(1e-9, np.linalg.norm(total, axis=1, keepdims=True))).astype(np.float32)
 
 
-def pooled(texts: list[str], vectors: np.ndarray, table: WordHashes) -> np.ndarray:
-    """(texts, 2 * DIM + 2): mean and spread of the token vectors, share of new tokens, log of the length."""
+def with_squares(vectors: np.ndarray) -> np.ndarray:
+    """The vectors and, beside each, the squares of its entries; doubles, so sums need no conversion."""
+    return np.hstack([vectors, vectors * vectors]).astype(np.float64)
+
+
+def pooled(texts: list[str], squared: np.ndarray, table: WordHashes) -> np.ndarray:
+    """(texts, 2 * DIM + 2): mean and spread of the token vectors (of :func:`with_squares`), share of new tokens, log of the length."""
     buckets, lengths = tokens(texts, table)
+    total, kinds = np.zeros((len(texts), squared.shape[1])), np.zeros((len(texts), 1), np.int64)
+    seen = np.zeros(BUCKETS, np.int64)
     ends = ends_of(lengths)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        own = buckets[a:b]
+        for start in range(0, len(own), POOLED):
+            total[i] += squared[own[start:start + POOLED]].sum(axis=0)
+        # Each of a text's buckets holds the place of one of its tokens, so the tokens that find their own place are the kinds.
+        place = np.arange(a, b)
+        seen[own] = place
+        kinds[i] = np.count_nonzero(seen[own] == place)
     count = np.maximum(1, lengths)[:, None]
-    own = vectors[buckets]
-    mean = sums(own, ends) / count
-    own *= own
-    spread = np.sqrt(np.maximum(0, sums(own, ends) / count - mean * mean))
-    kinds = np.bincount(np.unique(owner * BUCKETS + buckets) // BUCKETS, minlength=len(lengths))[:, None]
-    return np.hstack([mean, spread, kinds / count, np.log1p(lengths)[:, None] / 10])
+    mean, spread = np.hsplit(total / count, 2)
+    return np.hstack([mean, np.sqrt(np.maximum(0, spread - mean * mean)), kinds / count, np.log1p(lengths)[:, None] / 10])
 
 
 @dataclass
@@ -159,9 +171,9 @@ def fit(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, *, hidden: int = 16,
 
 def _pool(vectors):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
+        table, squared = WordHashes(), with_squares(vectors.value)
         for batch in chunks(batches, 500, size=2_000_000):
-            x = pooled(column_texts(batch), vectors.value, table)
+            x = pooled(column_texts(batch), squared, table)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())],
                                              ["label", "x"])
 
@@ -186,9 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10000, **opt
 
 def _score(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
+        table, squared = WordHashes(), with_squares(model.value.vectors)
         for batch in chunks(batches, 500, size=2_000_000):
-            p = model.value.probabilities(pooled(column_texts(batch), model.value.vectors, table))
+            p = model.value.probabilities(pooled(column_texts(batch), squared, table))
             own = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(p), pa.array(np.where(p >= 0.3, 1, 0).astype(np.int32))],
                                              [*batch.schema.names, "score", "predicted"])
