@@ -7,8 +7,8 @@ The most frequent distinct words of a bounded sample are folded beforehand and l
 all other words are folded where they stand, so the sample never changes a result.  Decoding joins the binary
 pieces of the ids.
 
-``encode_in_tasks`` is the same fold in Python: each task keeps the ids of the distinct words it has met.  The
-higher-order form is right but too slow for the limits of the check (see README), so the query takes this one.
+``encode_in_tasks`` is the same fold in numpy, over many words at once: each task keeps the ids of the distinct words it
+has met.  The higher-order form is right but too slow for the limits of the check (see README), so the query takes this one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
@@ -156,30 +157,127 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces]
 
 
+class Pairs:
+    """The same fold over ids, for many words of one length at once.
+
+    ``keys`` are the pairs of ids that make a token, ascending, each as one number, and ``joined`` the tokens they make;
+    ``single`` has the ids of the 256 bytes, ``double`` those of all pairs of bytes, NONE where a pair is no token.
+    """
+
+    #: Fewer words of a length are folded one by one.
+    FEW = 16
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, get = ranks, ranks.get
+        found = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = get(token[:i]), get(token[i:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = rank
+        self.keys = np.array(sorted(found), np.int64)
+        self.joined = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.double = np.array([get(bytes([i, j]), NONE) for i in range(256) for j in range(256)], np.int64)
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The token of each pair of ids, NONE where they make none."""
+        if not len(self.keys):
+            return np.full(len(first), NONE)
+        keys = first << 32 | second
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.joined[at], NONE)
+
+    def _folded(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and ids of the rows of ``raw``, words of two or more bytes; each round joins one pair of every row left."""
+        left, ids = np.arange(len(raw)), self.single[raw]
+        pairs = self.double[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
+        while True:
+            at = pairs.argmin(axis=1)
+            least = pairs[np.arange(len(left)), at]
+            done = least == NONE
+            if done.any():
+                yield left[done], ids[done]
+                left, ids, pairs, at, least = (x[~done] for x in (left, ids, pairs, at, least))
+            if not len(left):
+                return
+            rows, width = np.arange(len(left)), ids.shape[1] - 1
+            ids[rows, at] = least
+            place = np.arange(width)
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), axis=1)
+            if width == 1:
+                yield left, ids
+                return
+            pairs = np.take_along_axis(pairs, place[:-1] + (place[:-1] >= at[:, None]), axis=1)
+            some = np.flatnonzero(at > 0)
+            pairs[some, at[some] - 1] = self.of(ids[some, at[some] - 1], least[some])
+            some = np.flatnonzero(at < width - 1)
+            pairs[some, at[some]] = self.of(least[some], ids[some, at[some] + 1])
+
+    def folds(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each of the words, as :func:`fold` gives them."""
+        out: list[list[int]] = [[]] * len(words)
+        lengths: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            whole = self.ranks.get(word)
+            if whole is not None:
+                out[i] = [whole]
+            else:
+                lengths.setdefault(len(word), []).append(i)
+        for length, places in lengths.items():
+            if len(places) < self.FEW or length < 2:
+                for i in places:
+                    out[i] = fold(words[i], self.ranks)
+                continue
+            raw = np.frombuffer(b"".join([words[i] for i in places]), np.uint8).reshape(-1, length)
+            for at, ids in self._folded(raw):
+                for i, own in zip(at.tolist(), ids.tolist(), strict=True):
+                    out[places[i]] = own
+        return out
+
+
 class Words(dict):
     """Of distinct words the number of ids, the ids as text, and the bytes that the ids decode to.
 
-    It forgets all of them at a bound, so a task's memory stays bounded.
+    The words of some texts are learned together (:meth:`learn`).  At a bound all words become ``older`` and those before
+    them are forgotten, so a task's memory stays bounded and a frequent word, which comes back from the older ones, is
+    folded once.
 
     A run of one character can make a word of any length; its fold takes quadratic time in the length, so such
-    words, over ``LONG`` bytes, are folded with a heap of pairs instead.
+    words, over ``LONG`` bytes, are folded with a heap of pairs instead, and are not kept.
     """
 
     LONG = 256
 
-    def __init__(self, ranks: dict[bytes, int], pieces: list[bytes], bound: int = 200_000):
+    def __init__(self, pairs: Pairs, pieces: list[bytes], bound: int = 200_000):
         super().__init__()
-        self.ranks, self.pieces, self.bound = ranks, pieces, bound
+        self.pairs, self.pieces, self.bound = pairs, pieces, bound
+        self.names = [str(i) for i in range(len(pieces))]
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
-    def __missing__(self, word: str) -> tuple[int, str, bytes]:
+    def entry(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join([self.names[i] for i in ids]), b"".join([self.pieces[i] for i in ids])
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Keeps all words of texts that have at most LONG bytes."""
         if len(self) >= self.bound:
+            self.older = dict(self)
             self.clear()
+        new, raws = [], []
+        for word in set().union(*texts).difference(self):
+            known = self.older.get(word)
+            if known is not None:
+                self[word] = known
+                continue
+            raw = word.encode()
+            if len(raw) <= self.LONG:
+                new.append(word)
+                raws.append(raw)
+        self.update(zip(new, map(self.entry, self.pairs.folds(raws)), strict=True))
+
+    def __missing__(self, word: str) -> tuple[int, str, bytes]:
         raw = word.encode()
-        ids = fold(raw, self.ranks) if len(raw) <= self.LONG else fold_long(raw, self.ranks)
-        entry = len(ids), ",".join(map(str, ids)), b"".join([self.pieces[i] for i in ids])
-        if len(raw) <= self.LONG:
-            self[word] = entry
-        return entry
+        return self.entry(fold(raw, self.pairs.ranks) if len(raw) <= self.LONG else fold_long(raw, self.pairs.ranks))
 
 
 def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -211,24 +309,25 @@ def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 @lru_cache(maxsize=2)
-def _table(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+def _table(path: str) -> tuple[Pairs, list[bytes]]:
     ranks = ranks_of(path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return ranks, pieces
+    return Pairs(ranks), pieces
 
 
 def _digested(path: str, pattern: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        ranks, pieces = _table(path)
-        split, plain, words = regex.compile(pattern).findall, re.compile(ascii_pattern(pattern)).findall, Words(ranks, pieces)
+        pairs, pieces = _table(path)
+        split, plain, words = regex.compile(pattern).findall, re.compile(ascii_pattern(pattern)).findall, Words(pairs, pieces)
         for batch in chunks(batches, 500, size=2_000_000):
-            out = []
-            for text in column_texts(batch):
-                found = list(map(words.__getitem__, (plain if text.isascii() else split)(text)))
+            out, texts = [], [(plain if text.isascii() else split)(text) for text in column_texts(batch)]
+            words.learn(texts)
+            for text in texts:
+                found = list(map(words.__getitem__, text))
                 told = hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest()
                 out.append((sum([x[0] for x in found]), told, hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()))
             yield pa.RecordBatch.from_arrays(
