@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, chunks, column_texts, documents, mix, scratch_table
+from .common import MIX, chunks, column_texts, documents, ends_of, mix, scratch_table
 
 
 class Rule(NamedTuple):
@@ -50,33 +50,98 @@ BLOCK_TOKENS, BLOCK_SETS = 1 << 16, 256
 #: Sets and shingles of a cluster that one task compares; number of nodes up to which they are broadcast to find their texts.
 CLUSTER_SETS, CLUSTER_TOKENS, FEW = 1024, 1 << 20, 1 << 20
 
+#: Bytes of text whose words are hashed at once.
+RUN_BYTES = 1 << 17
+#: White space; a number for each byte, and the base of a word's polynomial.
+_WHITE = [b" ", b"\t", b"\n", b"\v", b"\f", b"\r"]
+_SPACE = np.isin(np.arange(256), list(b"".join(_WHITE)))
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+_BASE = 0xD6E8FEB86659FD93
+
 
 def need(n: np.ndarray | int, rule: Rule = OP3) -> np.ndarray | int:
     """Least overlap of a set of ``n`` shingles with a partner."""
     return -(-rule.part * n // rule.whole)
 
 
-def shingle_sets(texts: list[str], table: WordHashes, size: int = OP3.words) -> list[np.ndarray]:
-    """Distinct shingle hashes of each text, ascending; none for a text without words."""
-    words = [x.encode().lower().split() for x in texts]
-    hashes = table.of([w for part in words for w in part])
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of a number modulo 2^64."""
+    out = np.ones(max(1, n), np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+        done += more
+    return out[:n]
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A text cut at white space into parts of at most RUN_BYTES, longer ones only for a longer word."""
+    a = 0
+    while len(text) - a > RUN_BYTES:
+        cut = max(text.rfind(c, a, a + RUN_BYTES) for c in _WHITE)
+        if cut < 0:
+            cut = min((at for c in _WHITE if (at := text.find(c, a + RUN_BYTES)) >= 0), default=len(text))
+        yield text[a:cut]
+        a = cut + 1
+    yield text[a:]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, one text after the other, and the number of words of each.
+
+    A word is a polynomial over its bytes: a difference of running sums, moved to the word's start.  Sums start anew in
+    each RUN_BYTES of text, so their memory stays bounded.
+    """
+    owned = [(i, part) for i, text in enumerate(texts) for part in _parts(text)]
+    hashes, counts, a = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64), 0
+    while a < len(owned):
+        b, size = a, 0
+        while b < len(owned) and (b == a or size + len(owned[b][1]) < RUN_BYTES):
+            size += len(owned[b][1]) + 1
+            b += 1
+        run = owned[a:b]
+        raw = np.frombuffer(b"".join([part + b" " for _, part in run]), np.uint8)
+        word = ~_SPACE[raw]
+        first = np.flatnonzero(word & ~np.append(False, word[:-1]))
+        last = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * _powers(_BASE, len(raw)), dtype=np.uint64)])
+        moved = (sums[last] - sums[first]) * _powers(pow(_BASE, -1, 1 << 64), len(raw))[first]
+        hashes.append(mix(moved + (last - first).astype(np.uint64) * MIX))
+        ends = ends_of(np.array([len(part) + 1 for _, part in run], np.int64))
+        np.add.at(counts, [i for i, _ in run], np.diff(np.searchsorted(first, ends)))
+        a = b
+    return np.concatenate(hashes), counts
+
+
+def shingle_sets(texts: list[str], size: int = OP3.words, low: bool = False) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, ascending; none for a text without words.  ``low``: only the low ones."""
+    hashes, counts = word_hashes([x.encode().lower() for x in texts])
     factors = [np.uint64(pow(int(MIX), i, 1 << 64)) for i in range(1, size + 1)]
     n = max(0, len(hashes) - size + 1)
     joined = mix(sum((hashes[i:i + n] * f for i, f in enumerate(factors)), np.zeros(n, np.uint64)))
-    out, at = [], 0
-    for part in words:
-        end = at + len(part)
-        if len(part) >= size:
-            out.append(np.unique(joined[at:end - size + 1]))
-        elif part:
+    out, at, bound = [], 0, LOW << np.uint64(24)
+    for many in counts.tolist():
+        end = at + many
+        if many >= size:
+            own = joined[at:end - size + 1]
+            out.append(_distinct(own[own < bound] if low else own))
+        elif many:
             own = hashes[at:end]
-            out.append(mix(np.array([np.sum(own * np.array(factors[:len(own)])) + np.uint64(len(own))], np.uint64)))
+            own = mix(np.array([np.sum(own * np.array(factors[:len(own)])) + np.uint64(len(own))], np.uint64))
+            out.append(own[own < bound] if low else own)
         else:
             out.append(np.empty(0, np.uint64))
         at = end
     return out
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; for short arrays in less time than ``np.unique``."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def class_of(shingles: np.ndarray) -> int:
     """Identity of a set, the same for every order of its members."""
     total = int(np.sum(mix(shingles ^ MIX), dtype=np.uint64)) + len(shingles) * int(MIX) & (1 << 64) - 1
@@ -114,11 +179,10 @@ def signatures(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray, bou
 
 def _counted(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Frequencies of low shingles in runs of texts, in buckets: those that came once, and others with their counts."""
-    table, held, size = WordHashes(), [], 0
+    held, size = [], 0
 
     def rows() -> pa.RecordBatch:
-        keys = keys_of(np.concatenate(held))
-        values, count = np.unique(keys[keys < LOW], return_counts=True)
+        values, count = np.unique(keys_of(np.concatenate(held)), return_counts=True)
         bucket = (values % np.uint64(BUCKETS)).astype(np.int64)
         order = np.lexsort((count > 1, bucket))
         values, count, bucket = (values[order] // np.uint64(BUCKETS)).astype("<u4"), count[order].astype("<u4"), bucket[order]
@@ -131,7 +195,7 @@ def _counted(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
                                            pa.array([r[2] for r in out], pa.binary())], ["bucket", "shingles", "counts"])
 
     for batch in chunks(batches, 1000, size=4_000_000):
-        for s in shingle_sets(column_texts(batch), table, rule.words):
+        for s in shingle_sets(column_texts(batch), rule.words, low=True):
             held.append(s)
             size += len(s)
         if size >= RUN:
@@ -204,9 +268,9 @@ def boundary_size(met: float, scan: float = 8.0, rule: Rule = OP3) -> int:
 
 def _signed(shared, boundary: int, rule: Rule):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (listed, counts) = WordHashes(), shared.value
+        listed, counts = shared.value
         for batch in chunks(batches, 1000, size=4_000_000):
-            sets = shingle_sets(column_texts(batch), table, rule.words)
+            sets = shingle_sets(column_texts(batch), rule.words)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),
@@ -218,9 +282,8 @@ def _signed(shared, boundary: int, rule: Rule):
 
 def _members(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """The sets of texts (text, cluster, wanted) and their nodes."""
-    table = WordHashes()
     for batch in chunks(batches, 1000, size=4_000_000):
-        sets = shingle_sets(column_texts(batch), table, rule.words)
+        sets = shingle_sets(column_texts(batch), rule.words)
         yield pa.RecordBatch.from_arrays(
             [batch.column(1), batch.column(2), pa.array([class_of(s) for s in sets], pa.int64()),
              pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cluster", "wanted", "node", "members"])
