@@ -20,6 +20,7 @@ rounding.  A null doc_id counts as the empty text for the fold; repeated rows ar
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -126,11 +127,12 @@ def _encode(vocabulary, names: list[str]):
         for batch in chunks(batches):
             words = [tokens_of(x) for x in texts_of(batch)]
             lengths = np.array([len(w) for w in words], np.int64)
-            ends, get = ends_of(lengths), place.get
-            at = np.fromiter((get(w, -1) for own in words for w in own), np.int64, ends[-1])
+            ends = ends_of(lengths)
+            at = np.fromiter(map(place.get, itertools.chain.from_iterable(words), itertools.repeat(-1)), np.int64, ends[-1])
             emitted = np.where((at < 0) | (at >= v.listed), v.listed, at).astype(np.uint16)
             new, other = at < 0, np.where(at >= v.listed, weight[at], 0.0)
-            rest = [Counter([own[i] for i in np.flatnonzero(new[a:b])]) for own, a, b in zip(words, ends, ends[1:], strict=False)]
+            missed, ends = new.tolist(), ends.tolist()
+            rest = [Counter(itertools.compress(own, missed[a:b])) for own, a, b in zip(words, ends, ends[1:], strict=False)]
 
             def each(values: np.ndarray) -> np.ndarray:
                 # Pairwise sums text by text (each has its end); differences of running sums would lose digits.
@@ -271,8 +273,10 @@ def add_expected(chain: Chain, texts: list[np.ndarray], start: np.ndarray, move:
                 np.matmul(seen, back, out=rest)
             else:
                 np.add.at(start, later, own)
-        for j in range(h):
-            emit[:, j] += np.bincount(place, forward[:, j], len(emit))
+        # Turned once, the weights of a state stand together; each pass over a column of ``forward`` would read all of it.
+        del e, sizes, own, seen, rest
+        for j, weights in enumerate(np.ascontiguousarray(forward.T)):
+            emit[:, j] += np.bincount(place, weights, len(emit))
     return total
 
 
