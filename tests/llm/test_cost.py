@@ -73,3 +73,65 @@ def test_word_hashes_keep_no_object_a_word(monkeypatch):
         assert [len(x) for x in sets] == [len({tuple(y[i:i + size]) for i in range(max(1, len(y) - size + 1))}) if y else 0 for y in plain]
         for own, low in zip(sets, jaccard.shingle_sets(texts, size, low=True), strict=True):
             np.testing.assert_array_equal(own[jaccard.keys_of(own) < jaccard.LOW], low)
+
+
+def test_term_sums_sort_numbers_not_their_order(monkeypatch):
+    """Terms of a task are counted by sorting one number a term, place and row; numbers too large for it take the other way."""
+    import pyarrow as pa
+
+    from inkwarden.operators import cells
+
+    draw = random.Random(9)
+    texts = [[draw.choice("abcdefghij") * 2 for _ in range(draw.randint(0, 12))] for _ in range(60)]
+    texts[3] = None
+    groups = [n % 3 if n % 5 else None for n in range(60)]
+    wanted: dict[tuple, list[int]] = {}
+    for own, group in zip(texts, groups, strict=True):
+        kept = [w for w in own or [] if w != "jj"]
+        terms = [*kept, *map(" ".join, zip(kept, kept[1:], strict=False))]
+        for term in set(terms):
+            cell = wanted.setdefault((group, term), [0, 0])
+            cell[0] += 1
+            cell[1] += terms.count(term)
+    batch = pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(texts, pa.list_(pa.string()))], ["g", "words"])
+    sorts = []
+    plain = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(len(keys[0])) or plain(keys))
+
+    def found(rows: int) -> dict:
+        out: dict[tuple, list[int]] = {}
+        for part in cells._statistics(["jj"], "g")(iter([batch.slice(n, rows) for n in range(0, 60, rows)])):
+            for g, term, df, total in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                assert (g, term) not in out
+                out[g, term] = [df, total]
+        return out
+
+    assert found(60) == found(7) == wanted and not sorts
+    monkeypatch.setattr(cells, "_bits", lambda values: 63)
+    assert found(60) == found(7) == wanted and sorts
+
+
+def test_cells_of_rows_sort_numbers():
+    from inkwarden.operators import cells
+
+    rng = np.random.default_rng(4)
+    for most in (5, 1 << 40, 1 << 60):
+        owner, code = rng.integers(0, 30, 2000), rng.integers(0, most, 2000)
+        code[1000:] = code[:1000]
+        values, count = np.unique(np.stack([owner, code]), axis=1, return_counts=True)
+        for got, own in zip(cells._in_rows(owner, code), (*values, count), strict=True):
+            np.testing.assert_array_equal(got, own)
+    assert [len(x) for x in cells._in_rows(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+def test_turned_weights_give_the_same_expected_counts():
+    """The sums of each state are those of its column, bit by bit, whatever stands between."""
+    from inkwarden.llm import hidden_markov as hm
+
+    rng = np.random.default_rng(2)
+    chain = hm.first_chain(np.full(50, 0.02), 8)
+    texts = [rng.integers(0, 50, n).astype(np.uint16) for n in (1, 64, 65, 200, 3)]
+    start, move, emit = np.zeros_like(chain.start), np.zeros_like(chain.move), np.zeros_like(chain.emit)
+    hm.add_expected(chain, texts, start, move, emit)
+    np.testing.assert_allclose(emit.sum(axis=1), np.bincount(np.concatenate(texts), minlength=50), rtol=1e-4)
+    np.testing.assert_allclose([start.sum(), move.sum()], [9, 333 - 9], rtol=1e-4)
