@@ -99,6 +99,28 @@ def test_component_labels(spark):
     assert {r["node"]: r["label"] for r in rows} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_done_links_are_joined_no_more(spark, monkeypatch):
+    """All links met all labels again in each round, so rows grew with links times rounds."""
+    walk, made = np.random.default_rng(5).permutation(400).tolist(), []
+    chain = list(zip(walk, walk[1:], strict=False))
+    star = [(1000, 1001 + i) for i in range(400)] + [(2000 + i, 3000) for i in range(400)] + [(1400, 2000)]
+    frame = spark.createDataFrame(chain + star + chain[:50] + [(b, a) for a, b in chain[:50]], "a bigint, b bigint")
+    plain = type(frame).join
+
+    def join(self, *args, **kwargs):
+        out = plain(self, *args, **kwargs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(frame), "join", join)
+    rows = jaccard.components(frame)
+    assert {r["node"]: r["label"] for r in rows.collect()} == {
+        **dict.fromkeys(range(400), 0), **dict.fromkeys([*range(1000, 1401), *range(2000, 2400), 3000], 1000)}
+    assert sum(made) < 12 * 1200, made
+    made.clear()
+    assert jaccard.components(frame.limit(0)).count() == jaccard.components(frame.where("a = 7").selectExpr("a", "a AS b")).count() == 0
+
+
 def slow_nearest(vectors, queries, k):
     out = []
     for q in queries:
