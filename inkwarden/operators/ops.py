@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -261,14 +262,14 @@ def _linked(entries: DataFrame, keys: list[str], order: str, fields: list[str],
     with one hash of state.  ``heads`` (``keys, head, lines``) are the ends of chains that go on."""
     head, tail = canonical_halves(fields)
     name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    start, before = F.lit(fixed.GENESIS), F.lit(0)
+    start, before, given = F.lit(fixed.GENESIS), F.lit(0), entries.columns
     if heads is not None:
         known = heads.select(*keys, F.col("head").alias("_known"), F.col("lines").alias("_lines"))
         entries = entries.join(known, keys, "left")
         start, before = F.coalesce("_known", start), F.coalesce("_lines", before)
-    prepared = entries.withColumns({"_chain": name, "_head": head, "_tail": tail, "_start": start,
-                                    "_before": before.cast("int")}).drop("_known", "_lines")
-    placed = prepared.repartition(*keys).sortWithinPartitions("_chain", order)
+    # What is made of a row's columns is made after the rows are placed, so it is in no shuffle.
+    placed = entries.repartition(*keys).withColumns({"_chain": name, "_head": head, "_tail": tail, "_start": start, "_before": before.cast("int")})
+    placed = placed.select(*given, "_chain", "_head", "_tail", "_start", "_before").sortWithinPartitions("_chain", order)
     added = [T.StructField("prev", T.StringType()), T.StructField("hash", T.StringType()),
              T.StructField("line_no", T.IntegerType())]
     schema = T.StructType([*placed.schema.fields, *added])
@@ -324,9 +325,11 @@ def verify_audit_log(lines: DataFrame, seals: DataFrame, heads: DataFrame, chain
     removed anywhere, at the end too.
     """
     keys = [*chain, "file_no"]
-    inside = verify_audit_chain(lines, keys, fields).select(*keys, F.col("problem").alias("_inside"))
-    found = _file_ends(lines, chain).withColumnsRenamed({"rows": "_rows", "last": "_last"}).join(inside, keys)
-    per_file = (seals.select(*keys, "rows", "last").join(found, keys, "full").withColumn(
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    # A file is short, so its lines are placed once and everything about them is found there.
+    found = _judged(_bare_lines(lines, keys, fields).where(named).repartition(*keys), keys).select(
+        *keys, "_rows", "_last", _first_problem().alias("_inside"))
+    per_file = (seals.select(*keys, "rows", _short("last").alias("last")).join(found, keys, "full").withColumn(
         "_problem", F.when(F.col("_rows").isNull(), "is missing").when(F.col("rows").isNull(), "is not sealed")
         .when(F.col("_inside") != "", F.col("_inside"))
         .when((F.col("rows") != F.col("_rows")) | (F.col("last") != F.col("_last")), "does not end as sealed")))
@@ -350,31 +353,59 @@ def verify_audit_chain(lines: DataFrame, chain: list[str], fields: list[str],
     """Per chain: ``ok, checked, problem`` with the first bad line.
 
     Every line is checked on its own (hash over its content) and against the line before it.
-    The line before is found by an equi join on the dense line number, which spreads one long
-    chain over all tasks.
+    Lines meet the one before in blocks of ``BLOCK_LINES`` line numbers, which spreads one long chain over all tasks.
     """
+    return _judged(_bare_lines(lines, chain, fields, line), chain).select(
+        *chain, F.col("_first").isNull().alias("ok"),
+        F.when(F.col("_first").isNull(), F.col("_lines")).otherwise(F.col("_first.n") - 1)
+        .cast("bigint").alias("checked"), _first_problem().alias("problem"))
+
+
+#: Lines of a chain that meet in one place; the last of them is sent to the next block too.
+BLOCK_LINES = 1 << 16
+
+
+def _short(digest: str) -> Column:
+    """A digest in hex as its 32 bytes; any other text as bytes that no digest has."""
+    c = F.col(digest)
+    return F.when(F.regexp_like(c, F.lit("^[0-9a-f]{64}$")), F.unhex(c)).otherwise(F.concat(F.lit("=" * 33), c).cast("binary"))
+
+
+def _bare_lines(lines: DataFrame, chain: list[str], fields: list[str], line: str = "line_no") -> DataFrame:
+    """``chain, n, prev, hash`` (bytes) and ``_edited``, all that the verification of a chain needs to shuffle."""
     head, tail = canonical_halves(fields)
-    before = lines.select(*chain, (F.col(line) + 1).alias(line), F.col("hash").alias("_before"))
-    joined = lines.join(before, [*chain, line], "left")
-    expected = F.when(F.col(line) == 1, fixed.GENESIS).otherwise(F.col("_before"))
+    edited = F.sha2(F.concat(head, F.col("prev"), tail), 256) != F.col("hash")
+    return lines.select(*chain, F.col(line).alias("n"), _short("prev").alias("prev"), _short("hash").alias("hash"),
+                        F.coalesce(edited, F.lit(False)).alias("_edited"))
+
+
+def _judged(bare: DataFrame, chain: list[str]) -> DataFrame:
+    """Per chain ``_first`` bad line (n, p), ``_lines`` checked (once for each line before it), ``_rows`` and the ``_last`` hash."""
+    block = F.floor(F.col("n") / BLOCK_LINES)
+    here, ahead = F.struct(block.alias("_block"), F.lit(True).alias("_own")), F.struct((block + 1).alias("_block"), F.lit(False).alias("_own"))
+    edge = F.pmod(F.col("n"), F.lit(BLOCK_LINES)) == BLOCK_LINES - 1
+    placed = bare.select("*", F.inline(F.when(edge, F.array(here, ahead)).otherwise(F.array(here))))
+    before = W.partitionBy(*chain, "_block").orderBy("n").rangeBetween(-1, -1)
+    joined = placed.withColumns({"_before": F.count(F.lit(1)).over(before), "_hashes": F.count("hash").over(before),
+                                 "_low": F.min("hash").over(before), "_high": F.max("hash").over(before)}).where("_own")
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*chain, "n"]])
+    met = F.when(known, F.col("_before")).otherwise(0)
+    follows = (met > 0) & (F.col("_hashes") == met) & (F.col("_low") == F.col("prev")) & (F.col("_high") == F.col("prev"))
+    follows = F.when(F.col("n") == 1, F.col("prev") == F.unhex(F.lit(fixed.GENESIS))).otherwise(follows)
     problem = (F.when(F.col("hash").isNull() | F.col("prev").isNull(), "is not a valid audit entry")
-               .when(~F.coalesce(F.col("prev") == expected, F.lit(False)),
-                     "chain broken (line missing or reordered)")
-               .when(F.sha2(F.concat(head, F.col("prev"), tail), 256) != F.col("hash"),
-                     "contents were modified"))
-    judged = joined.withColumn("_problem", problem)
-    bad = F.col("_problem").isNotNull()
-    first = F.min(F.when(bad, F.struct(F.col(line).alias("n"), F.col("_problem").alias("p"))))
-    out = judged.groupBy(*chain).agg(first.alias("first"), F.count("*").alias("lines"))
-    return out.select(
-        *chain, F.col("first").isNull().alias("ok"),
-        F.when(F.col("first").isNull(), F.col("lines")).otherwise(F.col("first.n") - 1)
-        .cast("bigint").alias("checked"),
-        F.when(F.col("first").isNull(), "").otherwise(F.concat(
-            F.lit("line "), F.col("first.n").cast("string"),
-            F.when(F.startswith("first.p", F.lit("chain")), ": ")
-            .when(F.startswith("first.p", F.lit("contents")), ": ").otherwise(" "),
-            F.col("first.p"))).alias("problem"))
+               .when(~F.coalesce(follows, F.lit(False)), "chain broken (line missing or reordered)")
+               .when(F.col("_edited"), "contents were modified"))
+    judged = joined.withColumns({"_problem": problem, "_met": F.greatest(met, F.lit(1))})
+    first = F.min(F.when(F.col("_problem").isNotNull(), F.struct("n", F.col("_problem").alias("p"))))
+    return judged.groupBy(*chain).agg(first.alias("_first"), F.sum("_met").alias("_lines"), F.count("*").alias("_rows"), F.max_by("hash", "n").alias("_last"))
+
+
+def _first_problem() -> Column:
+    return F.when(F.col("_first").isNull(), "").otherwise(F.concat(
+        F.lit("line "), F.col("_first.n").cast("string"),
+        F.when(F.startswith("_first.p", F.lit("chain")), ": ")
+        .when(F.startswith("_first.p", F.lit("contents")), ": ").otherwise(" "),
+        F.col("_first.p")))
 
 
 # ---------------------------------------------------------------- rates and cursors

@@ -251,15 +251,15 @@ def verified_audit_logs(spark, sf_dir):
 
 def with_losses(lines, seals):
     """Lines and seals of a log after each mailbox lost what its remainder says."""
-    from pyspark.sql import Window as W
-
     loss = F.col("mailbox") % _LOSS
-    ends = lines.groupBy("mailbox").agg(F.min("file_no").alias("_first"), F.max("file_no").alias("_end"))
-    known = lines.join(ends, "mailbox").withColumn("_last_line", F.max("line_no").over(W.partitionBy("mailbox", "file_no")))
+    # The first file and its last line: the least of pairs whose second part falls as lines grow.
+    ends = lines.groupBy("mailbox").agg(F.min(F.when(F.col("file_no").isNotNull(), F.struct("file_no", (-F.col("line_no")).alias("line")))).alias("_a"),
+                                        F.max("file_no").alias("_end")).select("mailbox", F.col("_a.file_no").alias("_first"), (-F.col("_a.line")).alias("_last_line"), "_end")
+    known = lines.join(ends, "mailbox")
     gone = (((loss == 0) & (F.col("file_no") == F.col("_first")) & (F.col("line_no") == F.col("_last_line")))
             | ((loss == 1) & (F.col("file_no") == F.col("_first"))) | ((loss == 2) & (F.col("file_no") == F.col("_end"))))
     left = seals.join(ends, "mailbox").where(~((loss == 2) & (F.col("file_no") == F.col("_end"))))
-    return known.where(~gone), left.drop("_first", "_end")
+    return known.where(~gone), left.drop("_first", "_last_line", "_end")
 
 
 @register("bursts", """WITH w AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id % 5 ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events)

@@ -54,9 +54,9 @@ class Ledger:
         return -1 if found is None else int(found)
 
     def stage(self, table: str, rows: DataFrame, batch: int) -> DataFrame:
-        """Writes the rows of an unpublished batch and returns them as stored."""
+        """Writes the rows of an unpublished batch and returns them as stored: half of a digest in hex is air."""
         path = f"{self.folder}/{table}/batch={batch}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def publish(self, batch: int, at: str) -> None:
