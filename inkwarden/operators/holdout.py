@@ -1,13 +1,12 @@
 """Every source held out in turn: statistics by subtraction, and all fits side by side over one table of features.
 
 Terms are counted once by ``(source, term)``; the vocabulary without a source is the total minus that source.  The
-features of all rows, term numbers with their counts, are written once.  Each round of the optimiser is one job that
-reads them and returns the gradients of all fits, whatever their number; a source more costs arithmetic, no scan.
+features of all rows, term numbers with their counts, are written once in chunks (``packed.py``).  Each round of the optimiser is
+one job that reads them and returns the gradients of all fits, whatever their number; a source more costs arithmetic, no scan.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
@@ -19,127 +18,49 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import term_words
-from ..session import work_folder, written
-from . import cells
+from . import packed
 
 #: Sources held out together: bounds the coefficients on the driver and in the tasks.
 BLOCK = 32
 
-
-def source_statistics(rows: DataFrame, stop_words: list[str]) -> DataFrame:
-    """``(source, term, df, total)`` of ``rows`` (words, source), summed per task before the shuffle; one scan."""
-    return cells.statistics(rows, F.col("words"), stop_words, "source")
-
-
-def holdout_vocabularies(statistics: DataFrame, sizes: dict[str, int], n: int, min_df: int = fixed.MIN_DOCUMENT_FREQUENCY,
-                         max_share: float = fixed.MAX_DOCUMENT_SHARE, size: int = fixed.MAX_VOCABULARY) -> DataFrame:
-    """``(held_out, term, df, total, n)``: for each source of ``sizes`` (its rows) the vocabulary of all others.
-
-    ``statistics`` are those of :func:`source_statistics`, ``n`` is the number of all rows.  A term's sums without a
-    source are its sums minus the source's; the ``size`` most used terms stay, ties in the order of the term.
-    """
-    own = F.map_from_entries(F.collect_list(F.when(F.col("source").isin(*sizes), F.struct("source", F.struct("df", "total")))))
-    whole = statistics.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"), own.alias("own"))
-    whole = whole.where(F.col("df") >= min_df)
-    parts = []
-    for held, rows in sizes.items():
-        part = F.try_element_at("own", F.lit(held))
-        left = whole.select(F.lit(held).alias("held_out"), "term", (F.col("df") - F.coalesce(part.df, F.lit(0))).alias("df"),
-                            (F.col("total") - F.coalesce(part.total, F.lit(0))).alias("total"), F.lit(n - rows).cast("bigint").alias("n"))
-        parts.append(left.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))
-                     .orderBy(F.desc("total"), "term").limit(size))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+#: Tasks a core in a round: each returns a gradient for each fit, so there are not as many as splits.
+TASKS = 3
 
 
 @dataclass
 class Fits:
-    """``idf`` (fits, terms), 0 for terms outside a fit's vocabulary; ``coefs`` (fits, terms) and ``intercepts``."""
+    """``views``: the fits that read each view's cells.  By fit ``idf`` of its view's terms, 0 outside its vocabulary, ``coefs`` and ``intercepts``."""
 
-    terms: list[str]
-    idf: np.ndarray
-    coefs: np.ndarray
+    views: list[list[int]]
+    idf: list[np.ndarray]
+    coefs: list[np.ndarray]
     intercepts: np.ndarray
 
-    def spans(self) -> list[tuple[int, int]]:
-        """The range of term numbers that holds a fit's vocabulary."""
-        found = [np.flatnonzero(own) for own in self.idf]
-        return [(int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0) for at in found]
-
-
-def with_features(rows: DataFrame, words: list[str], stop_words: list[str]) -> DataFrame:
-    """The columns of ``rows`` but its words, with ``ids`` and ``tf``, the numbers of known terms and their counts."""
-    sent = rows.sparkSession.sparkContext.broadcast(cells.Index(words))
-    found = rows.withColumn("_v", cells.known_counts(sent, F.col("words"), stop_words))
-    return found.select(*[c for c in rows.columns if c != "words"], F.col("_v.ids").alias("ids"), F.col("_v.tf").alias("tf"))
-
-
-def features(rows: DataFrame, words: list[str], stop_words: list[str], folder: str) -> DataFrame:
-    """:func:`with_features`, written below ``folder`` and read again."""
-    with_features(rows, words, stop_words).write.parquet(folder)
-    return rows.sparkSession.read.parquet(folder)
-
-
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, term number and ``1 + log tf`` of all cells of a batch; a row without known terms has none."""
-    ids, tf = batch.column("ids"), batch.column("tf")
-    lengths = np.array([x or 0 for x in ids.value_lengths().to_pylist()], np.int64)
-    return (np.repeat(np.arange(len(lengths)), lengths), ids.flatten().to_numpy().astype(np.int64),
-            1 + np.log(tf.flatten().to_numpy().astype(float)))
-
-
-def _margins(fits: Fits, k: int, owner: np.ndarray, ids: np.ndarray, base: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of ``n`` rows by fit ``k``, and the cells' weights: TF-IDF of unit length a row."""
-    x = base * fits.idf[k][ids]
-    length = np.sqrt(np.bincount(owner, x * x, n))
-    x /= np.where(length > 0, length, 1)[owner]
-    return np.bincount(owner, x * fits.coefs[k][ids], n) + fits.intercepts[k], x
+    def values(self, k: int) -> np.ndarray:
+        """What a cell is multiplied with, but for the length of its row."""
+        return self.idf[k] * self.coefs[k]
 
 
-#: Rows whose cells a task holds at once.
-ROWS = 2000
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, ROWS):
-            yield batch.slice(a, ROWS)
-
-
-def _by_span(batch: pa.RecordBatch, spans: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The cells of a batch that fall into each range of term numbers."""
-    owner, ids, base = _matrix(batch)
-    out = {}
-    for span in set(spans):
-        held = slice(None) if span[0] == 0 and (not len(ids) or ids.max() < span[1]) else (ids >= span[0]) & (ids < span[1])
-        out[span] = owner[held], ids[held], base[held]
-    return out
-
-
-def _gradients(sent, active: list[int]):
+def _gradients(sent, views: list[list[int]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fits: Fits = sent.value
-        size, spans = len(fits.terms), fits.spans()
-        out = np.zeros((len(active), size + 2))
-        for batch in _cut(batches):
-            n = batch.num_rows
-            found = _by_span(batch, [spans[k] for k in active])
-            label = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
-            weights = np.array(batch.column("weights").flatten().to_numpy(), float).reshape(n, -1) if n else np.zeros((0, len(fits.idf)))
-            for row, k in enumerate(active):
-                owner, ids, base = found[spans[k]]
-                low, high = spans[k]
-                margin, x = _margins(fits, k, owner, ids, base, n)
-                w = weights[:, k]
-                rest = w * (1 / (1 + np.exp(-margin)) - label)
-                out[row, low:high] += np.bincount(ids - low, x * rest[owner], high - low)
-                out[row, size] += rest.sum()
-                out[row, size + 1] += (w * (np.logaddexp(0, margin) - label * margin)).sum()
-        data = [zlib.compress(v.tobytes(), 1) for v in out]
-        yield pa.RecordBatch.from_arrays([pa.array(active, pa.int32()), pa.array([zlib.crc32(d) % 16 for d in data], pa.int32()),
-                                          pa.array(data, pa.binary())], ["fit", "salt", "sums"])
+        fits: dict[int, tuple[np.ndarray, float]] = sent.value
+        out = {k: np.zeros(len(values) + 2) for k, (values, _) in fits.items()}
+        for kept, trained, weights, inverse, cells in packed.unpacked(batches):
+            label = kept.field("label").to_numpy(zero_copy_only=False)[:trained].astype(float)
+            for own, all_cells in zip(views, cells, strict=True):
+                active = [k for k in own if k in fits]
+                if not active or not trained:
+                    continue
+                found = all_cells.first(trained)
+                for k in active:
+                    values, intercept = fits[k]
+                    w, scale = weights[k, :trained], inverse[k, :trained]
+                    margin = found.times(values) * scale + intercept
+                    rest = w * (1 / (1 + np.exp(-margin)) - label)
+                    out[k][:-2] += found.turned(rest * scale, len(values))
+                    out[k][-2] += rest.sum()
+                    out[k][-1] += (w * (np.logaddexp(0, margin) - label * margin)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["fit", "sums"])
 
     return rows
 
@@ -147,25 +68,26 @@ def _gradients(sent, active: list[int]):
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, np.ndarray] = {}
     for batch in batches:
-        for k, data in zip(batch.column("fit").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            values = np.frombuffer(zlib.decompress(data))
-            found[k] = found[k] + values if k in found else values
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([0] * len(found), pa.int32()),
-                                      pa.array([zlib.compress(v.tobytes(), 1) for v in found.values()], pa.binary())],
-                                     ["fit", "salt", "sums"])
+        for k, data in zip(batch.column("fit").to_pylist(), batch.column("sums"), strict=True):
+            values = np.frombuffer(data.as_buffer())
+            if k in found:
+                found[k] += values
+            else:
+                found[k] = values.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["fit", "sums"])
 
 
 def gradients(table: DataFrame, fits: Fits, active: list[int]) -> dict[int, np.ndarray]:
     """For each active fit its gradient by term, by the intercept, and its loss, over all rows of ``table``; one job.
 
-    Tasks add up what falls to a (fit, salt), then to a fit; the driver gets one array for each fit.
+    Tasks add up what falls to a fit; the driver gets one array for each fit.
     """
-    shape, out = "fit int, salt int, sums binary", {}
-    sent = table.sparkSession.sparkContext.broadcast(fits)
-    parts = table.select("label", "weights", "ids", "tf").mapInArrow(_gradients(sent, active), shape)
-    whole = parts.repartition("fit", "salt").mapInArrow(_added, shape).repartition("fit").mapInArrow(_added, shape)
-    for row in whole.toArrow().to_pylist():
-        out[row["fit"]] = np.frombuffer(zlib.decompress(row["sums"]))
+    shape, spark = "fit int, sums binary", table.sparkSession
+    sent = spark.sparkContext.broadcast({k: (fits.values(k), fits.intercepts[k]) for k in active})
+    parts = table.coalesce(TASKS * spark.sparkContext.defaultParallelism).mapInArrow(_gradients(sent, fits.views), shape)
+    out = {row["fit"]: np.frombuffer(row["sums"]).copy() for row in parts.repartition("fit").mapInArrow(_added, shape).toArrow().to_pylist()}
+    for k, values in out.items():
+        values[:-2] *= fits.idf[k]
     sent.destroy()
     return out
 
@@ -210,15 +132,15 @@ def descent(start: np.ndarray, rounds: int, memory: int = 8, least: float = 1e-6
     return at
 
 
-def fit_many(table: DataFrame, words: list[str], idf: np.ndarray, totals: np.ndarray, rounds: int = 20,
+def fit_many(table: DataFrame, views: list[list[int]], idf: list[np.ndarray], totals: np.ndarray, rounds: int = 20,
              inverse: float = fixed.INVERSE_REGULARISATION) -> Fits:
-    """Logistic fits side by side over ``table``: label, weights (one for each fit, 0 where a row is no part of it), ids, tf.
+    """Logistic fits side by side over ``table``, chunks of ``packed.features`` whose kept columns have ``label``.
 
-    ``totals`` are the sums of the weights.  The penalty is that of the single fit: half the squared coefficients over
-    ``inverse`` times the total weight, none on the intercept.
+    ``views`` are the fits of each view, ``totals`` the sums of the weights.  The penalty is that of the single fit: half the
+    squared coefficients over ``inverse`` times the total weight, none on the intercept.
     """
-    fits = Fits(words, idf, np.zeros(idf.shape), np.zeros(len(idf)))
-    running = {k: descent(np.zeros(len(words) + 1), rounds) for k in range(len(idf)) if totals[k] > 0}
+    fits = Fits(views, idf, [np.zeros(len(own)) for own in idf], np.zeros(len(idf)))
+    running = {k: descent(np.zeros(len(idf[k]) + 1), rounds) for k in range(len(idf)) if totals[k] > 0}
     points = {k: next(g) for k, g in running.items()}
     while points:
         for k, point in points.items():
@@ -238,46 +160,62 @@ def fit_many(table: DataFrame, words: list[str], idf: np.ndarray, totals: np.nda
 
 
 def scores_of(sent, kept: list[str]):
-    """Adds ``scores``, the probability of each row by each fit, to the columns ``kept``."""
+    """``scores``, the probability of each row by each fit, beside the columns ``kept``."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits: Fits = sent.value
-        spans = fits.spans()
-        for batch in _cut(batches):
-            n, found = batch.num_rows, _by_span(batch, spans)
-            margins = np.array([_margins(fits, k, *found[spans[k]], n)[0] for k in range(len(fits.idf))]).reshape(len(fits.idf), n)
-            scores = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(fits.idf)),
+        for own, _, _, inverse, cells in packed.unpacked(batches):
+            margins = np.zeros(inverse.shape)
+            for view, found in zip(fits.views, cells, strict=True):
+                for k in view:
+                    margins[k] = found.times(fits.values(k)) * inverse[k] + fits.intercepts[k]
+            scores = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(margins)),
                                               pa.array((1 / (1 + np.exp(-margins.T))).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], [*kept, "scores"])
+            yield pa.RecordBatch.from_arrays([*(own.field(c) for c in kept), scores], [*kept, "scores"])
 
     return rows
 
 
-def _block(spark, corpus: DataFrame, statistics: DataFrame, counts: pd.DataFrame, held: list[str], stop_words: list[str],
+def _without(held: list[str]):
+    """Of some sources, those that each fit without one of ``held`` is trained on."""
+    return lambda sources: np.array([[s != h for s in sources] for h in held], bool).reshape(len(held), -1)
+
+
+def _weigh(held: list[str], by_class: dict[int, dict[int, float]]):
+    """Weights of rows (source, label, trained) in the fits without each of ``held``."""
+    inside = _without(held)
+
+    def weights(kept: pa.StructArray) -> np.ndarray:
+        coded = kept.field("source").dictionary_encode(null_encoding="encode")
+        outside = inside(coded.dictionary.to_pylist())[:, coded.indices.to_numpy(zero_copy_only=False)]
+        label, trained = kept.field("label").to_numpy(zero_copy_only=False), kept.field("trained").to_numpy(zero_copy_only=False).astype(bool)
+        out = np.zeros((len(held), len(kept)))
+        for k, each in by_class.items():
+            out[k] = np.where(outside[k] & trained, np.where(label == 1, each[1], each[0]), 0.0)
+        return out
+
+    return weights
+
+
+def _block(spark, chunks: DataFrame, statistics: DataFrame, counts: pd.DataFrame, held: list[str], stop_words: list[str],
            rounds: int) -> DataFrame:
     """Rates of the fits without each of ``held``."""
     train = counts[counts["split"] == "train"]
     n, by_source = int(train["n"].sum()), train.groupby("source")["n"].sum()
-    sizes = {h: int(by_source.get(h, 0)) for h in held}
-    kept = holdout_vocabularies(statistics, sizes, n).select("held_out", "term", "df", "n").toPandas()
-    words = sorted(kept["term"].unique())
-    place, row = {w: i for i, w in enumerate(words)}, {h: i for i, h in enumerate(held)}
-    idf = np.zeros((len(held), len(words)))
-    idf[kept["held_out"].map(row), kept["term"].map(place)] = np.log((1 + kept["n"]) / (1 + kept["df"])) + 1
+    sizes = np.array([n - int(by_source.get(h, 0)) for h in held])
+    row = {h: i for i, h in enumerate(held)}
+    words, df = packed.vocabularies(statistics, {0: _without(held)}, {0: sizes})[0]
+    idf = np.where(df > 0, np.log((1 + sizes[:, None]) / (1 + df)) + 1, 0.0)
     # Balanced class weights of each fit: its rows over twice those of the class.
-    weights, totals = [], np.zeros(len(held))
+    by_class, totals = {}, np.zeros(len(held))
     for k, h in enumerate(held):
         classes = train[train["source"] != h].groupby("label")["n"].sum()
-        if len(classes) < 2:
-            weights.append(F.lit(0.0))
-            continue
-        each = {label: classes.sum() / (2 * c) for label, c in classes.items()}
-        totals[k] = classes.sum()
-        outside = (F.col("split") == "train") & ~F.col("source").eqNullSafe(F.lit(h))
-        weights.append(F.when(outside & (F.col("label") == 1), each[1]).when(outside & (F.col("label") == 0), each[0]).otherwise(0.0))
-    table = features(corpus.select("source", "split", "label", "words", F.array(*weights).alias("weights")), words or ["-"], stop_words,
-                     work_folder(spark))
-    fits = fit_many(table, words or ["-"], idf if words else np.zeros((len(held), 1)), totals, rounds)
-    scored = table.select("source", "label", "split", "ids", "tf").mapInArrow(
+        if len(classes) == 2:
+            by_class[k] = {label: classes.sum() / (2 * c) for label, c in classes.items()}
+            totals[k] = classes.sum()
+    fits_of = [list(range(len(held)))]
+    table = packed.features(chunks, [(0, tuple(stop_words))], [words], list(idf), fits_of, _weigh(held, by_class), ["source", "label", "split"])
+    fits = fit_many(table, fits_of, list(idf), totals, rounds)
+    scored = table.mapInArrow(
         scores_of(spark.sparkContext.broadcast(fits), ["source", "label", "split"]), "source string, label int, split string, scores array<double>")
     own, caught = (F.col("source") == F.col("held_out")) & (F.col("label") == 0), (F.col("label") == 1) & (F.col("split") == "test")
     names = F.array(*[F.lit(h) for h in held])
@@ -287,7 +225,7 @@ def _block(spark, corpus: DataFrame, statistics: DataFrame, counts: pd.DataFrame
     rates = each.groupBy("held_out").agg(
         F.count(F.when(own, 1)).alias("n_unseen_legit"), share(own, F.col("score") >= 0.5).alias("fpr_05"),
         share(own, F.col("score") >= fixed.QUARANTINE_THRESHOLD).alias("fpr_q"), share(caught, F.col("score") >= 0.5).alias("recall_05"))
-    facts = spark.createDataFrame([(h, int(totals[row[h]]), int((kept["held_out"] == h).sum())) for h in held if totals[row[h]] > 0],
+    facts = spark.createDataFrame([(h, int(totals[row[h]]), int((df[row[h]] > 0).sum())) for h in held if totals[row[h]] > 0],
                                   "held_out string, n_train bigint, n_terms bigint")
     return rates.where("n_unseen_legit > 0").join(F.broadcast(facts), "held_out").select(
         "held_out", "n_train", "n_terms", "n_unseen_legit", "fpr_05", "fpr_q", "recall_05")
@@ -298,19 +236,21 @@ def holdout_rates(corpus: DataFrame, stop_words: list[str] | None = None, rounds
     at 0.5 and at the quarantine threshold, and the recall on the positive rows of the test part.
 
     Trained are the train rows of the other sources (and those without one).  A source is left out if it has no
-    negative row or one class would remain.  The texts are read once and their words written; those are read for the
+    negative row or one class would remain.  The texts are read once and their words written in chunks; those are read for the
     statistics, and once for each block of ``BLOCK`` sources for the features.
     """
     spark = corpus.sparkSession
     stop = fixed.CORPUS_STOP_WORDS if stop_words is None else stop_words
-    corpus = written(corpus.select("source", term_words(F.col("text")).alias("words"), F.col("label").cast("int").alias("label"), "split")
-                     .where(F.col("label").isin(0, 1)))
-    counts = corpus.groupBy("source", "split", "label").agg(F.count("*").alias("n")).toPandas()
+    trained = F.coalesce(F.col("split") == "train", F.lit(False))
+    rows = corpus.select(F.col("source").cast("string").alias("source"), term_words(F.col("text")).alias("words"), F.col("label").cast("int").alias("label"),
+                         F.col("split").cast("string").alias("split"), trained.alias("trained"), F.col("source").cast("string").alias("group"))
+    chunks = packed.pack(rows.where(F.col("label").isin(0, 1)), ["words"])
+    counts = chunks.select(F.inline("kept")).groupBy("source", "split", "label").agg(F.count("*").alias("n")).toPandas()
     held = sorted(counts[(counts["label"] == 0) & counts["source"].notna()]["source"].unique())
     if not held:
         raise ValueError("no source can be held out")
-    statistics = written(source_statistics(corpus.where("split = 'train'"), stop))
-    blocks = [_block(spark, corpus, statistics, counts, held[i:i + BLOCK], stop, rounds) for i in range(0, len(held), BLOCK)]
+    statistics = packed.statistics(chunks, [(0, tuple(stop))])
+    blocks = [_block(spark, chunks, statistics, counts, held[i:i + BLOCK], stop, rounds) for i in range(0, len(held), BLOCK)]
     out = blocks[0]
     for part in blocks[1:]:
         out = out.unionAll(part)

@@ -1,8 +1,8 @@
 """Models that differ in their training rows, texts, weights or stop words, fitted side by side and compared on the same tests.
 
 The variants that share a text and a stop list share a view of the corpus: its terms are counted once by the set of variants a row
-trains, and a variant's vocabulary is the sum over the sets it is in.  The features of all views are written once, one
-range of term numbers a view, so every round of the optimiser is one job for all variants and one pass scores them all.
+trains, and a variant's vocabulary is the sum over the sets it is in.  Texts are packed in chunks (``packed.py``); one pass
+counts the terms of all views, one writes their features, every round of the optimiser is one job for all variants and one pass scores them all.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import term_words
 from ..session import written
-from . import evaluate, fusion, holdout
+from . import evaluate, fusion, holdout, packed
 
 #: Variants and test sets are bits of a number, and of sets of variants there are at most as many as such numbers.
 MOST_VARIANTS = 16
@@ -41,11 +42,22 @@ def _in(bits: str, place: int) -> Column:
     return F.getbit(F.col(bits), F.lit(place)) == 1
 
 
-def _vocabulary(statistics: DataFrame, k: int, n: int) -> DataFrame:
-    """``k, term, df`` of one variant: its most used terms, ties in the order of the term."""
-    own = statistics.where(_in("source", k)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-    kept = own.where((F.col("df") >= fixed.MIN_DOCUMENT_FREQUENCY) & (F.col("df") <= fixed.MAX_DOCUMENT_SHARE * n))
-    return kept.orderBy(F.desc("total"), "term").limit(fixed.MAX_VOCABULARY).select(F.lit(k).alias("k"), "term", "df")
+def _trains(own: list[int]):
+    """Of some sets of variants, those that train each of ``own``."""
+    return lambda sets: np.array([[int(x) >> k & 1 for x in sets] for k in own], bool).reshape(len(own), -1)
+
+
+def _weigh(variants: int, by_class: dict[int, dict[int, float]]):
+    """Weights of rows (label, trains, own) in the fits."""
+    def weights(kept: pa.StructArray) -> np.ndarray:
+        label, trains = (kept.field(c).to_numpy(zero_copy_only=False) for c in ("label", "trains"))
+        own = kept.field("own").flatten().to_numpy(zero_copy_only=False).reshape(-1, variants)
+        out = np.zeros((variants, len(kept)))
+        for k, each in by_class.items():
+            out[k] = np.where(trains >> k & 1, own[:, k] * np.where(label == 1, each[1], each[0]), 0.0)
+        return out
+
+    return weights
 
 
 def variant_rates(corpus: DataFrame, variants: list[Variant], tests: dict[str, Column],
@@ -63,11 +75,14 @@ def variant_rates(corpus: DataFrame, variants: list[Variant], tests: dict[str, C
     views = list(dict.fromkeys((v.text, v.stop_words) for v in variants))
     texts = list(dict.fromkeys(text for text, _ in views))
     weights = [F.lit(1.0) if v.weight is None else F.coalesce(v.weight.cast("double"), F.lit(1.0)) for v in variants]
+    trains = _bits([v.rows for v in variants])
     rows = corpus.select(F.col("label").cast("int").alias("label"), *[term_words(F.col(t)).alias(f"words_{i}") for i, t in enumerate(texts)],
-                         _bits([v.rows for v in variants]).alias("trains"), _bits(list(tests.values())).alias("tests"),
+                         trains.alias("trains"), _bits(list(tests.values())).alias("tests"),
                          F.array(*weights).alias("own")).where("label IN (0, 1) AND (trains > 0 OR tests > 0)")
     # The views read the same words, so texts, roles and splits are worked out once.
-    rows = written(rows)
+    rows = rows.select("*", (F.col("trains") > 0).alias("trained"), F.col("trains").cast("string").alias("group"))
+    chunks = packed.pack(rows, [f"words_{i}" for i in range(len(texts))])
+    rows = chunks.select(F.inline("kept"))
     sums = [F.sum(F.get("own", F.lit(k))).alias(f"w_{k}") for k in range(len(variants))]
     counts = rows.where("trains > 0").groupBy("trains", "label").agg(F.count("*").alias("n"), *sums).toPandas()
 
@@ -80,36 +95,22 @@ def variant_rates(corpus: DataFrame, variants: list[Variant], tests: dict[str, C
             by_class[k] = {label: sizes[k] / (2 * n) for label, n in own["n"].items()}
             totals[k] = sum(by_class[k][label] * w for label, w in own[f"w_{k}"].items())
 
-    words, idf, known = [], [], np.zeros(len(variants), np.int64)
-    for text, stop in views:
-        trained = rows.where("trains > 0").select(F.col("trains").alias("source"), F.col(f"words_{texts.index(text)}").alias("words"))
-        statistics = written(holdout.source_statistics(trained, list(stop)))
-        own = [k for k, v in enumerate(variants) if (v.text, v.stop_words) == (text, stop)]
-        found = reduce(DataFrame.unionAll, [_vocabulary(statistics, k, int(sizes[k])) for k in own]).toPandas()
-        terms = sorted(found["term"].unique()) or ["-"]
-        place, part = {w: j for j, w in enumerate(terms)}, np.zeros((len(variants), len(terms)))
-        n = sizes[found["k"].to_numpy(np.int64)]
-        part[found["k"].to_numpy(np.int64), found["term"].map(place).to_numpy(np.int64)] = np.log((1 + n) / (1 + found["df"].to_numpy(float))) + 1
-        known += np.bincount(found["k"].to_numpy(np.int64), minlength=len(variants))
+    places = [(texts.index(text), stop) for text, stop in views]
+    fits_of = [[k for k, v in enumerate(variants) if (v.text, v.stop_words) == view] for view in views]
+    found = packed.vocabularies(packed.statistics(chunks, places), {i: _trains(own) for i, own in enumerate(fits_of)},
+                                {i: sizes[own] for i, own in enumerate(fits_of)})
+    words, idf, known = [], [np.zeros(0)] * len(variants), np.zeros(len(variants), np.int64)
+    for i, own in enumerate(fits_of):
+        terms, df = found[i]
         words.append(terms)
-        idf.append(part)
-
-    fit_weights = [F.when(_in("trains", k), F.get("own", F.lit(k)) * F.when(F.col("label") == 1, by_class[k][1]).otherwise(by_class[k][0]))
-                   .otherwise(0.0) if k in by_class else F.lit(0.0) for k in range(len(variants))]
-    table = rows.withColumn("weights", F.array(*fit_weights)).drop("own", "trains")
-    for i, ((text, stop), terms) in enumerate(zip(views, words, strict=True)):
-        table = holdout.with_features(table.withColumn("words", F.col(f"words_{texts.index(text)}")), terms, list(stop)).withColumnsRenamed(
-            {"ids": f"ids_{i}", "tf": f"tf_{i}"})
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    moved = lambda start: lambda number: number + F.lit(start)
-    shifted = [F.transform(f"ids_{i}", moved(int(start))) for i, start in enumerate(starts[:-1])]
-    table = written(table.select("label", "tests", "weights", F.concat(*shifted).alias("ids"),
-                                 F.concat(*[f"tf_{i}" for i in range(len(views))]).alias("tf")))
-    fits = holdout.fit_many(table, [w for part in words for w in part], np.concatenate(idf, axis=1), totals, rounds)
+        for k, rows_with in zip(own, df, strict=True):
+            idf[k], known[k] = np.where(rows_with > 0, np.log((1 + sizes[k]) / (1 + rows_with)) + 1, 0.0), (rows_with > 0).sum()
+    table = packed.features(chunks, places, words, idf, fits_of, _weigh(len(variants), by_class), ["label", "tests"])
+    fits = holdout.fit_many(table, fits_of, idf, totals, rounds)
 
     fitted = [names[k] for k in sorted(by_class)]
-    scored = table.where("tests > 0").select("label", "tests", "ids", "tf").mapInArrow(
-        holdout.scores_of(spark.sparkContext.broadcast(fits), ["label", "tests"]), "label int, tests int, scores array<double>")
+    scored = table.mapInArrow(holdout.scores_of(spark.sparkContext.broadcast(fits), ["label", "tests"]),
+                              "label int, tests int, scores array<double>").where("tests > 0")
     score = {name: F.get("scores", F.lit(names.index(name))) for name in fitted}
     facts = {name: (int(sizes[names.index(name)]), int(known[names.index(name)])) for name in fitted}
     for name, (first, second) in (blends or {}).items():
@@ -121,7 +122,8 @@ def variant_rates(corpus: DataFrame, variants: list[Variant], tests: dict[str, C
                               F.lit(facts[n][1]).cast("bigint").alias("n_terms"), c.alias("score")) for n, c in score.items()])
     sets = F.array_compact(F.array(*[F.when(_in("tests", i), F.lit(name)) for i, name in enumerate(tests)]))
     measured = scored.select("label", F.explode(sets).alias("test_set"), each.alias("each")).select("label", "test_set", F.inline("each"))
-    return evaluate.two_threshold_rates(measured, ["variant", "test_set", "n_train", "n_terms"])
+    # A row a variant and test set, read several times by those who compare them.
+    return written(evaluate.two_threshold_rates(measured, ["variant", "test_set", "n_train", "n_terms"]))
 
 
 def guarded(rates: DataFrame, validation: str, guards: dict[str, tuple[str, float | None, float | None]], simplicity: list[str]) -> DataFrame:
